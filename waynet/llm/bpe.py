@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from waynet.llm.common import whole_text
 
 #: Bytes of text in a block: more find more repeated words, at more memory for a task.
-BLOCK_BYTES = 12 << 20
-LONG_PIECE = 256
+BLOCK_BYTES = 3 << 20
+#: Words that a task remembers from earlier blocks; then it forgets all.
+REMEMBERED = 400_000
+#: Places between the bytes of a folded piece must fit a signed 64-bit number.
+LONG_PIECE = 60
 #: Buckets of the literal rank map. Spark searches a map from its start, so one map of all ranks would be slow.
 BUCKETS = 1 << 16
 
@@ -37,9 +40,10 @@ _BLOCK = pa.schema(
         ("n_pieces", pa.list_(pa.int32())),
         ("codes", pa.list_(pa.int32())),
         ("words", pa.list_(pa.binary())),
+        ("forget", pa.bool_()),
     ]
 )
-_BLOCK_DDL = "doc_id array<bigint>, n_pieces array<int>, codes array<int>, words array<binary>"
+_BLOCK_DDL = "doc_id array<bigint>, n_pieces array<int>, codes array<int>, words array<binary>, forget boolean"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,80 +53,89 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: crc32 of a piece picks one of BUCKETS small maps from hex text to rank."""
+    """The ranks as a literal: crc32 of a piece in hex text picks one of BUCKETS small maps."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        buckets[zlib.crc32(piece) % BUCKETS][piece.hex().upper()] = rank
+        text = piece.hex().upper()
+        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def _rank_of(table: Column, piece: Column) -> Column:
-    return F.element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), F.hex(piece))
-
-
-_NONE = 2147483647
+    """The rank of a piece in hex text, or null."""
+    return F.element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """The ids of one word: its bytes, with the adjacent pair of least rank merged, leftmost first, until none is ranked."""
+    """The ids of one word: the adjacent pair of least rank merges, leftmost first, until no pair is ranked.
 
-    def rank(piece):
-        return F.coalesce(_rank_of(table, piece), F.lit(_NONE))
+    Every ranked stretch of the word is a possible merge, held in one number: rank, start and end. The state is
+    the bits of the places where parts meet, and the merges that are still possible, by rank. A merge is due if
+    both its ends are such places and one lies between, which it takes away.
+    """
+    n = F.octet_length(word)
+    hexed = F.hex(word)
 
-    def pair(parts, i):
-        return rank(F.concat(F.get(parts, i), F.get(parts, i + 1)))
+    def piece(i, j):
+        return F.substring(hexed, 2 * i + 1, 2 * (j - i))
 
     def bind(value, body):
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def merge(state, _):
-        parts, ranks = state["parts"], state["ranks"]
+    one = F.lit(1).cast("bigint")
+    start, end = lambda c: F.shiftright(c, 6).bitwiseAND(63).cast("int"), lambda c: c.bitwiseAND(63).cast("int")
 
-        def at(found):
-            best, i = found["best"], found["at"]
-            def joined(new):
-                kept = F.concat(F.slice(parts, F.lit(1), i - 1), F.array(new), F.slice(parts, i + 2, F.size(parts)))
-                left = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(parts), F.array(rank(F.concat(new, F.get(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-                before = F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0)))
-                return F.struct(kept.alias("parts"), F.concat(before, left, right, F.slice(ranks, i + 2, F.size(ranks))).alias("ranks"))
+    def shifted(by):
+        return F.call_function("shiftleft", one, by)
 
-            return F.when(best == _NONE, state).otherwise(bind(F.concat(F.get(parts, i - 1), F.get(parts, i)), joined))
+    def between(c):
+        return shifted(end(c)) - shifted(start(c) + 1)
 
-        def find(best):
-            return F.struct(best.alias("best"), F.array_position(ranks, best).cast("int").alias("at"))
+    def step(state, _):
+        places, merges = state["places"], state["merges"]
+        due = F.get(F.filter(merges, lambda c: F.bit_count(places.bitwiseAND(between(c))) == 1), F.lit(0))
 
-        return F.when(F.size(ranks) == 0, state).otherwise(bind(find(F.array_min(ranks)), at))
+        def left(now):
+            def possible(c):
+                ends = shifted(start(c)).bitwiseOR(shifted(end(c)))
+                return (now.bitwiseAND(ends) == ends) & (now.bitwiseAND(between(c)) != 0)
 
-    n = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    start = bind(
-        single,
-        lambda parts: F.struct(
-            parts.alias("parts"),
-            F.transform(F.slice(F.sequence(F.lit(0), F.size(parts)), F.lit(1), F.size(parts) - 1), lambda i: pair(parts, i)).alias("ranks"),
-        ),
-    )
-    folded = F.aggregate(F.sequence(F.lit(2), n), start, merge)
-    ids = F.transform(folded["parts"], lambda p: _rank_of(table, p))
-    whole = _rank_of(table, word)
-    return bind(whole, lambda w: F.when(w.isNotNull(), F.array(w)).when(n <= LONG_PIECE, F.when(n > 1, ids)))
+            return F.struct(now.alias("places"), F.filter(merges, possible).alias("merges"))
+
+        return F.when(F.size(merges) == 0, state).otherwise(
+            bind(due, lambda c: F.when(c.isNull(), F.struct(places.alias("places"), F.slice(merges, F.lit(1), F.lit(0)).alias("merges"))).otherwise(bind(places.bitwiseAND(F.bitwise_not(between(c))), left)))
+        )
+
+    stretches = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 2, n), lambda j: _rank_of(table, piece(i, j)) * F.lit(4096).cast("bigint") + i * 64 + j))
+    merges = F.sort_array(F.array_compact(F.flatten(stretches)))
+    begun = F.struct((shifted(n + 1) - 1).alias("places"), merges.alias("merges"))
+    places = F.aggregate(F.sequence(F.lit(2), n), begun, step, lambda s: s["places"])
+    kept = bind(places, lambda p: F.filter(F.sequence(F.lit(0), n), lambda b: F.call_function("shiftright", p, b).bitwiseAND(1) == 1))
+    ids = bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda i, j: _rank_of(table, piece(i, j))))
+    return bind(_rank_of(table, hexed), lambda w: F.when(w.isNotNull(), F.array(w)).when((n > 1) & (n <= LONG_PIECE), ids))
 
 
 def _pack(pattern: str):
-    """Documents to blocks: distinct pieces of the block, and every document's pieces as codes into them."""
+    """Documents to blocks: the pieces that are new to the task, and every document's pieces as codes into all so far."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(pattern).findall
         ids, counts, pieces, size = [], [], [], 0
+        known: dict[bytes, int] = {}
 
         def block():
+            forget = len(known) > REMEMBERED
+            if forget:
+                known.clear()
             coded = pa.array(pieces, pa.string()).dictionary_encode()
-            row = [ids, counts, coded.indices, coded.dictionary.cast(pa.binary())]
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t.type.value_type) if isinstance(v, list) else v) for v, t in zip(row, _BLOCK)]
-            return pa.RecordBatch.from_arrays(arrays, schema=_BLOCK)
+            own = coded.dictionary.cast(pa.binary()).to_pylist()
+            before = len(known)
+            code = np.array([known.setdefault(w, len(known)) for w in own], np.int32)
+            codes = code[coded.indices.to_numpy()] if own else code
+            new = [w for w, c in zip(own, code.tolist()) if c >= before]
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((ids, counts, codes, new, forget), _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -169,8 +182,11 @@ def _unpack(ranks):
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
+        known = pa.array([], pa.list_(pa.int32()))
         for batch in batches:
             for r in range(batch.num_rows):
+                if batch.column("forget")[r].as_py():
+                    known = known.slice(0, 0)
                 doc, counts, codes, words, folded = (batch.column(c)[r].values for c in ("doc_id", "n_pieces", "codes", "words", "ids"))
                 if folded.null_count:
                     nulls = np.flatnonzero(folded.is_null().to_numpy(zero_copy_only=False))
@@ -178,7 +194,8 @@ def _unpack(ranks):
                     for i in nulls.tolist():
                         whole[i] = heap_merge(words[i].as_py(), table)
                     folded = pa.array(whole, pa.list_(pa.int32()))
-                taken = folded.take(codes)
+                known = pa.concat_arrays([known, folded.cast(known.type)])
+                taken = known.take(codes)
                 per_piece = taken.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.cumsum(np.concatenate(([0], per_piece)))
                 bounds = np.cumsum(np.concatenate(([0], counts.to_numpy(zero_copy_only=False))))
