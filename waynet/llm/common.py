@@ -34,6 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Removes a materialized table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
