@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waynet.llm.common import slices, whole_text
+from waynet.llm.common import bounded_sample, slices, whole_text
 
 #: Bounds of the fit: texts with and without a base match, windows, and the tokens of a window.
 TEXTS_PER_CLASS, MOST_WINDOWS, WINDOW = 500, 3000, 24
@@ -252,11 +252,10 @@ def _labelled_windows(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray,
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretField:
     """Trains on a bounded sample of texts with and without base matches; base matches are the labels."""
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.xxhash64(F.lit(23), F.col(id_col)).alias("at"))
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     hinted = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}")
-    found = []
-    for part in (rows.where(hinted), rows.where(~hinted)):
-        found += [r["text"].encode() for r in part.orderBy("at", "id", "text").limit(TEXTS_PER_CLASS).collect()]
+    sample = bounded_sample(rows.withColumn("hinted", hinted), "hinted", "id", TEXTS_PER_CLASS, 2).collect()
+    found = [r["text"].encode() for r in sorted(sample, key=lambda r: (not r["hinted"], str(r["id"]), r["text"]))]
     field = SecretField()
     codes, tags, real = _labelled_windows(found)
     if tags.size and real.any():
