@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waynet.llm import bpe, chat, exact_dedup, fingerprint, jaccard, language, mixing, quality, secrets, toxicity
-from waynet.llm.common import crc_fold
+from waynet.llm.common import bounded_sample, crc_fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The user and assistant texts of conversation -1.
@@ -24,13 +24,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, folds: int, held_out: int) -> DataFrame:
-    docs = _documents(spark, sf_dir).where(crc_fold("doc_id", folds) != held_out).select("doc_id", "text")
-    return docs.join(_table(spark, sf_dir, "labels"), "doc_id")
+def _labelled(spark: SparkSession, sf_dir: str, label: str, per_class: int, folds: int, held_out: int) -> tuple[DataFrame, dict[int, int]]:
+    """Texts of a bounded sample of the labels outside the held-out fold, and the rows of each class there.
+
+    The sample is drawn before the join, so its broadcast has a proven bound and no text is shuffled.
+    """
+    labels = _table(spark, sf_dir, "labels").where((crc_fold("doc_id", folds) != held_out) & F.col(label).isNotNull()).select("doc_id", label)
+    totals = {r[label]: r["count"] for r in labels.groupBy(label).count().collect()}
+    sample = F.broadcast(bounded_sample(labels, label, "doc_id", per_class, 2))
+    return _documents(spark, sf_dir).select("doc_id", "text").join(sample, "doc_id"), totals
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = quality.fit(_labelled(spark, sf_dir, 5, 0), "quality")
+    labelled, _ = _labelled(spark, sf_dir, "quality", quality.ROWS_PER_CLASS, 5, 0)
+    net = quality.fit(labelled, "quality")
     scored = quality.score(_documents(spark, sf_dir), net)
     return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -41,7 +48,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(_labelled(spark, sf_dir, 3, 1), "toxic")
+    labelled, totals = _labelled(spark, sf_dir, "toxic", toxicity.ROWS_PER_CLASS, 3, 1)
+    model = toxicity.fit(labelled, "toxic", totals=totals)
     scored = toxicity.score(_documents(spark, sf_dir), model)
     return scored.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from waynet.llm.common import bounded_sample, whole_text
 
 #: Bounds of the fit: labelled rows of each class, and terms.
-ROWS_PER_CLASS, MOST_TERMS = 6000, 3000
+ROWS_PER_CLASS, MOST_TERMS = 6000, 200
 #: A term is in this many toxic texts at least, and this share of its texts is toxic when classes weigh alike.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.95
 #: The same for a stem, and the letters that a stem may have.
 STEM_TEXTS, STEM_SHARE, STEM_LETTERS = 8, 0.98, (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 6
-STATES = 100_000
+STATES, REMEMBERED = 100_000, 300_000
 
 #: Words that report speech, and words that address a reader, in English, German, French and Spanish.
 REPORTS = {"called", "calling", "calls", "quote", "quoted", "said", "saying", "says", "term", "word", "wrote", "genannt", "sagt", "sagte", "wort", "appelle", "disait", "dit", "mot", "dice", "dijo", "palabra"}
@@ -168,7 +168,7 @@ class ToxicityModel:
     def scores(self, texts: list[str], memo: dict[str, int]) -> list[float]:
         out = []
         for text in texts:
-            if len(memo) > 1_000_000:
+            if len(memo) > REMEMBERED:
                 memo.clear()
             found = features(text, self.automaton, memo)
             out.append(1 / (1 + np.exp(-(self.bias + (0.0 if found is None else float(np.dot(found, self.weights)))))))
@@ -195,12 +195,13 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, label: str = "label")
 PRIOR = np.array([3.0, 1.0, 1.5, 0.5, -1.0, 0.5])
 
 
-def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Learns lexicon and weights from a bounded sample of labelled rows."""
+def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", totals: dict[int, int] | None = None) -> ToxicityModel:
+    """Learns lexicon and weights from a bounded sample of labelled rows; totals are the classes' rows, if labelled is a sample already."""
     rows = labelled.where(F.col(label_col).isNotNull())
-    totals = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
+    drawn = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
     sample = bounded_sample(rows, label_col, id_col, ROWS_PER_CLASS, 2).select(F.col(label_col).cast("int").alias("label"), whole_text(text_col).alias("text"))
-    terms = lexicon(sample, min(ROWS_PER_CLASS, totals.get(1, 0)), min(ROWS_PER_CLASS, totals.get(0, 0)))
+    terms = lexicon(sample, min(ROWS_PER_CLASS, drawn.get(1, 0)), min(ROWS_PER_CLASS, drawn.get(0, 0)))
+    totals = totals or drawn
     automaton = TermAutomaton(terms)
     shared = labelled.sparkSession.sparkContext.broadcast(automaton)
 
