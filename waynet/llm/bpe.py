@@ -212,7 +212,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     blocks = texts.mapInArrow(_pack(pattern), _BLOCK_DDL)
     table = rank_literal(ranks)
-    folded = blocks.withColumn("ids", F.transform("words", lambda w: fold_merges(w, table)))
+    # The literal stands in the plan once; all words of a block see it through one variable.
+    folded = blocks.withColumn("ids", F.get(F.transform(F.array(table), lambda t: F.transform("words", lambda w: fold_merges(w, t))), F.lit(0)))
     return folded.mapInArrow(_unpack(shared), "doc_id bigint, ids array<int>")
 
 
