@@ -232,6 +232,8 @@ def _labelled_windows(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray,
     data = np.frombuffer(b"".join(texts), np.uint8)
     tokens = Tokens(data, offsets)
     tags = np.zeros(len(tokens.starts), np.int8)
+    if not len(tags):
+        return [], np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), bool)
     for i in np.flatnonzero(tokens.maybe_base).tolist():
         text = texts[i].decode()
         for start, _, end in base_spans(text):
@@ -246,7 +248,7 @@ def _labelled_windows(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray,
     at = starts[:, None] + np.arange(WINDOW)
     real = at < len(tags)
     at = np.minimum(at, max(0, len(tags) - 1))
-    real &= tokens.text[at] == tokens.text[at[:, :1]] if len(tags) else False
+    real &= tokens.text[at] == tokens.text[at[:, :1]]
     return [code[at] for code in tokens.codes], tags[at].astype(np.int64), real
 
 
