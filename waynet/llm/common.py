@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 SLICE_BYTES = 1 << 20
+#: A key is hot if it holds more than one part in this many of all rows; so fewer keys than this can be.
+HOT_PARTS = 4096
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,6 +44,22 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def is_hot(size: Column, total: int) -> Column:
+    """Whether a key of that many rows is hot. Fewer than HOT_PARTS keys of a table can be."""
+    return (size > 1) & (size * HOT_PARTS > total)
+
+
+def join_split(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which holds a key once: rows of the hot keys stay where they are, the rest is shuffled.
+
+    `hot` has fewer than HOT_PARTS rows, so it and its rows of right may be broadcast at any size of the tables.
+    """
+    mark = F.broadcast(hot.select(*keys).distinct())
+    its = F.broadcast(right.join(mark, keys, "left_semi"))
+    there = left.join(mark, keys, "left_semi").join(its, keys, how)
+    return there.unionByName(left.join(mark, keys, "left_anti").join(right, keys, how))
+
+
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -7,6 +7,9 @@ document's content is, and a count. Rows that hit an existing digest are then co
 with the retained document's full bytes; should they differ, they are grouped by their text instead, so a
 digest's collisions don't merge documents.
 
+Digests that hold more than their part of all rows are joined by a broadcast of a bounded size, and
+full bytes are compared in salted runs of SALT_ROWS rows, each beside the retained document.
+
 A null text counts as empty. Rows of one id with equal texts are copies too, and one of
 them stays; rows of one id with different texts are different documents. An empty table gives an empty result.
 """
@@ -17,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.llm.common import materialize, scratch, whole_text
+from waynet.llm.common import is_hot, join_split, materialize, scratch, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a digest that one retained text is compared with in one place.
+SALT_ROWS = 1000
 #: Set while the stream runs, and put back afterwards. The memory of all stores of an executor is bounded together.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -65,14 +70,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not arrivals.inputFiles():
         return arrivals.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest").limit(0)
     state = materialize(stream_state(arrivals), "dedup-groups")
+    hot = state.where(is_hot(F.col("n"), arrivals.count()))
     is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("seq") == F.col("keep_seq"))
-    found = materialize(arrivals.join(state, "digest").select("digest", "doc_id", "keep_id", "n", is_keeper.alias("is_keeper")), "dedup-found")
+    found = join_split(arrivals, state, hot, ["digest"]).select("digest", "doc_id", "keep_id", "n", is_keeper.alias("is_keeper"))
+    found = materialize(found, "dedup-found")
 
     # Full bytes on hits: the texts of digests seen more than once, against the retained document's.
-    hits = rows.withColumn("digest", digest(F.col("text"))).join(state.where("n > 1").select("digest", "keep_id"), "digest")
-    hits = materialize(hits.select("digest", "doc_id", "text", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("retained")), "dedup-hits")
-    retained = hits.where("retained").groupBy("digest").agg(F.max("text").alias("bytes"))
-    unlike = hits.join(retained, "digest").where(F.col("text") != F.col("bytes")).select("digest", "doc_id", "text")
+    hits = join_split(rows.withColumn("digest", digest(F.col("text"))), state.where("n > 1").select("digest", "keep_id", "n"), hot, ["digest"])
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    salt = F.pmod(F.monotonically_increasing_id(), salts).cast("int")
+    hits = materialize(hits.select("digest", "doc_id", "text", salt.alias("salt"), salts.alias("salts"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("retained")), "dedup-hits")
+    retained = hits.where("retained").groupBy("digest", "salts").agg(F.max("text").alias("bytes"))
+    retained = retained.select("digest", "bytes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    unlike = hits.join(retained, ["digest", "salt"]).where(F.col("text") != F.col("bytes")).select("digest", "doc_id", "text")
+    unlike = materialize(unlike, "dedup-unlike")
+    if unlike.isEmpty():
+        return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("is_keeper").alias("kept"), "digest")
     own = Window.partitionBy("digest", "text")
     regrouped = unlike.select("digest", "doc_id", F.max("doc_id").over(own).alias("own_keep"), F.count(F.lit(1)).over(own).alias("own_size")).dropDuplicates(["digest", "doc_id"])
     fewer = unlike.groupBy("digest").agg(F.count(F.lit(1)).alias("fewer"))
