@@ -25,6 +25,8 @@ from waynet.llm.common import is_hot, join_split, materialize, scratch, whole_te
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a digest that one retained text is compared with in one place.
 SALT_ROWS = 1000
+#: Digests of copies are broadcast up to this many (about 30 MB), so texts without a copy aren't shuffled; beyond, by a shuffle.
+BROADCAST_GROUPS = 1 << 18
 #: Set while the stream runs, and put back afterwards. The memory of all stores of an executor is bounded together.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -76,7 +78,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(found, "dedup-found")
 
     # Full bytes on hits: the texts of digests seen more than once, against the retained document's.
-    hits = join_split(rows.withColumn("digest", digest(F.col("text"))), state.where("n > 1").select("digest", "keep_id", "n"), hot, ["digest"])
+    copied = materialize(state.where("n > 1").select("digest", "keep_id", "n"), "dedup-copied")
+    hits = rows.withColumn("digest", digest(F.col("text")))
+    hits = hits.join(F.broadcast(copied), "digest") if copied.count() <= BROADCAST_GROUPS else join_split(hits, copied, hot, ["digest"])
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     salt = F.pmod(F.monotonically_increasing_id(), salts).cast("int")
     hits = materialize(hits.select("digest", "doc_id", "text", salt.alias("salt"), salts.alias("salts"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("retained")), "dedup-hits")
