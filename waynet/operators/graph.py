@@ -4,14 +4,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.plans.iterate import cut
+from waynet.plans.iterate import cut, running_total
 
 
-def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFrame | None = None) -> DataFrame:
+def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFrame | None = None, forbidden: DataFrame | None = None) -> DataFrame:
     """search_id, node, cost, parent of all nodes within the limit (inclusive) of each search's seeds.
 
     All searches advance together, a round for each hop: nodes improved last round relax their arcs. Of equal
-    costs the parent that was settled first stays. `ignore` (search_id, node) names nodes that a search may not enter.
+    costs the parent that was settled first stays. `ignore` (search_id, node) names nodes that a search may not enter,
+    `forbidden` (search_id, source, target) arcs that it may not use.
     """
     hops = arcs.groupBy("source", "target").agg(F.min("cost").alias("arc_cost"))
     none = F.lit(None).cast("long")
@@ -19,6 +20,8 @@ def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFr
     while not dist.where("fresh").isEmpty():
         reach = dist.where("fresh").join(hops, F.col("node") == F.col("source")).select("search_id", F.col("target").alias("node"), (F.col("cost") + F.col("arc_cost")).alias("cost"), F.col("cost").alias("parent_cost"), F.col("source").cast("long").alias("parent"))
         reach = reach.where(F.col("cost") <= limit)
+        if forbidden is not None:
+            reach = reach.join(forbidden.select("search_id", F.col("source").cast("long").alias("parent"), F.col("target").alias("node")), ["search_id", "parent", "node"], "left_anti")
         if ignore is not None:
             reach = reach.join(ignore, ["search_id", "node"], "left_anti")
         both = dist.select("search_id", "node", "cost", "parent_cost", "parent", F.col("cost").alias("had")).unionByName(reach.withColumn("had", none))
@@ -49,7 +52,7 @@ def largest_component(label: DataFrame) -> DataFrame:
 
 def restrict(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The induced subgraph, its nodes renumbered densely from 0 in order."""
-    ids = nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("id"))
+    ids = running_total(nodes.select("node"), ["node"], F.lit(1), "id")
     s, t = (ids.select(F.col("node").alias(c), F.col("id").alias(f"new_{c}")) for c in ("source", "target"))
     return arcs.join(s, "source").join(t, "target").select(F.col("new_source").alias("source"), F.col("new_target").alias("target"), "cost", "weight")
 
@@ -57,7 +60,7 @@ def restrict(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
 def offsets(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """node and the place of its first arc among arcs sorted by source."""
     counts = nodes.select("node").join(arcs.groupBy(F.col("source").alias("node")).count(), "node", "left")
-    return counts.select("node", F.coalesce(F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_arc"))
+    return running_total(counts, ["node"], F.coalesce("count", F.lit(0)), "first_arc").select("node", "first_arc")
 
 
 def polylines_to_segments(vertices: DataFrame) -> DataFrame:

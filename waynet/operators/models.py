@@ -80,3 +80,46 @@ def distribute_by_rank(lots: DataFrame, population: float) -> DataFrame:
     """Each lot's part of a population by its rank; a rank sum of 0 counts as 1."""
     total = lots.agg(F.sum("rank").alias("ranks"))  # one row
     return lots.crossJoin(total).withColumn("population", F.lit(population) * F.col("rank") / F.when(F.col("ranks") == 0, 1).otherwise(F.col("ranks"))).drop("ranks")
+
+
+def merge_popularity(walking: DataFrame, cycling: DataFrame, people: DataFrame, share_walking: float, share_cycling: float, share_car: float) -> DataFrame:
+    """entry and popularity of walkers and cyclists together, and the number of car users beside every row.
+
+    walking and cycling are (entry, popularity), people (pop, population, walks, cycles) says who reaches an entry. Those
+    who don't are unmapped: the share of cars takes its part of them, the rest is spread in proportion to what is mapped.
+    """
+    lost = F.col("population") * (F.when(F.col("walks"), 0.0).otherwise(share_walking) + F.when(F.col("cycles"), 0.0).otherwise(share_cycling))
+    sums = people.agg(F.coalesce(F.sum(lost), F.lit(0.0)).alias("unmapped"), F.coalesce(F.sum("population") * share_car, F.lit(0.0)).alias("by_car"))
+    both = walking.unionByName(cycling).groupBy("entry").agg(F.sum("popularity").alias("own"))
+    mapped = both.agg(F.sum("own").alias("mapped"))
+    extra = F.when(F.col("mapped") > 0, F.col("own") / F.col("mapped") * (1 - share_car) * F.col("unmapped")).otherwise(0.0)
+    cars = (F.col("by_car") + share_car * F.col("unmapped")).cast("long")
+    return both.crossJoin(sums).crossJoin(mapped).select("entry", (F.col("own") + extra).alias("popularity"), cars.alias("car_population"))  # one row each
+
+
+def split_evenly(reach: DataFrame, points: DataFrame, total: float) -> DataFrame:
+    """entry and population: every point's equal part of the total, split evenly over the entries it reaches (pop, entry)."""
+    count = points.agg(F.count(F.lit(1)).alias("points"))  # one row
+    sizes = reach.groupBy("pop").agg(F.count(F.lit(1)).alias("n"))
+    part = reach.join(sizes, "pop").crossJoin(count)
+    return part.groupBy("entry").agg(F.sum(F.lit(total) / F.col("points") / F.col("n")).alias("population"))
+
+
+def even_arc_weights(arcs: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+    """source, target, value: each entry's population split evenly over its feasible trips (exit, arc).
+
+    A trip is feasible if the ways from the arc's ends to entry and exit, which may not use the arc, and the arc
+    itself cost at most the limit. entries are (node, population); arcs without a trip have no row.
+    """
+    one = arcs.groupBy("source", "target").agg(F.min("cost").alias("cost"))
+    keyed = one.withColumn("search_id", F.concat_ws("-", "source", "target"))
+    barred = keyed.select("search_id", "source", "target").unionByName(keyed.select("search_id", F.col("target").alias("source"), F.col("source").alias("target")))
+    sides = []
+    for end, name in (("source", "entry"), ("target", "exit")):
+        found = shortest_paths(arcs, keyed.select("search_id", F.col(end).alias("node")), limit, forbidden=barred)
+        sides.append(found.join(entries.select("node"), "node", "left_semi").select("search_id", F.col("node").alias(name), F.col("cost").alias(f"{name}_cost")))
+    trips = keyed.join(sides[0], "search_id").join(sides[1], "search_id").where(F.col("entry_cost") + F.col("cost") + F.col("exit_cost") <= limit)
+    counts = trips.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.join(entries.withColumnRenamed("node", "entry"), "entry").select("entry", (F.col("population") / F.col("n")).alias("part"))
+    per_arc = trips.groupBy("entry", "source", "target").agg(F.count(F.lit(1)).alias("k")).join(parts, "entry")
+    return per_arc.groupBy("source", "target").agg(F.sum(F.col("k") * F.col("part")).alias("value"))

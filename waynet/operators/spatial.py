@@ -72,3 +72,19 @@ def convex_hulls(points: DataFrame) -> DataFrame:
     ddl = "key long, n long, x double, y double"
     salted = points.select("key", "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(64)).alias("salt"))
     return salted.groupBy("key", "salt").applyInPandas(lambda p: hull(p), ddl).groupBy("key").applyInPandas(lambda p: hull(p), ddl)
+
+
+def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
+    """relation_id, polygon (from 0) and nds: the nodes of a relation's ways (relation_id, pos, way_id) in order.
+
+    A way that is missing or doesn't start where the last one ended starts a new polygon; those of up to two nodes go.
+    """
+    known = members.join(ways.where(F.size("nds") > 0), "way_id", "left")
+    w = Window.partitionBy("relation_id").orderBy("pos")
+    ends = known.withColumns({"before": F.lag(F.element_at("nds", -1)).over(w), "first": F.get("nds", F.lit(0))}).where("nds IS NOT NULL")
+    starts = F.when(F.col("first") == F.col("before"), 0).otherwise(1)
+    parts = ends.withColumn("part", F.sum(starts).over(w))
+    rings = parts.groupBy("relation_id", "part").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "nds"))), lambda p: p["nds"])).alias("nds"))
+    rings = rings.where(F.size("nds") > 2)
+    number = F.row_number().over(Window.partitionBy("relation_id").orderBy("part")) - 1
+    return rings.select("relation_id", number.alias("polygon"), "nds")

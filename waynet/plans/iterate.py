@@ -2,7 +2,9 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -11,3 +13,18 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df and the sum of value over all rows before, in that order; no task orders more than its range of rows.
+
+    Ranges are summed first, and what comes before each, a row for each partition, is joined back.
+    """
+    part = F.spark_partition_id()
+    ranged = cut(df.withColumn(name, value.cast("long")).repartitionByRange(*order)).withColumn("_range", part)
+    sums = ranged.groupBy("_range").agg(F.sum(name).alias("_sum"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_before") + F.coalesce(F.sum(name).over(own), F.lit(0))
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, total).drop("_range", "_before")

@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.functions import geo
+from waynet.functions import geo, speeds
 from waynet.operators import graph, models, raster, spatial
+from waynet.sources import sinks
 from waynet.sources.derived import SQL, points, road_arcs, table
 
 PREFS = [(60.0, 0.5), (150.0, 0.3), (300.0, 0.2)]
@@ -195,7 +196,75 @@ def heat_answer(spark, d):
     return raster.answer(raster.extract(_heat(spark, d), 10.25, 20.75, 20.25, 40.75).distinct())
 
 
-QUERIES = {f.__name__: f for f in (flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer)}
+_KINDS = [*speeds.OSM_SPEEDS, "ferry"]
+
+
+def way_speeds(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (1 + F.col("o_orderkey") % len(_KINDS)).cast("int"))
+    ways = table(spark, d, "orders").select("o_orderkey", kind.alias("kind"))
+    return ways.select("o_orderkey", "kind", speeds.way_type_id(F.col("kind")).alias("type_id"), *(speeds.way_speed(F.col("kind"), p).alias(p) for p in speeds.PROFILES))
+
+
+def class_speeds(spark, d):
+    classes = list(speeds.CLASS_SPEEDS)
+    of = F.element_at(F.array(*map(F.lit, classes)), (1 + F.col("o_orderkey") % len(classes)).cast("int"))
+    ways = table(spark, d, "orders").select("o_orderkey", of.alias("class"))
+    return ways.select("o_orderkey", "class", speeds.class_speed(F.col("class"), F.lit(90)).alias("speed"), speeds.is_road(F.col("class"), speeds.LARGE_ROADS).alias("large"), speeds.is_road(F.col("class"), speeds.SMALL_ROADS).alias("small"))
+
+
+def merged_popularity(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entry"))
+    walking, cycling = (s.select("entry", (F.col("entry") % k).cast("double").alias("popularity")) for k in (7, 3))
+    key = F.col("c_custkey")
+    people = table(spark, d, "customer").select(key.alias("pop"), (key % 11 + 1).cast("double").alias("population"), (key % 2 == 0).alias("walks"), (key % 3 == 0).alias("cycles"))
+    return models.merge_popularity(walking, cycling, people, 0.25, 0.125, 0.5).withColumn("popularity", F.round("popularity", 6))
+
+
+def even_split(spark, d):
+    reach = table(spark, d, "orders").select(F.col("o_custkey").alias("pop"), (F.col("o_orderkey") % 50).alias("entry")).distinct()
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("pop"))
+    return models.split_evenly(reach, points, 280000.0).withColumn("population", F.round("population", 6))
+
+
+def even_arc_weights(spark, d):
+    near = road_arcs(spark, d).where("source < 40 AND target < 40")
+    entries = _entries(spark, d).where("node < 40")
+    return models.even_arc_weights(near, entries, 2 * LIMIT).withColumn("value", F.round("value", 6))
+
+
+def expanded_results(spark, d):
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    results = o.select(key.alias("pos"), key.alias("label"), F.when(F.col("o_custkey") % 3 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("value"))
+    represented = o.select(key.alias("label"), F.array(key % 900, F.col("o_custkey") % 900).alias("ids"))
+    return sinks.expand_results(results, represented)
+
+
+def last_feature(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 50).alias("target"), F.col("l_orderkey").alias("fid"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    return sinks.last_feature(rows)
+
+
+def feature_weights(spark, d):
+    arcs = table(spark, d, "orders").select(F.col("o_custkey").alias("fid"), F.col("o_totalprice").alias("value"))
+    features = table(spark, d, "customer").select(F.col("c_custkey").alias("fid"), "c_name")
+    return sinks.feature_weights(features, arcs).withColumn("value", F.round("value", 2))
+
+
+def arc_lines(spark, d):
+    arcs = road_arcs(spark, d).withColumn("pos", F.col("target"))
+    return sinks.arc_lines(arcs, ["source", "target", "cost"])
+
+
+def relation_polygons(spark, d):
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    members = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("relation_id"), pos.alias("pos"), F.col("l_suppkey").alias("way_id"))
+    w = F.col("s_suppkey")
+    ways = table(spark, d, "supplier").where(w % 10 != 0).select(w.alias("way_id"), F.array(w % 2, w + 10, w % 3).alias("nds"))
+    return spatial.relation_polygons(members, ways).withColumn("nds", F.array_join(F.col("nds").cast("array<string>"), "-"))
+
+
+QUERIES = {f.__name__: f for f in (flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -235,4 +304,25 @@ ORACLES = {
     "heat_extract": f"WITH {_HEAT} SELECT * FROM heat WHERE lat BETWEEN 10.25 AND 30.25 AND lon BETWEEN 20.75 AND 60.75",
     "heat_bounds": f"WITH {_HEAT} SELECT dataset, min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM heat GROUP BY ROLLUP (dataset)",
     "heat_median": f"WITH {_HEAT}, r AS (SELECT dataset, heat, row_number() OVER (PARTITION BY dataset ORDER BY heat) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM heat WHERE heat > 0) SELECT dataset, heat AS median FROM r WHERE r = n // 2 + 1",
+    "way_speeds": f"""WITH s(i, kind, osm, car, walking, road) AS (VALUES {", ".join(str((i, k, *(p.get(k, 0) for p in speeds.PROFILES.values()))) for i, k in enumerate(_KINDS))})
+        SELECT o_orderkey, kind, CASE WHEN kind <> 'ferry' THEN i END AS type_id, osm, car, walking, road FROM orders JOIN s ON i = o_orderkey % {len(_KINDS)}""",
+    "class_speeds": f"""WITH s(i, class, speed) AS (VALUES {", ".join(str((i, *x)) for i, x in enumerate(speeds.CLASS_SPEEDS.items()))})
+        SELECT o_orderkey, class, least(speed, 90) AS speed, class >= 164001 AS large, class < 164001 AND class <> 88001 AS small FROM orders JOIN s ON i = o_orderkey % {len(speeds.CLASS_SPEEDS)}""",
+    "merged_popularity": """WITH p AS (SELECT c_custkey AS k, (c_custkey % 11 + 1)::DOUBLE AS n FROM customer),
+        u AS (SELECT sum(n * ((k % 2 <> 0)::INT * 0.25::DOUBLE + (k % 3 <> 0)::INT * 0.125::DOUBLE)) AS unmapped, sum(n) * 0.5::DOUBLE AS car FROM p),
+        b AS (SELECT s_suppkey AS entry, (s_suppkey % 7 + s_suppkey % 3)::DOUBLE AS own FROM supplier)
+        SELECT entry, round(own + own / sum(own) OVER () * 0.5::DOUBLE * unmapped, 6) AS popularity, floor(car + 0.5::DOUBLE * unmapped)::BIGINT AS car_population FROM b, u""",
+    "even_split": """WITH r AS (SELECT DISTINCT o_custkey AS pop, o_orderkey % 50 AS entry FROM orders), n AS (SELECT pop, count(*) AS n FROM r GROUP BY pop)
+        SELECT entry, round(sum(280000::DOUBLE / (SELECT count(*) FROM customer) / n), 6) AS population FROM r JOIN n USING (pop) GROUP BY entry""",
+    "expanded_results": """WITH e AS (SELECT o_orderkey AS pos, unnest([o_orderkey % 900, o_custkey % 900]) AS element, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_totalprice END AS value FROM orders),
+        v AS (SELECT element, arg_max(value, pos) AS value FROM e WHERE value > 0 GROUP BY element)
+        SELECT range AS element, coalesce(value, 0) AS value FROM range((SELECT max(element) + 1 FROM e)) LEFT JOIN v ON element = range""",
+    "last_feature": "SELECT l_suppkey AS source, l_partkey % 50 AS target, max(l_orderkey) AS fid FROM lineitem GROUP BY 1, 2",
+    "feature_weights": "SELECT c_custkey AS fid, c_name, round(sum(o_totalprice), 2) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
+    "arc_lines": f"{_WITH}, k AS (SELECT *, row_number() OVER (ORDER BY source, target) - 1 AS arc_id FROM arcs) SELECT arc_id, concat_ws(' ', source, target, cost, arc_id) AS line FROM k",
+    "relation_polygons": """WITH m AS (SELECT l_orderkey AS r, l_suppkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+        k AS (SELECT *, CASE WHEN w % 10 <> 0 THEN w % 3 END AS last FROM m), b AS (SELECT *, lag(last) OVER (PARTITION BY r ORDER BY pos) AS before FROM k),
+        p AS (SELECT *, sum(CASE WHEN w % 2 = before THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS part FROM b WHERE w % 10 <> 0),
+        g AS (SELECT r, part, string_agg(concat_ws('-', w % 2, w + 10, w % 3), '-' ORDER BY pos) AS nds FROM p GROUP BY r, part)
+        SELECT r AS relation_id, (row_number() OVER (PARTITION BY r ORDER BY part) - 1)::INT AS polygon, nds FROM g""",
 }

@@ -26,7 +26,7 @@ def read_columns(spark: SparkSession, path: str, names: list[str], kind: str = "
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (node_id, x, y) and arcs (arc_id, source, target, cost, weight) of a graph file with two header lines."""
     all_lines = lines(spark, path).select("pos", fields(F.col("value")).alias("f"))
-    n, m = (all_lines.where(F.col("pos") == k).select(F.get("f", F.lit(0)).cast("long").alias(c)) for k, c in ((0, "n"), (1, "m")))
+    n, m = (all_lines.where(F.col("pos") == k).select(F.get("f", F.lit(0)).try_cast("long").alias(c)) for k, c in ((0, "n"), (1, "m")))
     body = all_lines.where("pos > 1").crossJoin(n).crossJoin(m)  # one row each
     get = lambda i, kind: F.get("f", F.lit(i)).cast("double").cast(kind)
     nodes = body.where("pos < n + 2").select((F.col("pos") - 2).alias("node_id"), get(0, "double").alias("x"), get(1, "double").alias("y"))
