@@ -66,53 +66,70 @@ def _rank_of(table: Column, piece: Column) -> Column:
     return F.element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
 
 
-def fold_merges(word: Column, table: Column) -> Column:
-    """The ids of one word: the adjacent pair of least rank merges, leftmost first, until no pair is ranked.
+def check_order(ranks: dict[bytes, int]) -> int:
+    """The length of the longest piece; an error if some piece arises by merges whose ranks fall.
 
-    Every ranked stretch of the word is a possible merge, held in one number: rank, start and end. The state is
-    the bits of the places where parts meet, and the merges that are still possible, by rank. A merge is due if
-    both its ends are such places and one lies between, which it takes away.
+    Trained vocabularies have no such piece: what a merge needs was there before it. So merges of any
+    text rise in rank, since a stretch that becomes one piece is merged as it would be alone.
     """
-    n = F.octet_length(word)
-    hexed = F.hex(word)
+    for piece in ranks:
+        made = _merge_order(piece, ranks) if len(piece) > 1 else []
+        if made != sorted(made):
+            raise ValueError(f"the merges of {piece!r} don't rise in rank")
+    return max(map(len, ranks))
 
-    def piece(i, j):
-        return F.substring(hexed, 2 * i + 1, 2 * (j - i))
 
-    def bind(value, body):
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+def fold_merges(word: Column, table: Column, longest: int = LONG_PIECE) -> Column:
+    """The ids of one word: ranked merges of adjacent parts, least rank first, leftmost first.
 
+    Every ranked stretch of the word is a possible merge, held in one number: rank, start and end. Merges
+    rise in rank (check_order), so one fold over the stretches in that order does them all. Its state is
+    the bits of the places where parts meet: a merge is due if both its ends are such places and just one
+    lies between, which it takes away.
+    """
     one = F.lit(1).cast("bigint")
-    start, end = lambda c: F.shiftright(c, 6).bitwiseAND(63).cast("int"), lambda c: c.bitwiseAND(63).cast("int")
+
+    def bind(value, body):
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
     def shifted(by):
         return F.call_function("shiftleft", one, by)
 
-    def between(c):
-        return shifted(end(c)) - shifted(start(c) + 1)
+    def merge(places, c):
+        start, end = shifted(F.shiftright(c, 6).bitwiseAND(63).cast("int")), shifted(c.bitwiseAND(63).cast("int"))
+        within = places.bitwiseAND(end - start)  # the start, and what lies between
+        due = (places.bitwiseAND(end) != 0) & (within.bitwiseAND(start) != 0) & (F.bit_count(within) == 2)
+        return F.when(due, places - within + start).otherwise(places)
+
+    def ids(hexed, n):
+        def rank(i, j):
+            return _rank_of(table, F.substring(hexed, 2 * i + 1, 2 * (j - i)))
+
+        def ranked_from(i):
+            return F.transform(F.sequence(i + 2, F.least(n, i + longest)), lambda j: rank(i, j) * F.lit(4096).cast("bigint") + (i * 64 + j))
 
-    def step(state, _):
-        places, merges = state["places"], state["merges"]
-        due = F.get(F.filter(merges, lambda c: F.bit_count(places.bitwiseAND(between(c))) == 1), F.lit(0))
+        merges = F.array_sort(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), ranked_from))))
+        places = F.aggregate(merges, shifted(n + 1) - 1, merge)
+        kept = bind(places, lambda p: F.filter(F.sequence(F.lit(0), n), lambda b: F.call_function("shiftright", p, b).bitwiseAND(1) == 1))
+        return bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), rank))
 
-        def left(now):
-            def possible(c):
-                ends = shifted(start(c)).bitwiseOR(shifted(end(c)))
-                return (now.bitwiseAND(ends) == ends) & (now.bitwiseAND(between(c)) != 0)
+    def folded(hexed):
+        whole = _rank_of(table, hexed)
+        return bind(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(bind(F.octet_length(word), lambda n: F.when((n > 1) & (n <= LONG_PIECE), ids(hexed, n)))))
 
-            return F.struct(now.alias("places"), F.filter(merges, possible).alias("merges"))
+    return bind(F.hex(word), folded)
 
-        return F.when(F.size(merges) == 0, state).otherwise(
-            bind(due, lambda c: F.when(c.isNull(), F.struct(places.alias("places"), F.slice(merges, F.lit(1), F.lit(0)).alias("merges"))).otherwise(bind(places.bitwiseAND(F.bitwise_not(between(c))), left)))
-        )
 
-    stretches = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 2, n), lambda j: _rank_of(table, piece(i, j)) * F.lit(4096).cast("bigint") + i * 64 + j))
-    merges = F.sort_array(F.array_compact(F.flatten(stretches)))
-    begun = F.struct((shifted(n + 1) - 1).alias("places"), merges.alias("merges"))
-    places = F.aggregate(F.sequence(F.lit(2), n), begun, step, lambda s: s["places"])
-    kept = bind(places, lambda p: F.filter(F.sequence(F.lit(0), n), lambda b: F.call_function("shiftright", p, b).bitwiseAND(1) == 1))
-    ids = bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda i, j: _rank_of(table, piece(i, j))))
-    return bind(_rank_of(table, hexed), lambda w: F.when(w.isNotNull(), F.array(w)).when((n > 1) & (n <= LONG_PIECE), ids))
+def _merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ranks of the merges of a short piece, in their order."""
+    parts, made = [piece[i : i + 1] for i in range(len(piece))], []
+    while len(parts) > 1:
+        rank, i = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == len(ranks):
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        made.append(rank)
+    return made
 
 
 def _pack(pattern: str):
@@ -212,8 +229,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     blocks = texts.mapInArrow(_pack(pattern), _BLOCK_DDL)
     table = rank_literal(ranks)
+    longest = check_order(ranks)
     # The literal stands in the plan once; all words of a block see it through one variable.
-    folded = blocks.withColumn("ids", F.get(F.transform(F.array(table), lambda t: F.transform("words", lambda w: fold_merges(w, t))), F.lit(0)))
+    folded = blocks.withColumn("ids", F.get(F.transform(F.array(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, longest))), F.lit(0)))
     return folded.mapInArrow(_unpack(shared), "doc_id bigint, ids array<int>")
 
 
