@@ -27,8 +27,8 @@ from waynet.llm.common import whole_text
 
 #: Bytes of text in a block: more find more repeated words, at more memory for a task.
 BLOCK_BYTES = 2 << 20
-#: Words that a task remembers from earlier blocks; then it forgets all.
-REMEMBERED = 150_000
+#: Words that a task remembers from earlier blocks (some 200 bytes each); then it forgets all.
+REMEMBERED = 800_000
 #: Places between the bytes of a folded piece must fit a signed 64-bit number.
 LONG_PIECE = 60
 #: Buckets of the literal rank map. Spark searches a map from its start, so one map of all ranks would be slow.
