@@ -198,3 +198,9 @@ def test_held_out_accuracy(spark):
     for query, label, least in ((queries.op1_quality, "quality", 0.9), (queries.op3_toxicity, "toxic", 0.9)):
         found = query(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
         assert found.where(F.col(label) == F.col("predicted")).count() >= least * found.count()
+
+
+def test_bpe_refuses_ranks_out_of_order():
+    assert bpe.check_order({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"abc": 4}) == 3
+    with pytest.raises(ValueError):  # abc would have to come before ab, which it is made of
+        bpe.check_order({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4})
