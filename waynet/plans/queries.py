@@ -152,7 +152,9 @@ def preference_lookup(spark, d):
 
 
 def entry_popularity(spark, d):
-    dist = sssp(spark, d).select(F.col("search_id").alias("entry"), F.col("node").alias("pop"), F.col("cost"))
+    seeds = _entries(spark, d).select(F.col("node").alias("search_id"), "node")
+    found = graph.shortest_paths(road_arcs(spark, d), seeds, int(PREFS[-1][0]))
+    dist = found.select(F.col("search_id").alias("entry"), F.col("node").alias("pop"), F.col("cost"))
     people = points(spark, d).select(F.col("vec_id").alias("pop"), (F.col("vec_id") % 7 + 1.0).alias("population"))
     return models.entry_popularity(dist, people, PREFS, 0.5).withColumn("popularity", F.round("popularity", 6))
 
