@@ -107,15 +107,14 @@ def contract_chains(nodes: DataFrame, arcs: DataFrame, protected: Column) -> Dat
     return kept.unionByName(new).unionByName(new.select(F.col("target").alias("source"), F.col("source").alias("target"), "cost", "weight"))
 
 
-def walkways(arcs: DataFrame, start: int, targets: DataFrame, limit: int, depth: int) -> DataFrame:
-    """path and cost of walks from start that end in targets: no node repeats among the last `depth`; steps go on while the cost is below the limit."""
-    spark = arcs.sparkSession
-    front = spark.createDataFrame([([start], 0)], "path array<bigint>, cost bigint")
-    done = None
+def walkways(arcs: DataFrame, starts: DataFrame, targets: DataFrame, limit: int, depth: int) -> DataFrame:
+    """path and cost of walks from all starts that end in targets: no node repeats among the last `depth`; steps go on while the cost is below the limit."""
+    front = cut(starts.select(F.array(F.col("node").cast("long")).alias("path"), F.lit(0).cast("long").alias("cost")))
+    done = front.limit(0)
     while not front.isEmpty():
         front = cut(_grow(front, arcs, limit, depth))
         ends = front.join(targets.select(F.col("node").alias("end")), F.element_at("path", -1) == F.col("end"), "left_semi")
-        done = ends if done is None else done.unionByName(ends)
+        done = done.unionByName(ends)
     return done
 
 

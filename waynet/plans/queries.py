@@ -80,9 +80,7 @@ def largest_component(spark, d):
 
 
 def via_edge(spark, d):
-    near = road_arcs(spark, d).where("source < 40 AND target < 40")
-    entries = _entries(spark, d).where("node < 40")
-    return models.via_edge(near, entries, PREFS, 2 * LIMIT).select("source", "target", F.round("value", 6).alias("value"))
+    return models.via_edge(road_arcs(spark, d), _entries(spark, d), PREFS, 2 * LIMIT).select("source", "target", F.round("value", 6).alias("value"))
 
 
 def contraction(spark, d):
@@ -91,7 +89,7 @@ def contraction(spark, d):
 
 def walkways(spark, d):
     targets = _nodes(spark, d).where("node % 5 = 0")
-    return graph.walkways(road_arcs(spark, d), 0, targets, 100, 3).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "cost")
+    return graph.walkways(road_arcs(spark, d), _entries(spark, d).select("node"), targets, 100, 3).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "cost")
 
 
 def offsets(spark, d):
@@ -229,9 +227,7 @@ def even_split(spark, d):
 
 
 def even_arc_weights(spark, d):
-    near = road_arcs(spark, d).where("source < 40 AND target < 40")
-    entries = _entries(spark, d).where("node < 40")
-    return models.even_arc_weights(near, entries, 2 * LIMIT).withColumn("value", F.round("value", 6))
+    return models.even_arc_weights(road_arcs(spark, d), _entries(spark, d), 2 * LIMIT).withColumn("value", F.round("value", 6))
 
 
 def expanded_results(spark, d):
