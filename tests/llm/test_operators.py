@@ -159,6 +159,21 @@ def test_secrets(spark):
     assert secrets.base_spans("Password: 12345678 AKIA0123456789AB") == [(0, "assign", 18), (19, "access", 35)]
 
 
+def test_secrets_do_not_depend_on_neighbours(spark):
+    """Runs, keywords and turns end where a text does, also an empty one between."""
+    texts = ["0123456789abcdef" * 2] * 2 + ["", "deadbeef" * 8, "my pass", "word=abcdefgh1", "xAK", "IA0123456789ABCDEF", "a1b2c3d4A", "-x"]
+    out = {r["doc_id"]: r for r in secrets.scan(table(spark, list(enumerate(texts))).coalesce(1), secrets.SecretField()).collect()}
+    for i, text in enumerate(texts):
+        assert out[i]["n_hex"] == sum(kind == "hex" for _, kind, _ in secrets.base_spans(text))
+        assert out[i]["base_sha256"] == sha(",".join(f"{k}:{a}:{b}" for a, k, b in secrets.base_spans(text)))
+    ends = np.cumsum([0, *map(len, texts)])
+    joined = secrets.Tokens(np.frombuffer("".join(texts).encode(), np.uint8), ends)
+    alone = [secrets.Tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    assert joined.maybe_base.tolist() == [bool(t.maybe_base[0]) for t in alone]
+    for k, codes in enumerate(joined.codes):
+        assert codes.tolist() == [c for t in alone for c in t.codes[k].tolist()]
+
+
 def test_viterbi_with_outside_runs_cut_off_equals_the_whole_chain():
     rng = np.random.default_rng(4)
     field = secrets.SecretField()

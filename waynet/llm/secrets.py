@@ -61,12 +61,14 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
 
-def _positions(data: bytes, word: bytes) -> list[int]:
+def _positions(data: bytes, word: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Where the word begins, within one text."""
     out, at = [], data.find(word)
     while at >= 0:
         out.append(at)
         at = data.find(word, at + 1)
-    return out
+    out = np.array(out, np.int64)
+    return out[np.searchsorted(offsets, out, side="right") == np.searchsorted(offsets, out + len(word) - 1, side="right")]
 
 
 class Tokens:
@@ -82,24 +84,25 @@ class Tokens:
         self.starts, self.ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
         self.text = np.searchsorted(offsets, self.starts, side="right") - 1
         lowered = data.tobytes().lower()
-        self.keyword_at = np.sort(np.array([p for w in KEYWORDS for p in _positions(lowered, w)], np.int64))
-        access = np.array(_positions(data.tobytes(), b"AKIA"), np.int64)
-        self._flag(data, kinds, access)
+        self.keyword_at = np.sort(np.concatenate([_positions(lowered, w, offsets) for w in KEYWORDS]))
+        access = _positions(data.tobytes(), b"AKIA", offsets)
+        self._flag(data, kinds, access, inner)
         count = len(offsets) - 1
-        plain = np.flatnonzero(~_HEX[data])
-        edges = np.concatenate(([-1], plain, [len(data)]))
-        long_hex = edges[:-1][np.diff(edges) > 32] + 1
+        digits = np.concatenate(([False], _HEX[data], [False]))
+        first, last = digits[1:-1] & ~(digits[:-2] & inner[:-1]), digits[1:-1] & ~(digits[2:] & inner[1:])
+        runs = np.flatnonzero(first)
+        long_hex = runs[np.flatnonzero(last) + 1 - runs >= 32]
         self.maybe_base = np.zeros(count, bool)
         for at in (self.keyword_at, access, long_hex):
-            self.maybe_base[np.searchsorted(offsets, at[at < len(data)], side="right") - 1] = True
+            self.maybe_base[np.searchsorted(offsets, at, side="right") - 1] = True
         self._codes(count)
 
-    def _flag(self, data, kinds, access):
+    def _flag(self, data, kinds, access, inner):
         n = len(self.starts)
         owner = lambda at: np.unique(np.searchsorted(self.starts, at, side="right") - 1)
         if n:
             sums = [np.add.reduceat(kinds == k, self.starts, dtype=np.int32) for k in (LOWER, UPPER, DIGIT, MARK)]
-            turns = np.add.reduceat(np.concatenate((kinds[1:] != kinds[:-1], [False])), self.starts, dtype=np.int32)
+            turns = np.add.reduceat(np.concatenate(((kinds[1:] != kinds[:-1]) & inner[1:-1], [False])), self.starts, dtype=np.int32)
         else:
             sums, turns = [np.zeros(0, np.int32)] * 4, np.zeros(0, np.int32)
         lower, upper, digit, mark = sums
