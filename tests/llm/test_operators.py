@@ -200,6 +200,33 @@ def test_automaton_equals_edit_distance():
         assert automaton.edits(word) == (min(found) if found else -1)
 
 
+def test_shortened_heads_lose_no_hit():
+    rng = np.random.default_rng(5)
+    draw = lambda n: "".join(rng.choice(list("abc"), n))
+    terms = [draw(int(n)) for n in rng.integers(1, 17, 60)] + ["bcab*", "ccacb*"]
+    automaton = toxicity.TermAutomaton(terms)
+    words = [draw(int(n)) for n in rng.integers(0, 19, 1500)] + terms
+    for term in terms:
+        for _ in range(15):
+            word = list(term)
+            for _ in range(int(rng.integers(0, 4))):
+                k = int(rng.integers(0, len(word) + 1))
+                word[k : k + int(rng.integers(0, 2))] = draw(int(rng.integers(0, 2)))
+            words.append("".join(word))
+    assert [automaton.edits(w) for w in words] == [automaton.walk(w) for w in words]
+
+
+def test_rare_and_short_terms_enter_the_lexicon(spark):
+    """300 terms in three toxic texts each, beside 250 commoner ones that begin alike; and a term of three letters."""
+    common = [f"c{chr(97 + k // 26)}{chr(97 + k % 26)}mon{k}" for k in range(250)]
+    rare = [f"r{chr(97 + k // 26)}{chr(97 + k % 26)}e{k}x" for k in range(300)]
+    rows = [(i, " ".join(common), 1) for i in range(10)] + [(20 + i, " ".join([*rare, "zzq"]), 1) for i in range(3)] + [(100 + i, "the cat sat on the mat", 0) for i in range(13)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    terms = toxicity.lexicon(sample, 13, 13)
+    assert {*common, *rare, "zzq"} <= set(terms)
+    assert not {"cat", "the", "on", ""} & set(terms)
+
+
 def test_quotation_counts_apart_from_abuse():
     automaton = toxicity.TermAutomaton(["idiot"])
     assert toxicity.features("you idiot", automaton, {})[0] and not toxicity.features('he wrote "idiot" there', automaton, {})[0]

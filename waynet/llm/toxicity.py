@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from waynet.llm.common import bounded_sample, whole_text
 
-#: Bounds of the fit: labelled rows of each class, and terms.
-ROWS_PER_CLASS, MOST_TERMS = 6000, 200
+#: Bound of the fit: labelled rows of each class. It bounds the terms too.
+ROWS_PER_CLASS = 6000
 #: A term is in this many toxic texts at least, and this share of its texts is toxic when classes weigh alike.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.95
 #: The same for a stem, and the letters that a stem may have.
@@ -45,10 +46,35 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 or term[-1] == "*" else 1 if len(term) < 10 else 2
 
 
+#: Letters from the start of a word and a term whose shortened forms are compared before the automaton runs.
+HEAD = 10
+
+
+def _shortened(word: str, edits: int) -> set[str]:
+    """The word's head without that many letters or fewer.
+
+    Words within so many edits have one in common: leaving out each letter that the least edits leave out, put in or change
+    makes both equal, and what stands in one's head but not in the other's is left out within the same number.
+    """
+    head = word[:HEAD]
+    return {"".join(c) for n in range(max(0, len(head) - edits), len(head) + 1) for c in combinations(head, n)}
+
+
 class TermAutomaton:
-    """The trie of the terms, run with Levenshtein automata: a state is a set of (trie node, edits so far)."""
+    """The trie of the terms, run with Levenshtein automata: a state is a set of (trie node, edits so far).
+
+    It runs only over words that share a shortened head with a term, as all do that it could accept with an edit.
+    """
 
     def __init__(self, terms: list[str]):
+        self.exact = {t for t in terms if t[-1] != "*"}
+        self.begun = {t[:-1] for t in terms if t[-1] == "*"}
+        self.begun_letters = sorted({len(t) for t in self.begun})
+        self.heads: dict[int, set[str]] = {}
+        for term in self.exact:
+            if edits := allowed_edits(term):
+                self.heads.setdefault(edits, set()).update(_shortened(term, edits))
+        self.least = {e: min(len(t) - e for t in self.exact if allowed_edits(t) == e) for e in self.heads}
         self.next: list[dict[str, int]] = [{}]
         self.ends, self.most = [-1], [-1]
         self.stems: set[int] = set()
@@ -107,6 +133,14 @@ class TermAutomaton:
 
     def edits(self, word: str) -> int:
         """The least number of edits from the word to a term that allows so many, or -1."""
+        if word in self.exact or any(word[:n] in self.begun for n in self.begun_letters):
+            return 0
+        if all(len(word) < self.least[e] or heads.isdisjoint(_shortened(word, e)) for e, heads in self.heads.items()):
+            return -1
+        return self.walk(word)
+
+    def walk(self, word: str) -> int:
+        """The same by the automaton alone."""
         if len(self.states) > STATES or len(self.steps) > 20 * STATES:
             self._forget()
         number, steps = 0, self.steps
@@ -120,7 +154,7 @@ class TermAutomaton:
         return self.accepts[number]
 
     def __getstate__(self):
-        return {"next": self.next, "ends": self.ends, "most": self.most, "stems": self.stems}
+        return {k: v for k, v in self.__dict__.items() if k not in ("steps", "states", "numbers", "accepts", "whole")}
 
     def __setstate__(self, kept):
         self.__dict__.update(kept)
@@ -176,19 +210,20 @@ class ToxicityModel:
 
 
 def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, label: str = "label") -> list[str]:
-    """Words of the sample that come nearly only with the label, the surest first, MOST_TERMS at most."""
+    """Words and stems of the sample that come nearly only with the label, those in most texts first."""
     words = sample.select(F.col(label).alias("label"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word"))
     toxic, clean = F.col("toxic") / max(1, n_toxic), (F.col("all") - F.col("toxic")) / max(1, n_clean)
 
     def sure(words: DataFrame, texts: int, share: float) -> list[str]:
         counts = words.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("label").alias("all"))
         kept = counts.where((F.col("toxic") >= texts) & (toxic / (toxic + clean) >= share))
-        return [r["word"] for r in kept.orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()]
+        return [r["word"] for r in kept.orderBy(F.desc("toxic"), "word").collect()]
 
-    terms = sure(words.where(F.length("word") >= 4), LEAST_TEXTS, LEAST_SHARE)
+    terms = sure(words.where("word <> ''"), LEAST_TEXTS, LEAST_SHARE)
     begun = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")), lambda w: F.filter(F.array(*(F.when(F.length(w) > n, F.substring(w, 1, n)) for n in STEM_LETTERS)), lambda x: x.isNotNull()))))
     stems = sure(sample.select(F.col(label).alias("label"), F.explode(begun).alias("word")), STEM_TEXTS, STEM_SHARE)
-    return terms + [x + "*" for x in stems if not any(x != y and x.startswith(y) for y in stems)]
+    known = set(stems)
+    return terms + [x + "*" for x in stems if not any(x[:n] in known for n in range(1, len(x)))]
 
 
 #: The prior of the weights, towards which the fit is drawn: abuse counts, quotation doesn't.
