@@ -31,8 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest doc_id."""
-    return _kept(docs, jaccard.jaccard_components(docs).where("doc_id = component_id"))
+    """Of documents that links connect the one with the smallest doc_id. A null doc_id links with nothing and stays."""
+    return _kept(docs, jaccard.jaccard_components(docs).where("doc_id <=> component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_stages_equal_brute_force(spark, tmp_path):
     expected = sorted((r["doc_id"], library.encode_ordinary(r["text"])) for r in seen[4].collect())
     assert sorted((r["doc_id"], r["ids"]) for r in docs.collect()) == expected
     assert sorted((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, SF).collect()) == expected
+
+
+def test_null_ids_stay(spark):
+    """A row without an id passes near dedup and is mixed as often as mix() takes it."""
+    rows = [(k, f"{chr(97 + k)} " * (5 + k), "en", "a", 10 + 2 * k) for k in range(6)] + [(None, "one two three four five six seven eight nine", "en", "a", 43)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted(out.collect(), key=str) == sorted(docs.collect(), key=str)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]}
+    got = {r[0]: r[1] for r in mixing.mixed(docs).select("doc_id", mixing.n_words("text").alias("n")).groupBy("doc_id").sum("n").collect()}
+    assert taken[None] > 0 and got == taken

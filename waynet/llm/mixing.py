@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     chosen = mix(docs, id_col, text_col, source_col).where("taken > 0")
     chosen = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
     sized = docs.withColumn("__words", n_words(text_col))
-    rows = sized.join(chosen, (sized[id_col] == chosen["__id"]) & (sized["__words"] == chosen["__size"]))
+    rows = sized.join(chosen, sized[id_col].eqNullSafe(chosen["__id"]) & (sized["__words"] == chosen["__size"]))
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     left = (F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
