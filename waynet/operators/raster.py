@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from waynet.plans.iterate import cut, running_total
 
 
 def node_heat(arcs: DataFrame, flags: DataFrame) -> DataFrame:
@@ -38,10 +39,17 @@ def bounds(heat: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Element n/2 of the ascending values above 0 of each key."""
-    w = Window.partitionBy(key)
-    ranked = rows.where(F.col(value) > 0).withColumns({"r": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(key, F.col(value).alias("median"))
+    """Element n/2 of the ascending values above 0 of each key.
+
+    Equal values are counted first. Counts before a value come from all keys' sorted values at once, less those of the
+    keys before, so no task holds a key.
+    """
+    counts = rows.where(F.col(value) > 0).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = cut(running_total(counts, [key, value], F.col("n"), "before"))
+    whole = ranked.groupBy(F.col(key).alias("_key")).agg(F.min("before").alias("_first"), F.sum("n").alias("_all"))
+    place = F.col("_first") + F.floor(F.col("_all") / 2)
+    found = ranked.join(F.broadcast(whole), F.col(key).eqNullSafe(F.col("_key")))
+    return found.where((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select(key, F.col(value).alias("median"))
 
 
 def answer(heat: DataFrame) -> DataFrame:
