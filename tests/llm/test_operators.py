@@ -243,6 +243,27 @@ def test_held_out_accuracy(spark):
 
 
 def test_bpe_refuses_ranks_out_of_order():
-    assert bpe.check_order({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"abc": 4}) == 3
+    bytes_first = {bytes([b]): b for b in range(256)}
+    bpe.check_order(bytes_first | {b"ab": 256, b"abc": 257})
     with pytest.raises(ValueError):  # abc would have to come before ab, which it is made of
-        bpe.check_order({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4})
+        bpe.check_order(bytes_first | {b"abc": 256, b"ab": 257})
+    with pytest.raises(ValueError):
+        bpe.check_order({b"a": 0})
+
+
+def test_bpe_folds_words_of_all_lengths_and_texts_of_many_blocks(spark, monkeypatch):
+    """Words of 61 bytes and more take the same fold; a text over the block's size passes through several."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    rng = np.random.default_rng(8)
+    draw = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    texts = ["x" * n for n in (59, 60, 61, 62, 511, 512, 513, 2000)] + ["ß" * 31, "漢" * 40, draw(61), draw(600), " ".join(draw(int(n)) for n in rng.integers(1, 12, 900)), None, ""]
+    ranks = bpe.load_ranks(queries.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoded = bpe.encode(table(spark, list(enumerate(texts))), queries.VOCABULARY, public_tokenizers.PATTERN)
+    for r in bpe.digests(encoded, queries.VOCABULARY).collect():
+        text = texts[r["doc_id"]] or ""
+        ids = library.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == sha(text)

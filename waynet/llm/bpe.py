@@ -1,22 +1,22 @@
-"""Byte-level BPE: ranked merges folded over the distinct words of blocks of documents.
+"""Byte-level BPE: ranked merges folded over the distinct words of documents.
 
-encode() runs in one stage without a shuffle. A block is a run of documents of bounded
-size. Its distinct pieces pass through Spark's higher-order functions, which fold the
-merges over arrays of binary pieces against a literal rank map; the ids then go back to
-the documents of the block. decode() concatenates the binary pieces of the ids.
+Spark's higher-order functions fold the merges over the bytes of a word against a literal rank map. The words that are
+common in a bounded sample of documents are folded once, and their ids broadcast; which words these are is about cost
+alone. Everything else runs in one stage without a shuffle: a block is a run of documents, or a part of a long one, of
+bounded size; its distinct words that the task hasn't folded yet are folded, and the ids go back to the documents.
+decode() concatenates the binary pieces of the ids.
 
-Null texts count as empty and give no ids. Repeated rows are encoded each. A piece over
-LONG_PIECE bytes is merged by a heap instead, with the same result, because folding costs
-the square of a piece's length.
+Null and empty texts give no ids; an empty table gives an empty result. Repeated rows are encoded each. Columns besides
+the id and the text are not read. A long text passes through several blocks, a long word through the same fold.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,18 @@ from pyspark.sql import functions as F
 
 from waynet.llm.common import whole_text
 
-#: Bytes of text in a block: more find more repeated words, at more memory for a task.
-BLOCK_BYTES = 2 << 20
+#: Characters of text in a block.
+BLOCK_CHARS = 2 << 20
 #: Words that a task remembers from earlier blocks (some 200 bytes each); then it forgets all.
-REMEMBERED = 800_000
-#: Places between the bytes of a folded piece must fit a signed 64-bit number.
-LONG_PIECE = 60
-#: Buckets of the literal rank map. Spark searches a map from its start, so one map of all ranks would be slow.
-BUCKETS = 1 << 16
+REMEMBERED = 200_000
+#: Documents of the sample that tells common words, and the most of them.
+SAMPLE_ROWS, MOST_COMMON = 16_000, 1 << 18
+#: Parts that the common words are folded in.
+COMMON_PARTS = 24
+#: Places between the bytes of a word of up to BITS bytes fit a signed 64-bit number; those of longer words lie in runs.
+BITS, RUN = 60, 512
+#: Buckets of the literal rank map.
+BUCKETS = 1 << 17
 
 _BLOCK = pa.schema(
     [
@@ -41,9 +45,10 @@ _BLOCK = pa.schema(
         ("codes", pa.list_(pa.int32())),
         ("words", pa.list_(pa.binary())),
         ("forget", pa.bool_()),
+        ("more", pa.bool_()),
     ]
 )
-_BLOCK_DDL = "doc_id array<bigint>, n_pieces array<int>, codes array<int>, words array<binary>, forget boolean"
+_BLOCK_DDL = "doc_id array<bigint>, n_pieces array<int>, codes array<int>, words array<binary>, forget boolean, more boolean"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,72 +57,116 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: crc32 of a piece in hex text picks one of BUCKETS small maps."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        text = piece.hex().upper()
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+def _place(piece: bytes, size: int) -> int:
+    """Of a piece in a table of that many places: xxhash64, as Spark's, of the piece's text with a character for each byte."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(piece.decode("latin-1").encode(), 42) % size
 
 
-def _rank_of(table: Column, piece: Column) -> Column:
-    """The rank of a piece in hex text, or null."""
-    return F.element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
+def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The ranks as a literal array of small maps, and the length of the longest piece with the first three bytes of a place.
+
+    Spark searches a map from its start, so one map of all ranks would be slow.
+    """
+    buckets: list[dict[str, int] | None] = [None] * BUCKETS
+    bounds = [2] * BUCKETS
+    for piece, rank in ranks.items():
+        at = _place(piece, BUCKETS)
+        buckets[at] = (buckets[at] or {}) | {piece.decode("latin-1"): rank}
+        if len(piece) > 2:
+            at = _place(piece[:3], BUCKETS)
+            bounds[at] = max(bounds[at], len(piece))
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(bounds)), "array<int>")
 
 
-def check_order(ranks: dict[bytes, int]) -> int:
-    """The length of the longest piece; an error if some piece arises by merges whose ranks fall.
+def check_order(ranks: dict[bytes, int]) -> None:
+    """An error if a byte is missing, or if some piece arises by merges whose ranks fall.
 
     Trained vocabularies have no such piece: what a merge needs was there before it. So merges of any
     text rise in rank, since a stretch that becomes one piece is merged as it would be alone.
     """
+    if not all(bytes([b]) in ranks for b in range(256)):
+        raise ValueError("the vocabulary lacks a byte")
     for piece in ranks:
         made = _merge_order(piece, ranks) if len(piece) > 1 else []
         if made != sorted(made):
             raise ValueError(f"the merges of {piece!r} don't rise in rank")
-    return max(map(len, ranks))
 
 
-def fold_merges(word: Column, table: Column, longest: int = LONG_PIECE) -> Column:
+def _bind(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
     """The ids of one word: ranked merges of adjacent parts, least rank first, leftmost first.
 
-    Every ranked stretch of the word is a possible merge, held in one number: rank, start and end. Merges
-    rise in rank (check_order), so one fold over the stretches in that order does them all. Its state is
-    the bits of the places where parts meet: a merge is due if both its ends are such places and just one
-    lies between, which it takes away.
+    Every ranked stretch of the word is a possible merge: rank, start and end. Merges rise in rank (check_order),
+    so one fold over the stretches in that order does them all. A merge is due if both its ends are places where
+    parts meet and just one such place lies between, which it takes away. The state of the fold is those places:
+    of a word of up to BITS bytes the bits of one number (and so are start and end), of a longer one the
+    next place of every place, in runs of RUN so that a merge copies little.
     """
     one = F.lit(1).cast("bigint")
 
-    def bind(value, body):
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def shifted(by):
         return F.call_function("shiftleft", one, by)
 
-    def merge(places, c):
-        start, end = shifted(F.shiftright(c, 6).bitwiseAND(63).cast("int")), shifted(c.bitwiseAND(63).cast("int"))
-        within = places.bitwiseAND(end - start)  # the start, and what lies between
-        due = (places.bitwiseAND(end) != 0) & (within.bitwiseAND(start) != 0) & (F.bit_count(within) == 2)
-        return F.when(due, places - within + start).otherwise(places)
+    def folded(text):  # a character for each byte
+        n = F.length(text)
+
+        def part(start, length):
+            return F.substring(text, start, length)
+
+        def far_part(start, length):  # in long texts a character is sought from the start, a byte isn't
+            return F.decode(F.substring(word, start, length), "ISO-8859-1")
+
+        def rank(piece):
+            return F.element_at(buckets[F.xxhash64(piece).bitwiseAND(BUCKETS - 1)], piece)
+
+        def ranked(place, part):
+            def stretches_from(i):
+                most = F.least(n + 1 - i, bounds[F.xxhash64(part(i, F.lit(3))).bitwiseAND(BUCKETS - 1)])
+                return F.transform(F.sequence(F.lit(2), most), lambda k: F.struct(rank(part(i, k)).alias("rank"), place(i).alias("start"), place(i + k).alias("end")))
+
+            found = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), stretches_from))
+            return F.sort_array(F.filter(found, lambda c: c["rank"].isNotNull()))
+
+        def merge_bits(places, c):
+            within = places.bitwiseAND(c["end"] - c["start"])  # the start, and what lies between
+            due = (places.bitwiseAND(c["end"]) != 0) & (places.bitwiseAND(c["start"]) != 0) & (F.bit_count(within) == 2)
+            return F.when(due, places - within + c["start"]).otherwise(places)
+
+        def short():
+            places = F.aggregate(ranked(shifted, part), shifted(n + 2) - 2, merge_bits)
+            kept = _bind(places, lambda p: F.filter(F.sequence(F.lit(1), n + 1), lambda b: F.getbit(p, b) == 1))
+            return _bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda a, b: rank(part(a, b - a))))
+
+        def run_of(place):
+            return F.floor(place / RUN).cast("int")
 
-    def ids(hexed, n):
-        def rank(i, j):
-            return _rank_of(table, F.substring(hexed, 2 * i + 1, 2 * (j - i)))
+        def after(runs, place):
+            return F.get(F.get(runs, run_of(place)), place % RUN)
 
-        def ranked_from(i):
-            return F.transform(F.sequence(i + 2, F.least(n, i + longest)), lambda j: rank(i, j) * F.lit(4096).cast("bigint") + (i * 64 + j))
+        def put(runs, place, value):
+            own, at = F.get(runs, run_of(place)), place % RUN
+            changed = F.concat(F.slice(own, F.lit(1), at), F.array(value), F.slice(own, at + 2, F.lit(RUN)))
+            return F.concat(F.slice(runs, F.lit(1), run_of(place)), F.array(changed), F.slice(runs, run_of(place) + 2, F.size(runs)))
 
-        merges = F.array_sort(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), ranked_from))))
-        places = F.aggregate(merges, shifted(n + 1) - 1, merge)
-        kept = bind(places, lambda p: F.filter(F.sequence(F.lit(0), n), lambda b: F.call_function("shiftright", p, b).bitwiseAND(1) == 1))
-        return bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), rank))
+        def merge_runs(runs, c):
+            middle = after(runs, c["start"])
+            due = (middle > 0) & (middle < c["end"]) & (after(runs, F.greatest(middle, F.lit(0))) == c["end"])
+            return F.when(due, put(put(runs, c["start"], c["end"]), middle, F.lit(-1))).otherwise(runs)
 
-    def folded(hexed):
-        whole = _rank_of(table, hexed)
-        return bind(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(bind(F.octet_length(word), lambda n: F.when((n > 1) & (n <= LONG_PIECE), ids(hexed, n)))))
+        def long():
+            each = F.transform(F.sequence(F.lit(0), run_of(n)), lambda r: F.transform(F.sequence(r * RUN, F.least(r * RUN + RUN - 1, n)), lambda place: place + 1))
+            nexts = F.flatten(F.aggregate(ranked(lambda i: i, far_part), each, merge_runs))
+            kept = F.filter(F.transform(nexts, lambda e, i: F.when((e > 0) & (i > 0) & (i <= n), F.struct(i.alias("start"), e.alias("end")))), lambda x: x.isNotNull())
+            return F.transform(kept, lambda x: rank(far_part(x["start"], x["end"] - x["start"])))
 
-    return bind(F.hex(word), folded)
+        return _bind(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n <= BITS, short()).otherwise(long()))
+
+    return F.when(F.octet_length(word) > 0, _bind(F.decode(word, "ISO-8859-1"), folded)).otherwise(F.array().cast("array<int>"))
 
 
 def _merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -132,107 +181,139 @@ def _merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return made
 
 
-def _pack(pattern: str):
-    """Documents to blocks: the pieces that are new to the task, and every document's pieces as codes into all so far."""
+def _parts(pattern: str, text: str) -> Iterator[list[str]]:
+    """The pieces of a text; those of a long one in lists of bounded size."""
+    import regex
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    compiled = regex.compile(pattern)
+    if len(text) <= BLOCK_CHARS:
+        yield compiled.findall(text)
+        return
+    found = (m.group() for m in compiled.finditer(text))
+    while part := list(islice(found, BLOCK_CHARS // 4)):
+        yield part
+
+
+def _pack(pattern: str, shared):
+    """Documents to blocks: the words that are new to the task, and every document's pieces as codes of common words and of the task's own."""
 
-        split = regex.compile(pattern).findall
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, known = shared.value.codes, {}
         ids, counts, pieces, size = [], [], [], 0
-        known: dict[bytes, int] = {}
 
-        def block():
+        def block(more):
             forget = len(known) > REMEMBERED
             if forget:
                 known.clear()
             coded = pa.array(pieces, pa.string()).dictionary_encode()
-            own = coded.dictionary.cast(pa.binary()).to_pylist()
-            before = len(known)
-            code = np.array([known.setdefault(w, len(known)) for w in own], np.int32)
-            codes = code[coded.indices.to_numpy()] if own else code
-            new = [w for w, c in zip(own, code.tolist()) if c >= before]
-            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((ids, counts, codes, new, forget), _BLOCK)], schema=_BLOCK)
+            before, new = len(common) + len(known), []
+            code = np.empty(len(coded.dictionary), np.int32)
+            for k, word in enumerate(coded.dictionary.to_pylist()):
+                own = common.get(word)
+                if own is None:
+                    own = len(common) + known.setdefault(word, len(known))
+                    if own >= before + len(new):
+                        new.append(word.encode())
+                code[k] = own
+            codes = code[coded.indices.to_numpy()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((ids, counts, codes, new, forget, more), _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py()
-                found = split(text)
                 ids.append(doc)
-                counts.append(len(found))
-                pieces += found
+                counts.append(0)
+                for part in _parts(pattern, text):
+                    if counts[-1]:  # of a long text
+                        yield block(True)
+                        ids, counts, pieces, size = [doc], [0], [], 0
+                    counts[-1] = len(part)
+                    pieces += part
                 size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield block()
+                if size >= BLOCK_CHARS:
+                    yield block(False)
                     ids, counts, pieces, size = [], [], [], 0
         if ids:
-            yield block()
+            yield block(False)
 
     return blocks
 
 
-def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one long piece, by a heap of pairs over linked parts."""
-    n = len(piece)
-    end = list(range(1, n + 1))
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = right[i] if alive[i] else n
-        if j >= n or end[j] != stop:
-            continue
-        end[i], right[i], alive[j] = stop, right[j], False
-        if right[i] < n:
-            left[right[i]] = i
-            if (r := ranks.get(piece[i : end[right[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[right[i]]))
-        if left[i] >= 0 and (r := ranks.get(piece[left[i] : stop])) is not None:
-            heapq.heappush(heap, (r, left[i], stop))
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
-
-def _unpack(ranks):
+class WordIds:
+    """Words by code, and the ids of each, one after the other."""
+
+    def __init__(self, words: list[str], ids: list[list[int]]):
+        self.codes = {w: k for k, w in enumerate(words)}
+        self.sizes = np.array([len(x) for x in ids], np.int64)
+        self.values = np.array([i for x in ids for i in x], np.int32)
+
+
+def _unpack(shared):
     """Blocks to documents: the ids of a word go wherever its code stands."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
-        known = pa.array([], pa.list_(pa.int32()))
+        common = shared.value
+        sizes, values, begun = common.sizes, common.values, []
         for batch in batches:
             for r in range(batch.num_rows):
                 if batch.column("forget")[r].as_py():
-                    known = known.slice(0, 0)
-                doc, counts, codes, words, folded = (batch.column(c)[r].values for c in ("doc_id", "n_pieces", "codes", "words", "ids"))
-                if folded.null_count:
-                    nulls = np.flatnonzero(folded.is_null().to_numpy(zero_copy_only=False))
-                    whole = folded.to_pylist()
-                    for i in nulls.tolist():
-                        whole[i] = heap_merge(words[i].as_py(), table)
-                    folded = pa.array(whole, pa.list_(pa.int32()))
-                known = pa.concat_arrays([known, folded.cast(known.type)])
-                taken = known.take(codes)
-                per_piece = taken.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    sizes, values = common.sizes, common.values
+                doc, counts, codes, folded = (batch.column(c)[r].values for c in ("doc_id", "n_pieces", "codes", "ids"))
+                sizes = np.concatenate((sizes, folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+                values = np.concatenate((values, folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
+                codes = codes.to_numpy(zero_copy_only=False)
+                per_piece = sizes[codes]
                 ends = np.cumsum(np.concatenate(([0], per_piece)))
-                bounds = np.cumsum(np.concatenate(([0], counts.to_numpy(zero_copy_only=False))))
-                lists = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), taken.flatten().cast(pa.int32()))
+                first = (np.cumsum(sizes) - sizes)[codes]
+                taken = values[np.arange(ends[-1]) + np.repeat(first - ends[:-1], per_piece)]
+                bounds = ends[np.cumsum(np.concatenate(([0], counts.to_numpy(zero_copy_only=False))))]
+                begun.append(taken)
+                if batch.column("more")[r].as_py():
+                    continue
+                taken = np.concatenate(begun)
+                bounds[1:] += len(taken) - len(begun[-1])
+                begun = []
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(taken))
                 yield pa.RecordBatch.from_arrays([doc, lists], names=["doc_id", "ids"])
 
     return documents
 
 
+def _common_words(texts: DataFrame, pattern: str) -> DataFrame:
+    """The words that the sample holds more than once, the commonest MOST_COMMON of them."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                for part in _parts(pattern, text.as_py()):
+                    seen.update(part)
+            if len(seen) > REMEMBERED:
+                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
+                seen = Counter()
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
+    unit = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    counts = texts.where(unit < share).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(MOST_COMMON).select("word")
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, as the tiktoken library encodes without special tokens."""
     ranks = load_ranks(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    check_order(ranks)
+    buckets, bounds = rank_literal(ranks)
+
+    def fold(blocks: DataFrame) -> DataFrame:
+        # The literals stand in the plan once; all words of a block see them through variables.
+        return blocks.withColumn("ids", _bind(buckets, lambda b: _bind(bounds, lambda m: F.transform("words", lambda w: fold_merges(w, b, m)))))
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    blocks = texts.mapInArrow(_pack(pattern), _BLOCK_DDL)
-    table = rank_literal(ranks)
-    longest = check_order(ranks)
-    # The literal stands in the plan once; all words of a block see it through one variable.
-    folded = blocks.withColumn("ids", F.get(F.transform(F.array(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, longest))), F.lit(0)))
-    return folded.mapInArrow(_unpack(shared), "doc_id bigint, ids array<int>")
+    dealt = _common_words(texts, pattern).groupBy(F.pmod(F.xxhash64("word"), F.lit(COMMON_PARTS)).alias("part")).agg(F.collect_list(F.encode("word", "UTF-8")).alias("words"))
+    once = [(w, i) for r in fold(dealt).select("words", "ids").toLocalIterator() for w, i in zip(r["words"], r["ids"])]
+    shared = docs.sparkSession.sparkContext.broadcast(WordIds([bytes(w).decode() for w, _ in once], [i for _, i in once]))
+    return fold(texts.mapInArrow(_pack(pattern, shared), _BLOCK_DDL)).mapInArrow(_unpack(shared), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
