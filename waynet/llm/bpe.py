@@ -112,9 +112,7 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
     def shifted(by):
         return F.call_function("shiftleft", one, by)
 
-    def folded(text):  # a character for each byte
-        n = F.length(text)
-
+    def folded(text, n):  # a character for each byte
         def part(start, length):
             return F.substring(text, start, length)
 
@@ -156,7 +154,7 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
         def merge_runs(runs, c):
             middle = after(runs, c["start"])
             due = (middle > 0) & (middle < c["end"]) & (after(runs, F.greatest(middle, F.lit(0))) == c["end"])
-            return F.when(due, put(put(runs, c["start"], c["end"]), middle, F.lit(-1))).otherwise(runs)
+            return F.when(due, _bind(put(runs, c["start"], c["end"]), lambda now: put(now, middle, F.lit(-1)))).otherwise(runs)
 
         def long():
             each = F.transform(F.sequence(F.lit(0), run_of(n)), lambda r: F.transform(F.sequence(r * RUN, F.least(r * RUN + RUN - 1, n)), lambda place: place + 1))
@@ -166,7 +164,7 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
 
         return _bind(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n <= BITS, short()).otherwise(long()))
 
-    return F.when(F.octet_length(word) > 0, _bind(F.decode(word, "ISO-8859-1"), folded)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(word) > 0, _bind(F.decode(word, "ISO-8859-1"), lambda text: _bind(F.octet_length(word), lambda n: folded(text, n)))).otherwise(F.array().cast("array<int>"))
 
 
 def _merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
