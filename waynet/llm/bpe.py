@@ -16,6 +16,7 @@ import base64
 import json
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -77,17 +78,19 @@ def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, Column]:
         if len(piece) > 2:
             at = _place(piece[:3], BUCKETS)
             bounds[at] = max(bounds[at], len(piece))
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(bounds)), "array<int>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,bigint>>"), F.from_json(F.lit(json.dumps(bounds)), "array<int>")
 
 
 def check_order(ranks: dict[bytes, int]) -> None:
-    """An error if a byte is missing, or if some piece arises by merges whose ranks fall.
+    """An error if a byte is missing, a piece or rank doesn't fit the fold's numbers, or some piece arises by merges whose ranks fall.
 
     Trained vocabularies have no such piece: what a merge needs was there before it. So merges of any
     text rise in rank, since a stretch that becomes one piece is merged as it would be alone.
     """
     if not all(bytes([b]) in ranks for b in range(256)):
         raise ValueError("the vocabulary lacks a byte")
+    if max(map(len, ranks)) > 63 or max(ranks.values()) >= 1 << 19:
+        raise ValueError("a piece is too long, or its rank too high, for the fold")
     for piece in ranks:
         made = _merge_order(piece, ranks) if len(piece) > 1 else []
         if made != sorted(made):
@@ -122,13 +125,17 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
         def rank(piece):
             return F.element_at(buckets[F.xxhash64(piece).bitwiseAND(BUCKETS - 1)], piece)
 
-        def ranked(place, part):
+        def ranked(part, bits, end_of):
+            """Starts and ends by rank. A stretch is one number until it is sorted: rank, start and length."""
+
             def stretches_from(i):
                 most = F.least(n + 1 - i, bounds[F.xxhash64(part(i, F.lit(3))).bitwiseAND(BUCKETS - 1)])
-                return F.transform(F.sequence(F.lit(2), most), lambda k: F.struct(rank(part(i, k)).alias("rank"), place(i).alias("start"), place(i + k).alias("end")))
+                return F.transform(F.sequence(F.lit(2), most), lambda k: F.shiftleft(rank(part(i, k)), 6 + bits) + (i.cast("bigint") * 64 + k))
 
             found = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), stretches_from))
-            return F.sort_array(F.filter(found, lambda c: c["rank"].isNotNull()))
+            start = lambda c: F.shiftright(c, 6).bitwiseAND((1 << bits) - 1).cast("int")
+            length = lambda c: c.bitwiseAND(63).cast("int")
+            return F.transform(F.sort_array(F.filter(found, lambda c: c.isNotNull())), lambda c: F.struct(end_of(start(c)).alias("start"), end_of(start(c) + length(c)).alias("end")))
 
         def merge_bits(places, c):
             within = places.bitwiseAND(c["end"] - c["start"])  # the start, and what lies between
@@ -136,7 +143,7 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
             return F.when(due, places - within + c["start"]).otherwise(places)
 
         def short():
-            places = F.aggregate(ranked(shifted, part), shifted(n + 2) - 2, merge_bits)
+            places = F.aggregate(ranked(part, 6, shifted), shifted(n + 2) - 2, merge_bits)
             kept = _bind(places, lambda p: F.filter(F.sequence(F.lit(1), n + 1), lambda b: F.getbit(p, b) == 1))
             return _bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda a, b: rank(part(a, b - a))))
 
@@ -158,13 +165,13 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
 
         def long():
             each = F.transform(F.sequence(F.lit(0), run_of(n)), lambda r: F.transform(F.sequence(r * RUN, F.least(r * RUN + RUN - 1, n)), lambda place: place + 1))
-            nexts = F.flatten(F.aggregate(ranked(lambda i: i, far_part), each, merge_runs))
+            nexts = F.flatten(F.aggregate(ranked(far_part, 38, lambda i: i), each, merge_runs))
             kept = F.filter(F.transform(nexts, lambda e, i: F.when((e > 0) & (i > 0) & (i <= n), F.struct(i.alias("start"), e.alias("end")))), lambda x: x.isNotNull())
             return F.transform(kept, lambda x: rank(far_part(x["start"], x["end"] - x["start"])))
 
         return _bind(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n <= BITS, short()).otherwise(long()))
 
-    return F.when(F.octet_length(word) > 0, _bind(F.decode(word, "ISO-8859-1"), lambda text: _bind(F.octet_length(word), lambda n: folded(text, n)))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(word) > 0, _bind(F.decode(word, "ISO-8859-1"), lambda text: _bind(F.octet_length(word), lambda n: folded(text, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -238,12 +245,16 @@ def _pack(pattern: str, shared):
 
 
 class WordIds:
-    """Words by code, and the ids of each, one after the other."""
+    """Words by code, and the ids of each, one after the other. Workers make the codes when they need them."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words = words
+        self.sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
-    def __init__(self, words: list[str], ids: list[list[int]]):
-        self.codes = {w: k for k, w in enumerate(words)}
-        self.sizes = np.array([len(x) for x in ids], np.int64)
-        self.values = np.array([i for x in ids for i in x], np.int32)
+    @cached_property
+    def codes(self) -> dict[str, int]:
+        return dict(zip(self.words.to_pylist(), range(len(self.words))))
 
 
 def _unpack(shared):
@@ -309,8 +320,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     dealt = _common_words(texts, pattern).groupBy(F.pmod(F.xxhash64("word"), F.lit(COMMON_PARTS)).alias("part")).agg(F.collect_list(F.encode("word", "UTF-8")).alias("words"))
-    once = [(w, i) for r in fold(dealt).select("words", "ids").toLocalIterator() for w, i in zip(r["words"], r["ids"])]
-    shared = docs.sparkSession.sparkContext.broadcast(WordIds([bytes(w).decode() for w, _ in once], [i for _, i in once]))
+    once = fold(dealt).select(F.explode(F.arrays_zip("words", "ids")).alias("z")).select(F.decode("z.words", "UTF-8").alias("word"), F.col("z.ids").cast("array<int>").alias("ids"))
+    once = once.toArrow().combine_chunks()  # MOST_COMMON rows at most
+    words, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (once["word"], once["ids"]))
+    shared = docs.sparkSession.sparkContext.broadcast(WordIds(words, ids))
     return fold(texts.mapInArrow(_pack(pattern, shared), _BLOCK_DDL)).mapInArrow(_unpack(shared), "doc_id bigint, ids array<int>")
 
 
