@@ -1,13 +1,17 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, by DataFrame functions alone.
 
-Sections are parted by an empty line, paragraphs by a line feed. A paragraph's digest is the
-sha256 of its text, a section's that of its paragraphs' digests, the root that of its sections'
-digests. So equal roots mean equal texts, and branches that differ locate edits. Below the
-paragraphs hang blocks of BLOCK words with 64-bit digests; the likeness of two trees is the
-Dice share of distinct blocks they have in common (of words, where both have under FEW blocks; of characters at
-their places, where both have under FEW words).
-
-A null text counts as empty: one section with one empty paragraph. Two empty texts are alike (1.0).
+Sections are parted by an empty line, paragraphs by a line feed, and a paragraph is cut into blocks of BLOCK words with
+the white space beside them. A block's digest is the sha256 of its text, a paragraph's that of its blocks' digests, a
+section's that of its paragraphs' digests, the root that of its sections' digests. So equal roots mean equal texts, and
+branches that differ locate edits: edit() walks from the top past equal branches at both ends.
+
+The likeness of two trees is the larger of two Dice shares, at every size of texts: of the blocks, each as often as it
+occurs, wherever they hang (the same as walking down and counting equal branches whole, as these have equal blocks), and of
+the words at their places. So a moved paragraph keeps its blocks, and short texts are compared by words.
+
+A null text counts as empty: one section with one empty paragraph. Two empty texts are alike (1.0). Repeated rows get
+the same fingerprint; an empty table gives an empty result. Columns besides the id and the text aren't read. A long text
+is one row's arrays, some 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -18,31 +22,53 @@ from pyspark.sql.window import Window
 
 from waynet.llm.common import whole_text
 
-BLOCK, FEW = 4, 4
+#: Words of a block.
+BLOCK = 4
 #: Rows of an id range, and the most ranges; edges of ranges are literals of the plan.
 ROWS_PER_RANGE, MOST_RANGES = 512, 4096
+_COVER = r"\s*\S+(?:\s+\S+){0,%d}|\s+" % (BLOCK - 1)
 
 
-def paragraph_digests(text: Column) -> Column:
-    """The tree's branches: an array of sections, each an array of paragraph digests."""
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)))
+def tree(text: Column) -> Column:
+    """The tree: an array of sections, each an array of paragraphs, each an array of its blocks' digests."""
 
+    def blocks(paragraph):
+        return F.transform(F.regexp_extract_all(paragraph, F.lit(_COVER), F.lit(0)), lambda b: F.sha2(b, 256))
 
-def root(text: Column) -> Column:
-    """The root digest of a text's tree."""
-    return F.sha2(F.array_join(F.transform(paragraph_digests(text), lambda s: F.sha2(F.array_join(s, ""), 256)), ""), 256)
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), blocks))
 
 
-def leaves(text: Column) -> Column:
-    """(blocks, words, chars): distinct digests of the tree's blocks; of its words where blocks are few, of its placed characters where words are few, else null."""
-    blocks, words = _digests(text, r"\S+(?:[^\S\n]+\S+){0,%d}" % (BLOCK - 1)), _digests(text, r"\S+")
-    few = F.size(blocks) < FEW
-    chars = F.transform(F.split(text, "", -1), lambda c, i: F.xxhash64(c, i))
-    return F.struct(blocks.alias("blocks"), F.when(few, words).alias("words"), F.when(few & (F.size(words) < FEW), chars).alias("chars"))
+def _digest(children: Column) -> Column:
+    return F.sha2(F.array_join(children, ""), 256)
 
 
-def _digests(text: Column, pattern: str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b: F.xxhash64(b)))
+def paragraphs(sections: Column) -> Column:
+    """Paragraph digests of a tree, section by section."""
+    return F.transform(sections, lambda s: F.transform(s, _digest))
+
+
+def root(sections: Column) -> Column:
+    """The root digest of a tree."""
+    return _digest(F.transform(paragraphs(sections), _digest))
+
+
+def leaves(sections: Column, text: Column) -> Column:
+    """(blocks, words): the tree's blocks, each with how often it came before, and the words with their places, as 64-bit hashes."""
+    ordered = F.array_sort(F.flatten(F.transform(sections, lambda s: F.flatten(s))))
+
+    def counted(own):
+        places = F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)))
+        starts = F.filter(places, lambda i: (F.size(own) > 0) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
+        ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(own))
+        runs = F.transform(starts, lambda i, k: F.transform(F.sequence(F.lit(1), ends(k) - i), lambda c: F.xxhash64(F.get(own, i), c)))
+        return F.flatten(runs)
+
+    words = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda w, i: F.xxhash64(w, i))
+    return F.struct(_bind(ordered, counted).alias("blocks"), words.alias("words"))
+
+
+def _bind(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,16 +78,32 @@ def likeness(a: Column, b: Column) -> Column:
         total = F.size(x) + F.size(y)
         return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total)
 
-    def told(level):
-        return a[level].isNotNull() & b[level].isNotNull()
+    return F.greatest(dice(a["blocks"], b["blocks"]), dice(a["words"], b["words"]))
+
 
-    return F.when(told("chars"), dice(a["chars"], b["chars"])).when(told("words"), dice(a["words"], b["words"])).otherwise(dice(a["blocks"], b["blocks"]))
+def edit(a: Column, b: Column) -> Column:
+    """(first, removed, added) between two arrays of digests: from place `first` on, so many of a's became so many of b's; null if equal."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    back = F.zip_with(F.reverse(a), F.reverse(b), lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, F.lit(False)).cast("int") - 1
+    last = F.array_position(back, F.lit(False)).cast("int") - 1
+    kept = F.least(last, F.least(F.size(a), F.size(b)) - first)
+    return F.when(F.array_position(same, F.lit(False)) > 0, F.struct(first.alias("first"), (F.size(a) - first - kept).alias("removed"), (F.size(b) - first - kept).alias("added")))
 
 
 def edited_branches(a: Column, b: Column) -> Column:
-    """Places (from 0) of sections whose digests differ between two paragraph_digests() arrays."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
-    return F.filter(places, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
+    """Where the edit from tree a to tree b lies: its sections, and its paragraphs counted within these."""
+
+    def located(x, y):
+        sections = edit(F.transform(x, _digest), F.transform(y, _digest))
+
+        def within(at):
+            own = F.flatten(F.slice(x, at["first"] + 1, at["removed"])), F.flatten(F.slice(y, at["first"] + 1, at["added"]))
+            return F.when(at.isNotNull(), F.struct(at.alias("sections"), edit(*own).alias("paragraphs")))
+
+        return _bind(sections, within)
+
+    return _bind(paragraphs(a), lambda x: _bind(paragraphs(b), lambda y: located(x, y)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +156,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and fingerprint, the root of the text's tree."""
-    return docs.select(F.col(id_col).alias("doc_id"), root(whole_text(text_col)).alias("fingerprint"))
+    return docs.select(F.col(id_col).alias("doc_id"), root(tree(whole_text(text_col))).alias("fingerprint"))
 
 
 def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,15 +168,17 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = with_next(docs, id_col, text_col).withColumn("edited", edited)
+    rows = rows.withColumns({"own": tree(F.col("text")), "changed": tree(F.col("edited")), "following": tree(F.col("next_text"))})
     rows = rows.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        root(F.col("text")).alias("fingerprint"),
-        root(F.col("edited")).alias("edited_fingerprint"),
-        leaves(F.col("text")).alias("own"),
-        leaves(F.col("edited")).alias("changed"),
-        leaves(F.col("next_text")).alias("following"),
+        root(F.col("own")).alias("fingerprint"),
+        root(F.col("changed")).alias("edited_fingerprint"),
+        edited_branches(F.col("own"), F.col("changed")).alias("edit"),
+        leaves(F.col("own"), F.col("text")).alias("own"),
+        leaves(F.col("changed"), F.col("edited")).alias("changed"),
+        leaves(F.col("following"), F.col("next_text")).alias("following"),
     )
     return rows.select(
         "doc_id",
@@ -144,4 +188,5 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "edited_fingerprint",
         F.when(F.col("fingerprint") == F.col("edited_fingerprint"), F.lit(1.0)).otherwise(likeness(F.col("own"), F.col("changed"))).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"),
+        F.to_json("edit").alias("edit"),
     )
