@@ -10,7 +10,8 @@ backslash is doubled and `<|` becomes `<\\|` (a line feed in a role `\\n`), so n
 a control string and read_back() restores everything.
 
 Null roles and texts count as empty. Turns are ordered by turn (null first), ties by role and
-text; repeated rows are turns of their own. A turn over the budget is a window alone.
+text; repeated rows are turns of their own. A null conv_id is a conversation. A turn over the budget is a window alone,
+however long. An empty table gives an empty result; columns besides the four are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY = 512, 128
+#: Values of a run of prefix sums.
+RUN = 256
 #: Tokens of a turn besides its words: start, role and end.
 TURN_TOKENS = 3
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -45,6 +48,17 @@ def _total(items: Column, field: str) -> Column:
     return F.aggregate(items, F.lit(0).cast("bigint"), lambda s, t: s + t[field])
 
 
+def _running(values: Column) -> Column:
+    """Prefix sums of an array: within runs of RUN values, and then of the runs' totals, so copying costs n * sqrt(n) at most."""
+
+    def sums(own):
+        return F.aggregate(own, F.array().cast("array<bigint>"), lambda s, v: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("bigint")) + v)))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+    runs = F.transform(starts, lambda k: sums(F.slice(values, k * RUN + 1, F.lit(RUN))))
+    return _bind(runs, lambda r: _bind(sums(F.transform(r, lambda x: F.element_at(x, -1))), lambda before: F.flatten(F.transform(r, lambda x, k: F.transform(x, lambda v: v + F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.get(before, k - 1)))))))
+
+
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, n_context (repeated turns at its start), formatted, loss array of (start, end) code points."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
@@ -60,8 +74,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     grouped = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     lead = F.when(F.get("turns", F.lit(0))["role"] == "system", F.lit(1)).otherwise(F.lit(0))
     parted = grouped.withColumn("n_system", lead).withColumn("system_tokens", F.when(F.col("n_system") == 1, F.get("turns", F.lit(0))["tokens"]).otherwise(F.lit(0)))
-    ends = F.aggregate("turns", F.array().cast("array<bigint>"), lambda s, t: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0).cast("bigint")) + t["tokens"])))
-    parted = parted.withColumn("ends", F.when(F.size("turns") > 0, ends))
+    parted = parted.withColumn("ends", F.when(F.size("turns") > 0, _running(F.transform("turns", lambda t: t["tokens"]))))
 
     # Spans: a window starts where the tokens since the last start, with system turn and history, would pass the budget.
     room = F.greatest(F.lit(budget) - F.col("system_tokens") - F.lit(history), F.lit(1))
@@ -72,17 +85,19 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         return F.when((i > start) & (F.get("ends", i) - base > room) & (i > F.col("n_system")), F.concat(state, F.array(i))).otherwise(state)
 
     parted = parted.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), F.array(F.lit(0)), cut))
-    rows = parted.select("*", F.posexplode("starts").alias("window", "start"))
-    stop = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
-    before = F.slice("turns", F.col("n_system") + 1, F.greatest(F.col("start") - F.col("n_system"), F.lit(0)))
-    total_before = F.get("ends", F.col("start") - 1)
-    past = F.filter(before, lambda t, i: total_before - F.get("ends", i + F.col("n_system")) + t["tokens"] <= history)
-    rows = rows.select(
-        "conv_id",
-        "window",
-        F.when(F.col("start") > 0, F.concat(F.slice("turns", F.lit(1), F.col("n_system")), past)).otherwise(F.slice("turns", F.lit(1), F.lit(0))).alias("context"),
-        F.slice("turns", F.col("start") + 1, stop - F.col("start")).alias("new"),
-    )
+    # Every window takes its own turns out of the conversation before rows are made of them.
+    def window(start, k):
+        stop = F.coalesce(F.get("starts", k + 1), F.size("turns"))
+        # No more turns than this fit the history, as each has TURN_TOKENS at least.
+        low = F.greatest(F.col("n_system"), start - (history // TURN_TOKENS + 1))
+        spent = lambda j: F.get("ends", start - 1) - F.when(j > 0, F.get("ends", j - 1)).otherwise(F.lit(0).cast("bigint"))
+        fits = F.filter(F.sequence(low, F.greatest(low, start - 1)), lambda j: spent(j) <= history)
+        first = F.coalesce(F.get(fits, F.lit(0)), start)
+        past = F.slice("turns", first + 1, F.greatest(start - first, F.lit(0)))
+        context = F.when(start > 0, F.concat(F.slice("turns", F.lit(1), F.col("n_system")), past)).otherwise(F.slice("turns", F.lit(1), F.lit(0)))
+        return F.struct(context.alias("context"), F.slice("turns", start + 1, stop - start).alias("new"))
+
+    rows = parted.select("conv_id", F.posexplode(F.transform("starts", window)).alias("window", "w")).select("conv_id", "window", "w.*")
     pieces = F.transform(F.concat("context", "new"), lambda t: F.concat(t["head"], t["body"], F.lit(END)))
 
     def place(state, t):
