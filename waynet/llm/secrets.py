@@ -2,13 +2,15 @@
 
 Tokens are runs without white space, tagged begin, inside or outside of a secret. A tag's
 score sums weights of the token's shape, its neighbours' shapes and words, and features of
-the whole text. The field is trained by maximum likelihood on windows of a bounded sample,
-labelled by the base patterns. Viterbi decoding leaves out no text: a token whose scores
+the whole text. The field is trained by maximum likelihood on windows of a bounded sample:
+base matches are labels, and disguised() copies of them, in which keyword, joint, prefix or alphabet
+are such as no base pattern knows, teach it what else secrets look like. Viterbi decoding leaves out no text: a token whose scores
 put it outside whatever its neighbours are splits the chain exactly, so only the runs
 between such tokens have to be walked.
 
 Offsets count code points, ends exclusive. A null text counts as empty and has no spans;
-repeated rows get the same spans.
+repeated rows get the same spans. Base spans that overlap all stay; an added span touches none. An empty table gives an
+empty result. Columns besides the id and the text are not read. A long text is decoded as a whole, in numpy arrays of its size.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ from pyspark.sql import functions as F
 from waynet.llm.common import bounded_sample, slices, whole_text
 
 #: Bounds of the fit: texts with and without a base match, windows, and the tokens of a window.
-TEXTS_PER_CLASS, MOST_WINDOWS, WINDOW = 500, 3000, 24
+TEXTS_PER_CLASS, MOST_WINDOWS, WINDOW = 500, 5000, 24
 STEPS = 120
 
 #: Fixed values of the contract: kind, pattern, group and least length.
 BASE = (
-    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
+    ("assign", re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
+#: What disguised copies put for the keyword and for the sign after it.
+OTHER_WORDS, JOINTS = ("pwd", "pass phrase", "credential", "credentials", "auth", "login", "private key", "pin"), (" = ", ": ", " is ", " -> ", " ")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "crf": 3}
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -230,21 +234,48 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, before: int | None = None, af
     return np.array(path[::-1], np.int8)
 
 
-def _labelled_windows(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    offsets = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
+def disguised(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its secrets altered so that base patterns miss them, and where they are."""
+    out, spans, at = [], [], 0
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for start, kind, end in base_spans(text):
+        if start < at:
+            continue
+        own = text[start:end]
+        if kind == "assign":
+            value = BASE[0][1].match(own)[2]
+            value = "".join(draw(digits if c in digits else upper if c in upper else lower, 1) if c.isalnum() else c for c in value)
+            own = str(rng.choice(OTHER_WORDS)) + str(rng.choice(JOINTS)) + value
+        elif kind == "access":
+            own = draw(upper, 4).replace("AKIA", "AKIB") + own[4:]
+        else:
+            own = own.upper() if rng.random() < 0.5 else draw(upper + lower + digits, len(own))
+        out += [text[at:start], own]
+        place = sum(map(len, out))
+        spans.append((place - len(own), place))
+        at = end
+    return "".join([*out, text[at:]]), spans
+
+
+def _labelled_windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Feature codes, tags and which tokens are real, of windows of the texts and of their disguised copies."""
+    rng = np.random.default_rng(3)
+    told = [(t, [(a, b) for a, _, b in base_spans(t)]) for t in texts]
+    told += [disguised(t, rng) for t, spans in told if spans]
+    raw = [t.encode() for t, _ in told]
+    offsets = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
     tokens = Tokens(data, offsets)
     tags = np.zeros(len(tokens.starts), np.int8)
     if not len(tags):
         return [], np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), bool)
-    for i in np.flatnonzero(tokens.maybe_base).tolist():
-        text = texts[i].decode()
-        for start, _, end in base_spans(text):
+    for i, (text, spans) in enumerate(told):
+        for start, end in spans:
             a, b = (int(offsets[i]) + len(text[:k].encode()) for k in (start, end))
             first, last = np.searchsorted(tokens.ends, a, side="right"), np.searchsorted(tokens.starts, b) - 1
             tags[first : last + 1] = np.where(tags[first : last + 1] == O, I, tags[first : last + 1])
             tags[first] = B
-    rng = np.random.default_rng(3)
     hot = np.flatnonzero(tags == B)
     starts = np.concatenate((hot - rng.integers(3, WINDOW - 6, len(hot)), rng.integers(0, max(1, len(tags)), len(hot) + 800)))
     starts = np.clip(rng.permutation(starts)[:MOST_WINDOWS], 0, max(0, len(tags) - WINDOW))
@@ -256,11 +287,11 @@ def _labelled_windows(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray,
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretField:
-    """Trains on a bounded sample of texts with and without base matches; base matches are the labels."""
+    """Trains on a bounded sample of texts with and without base matches; base matches and their disguised copies are the labels."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     hinted = F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}")
     sample = bounded_sample(rows.withColumn("hinted", hinted), "hinted", "id", TEXTS_PER_CLASS, 2).collect()
-    found = [r["text"].encode() for r in sorted(sample, key=lambda r: (not r["hinted"], str(r["id"]), r["text"]))]
+    found = [r["text"] for r in sorted(sample, key=lambda r: (not r["hinted"], str(r["id"]), r["text"]))]
     field = SecretField()
     codes, tags, real = _labelled_windows(found)
     if tags.size and real.any():
@@ -290,6 +321,8 @@ def scan(docs: DataFrame, field: SecretField, id_col: str = "doc_id", text_col:
             tagged = np.flatnonzero(tags != O)
             begins = tagged[(tags[tagged] == B) | (tags[tagged - 1] == O) | (tokens.text[tagged] != tokens.text[tagged - 1]) | (tagged == 0)]
             hot = np.unique(np.concatenate((np.flatnonzero(tokens.maybe_base), tokens.text[begins])))
+            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if len(begins) else None  # code points before a byte
+            owners = tokens.text[begins]
             for i in hot.tolist():
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 base = base_spans(raw.decode())
@@ -298,11 +331,11 @@ def scan(docs: DataFrame, field: SecretField, id_col: str = "doc_id", text_col:
                 if base:
                     digest[i] = sha256(_joined(base).encode()).hexdigest()
                 more = []
-                for b in begins[tokens.text[begins] == i].tolist():
+                for b in begins[np.searchsorted(owners, i) : np.searchsorted(owners, i, side="right")].tolist():
                     e = b
                     while e + 1 < len(tags) and tags[e + 1] == I and tokens.text[e + 1] == i:
                         e += 1
-                    a, z = (len(raw[: k - int(offsets[i])].decode(errors="ignore")) for k in (int(tokens.starts[b]), int(tokens.ends[e])))
+                    a, z = (int(chars[k] - chars[offsets[i]]) for k in (tokens.starts[b], tokens.ends[e]))
                     if not any(s < z and a < t for s, _, t in base):
                         more.append((a, "crf", z))
                 added[i] = len(more)
