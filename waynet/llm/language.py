@@ -5,7 +5,8 @@ the set of languages that may contain it. Popcounts per language, less the false
 that the filter's density lets expect, decide.
 
 Null texts and texts without a letter are `und` with score 0; so is everything where no
-labelled row exists. Ties go to the language that comes first by code point.
+labelled row exists. Ties go to the language that comes first by code point. Scores depend on the text alone, so repeated
+rows are told alike. Columns besides id, text and language are not read. A text is worked as a whole, in arrays of its size.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ N = 4
 BITS = 21
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Bounds of the fit: labelled rows and n-grams of each language, and languages.
-ROWS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, MOST_LANGUAGES = 2000, 30_000, 64
+ROWS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, MOST_LANGUAGES = 2000, 30_000, 4096
 
 
 def _keys(data: np.ndarray) -> np.ndarray:
@@ -49,24 +50,29 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageModel:
-    """A bit-sliced Bloom filter: table[slot] has bit l set if language l has an n-gram there."""
+    """A bit-sliced Bloom filter: a slot has a language's bit set if the language has an n-gram there."""
 
     def __init__(self, languages: list[str], grams: list[np.ndarray]):
         self.languages = languages
-        self.table = np.zeros(1 << BITS, np.uint8 if len(languages) <= 8 else np.uint64)
-        for bit, own in enumerate(grams):
+        kind = np.uint8 if len(languages) <= 8 else np.uint64
+        self.width = np.dtype(kind).itemsize * 8
+        self.tables = [np.zeros(1 << BITS, kind) for _ in range(0, max(1, len(languages)), self.width)]
+        for k, own in enumerate(grams):
+            table, bit = self.tables[k // self.width], kind(1 << k % self.width)
             for slot in _slots(own.astype(np.uint32)):
-                self.table[slot] |= self.table.dtype.type(1 << bit)
-        density = [np.count_nonzero(self.table & self.table.dtype.type(1 << b)) / len(self.table) for b in range(len(languages))]
+                table[slot] |= bit
+        density = [np.count_nonzero(self.tables[k // self.width] & kind(1 << k % self.width)) / (1 << BITS) for k in range(len(languages))]
         self.false_positive = np.array(density) ** len(MULTIPLIERS)
 
-    def languages_of(self, keys: np.ndarray) -> np.ndarray:
-        """For every n-gram the bits of all languages that may contain it."""
-        first, *others = _slots(keys)
-        found = self.table[first]
-        for slot in others:
-            found &= self.table[slot]
-        return found
+    def languages_of(self, keys: np.ndarray) -> list[np.ndarray]:
+        """For every n-gram the bits of all languages that may contain it, a number for each `width` languages."""
+        slots, out = _slots(keys), []
+        for table in self.tables:
+            found = table[slots[0]]
+            for slot in slots[1:]:
+                found &= table[slot]
+            out.append(found)
+        return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language of every text, and its share of the corrected popcounts."""
@@ -74,11 +80,12 @@ class LanguageModel:
         found = self.languages_of(_keys(data))
         total = (ends - offsets[:-1]).astype(float)
         hits = np.empty((len(total), len(self.languages)))
-        for bit in range(len(self.languages)):
-            running = np.concatenate(([0], np.cumsum((found >> found.dtype.type(bit)) & found.dtype.type(1), dtype=np.int64)))
+        for k in range(len(self.languages)):
+            own, bit = found[k // self.width], k % self.width
+            running = np.concatenate(([0], np.cumsum((own >> own.dtype.type(bit)) & own.dtype.type(1), dtype=np.int64)))
             seen = running[ends] - running[offsets[:-1]]
-            fp = self.false_positive[bit]
-            hits[:, bit] = np.maximum(0, (seen - total * fp) / (1 - fp))
+            fp = self.false_positive[k]
+            hits[:, k] = np.maximum(0, (seen - total * fp) / (1 - fp))
         best = hits.argmax(axis=1)
         mass = hits.sum(axis=1)
         return best, np.where(mass > 0, hits[np.arange(len(best)), best] / np.where(mass > 0, mass, 1), 1 / len(self.languages))
@@ -87,6 +94,8 @@ class LanguageModel:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """Counts the n-grams of a bounded sample of rows with a language; keeps the commonest of each language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    if rows.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = bounded_sample(rows, lang_col, id_col, ROWS_PER_LANGUAGE, MOST_LANGUAGES)
     rows = rows.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
     counts = rows.mapInArrow(_gram_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -7,7 +7,8 @@ often a byte repeats the byte 1 to LAGS places before. A dense layer follows, ea
 units is max-pooled over all chunks, and a logistic unit makes one probability.
 
 A null text counts as empty; an empty text is one chunk of padding. Scores depend on the text alone,
-so repeated rows score alike. Without labelled rows of both classes every score is the prior.
+so repeated rows score alike. An empty table gives an empty result; columns besides the id and the text are not read. A
+text is worked as a whole, in arrays some 24 times its size. Without labelled rows of both classes every score is the prior.
 """
 
 from __future__ import annotations

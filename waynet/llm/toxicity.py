@@ -7,7 +7,8 @@ with a star) takes any ending and no edit. The words and quotes around a hit
 tell quotation from abuse; a logistic model weighs the counts.
 
 A null text counts as empty, and a text without a hit gets the model's lowest score. Scores
-depend on the text alone, so repeated rows score alike.
+depend on the text alone, so repeated rows score alike. An empty table gives an empty result; columns besides the id and
+the text are not read. A long text is one list of words.
 """
 
 from __future__ import annotations
