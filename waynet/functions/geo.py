@@ -6,6 +6,19 @@ from pyspark.sql import functions as F
 #: The earth's radius in metres, and bounds of zoom levels.
 EARTH_RADIUS = 6371000.785
 LEAST_ZOOM, MOST_ZOOM = 5, 14
+#: The tags of points of interest.
+POI_TAGS = {
+    "tourism": ["viewpoint", "attraction", "artwork", "picnic_site"],
+    "natural": ["peak", "spring"],
+    "amenity": ["place_of_worship", "restaurant", "bar", "shelter", "bench", "drinking_water", "bbq", "biergarten", "cafe", "fountain", "pub"],
+    "leisure": ["playground", "miniature_golf", "nature_reserve", "swimming_pool", "water_park", "park", "garden"],
+    "fireplace": ["yes"],
+    "beer_garden": ["yes"],
+    "man_made": ["tower", "bridge"],
+    "historic": ["memorial", "castle"],
+    "waterway": ["stream", "river", "riverbank"],
+    "water": ["river", "lake"],
+}
 
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -52,6 +65,28 @@ def poi_category(key: Column, value: Column) -> Column:
     return F.when((key == "amenity") | (value == "viewpoint"), 2).when(value.isin("castle", "tower"), 3).otherwise(1)
 
 
+def is_point_of_interest(key: Column, value: Column) -> Column:
+    return F.concat_ws("=", key, value).isin([f"{k}={v}" for k, values in POI_TAGS.items() for v in values])
+
+
+def has_tag(tags: Column, key: str, value: str) -> Column:
+    return F.coalesce(F.try_element_at(tags, F.lit(key)) == value, F.lit(False))
+
+
+def is_forest(tags: Column) -> Column:
+    return has_tag(tags, "landuse", "forest") | has_tag(tags, "natural", "wood")
+
+
+def differ(a: Column, b: Column, part: float = 0.01) -> Column:
+    """Whether b is off a by more than that part of a."""
+    return F.abs(a - b) > F.abs(part * a)
+
+
+def query_pairs(query: Column) -> Column:
+    """The pairs of `a=b&c=d` as a map."""
+    return F.str_to_map(query, F.lit("&"), F.lit("="))
+
+
 def zoom_index(level: Column) -> Column:
     return F.least(F.greatest(level, F.lit(LEAST_ZOOM)), F.lit(MOST_ZOOM)) - LEAST_ZOOM
 

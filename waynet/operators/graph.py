@@ -1,33 +1,85 @@
 """Graphs as tables of arcs (source, target, cost, weight): building, searching, contracting."""
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.plans.iterate import cut, running_total
 
+#: Node ids of a cell, and starting rows of a cell that one group settles.
+CELL, GROUP_ROWS = 4096, 256
+
 
-def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFrame | None = None, forbidden: DataFrame | None = None) -> DataFrame:
+def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFrame | None = None, forbidden: DataFrame | None = None, cell: int = CELL) -> DataFrame:
     """search_id, node, cost, parent of all nodes within the limit (inclusive) of each search's seeds.
 
-    All searches advance together, a round for each hop: nodes improved last round relax their arcs. Of equal
-    costs the parent that was settled first stays. `ignore` (search_id, node) names nodes that a search may not enter,
-    `forbidden` (search_id, source, target) arcs that it may not use.
+    Nodes lie in cells of `cell` ids. A round settles every cell from the nodes that were improved from outside, and
+    sends what leaves it to the cells next to it, so rounds count the borders that a way crosses and not its arcs. Of
+    equal costs the parent that was settled first stays. `ignore` (search_id, node) names nodes that a search may not
+    enter, `forbidden` (search_id, source, target) arcs that it may not use.
     """
-    hops = arcs.groupBy("source", "target").agg(F.min("cost").alias("arc_cost"))
-    none = F.lit(None).cast("long")
-    dist = cut(seeds.select("search_id", "node").distinct().withColumns({"cost": F.lit(0).cast("long"), "parent_cost": F.lit(-1).cast("long"), "parent": F.col("node").cast("long"), "fresh": F.lit(True)}))
-    while not dist.where("fresh").isEmpty():
-        reach = dist.where("fresh").join(hops, F.col("node") == F.col("source")).select("search_id", F.col("target").alias("node"), (F.col("cost") + F.col("arc_cost")).alias("cost"), F.col("cost").alias("parent_cost"), F.col("source").cast("long").alias("parent"))
-        reach = reach.where(F.col("cost") <= limit)
-        if forbidden is not None:
-            reach = reach.join(forbidden.select("search_id", F.col("source").cast("long").alias("parent"), F.col("target").alias("node")), ["search_id", "parent", "node"], "left_anti")
-        if ignore is not None:
-            reach = reach.join(ignore, ["search_id", "node"], "left_anti")
-        both = dist.select("search_id", "node", "cost", "parent_cost", "parent", F.col("cost").alias("had")).unionByName(reach.withColumn("had", none))
+    of = lambda node: F.floor(F.col(node) / cell).cast("long")
+    hops = cut(arcs.groupBy("source", "target").agg(F.min("cost").alias("arc_cost")).select(of("source").alias("cell"), *(F.col(c).cast("long") for c in ("source", "target", "arc_cost"))))
+    start = seeds.select("search_id", F.col("node").cast("long")).distinct()
+    start = start.select("*", F.lit(0).cast("long").alias("cost"), F.lit(-1).cast("long").alias("parent_cost"), F.col("node").alias("parent"), F.lit(True).alias("fresh"))
+    rules = start.select("search_id").distinct()
+    for name, bars, value in (("ignored", ignore, "node"), ("barred", forbidden, F.concat_ws(">", *(F.col(c).cast("long").cast("string") for c in ("source", "target"))))):
+        kind = "long" if name == "ignored" else "string"
+        own = None if bars is None else bars.groupBy("search_id").agg(F.collect_set(F.col(value).cast(kind) if isinstance(value, str) else value).alias(name))
+        rules = rules.withColumn(name, F.lit(None).cast(f"array<{kind}>")) if own is None else rules.join(own, "search_id", "left")
+    ruled = ignore is not None or forbidden is not None
+    rules = cut(rules) if ruled else None
+    kind = start.schema["search_id"].dataType.simpleString()
+    dist = cut(start)
+    while True:
+        fresh = dist.where("fresh").withColumn("cell", of("node")).drop("fresh")
+        fresh = fresh.join(rules, "search_id") if ruled else fresh.withColumns({"ignored": F.lit(None).cast("array<long>"), "barred": F.lit(None).cast("array<string>")})
+        parts = fresh.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("parts"))
+        dealt = fresh.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("search_id"), F.col("parts")))
+        cells = dealt.select(F.col("cell").alias("of_cell"), F.col("part").alias("of_part")).distinct()
+        around = hops.join(cells, F.col("cell") == F.col("of_cell")).select("of_cell", "of_part", "source", "target", "arc_cost")
+        reach = dealt.drop("parts").groupBy("cell", "part").cogroup(around.groupBy("of_cell", "of_part")).applyInPandas(_settler(limit, cell), f"search_id {kind}, node long, cost long, parent_cost long, parent long")
+        both = dist.select("search_id", "node", "cost", "parent_cost", "parent", F.col("cost").alias("had")).unionByName(reach.withColumn("had", F.lit(None).cast("long")))
         best = both.groupBy("search_id", "node").agg(F.min(F.struct("cost", "parent_cost", "parent")).alias("b"), F.min("had").alias("had"))
-        dist = cut(best.select("search_id", "node", "b.*", (F.col("had").isNull() | (F.col("b.cost") < F.col("had"))).alias("fresh")))
-    return dist.select("search_id", "node", "cost", "parent")
+        best = best.select("search_id", "node", "b.*", "had")
+        improved = F.col("had").isNull() | (F.col("cost") < F.col("had"))
+        dist = cut(best.select("search_id", "node", "cost", "parent_cost", "parent", (improved & (of("parent") != of("node"))).alias("fresh")))
+        if dist.where("fresh").isEmpty():
+            return dist.select("search_id", "node", "cost", "parent")
+
+
+def _settler(limit: int, cell: int):
+    """Settles a cell: Dijkstra's search from its starting rows, for each search; nodes outside are reached but not passed."""
+
+    def settle(rows: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[tuple[int, int]]] = {}
+        for s, t, c in zip(arcs["source"].tolist(), arcs["target"].tolist(), arcs["arc_cost"].tolist()):
+            near.setdefault(s, []).append((t, c))
+        out = []
+        for search, own in rows.groupby("search_id", sort=False):
+            ignored, barred = own["ignored"].iloc[0], own["barred"].iloc[0]
+            ignored, barred = set() if ignored is None else set(ignored), set() if barred is None else set(barred)
+            inside = own["cell"].iloc[0]
+            todo = list(zip(own["cost"].tolist(), own["parent_cost"].tolist(), own["parent"].tolist(), own["node"].tolist()))
+            heapq.heapify(todo)
+            done = set()
+            while todo:
+                cost, before, parent, node = heapq.heappop(todo)
+                if node in done:
+                    continue
+                done.add(node)
+                out.append((search, node, cost, before, parent))
+                if node // cell != inside:
+                    continue
+                for target, more in near.get(node, ()):
+                    if target not in done and cost + more <= limit and target not in ignored and f"{node}>{target}" not in barred:
+                        heapq.heappush(todo, (cost + more, cost, node, target))
+        return pd.DataFrame(out, columns=["search_id", "node", "cost", "parent_cost", "parent"])
+
+    return settle
 
 
 def connected_components(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -73,38 +125,117 @@ def polylines_to_segments(vertices: DataFrame) -> DataFrame:
 
 
 def counter_arcs(arcs: DataFrame) -> DataFrame:
-    """Each arc a->b with the arc of the same rank of b->a."""
+    """Each arc a->b with the arc of the same rank of b->a; an error where they aren't as many."""
     ranked = arcs.withColumn("rank", F.row_number().over(Window.partitionBy("source", "target").orderBy("cost", "weight")))
     back = ranked.select(F.col("source").alias("target"), F.col("target").alias("source"), F.col("cost").alias("back_cost"), "rank")
-    return ranked.join(back, ["source", "target", "rank"]).select("source", "target", "rank", "cost", "back_cost")
+    missing = F.raise_error(F.concat(F.lit("no counter arc for "), F.col("source").cast("string"), F.lit("->"), F.col("target").cast("string"))).cast(ranked.schema["cost"].dataType)
+    return ranked.join(back, ["source", "target", "rank"], "left").select("source", "target", "rank", "cost", F.when(F.col("back_cost").isNull(), missing).otherwise(F.col("back_cost")).alias("back_cost"))
+
+
+def polylines_to_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, x, y) and arcs (arc_id, source, target, cost, weight, fid) of polylines (pos, fid, x, y, cost, weight).
+
+    A run of equal fids by pos is a line from its first to its last point; points with equal single-precision
+    coordinates are one node, numbered from 0 by first appearance; every line gives both arcs, with cost and weight of its
+    last row. Arcs are numbered from 0 by source, then by the order of the lines.
+    """
+    float32 = [F.col(c).cast("float").alias(c) for c in ("x", "y")]
+    last_fid = running_total(rows.select("pos", "fid", *float32, "cost", "weight"), ["pos"], F.lit(1), "at")
+    before = last_fid.select((F.col("at") + 1).alias("at"), F.col("fid").alias("fid_before"))
+    change = last_fid.join(before, "at", "left").withColumn("new", (~F.col("fid").eqNullSafe(F.col("fid_before")) | (F.col("at") == 0)).cast("long"))
+    runs = running_total(change, ["pos"], F.col("new"), "earlier").withColumn("run", F.col("earlier") + F.col("new"))
+    point = F.struct("x", "y")
+    lines = cut(runs.groupBy("run").agg(F.first("fid").alias("fid"), F.min_by(point, "pos").alias("a"), F.max_by(point, "pos").alias("b"), F.max_by("cost", "pos").alias("cost"), F.max_by("weight", "pos").alias("weight")))
+    ends = lines.select("a", (2 * F.col("run")).alias("seen")).unionByName(lines.select(F.col("b").alias("a"), (2 * F.col("run") + 1).alias("seen")))
+    nodes = running_total(ends.groupBy("a").agg(F.min("seen").alias("seen")), ["seen"], F.lit(1), "node")
+    s, t = (nodes.select(F.col("a").alias(c), F.col("node").alias(n)) for c, n in (("a", "source"), ("b", "target")))
+    there = lines.join(s, "a").join(t, "b").select("source", "target", F.col("cost").cast("int").alias("cost"), F.col("weight").cast("int").alias("weight"), "fid", (2 * F.col("run")).alias("place"))
+    both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "cost", "weight", "fid", (F.col("place") + 1).alias("place")))
+    arcs = running_total(both, ["source", "target", "place"], F.lit(1), "arc_id").select("arc_id", "source", "target", "cost", "weight", "fid")
+    return nodes.select("node", "a.x", "a.y"), arcs
+
+
+def way_arcs(ways: DataFrame, nodes: DataFrame, speed: Column) -> DataFrame:
+    """source, target, metres, seconds of both arcs between the consecutive nodes of ways (way_id, nds, ...); speed in km/h may use the ways' columns.
+
+    Nodes that aren't in nodes (node_id, lat, lon) part their way.
+    """
+    from waynet.functions.geo import great_circle
+
+    pairs = ways.withColumn("speed", speed).select("way_id", "speed", F.posexplode(F.arrays_zip(F.slice("nds", F.lit(1), F.greatest(F.size("nds") - 1, F.lit(0))).alias("a"), F.slice("nds", F.lit(2), F.greatest(F.size("nds") - 1, F.lit(0))).alias("b"))).alias("pos", "p"))
+    pairs = pairs.select("way_id", "pos", "speed", F.col("p").getField("a").alias("source"), F.col("p").getField("b").alias("target"))
+    a, b = (nodes.select(F.col("node_id").alias(c), F.col("lat").alias(f"{c}_lat"), F.col("lon").alias(f"{c}_lon")) for c in ("source", "target"))
+    found = pairs.join(a, "source").join(b, "target")
+    metres = great_circle(F.col("source_lat"), F.col("source_lon"), F.col("target_lat"), F.col("target_lon"))
+    there = found.select("way_id", "pos", "source", "target", metres.alias("metres"), (metres / (F.col("speed") / 3.6)).alias("seconds"))
+    return there.unionByName(there.select("way_id", "pos", F.col("target").alias("source"), F.col("source").alias("target"), "metres", "seconds"))
+
+
+def filter_components(label: DataFrame, least: int) -> DataFrame:
+    """node, component and kept: whether the component has at least that many nodes."""
+    sizes = label.groupBy("component").agg((F.count(F.lit(1)) >= least).alias("kept"))
+    return label.join(sizes, "component").select("node", "component", "kept")
+
+
+def remove_nodes(nodes: DataFrame, arcs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and arcs without the nodes of `gone` and the arcs that touch them."""
+    s, t = gone.select(F.col("node").alias("source")), gone.select(F.col("node").alias("target"))
+    return nodes.join(gone.select("node"), "node", "left_anti"), arcs.join(s, "source", "left_anti").join(t, "target", "left_anti")
+
+
+def cheap_nodes(arcs: DataFrame, most: int) -> DataFrame:
+    """node: those whose arcs, in and out, all cost at most so much, and which a threshold contraction takes out."""
+    ends = arcs.select(F.col("source").alias("node"), "cost").unionByName(arcs.select(F.col("target").alias("node"), "cost"))
+    return ends.groupBy("node").agg(F.max("cost").alias("c")).where(F.col("c") <= most).select("node")
 
 
 def contract_chains(nodes: DataFrame, arcs: DataFrame, protected: Column) -> DataFrame:
-    """Arcs (source, target, cost, weight) after nodes with exactly two neighbours arcs are taken out: costs add up, weights keep the most.
+    """Arcs (source, target, cost, weight, represented) after nodes with exactly two arcs are taken out.
 
-    Chains are components of such nodes. A chain whose ends hang on one outside node keeps its last node, a free
-    cycle its last two. Needs arcs both ways.
+    Costs add up along each direction, weights keep the most; represented are the ids of the arcs (arc_id) that an arc
+    stands for, in order. Chains are components of such nodes. A chain whose ends hang on one outside node keeps its last
+    node, a free cycle its last two. Needs arcs both ways.
     """
-    degree = arcs.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("d"), F.countDistinct("target").alias("distinct"))
-    inner = nodes.select("node").where(~protected).join(degree.where("d = 2"), "node").select("node")
+    if "arc_id" not in arcs.columns:
+        arcs = running_total(arcs, ["source", "target", "cost", "weight"], F.lit(1), "arc_id")
+    arcs = cut(arcs.select(*(F.col(c).cast("long") for c in ("arc_id", "source", "target", "cost")), "weight"))
+    degree = arcs.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+    inner = cut(nodes.select(F.col("node").cast("long")).where(~protected).join(degree.where("d = 2"), "node").select("node"))
     s, t = inner.select(F.col("node").alias("source")), inner.select(F.col("node").alias("target"))
     label = connected_components(inner, arcs.join(s, "source", "left_semi").join(t, "target", "left_semi"))
     tails = arcs.join(label.select(F.col("node").alias("source"), "component"), "source").join(t, "target", "left_anti")
     ends = tails.groupBy("component").agg(F.countDistinct("target").alias("outside"))
-    ranked = label.join(ends, "component", "left").withColumn("last", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("node"))))
-    gone = cut(ranked.where(F.when(F.col("outside").isNull(), F.col("last") > 2).when(F.col("outside") == 1, F.col("last") > 1).otherwise(True)).select("node"))
-    s, t = gone.select(F.col("node").alias("source")), gone.select(F.col("node").alias("target"))
-    label = connected_components(gone, arcs.join(s, "source", "left_semi").join(t, "target", "left_semi"))
-    into = arcs.join(label.select(F.col("node").alias("source"), "component"), "source").join(t, "target", "left_anti").select("component", "target", "cost", "weight")
-    own = label.select("node", "component")
-    total = arcs.join(own.select(F.col("node").alias("source"), "component"), "source").groupBy("component", "target", "source").agg(F.sum("cost").alias("c"), F.max("weight").alias("w"))
-    inside = total.join(t, "target", "left_semi").groupBy("component").agg((F.sum("c") / 2).cast("long").alias("c"), F.max("w").alias("w"))
-    pair = into.withColumn("n", F.row_number().over(Window.partitionBy("component").orderBy("target", "cost")))
-    a, b = pair.where("n = 1"), pair.where("n = 2").select("component", F.col("target").alias("other"), F.col("cost").alias("cost2"), F.col("weight").alias("weight2"))
-    joined = a.join(b, "component").join(inside, "component", "left")
-    new = joined.select(F.col("target").alias("source"), F.col("other").alias("target"), (F.col("cost") + F.col("cost2") + F.coalesce("c", F.lit(0))).cast("int").alias("cost"), F.greatest("weight", "weight2", "w").alias("weight"))
-    kept = arcs.join(s, "source", "left_anti").join(t, "target", "left_anti").select("source", "target", "cost", "weight")
-    return kept.unionByName(new).unionByName(new.select(F.col("target").alias("source"), F.col("source").alias("target"), "cost", "weight"))
+    last = label.groupBy("component").agg(F.max("node").alias("last"))
+    second = label.join(last, "component").where("node < last").groupBy("component").agg(F.max("node").alias("second"))
+    ranked = label.join(ends, "component", "left").join(last, "component").join(second, "component", "left")
+    gone = F.when(F.col("outside").isNull(), (F.col("node") != F.col("last")) & (F.col("node") != F.coalesce("second", "last"))).when(F.col("outside") == 1, F.col("node") != F.col("last")).otherwise(True)
+    gone = cut(ranked.where(gone).select("node"))
+    s, t = gone.select(F.col("node").alias("source"), F.lit(True).alias("from_gone")), gone.select(F.col("node").alias("target"), F.lit(True).alias("to_gone"))
+    marked = cut(arcs.join(s, "source", "left").join(t, "target", "left"))
+
+    # Every arc out of a node that goes has one arc before it: the node's other neighbour's. Pointers to it double.
+    before = marked.where("to_gone").select(F.col("target").alias("source"), F.col("source").alias("came_from"), F.col("arc_id").alias("pointer"))
+    out = marked.where("from_gone").join(before, "source").where("came_from <> target").select("arc_id", "pointer", F.lit(1).cast("long").alias("place"))
+    first = marked.where("from_gone IS NULL AND to_gone").select("arc_id", F.col("arc_id").alias("pointer"), F.lit(0).cast("long").alias("place"))
+    found, open_rows = first, cut(out)
+    not_first = open_rows.select(F.col("arc_id").alias("next"), F.lit(True).alias("goes_on"))
+    while not open_rows.isEmpty():
+        known = found.unionByName(open_rows).select(F.col("arc_id").alias("pointer"), F.col("pointer").alias("next"), F.col("place").alias("more"))
+        jumped = open_rows.join(known, "pointer").select("arc_id", "next", (F.col("place") + F.col("more")).alias("place"))
+        jumped = cut(jumped.join(not_first, "next", "left").select("arc_id", F.col("next").alias("pointer"), "place", "goes_on"))
+        found = cut(found.unionByName(jumped.where("goes_on IS NULL").drop("goes_on")))
+        open_rows = jumped.where("goes_on").drop("goes_on")
+    chain = found.join(marked, "arc_id")
+    end = F.max_by(F.struct("source", "target"), "place")
+    step = F.sort_array(F.collect_list(F.struct("place", "arc_id")))
+    new = chain.groupBy("pointer").agg(F.min_by("source", "place").alias("source"), end["target"].alias("target"), F.sum("cost").alias("cost"), F.max("weight").alias("weight"), F.transform(step, lambda x: x["arc_id"]).alias("represented"))
+    kept = marked.where("from_gone IS NULL AND to_gone IS NULL").select("source", "target", "cost", "weight", F.array("arc_id").alias("represented"))
+    return kept.unionByName(new.select("source", "target", "cost", "weight", "represented"))
+
+
+def undo_contraction(contracted: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The arcs (arc_id, source, target, cost, weight) that contracted ones represent."""
+    return contracted.select(F.explode("represented").alias("arc_id")).distinct().join(arcs, "arc_id")
 
 
 def walkways(arcs: DataFrame, starts: DataFrame, targets: DataFrame, limit: int, depth: int) -> DataFrame:

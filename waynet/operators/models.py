@@ -4,8 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.functions.geo import bucket, share_of, suffix_prefs
-from waynet.operators.graph import shortest_paths
+from waynet.functions.geo import bucket, check_preferences, share_of, suffix_prefs
+from waynet.operators.graph import contract_chains, shortest_paths
+from waynet.plans.iterate import cut, running_total
+from waynet.sources.sinks import expand_results
+
+#: Cyclists reach this many times as far, and the parts of the people who cycle and walk.
+BIKE_FACTOR, SHARE_CYCLING, SHARE_WALKING = 4, 13 / 124, 71 / 124
 
 
 def normalize_contributions(contrib: DataFrame) -> DataFrame:
@@ -26,7 +31,12 @@ def node_weights(arcs: DataFrame) -> DataFrame:
 
 
 def flooding(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float]], max_cost: int) -> DataFrame:
-    """source, target, cost, weight, value: users spread from entries (node, population), weighed by node weight, time and share."""
+    """source, target, cost, weight, value: users spread from entries (node, population), weighed by node weight, time and share.
+
+    Of repeated entries the one with the largest population counts.
+    """
+    check_preferences(prefs)
+    entries = entries.groupBy("node").agg(F.max("population").alias("population"))
     seeds = entries.select(F.col("node").alias("search_id"), "node")
     reached = shortest_paths(arcs, seeds, int(max_cost) // 2).join(node_weights(arcs), "node")
     cost = F.greatest(F.col("cost"), F.lit(1))
@@ -40,7 +50,8 @@ def flooding(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float
 
 def via_edge(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float]], max_cost: int) -> DataFrame:
     """source, target, value: users who walk from entry to entry over an arc, compared with the direct way. One search for each arc and side."""
-    weighted = arcs.where("weight > 0").dropDuplicates(["source", "target"])
+    check_preferences(prefs)
+    weighted = arcs.where("weight > 0").groupBy("source", "target").agg(F.min("cost").alias("cost"), F.max("weight").alias("weight"))
     key = F.concat_ws("-", "source", "target")
     keyed = weighted.withColumn("search_id", key)
     homes = entries.select("node", "population")
@@ -76,6 +87,97 @@ def entry_popularity(paths: DataFrame, population: DataFrame, prefs: list[tuple[
     return raw.crossJoin(scale).select("entry", F.when(F.col("all_raw") > 0, F.col("raw") * F.col("goal") / F.col("all_raw")).otherwise(0.0).alias("popularity"))
 
 
+def _mode(paths: DataFrame, population: DataFrame, bounds: list[int], suffix: list[float], strict: bool, gated: DataFrame | None = None) -> DataFrame:
+    """entry, pop, part: what each reached point sends to an entry by one way of travel; points outside `gated` weigh by raw counts."""
+    near = paths.where(F.col("cost") <= bounds[-1]).withColumn("b", bucket(F.col("cost"), [float(b) for b in bounds]))
+    bound = F.element_at(F.array(*map(F.lit, bounds)), F.col("b") + 1)
+    counts = near.groupBy("pop", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(bound).alias("own"))
+    total = counts.groupBy("pop").agg(F.sum("own").alias("total"))
+    likely = F.when(bound < F.col("total"), 1 - bound / F.col("total")).otherwise(1.0 / ((F.col("b") + 1) * (F.col("b") + 1)))
+    counts = counts.join(total, "pop")
+    if gated is not None:
+        counts = counts.join(gated.select("pop", F.lit(True).alias("gate")), "pop", "left")
+        likely = F.when(F.col("gate"), likely).otherwise(F.col("n").cast("double"))
+    counts = counts.select("pop", "b", likely.alias("likely"))
+    share = F.element_at(F.array(*map(F.lit, suffix)), F.col("b") + 1)
+    kept = near.where(F.col("cost") < bounds[-1]) if strict else near
+    return kept.join(counts, ["pop", "b"]).join(population, "pop").select("entry", "pop", (F.col("likely") * share * F.col("population")).alias("part"))
+
+
+def popularity(arcs: DataFrame, entries: DataFrame, population: DataFrame, lots: DataFrame | None, minutes: list[tuple[float, float]], walking: float = SHARE_WALKING, cycling: float = SHARE_CYCLING) -> DataFrame:
+    """pos and population of entries (pos, node), then of parking lots (pos, rank), whose places follow the entries'.
+
+    population is (pop, node, population), minutes the preferences (bound in minutes of walking, share). Cyclists' bounds
+    are BIKE_FACTOR times as far. Points that reach an entry on neither way are spread over the entries in proportion,
+    less the part of those who drive; drivers are shared out over the lots by rank. A point whom nobody reaches walking
+    weighs its entries by the plain counts of its buckets. Without anyone mapped an entry gets 0.
+    """
+    check_preferences(minutes)
+    bounds, driving = [int(60 * m) for m, _ in minutes], 1 - walking - cycling
+    far = [BIKE_FACTOR * b for b in bounds]
+    suffix = [s for _, s in suffix_prefs(minutes)]
+    found = shortest_paths(arcs, entries.select(F.col("pos").alias("search_id"), "node"), far[-1])
+    paths = cut(found.join(population.select("pop", "node"), "node").select(F.col("search_id").alias("entry"), "pop", "cost"))
+    people = population.select("pop", "population")
+    afoot = paths.where(F.col("cost") <= bounds[-1]).select("pop").distinct()
+    modes = []
+    for share, own in ((walking, _mode(paths, people, bounds, suffix, True)), (cycling, _mode(paths, people, far, suffix, False, afoot))):
+        own = cut(own)
+        reached = own.select("pop").distinct()
+        goal = people.join(reached, "pop", "left_semi").agg((F.coalesce(F.sum("population"), F.lit(0.0)) * share).alias("goal"))
+        raw = own.groupBy("entry").agg(F.sum("part").alias("raw"))
+        scale = raw.agg(F.sum("raw").alias("all_raw")).crossJoin(goal)  # one row
+        scaled = raw.crossJoin(scale).select("entry", F.when(F.col("all_raw") > 0, F.col("raw") * F.col("goal") / F.col("all_raw")).otherwise(0.0).alias("popularity"))
+        modes.append((scaled, reached))
+    (walkers, walk_reach), (cyclists, cycle_reach) = modes
+    told = people.join(walk_reach.withColumn("walks", F.lit(True)), "pop", "left").join(cycle_reach.withColumn("cycles", F.lit(True)), "pop", "left")
+    told = told.select("pop", "population", F.coalesce("walks", F.lit(False)).alias("walks"), F.coalesce("cycles", F.lit(False)).alias("cycles"))
+    every = entries.select(F.col("pos").alias("entry"), F.lit(0.0).alias("popularity"))
+    merged = cut(merge_popularity(walkers.unionByName(every), cyclists, told, walking, cycling, driving))
+    out = merged.select(F.col("entry").cast("long").alias("pos"), F.col("popularity").alias("population"))
+    if lots is None:
+        return out
+    cars = merged.agg(F.max("car_population").alias("cars"), F.count(F.lit(1)).alias("n"))  # one row
+    ranks = lots.agg(F.sum("rank").alias("ranks"))  # one row
+    part = F.col("cars") * F.col("rank") / F.when(F.col("ranks") == 0, 1.0).otherwise(F.col("ranks"))
+    return out.unionByName(lots.crossJoin(ranks).crossJoin(cars).select((F.col("pos") + F.col("n")).alias("pos"), part.alias("population")))
+
+
+def quota_gaps(shares: dict[str, float], counted: dict[str, float], total: float, most: float = 0.01) -> dict[str, bool]:
+    """For every group whether its count is off its share of the total by more than that part."""
+    return {k: abs(total * s - counted[k]) > abs(most * total * s) for k, s in shares.items()}
+
+
+APPROACHES = {0: "flooding", 1: "via_edge"}
+
+
+def edge_attractiveness(nodes: DataFrame, arcs: DataFrame, entries: DataFrame, minutes: list[tuple[float, float]], approach: int, contract: bool = True) -> DataFrame:
+    """element (arc_id) and value of all arcs (arc_id, source, target, cost, weight), by flooding (0) or via edges (1).
+
+    Chains between entries (node, population) are contracted first, the nodes left are numbered anew, and an arc's value
+    goes to all arcs that it represents. The limit is the last bound of minutes.
+    """
+    if approach not in APPROACHES:
+        raise ValueError(f"unknown approach {approach}")
+    prefs = [(60 * m, s) for m, s in minutes]
+    kept = [F.col(c).cast("long").alias(c) for c in ("source", "target", "cost")]
+    if contract:
+        known = entries.select(F.col("node").cast("long").alias("node"), F.lit(True).alias("is_entry")).distinct()
+        told = cut(nodes.select(F.col("node").cast("long")).join(known, "node", "left"))
+        small = contract_chains(told.select("node").join(known, "node", "left"), arcs, F.col("is_entry").isNotNull())
+    else:
+        small = arcs.select(*kept, "weight", F.array(F.col("arc_id").cast("long")).alias("represented"))
+    small = cut(small)
+    ids = running_total(small.select(F.col("source").alias("node")).unionByName(small.select(F.col("target").alias("node"))).distinct(), ["node"], F.lit(1), "id")
+    s, t = (ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")) for c in ("source", "target"))
+    small = cut(small.join(s, "source").join(t, "target").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "cost", "weight", "represented"))
+    homes = entries.join(ids, "node").select(F.col("id").alias("node"), "population")
+    model = flooding if approach == 0 else via_edge
+    valued = model(small.select("source", "target", "cost", "weight"), homes, prefs, int(prefs[-1][0])).groupBy("source", "target").agg(F.max("value").alias("value"))
+    results = small.join(valued, ["source", "target"], "left").select(F.element_at("represented", 1).alias("pos"), F.element_at("represented", 1).alias("label"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return expand_results(results, small.select(F.element_at("represented", 1).alias("label"), F.col("represented").alias("ids")))
+
+
 def distribute_by_rank(lots: DataFrame, population: float) -> DataFrame:
     """Each lot's part of a population by its rank; a rank sum of 0 counts as 1."""
     total = lots.agg(F.sum("rank").alias("ranks"))  # one row

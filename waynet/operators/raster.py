@@ -1,8 +1,9 @@
 """Heat maps: heat of nodes, rasters, pyramids, extracts and answers."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waynet.functions.geo import great_circle
 from waynet.plans.iterate import cut, running_total
 
 
@@ -19,6 +20,51 @@ def rasterize(heat: DataFrame, lat_step: float, lon_step: float) -> DataFrame:
     return heat.groupBy(cell("lat", lat_step).alias("by"), cell("lon", lon_step).alias("bx")).agg(F.sum("heat").alias("heat")).where("heat > 0")
 
 
+def longitude_step(lat_step: Column, north: Column) -> Column:
+    """Degrees of longitude that are as wide at latitude `north` as lat_step degrees of latitude are high below it."""
+    zero = F.lit(0.0)
+    return great_circle(north, zero, north - lat_step, zero) / great_circle(north, zero, north, F.lit(1.0))
+
+
+def rasterize_box(heat: DataFrame, south: float, west: float, north: float, east: float, rows: int) -> DataFrame:
+    """lat, lon and summed heat of the raster points near the points of a box, in `rows` rows; only sums above 0.
+
+    Rows are (north - south) / (rows - 1) apart, and start half a step before the multiple of it at or below south; columns
+    alike, with the step that is as wide at the north. A point counts for the last raster point half a step or more before it.
+    """
+    height = F.lit((north - south) / (rows - 1))
+    size = heat.sparkSession.range(1).select(height.alias("lat_step"), longitude_step(height, F.lit(north)).alias("lon_step"))
+    ends = size.select("*", *((((F.floor(F.lit(low) / F.col(f"{c}_step")) - 0.5) * F.col(f"{c}_step")).alias(f"{c}_start")) for c, low in (("lat", south), ("lon", west))), *((F.lit(high) + 0.5 * F.col(f"{c}_step")).alias(f"{c}_end") for c, high in (("lat", north), ("lon", east))))
+    near = heat.crossJoin(ends).where((F.col("lat") >= F.col("lat_start")) & (F.col("lat") <= F.col("lat_end")) & (F.col("lon") >= F.col("lon_start")) & (F.col("lon") < F.col("lon_end")))  # one row
+    cells = [F.floor((F.col(c) + 0.5 * F.col(f"{c}_step") - F.col(f"{c}_start")) / F.col(f"{c}_step")).cast("long").alias(f"{c}_cell") for c in ("lat", "lon")]
+    width = (F.col("lon_end") - F.col("lon_start")) / F.ceil((F.col("lon_end") - F.col("lon_start")) / F.col("lon_step"))
+    summed = near.groupBy(*cells, "lat_start", "lat_step", "lon_start", width.alias("width")).agg(F.sum("heat").alias("heat")).where("heat > 0")
+    return summed.select((F.col("lat_start") + F.col("lat_cell") * F.col("lat_step")).alias("lat"), (F.col("lon_start") + F.col("lon_cell") * F.col("width")).alias("lon"), "heat")
+
+
+def save_pyramids(levels: DataFrame, path: str) -> None:
+    """Writes rasters (dataset, zoom, by, bx, heat), a folder for each dataset and zoom, rows of a folder by place."""
+    levels.repartition("dataset", "zoom", F.floor(F.col("by") / 256)).sortWithinPartitions("dataset", "zoom", "by", "bx").write.partitionBy("dataset", "zoom").parquet(path)
+
+
+def load_raster(spark: SparkSession, path: str, dataset: str, zoom: int) -> DataFrame:
+    """One dataset's raster at a zoom level; other folders aren't read."""
+    return spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("zoom") == zoom))
+
+
+def middle_heat(heat: DataFrame, order: list[str]) -> DataFrame:
+    """dataset and max: the heat of the middle row (n / 2) in the order given, which needs no sorting by heat."""
+    ranked = cut(running_total(heat, ["dataset", *order], F.lit(1), "at"))
+    whole = ranked.groupBy(F.col("dataset").alias("_key")).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_all"))
+    found = ranked.join(F.broadcast(whole), F.col("dataset").eqNullSafe(F.col("_key")))
+    return found.where(F.col("at") == F.col("_first") + F.floor(F.col("_all") / 2)).select("dataset", F.col("heat").alias("max"))
+
+
+def colour_scale(most: Column, zoom: Column) -> Column:
+    """The heat that gets the hottest colour at a zoom level."""
+    return most * F.sqrt(F.greatest(F.lit(1), zoom - 11))
+
+
 def pyramid(heat: DataFrame, lat_step: float, lon_step: float, levels: int) -> DataFrame:
     """zoom, by, bx, heat: from the finest level on, each level is made of the one before at double the step."""
     level, out = rasterize(heat, lat_step, lon_step), None

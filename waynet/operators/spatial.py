@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions.geo import inside_ring
+from waynet.plans.iterate import cut
 
 
 def _cells(points: DataFrame, size: float, ring: int) -> DataFrame:
@@ -24,12 +25,24 @@ def within_radius(points: DataFrame, nodes: DataFrame, radius: float, most: int
 
 
 def nearest(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
-    """id, node_id, d2 of the nearest node of every point. The radius doubles for points that found none."""
-    found, left = None, points
+    """id, node_id, d2 of the nearest node of every point; both null for a point without coordinates, or without any node.
+
+    The radius doubles for points that found none, up to the extent of points and nodes; beyond it everything is near.
+    """
+    valid = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    real = cut(nodes.where(valid("x") & valid("y")))
+    left = cut(points.where(valid("x") & valid("y")))
+    box = real.select("x", "y").unionByName(left.select("x", "y")).agg(*(f(c) for c in ("x", "y") for f in (F.min, F.max))).first()
+    none = points.where(~valid("x") | ~valid("y") | F.lit(real.isEmpty())).select("id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2"))
+    if real.isEmpty() or left.isEmpty():
+        return none
+    extent, found = max(1e-9, ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5), none
     while not left.isEmpty():
-        hit = within_radius(left, nodes, radius, 1).select("id", "node_id", "d2")
-        found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit, "id", "left_anti")
+        hit = cut(within_radius(left, real, radius, 1).select("id", "node_id", "d2"))
+        found = found.unionByName(hit)
+        if radius > 2 * extent:
+            break
+        left = cut(left.join(hit, "id", "left_anti"))
         radius *= 2
     return found
 
@@ -42,14 +55,38 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> D
     return _cells(points, size, 0).join(boxed, ["cx", "cy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "poly_id")
 
 
-def population_grid(polygons: DataFrame, step: float) -> DataFrame:
-    """poly_id, x, y, population: regular points inside each polygon, one step in from its box, sharing its inhabitants evenly."""
+def last_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """id and poly_id of the last polygon, by id, that holds a point; points in none have no row."""
+    return points_in_polygons(points, polygons, size).groupBy("id").agg(F.max("poly_id").alias("poly_id"))
+
+
+def population_grid(polygons: DataFrame, step: float | None = None, resolution: int | None = None, without: DataFrame | None = None) -> DataFrame:
+    """poly_id, x, y, population: regular points inside each polygon (poly_id, inhabitants, ring), sharing its inhabitants evenly.
+
+    Points start one step in from the box and end before it does. Either the step is given, or the resolution, the number of
+    points on each side. Points in polygons of `without` go. A polygon without any point keeps the corner of its box.
+    """
+    if (step is None) == (resolution is None):
+        raise ValueError("either step or resolution")
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    count = lambda v: F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((F.array_max(v) - F.array_min(v)) / step).cast("int")))
-    grid = polygons.select("poly_id", "inhabitants", "ring", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.explode(count(xs)).alias("i"), count(ys).alias("js"))
-    grid = grid.withColumn("j", F.explode("js")).select("poly_id", "inhabitants", "ring", (F.col("x0") + F.col("i") * step).alias("x"), (F.col("y0") + F.col("j") * step).alias("y"))
-    grid = grid.where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
-    return grid.select("poly_id", "x", "y", (F.col("inhabitants") / F.count(F.lit(1)).over(Window.partitionBy("poly_id"))).alias("population"))
+    boxed = polygons.select("poly_id", "inhabitants", "ring", *(f(v).alias(n) for n, f, v in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))))
+    for axis in ("x", "y"):
+        extent = F.col(f"{axis}1") - F.col(f"{axis}0")
+        own = F.lit(step) if resolution is None else extent / (resolution + 1)
+        count = F.ceil(extent / own).cast("int") - 1 if resolution is None else F.lit(resolution)
+        boxed = boxed.withColumn(f"s{axis}", own).withColumn(f"n{axis}", F.greatest(count, F.lit(0)))
+    span = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda k: k > 0)
+    grid = boxed.withColumn("i", F.explode(span("nx"))).withColumn("j", F.explode(span("ny")))
+    grid = grid.select("poly_id", "ring", (F.col("x0") + F.col("i") * F.col("sx")).alias("x"), (F.col("y0") + F.col("j") * F.col("sy")).alias("y"))
+    grid = grid.where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("ring")
+    if without is not None:
+        named = grid.withColumn("id", F.struct("poly_id", "x", "y"))
+        inside = points_in_polygons(named.select("id", "x", "y"), without, step or 1.0)
+        grid = named.join(inside.select("id").distinct(), "id", "left_anti").drop("id")
+    empty = boxed.join(grid.select("poly_id").distinct(), "poly_id", "left_anti").select("poly_id", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    grid = grid.select("poly_id", "x", "y").unionByName(empty)
+    counts = grid.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(counts, "poly_id").join(polygons.select("poly_id", "inhabitants"), "poly_id").select("poly_id", "x", "y", (F.col("inhabitants") / F.col("n")).alias("population"))
 
 
 def convex_hulls(points: DataFrame) -> DataFrame:
@@ -74,6 +111,44 @@ def convex_hulls(points: DataFrame) -> DataFrame:
     return salted.groupBy("key", "salt").applyInPandas(lambda p: hull(p), ddl).groupBy("key").applyInPandas(lambda p: hull(p), ddl)
 
 
+def order_ways(members: DataFrame, ways: DataFrame) -> DataFrame:
+    """relation_id, pos and nds of the ways of relations (relation_id, pos, way_id), in the order and direction in which their ends meet.
+
+    A way follows that begins or, turned round, ends where the last one ended; of several the first by pos. Where none does the
+    next by pos starts anew, and missing ways leave a row with null nds at the end. Ways of one relation are worked together.
+    """
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("pos")
+        left = [list(n) for n in own["nds"] if n is not None and len(n)]
+        missing = sum(n is None or not len(n) for n in own["nds"])
+        by_end: dict[int, list[int]] = {}
+        for k, nds in enumerate(left):
+            for end in {nds[0], nds[-1]}:
+                by_end.setdefault(end, []).append(k)
+        used, out, at = set(), [], None
+        for first in range(len(left)):
+            follows = [k for k in by_end.get(at, ()) if k not in used]
+            while follows:
+                nds = left[follows[0]]
+                used.add(follows[0])
+                out.append(nds if nds[0] == at else nds[::-1])
+                at = out[-1][-1]
+                follows = [k for k in by_end.get(at, ()) if k not in used]
+            if first not in used:
+                used.add(first)
+                nds = left[first]
+                turned = any(k not in used for k in by_end[nds[0]]) and not any(k not in used for k in by_end[nds[-1]])
+                out.append(nds[::-1] if turned else nds)
+                at = out[-1][-1]
+        out += [None] * missing
+        return pd.DataFrame({"relation_id": pdf["relation_id"].iloc[0], "pos": range(len(out)), "nds": out})
+
+    kind = members.schema["relation_id"].dataType.simpleString()
+    joined = members.join(ways.select("way_id", "nds"), "way_id", "left").select("relation_id", "pos", "nds")
+    return joined.groupBy("relation_id").applyInPandas(chain, f"relation_id {kind}, pos long, nds array<long>")
+
+
 def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
     """relation_id, polygon (from 0) and nds: the nodes of a relation's ways (relation_id, pos, way_id) in order.
 

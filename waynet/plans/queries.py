@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions import geo, speeds
-from waynet.operators import graph, models, raster, spatial
+from waynet.operators import graph, models, osm, raster, spatial
 from waynet.sources import sinks
 from waynet.sources.derived import SQL, points, road_arcs, table
 
@@ -262,10 +262,106 @@ def relation_polygons(spark, d):
     return spatial.relation_polygons(members, ways).withColumn("nds", F.array_join(F.col("nds").cast("array<string>"), "-"))
 
 
-QUERIES = {f.__name__: f for f in (flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+MINUTES = [(0.5, 0.5), (1.0, 0.3)]
+
+
+def popularity(spark, d):
+    e = _entries(spark, d)
+    entries = e.select((F.col("node") / 25).cast("long").alias("pos"), "node")
+    people = points(spark, d).select(F.col("vec_id").alias("pop"), F.col("vec_id").alias("node"), (F.col("vec_id") % 7 + 1.0).alias("population"))
+    lots = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_nationkey") % 4).cast("double").alias("rank"))
+    return models.popularity(road_arcs(spark, d), entries, people, lots, MINUTES).withColumn("population", F.round("population", 6))
+
+
+def edge_attractiveness(spark, d):
+    arcs = graph.running_total(road_arcs(spark, d), ["source", "target"], F.lit(1), "arc_id")
+    return models.edge_attractiveness(_nodes(spark, d), arcs, _entries(spark, d), [(m * 5, s) for m, s in MINUTES], 0).withColumn("value", F.round("value", 6))
+
+
+def graph_of_lines(spark, d):
+    rows = _lines(spark, d).select((F.col("fid") * 1000 + F.col("pos")).alias("pos"), "fid", "x", "y", (F.col("fid") % 50 + 1).alias("cost"), (F.col("fid") % 3).alias("weight"))
+    return graph.polylines_to_graph(rows)[1]
+
+
+def _classified(spark, d):
+    return points(spark, d).select(F.col("vec_id").alias("node"), F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0).alias("flag"))
+
+
+def entry_classes(spark, d):
+    return osm.classify_entries(_classified(spark, d), road_arcs(spark, d))
+
+
+_KEYS = ["amenity", "tourism", "historic", "historic", "natural", "shop"]
+_VALUES = ["bar", "viewpoint", "castle", "memorial", "peak", "bakery"]
+
+
+def poi_categories(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_custkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (1 + k % len(values)).cast("int"))
+    tagged = o.select((F.col("o_orderkey") % 2000).alias("osm_id"), pick(_KEYS).alias("key"), pick(_VALUES).alias("value"))
+    s = F.col("s_suppkey")
+    ways = table(spark, d, "supplier").select(s.alias("way_id"), F.array(s + 3000, s + 3001).alias("nds"))
+    return osm.poi_categories(tagged, ways)
+
+
+def way_edges(spark, d):
+    l = _lines(spark, d).groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pos", "y"))).alias("v"))
+    ways = l.select(F.col("fid").alias("way_id"), F.transform("v", lambda x: x["y"].cast("long")).alias("nds"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 80).cast("double").alias("lat"), (F.col("s_suppkey") % 70).cast("double").alias("lon"))
+    return graph.way_arcs(ways, nodes, F.lit(50.0)).select("way_id", "pos", "source", "target", F.round("metres", 2).alias("metres"), F.round("seconds", 2).alias("seconds"))
+
+
+def box_raster(spark, d):
+    out = raster.rasterize_box(_heat(spark, d), 10.25, 20.75, 60.25, 120.75, 48)
+    return out.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "heat")
+
+
+def middle_heat(spark, d):
+    e = _heat(spark, d)
+    return raster.middle_heat(e, ["lat", "lon", "heat"])
+
+
+def zone_of_point(spark, d):
+    return spatial.last_polygon(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark), 0.1)
+
+
+def kept_components(spark, d):
+    return graph.filter_components(components(spark, d), 100)
+
+
+def cheap_nodes(spark, d):
+    return graph.cheap_nodes(road_arcs(spark, d), 15)
+
+
+def population_arcs(spark, d):
+    near = nearest_nodes(spark, d)
+    return osm.join_population(near, road_arcs(spark, d), F.lit(100_000))
+
+
+def graph_file(spark, d):
+    nodes = points(spark, d).select(F.col("vec_id").alias("node"), F.round("x", 4).cast("string").alias("x"))
+    return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
+
+
+QUERIES = {f.__name__: f for f in (popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
+
+def _distances(limit: int, seeds: str = "vec_id % 25 = 0") -> str:
+    """SQL of the least costs from the seeds to all points within the limit."""
+    return f"""w AS (SELECT vec_id AS search_id, vec_id AS node, 0 AS cost FROM points WHERE {seeds}
+    UNION SELECT w.search_id, a.target, w.cost + a.cost FROM w JOIN arcs a ON a.source = w.node WHERE w.cost + a.cost <= {limit}),
+    dist AS (SELECT search_id, node, min(cost) AS cost FROM w GROUP BY ALL)"""
+
+
+#: Edges of the zones.
+_EDGES = """edges(poly_id, ax, ay, bx, "by") AS (SELECT a::BIGINT, b::DOUBLE, c::DOUBLE, d::DOUBLE, e::DOUBLE FROM (VALUES
+    (1, -0.2, -0.2, 0.0, -0.2), (1, 0.0, -0.2, 0.0, 0.1), (1, 0.0, 0.1, -0.2, 0.1), (1, -0.2, 0.1, -0.2, -0.2),
+    (2, 0.0, 0.0, 0.25, 0.0), (2, 0.25, 0.0, 0.1, 0.3), (2, 0.1, 0.3, 0.0, 0.0)) v(a, b, c, d, e))"""
+_CROSSES = '(ay > y) <> ("by" > y) AND x < (bx - ax) * (y - ay) / ("by" - ay) + ax'
+_IN_ZONES = f"{_EDGES}, hit AS (SELECT vec_id AS id, poly_id FROM points JOIN edges ON {_CROSSES} GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
+
 ORACLES = {
     "flooding": f"""{_REC}, {_DIST}, nw AS (SELECT node, max(weight) AS weight FROM (SELECT source AS node, weight FROM arcs UNION ALL SELECT target, weight FROM arcs) GROUP BY node),
         c AS (SELECT search_id, dist.node, weight * ({_SUFFIX.format('2 * greatest(cost, 1)')}) / (greatest(cost, 1) + 60.0) AS v FROM dist JOIN nw ON nw.node = dist.node),
@@ -323,4 +419,67 @@ ORACLES = {
         p AS (SELECT *, sum(CASE WHEN w % 2 = before THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS part FROM b WHERE w % 10 <> 0),
         g AS (SELECT r, part, string_agg(concat_ws('-', w % 2, w + 10, w % 3), '-' ORDER BY pos) AS nds FROM p GROUP BY r, part)
         SELECT r AS relation_id, (row_number() OVER (PARTITION BY r ORDER BY part) - 1)::INT AS polygon, nds FROM g""",
+    "entry_distances": f"{_REC}, {_distances(600)} SELECT search_id AS a, node AS b, cost::BIGINT AS cost FROM dist WHERE node % 25 = 0 AND search_id <= node",
+    "largest_component": f"""{_REC}, {_BOTH}, best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+        ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM comp JOIN best USING (component))
+        SELECT s.id AS source, t.id AS target, cost, weight FROM arcs JOIN ids s ON s.node = source JOIN ids t ON t.node = target""",
+    "points_in_zones": f"WITH {SQL['points']}, {_IN_ZONES} SELECT id, poly_id FROM hit",
+    "zone_of_point": f"WITH {SQL['points']}, {_IN_ZONES} SELECT id, max(poly_id) AS poly_id FROM hit GROUP BY id",
+    "population_grid": f"""WITH {_EDGES}, box AS (SELECT poly_id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY poly_id),
+        g AS (SELECT poly_id, x0 + i * 0.03::DOUBLE AS x, y0 + j * 0.03::DOUBLE AS y FROM box, range(1, 100) a(i), range(1, 100) b(j)
+            WHERE i <= ceil((x1 - x0) / 0.03::DOUBLE) - 1 AND j <= ceil((y1 - y0) / 0.03::DOUBLE) - 1),
+        k AS (SELECT g.poly_id, x, y FROM g JOIN edges e ON e.poly_id = g.poly_id AND {_CROSSES} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
+        SELECT poly_id, round(x, 6) AS x, round(y, 6) AS y, round((CASE poly_id WHEN 1 THEN 900 ELSE 500 END)::DOUBLE / count(*) OVER (PARTITION BY poly_id), 6) AS population FROM k""",
+    "heat_answer": f"""WITH {_HEAT}, e AS (SELECT DISTINCT * FROM heat WHERE lat BETWEEN 10.25 AND 20.25 AND lon BETWEEN 20.75 AND 40.75)
+        SELECT dataset, count(*) AS n, max(heat) AS max, string_agg(format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat), ';' ORDER BY lat, lon, format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat)) AS points FROM e GROUP BY dataset""",
+    "entry_popularity": f"""{_REC}, {_distances(300)}, n AS (SELECT search_id AS entry, node AS pop, cost, CASE WHEN cost <= 60 THEN 0 WHEN cost <= 150 THEN 1 ELSE 2 END AS b, CASE WHEN cost <= 60 THEN 60 WHEN cost <= 150 THEN 150 ELSE 300 END AS bound FROM dist),
+        l AS (SELECT *, sum(bound) OVER (PARTITION BY pop) AS total FROM n),
+        r AS (SELECT entry, sum(CASE WHEN bound < total THEN 1 - bound::DOUBLE / total::DOUBLE ELSE 1.0::DOUBLE / ((b + 1) * (b + 1)) END * ({_SUFFIX.format("cost")})::DOUBLE * (pop % 7 + 1)) AS raw FROM l WHERE cost < 300 GROUP BY entry)
+        SELECT entry, round(raw * (SELECT sum(pop % 7 + 1) * 0.5::DOUBLE FROM (SELECT DISTINCT pop FROM n)) / sum(raw) OVER (), 6) AS popularity FROM r""",
+    "popularity": f"""{_REC}, {_distances(240)}, p AS (SELECT search_id AS entry, node AS pop, cost::BIGINT AS cost, (node % 7 + 1)::DOUBLE AS people FROM dist),
+        f AS (SELECT *, (cost > 120)::INT AS bb, (cost > 30)::INT AS wb FROM p),
+        bt AS (SELECT pop, sum(CASE bb WHEN 0 THEN 120 ELSE 240 END) AS total FROM f GROUP BY pop),
+        wt AS (SELECT pop, sum(CASE wb WHEN 0 THEN 30 ELSE 60 END) AS total FROM f WHERE cost <= 60 GROUP BY pop),
+        bn AS (SELECT pop, bb, count(*) AS n FROM f GROUP BY pop, bb),
+        bl AS (SELECT pop, bb, CASE WHEN wt.total IS NULL THEN n::DOUBLE WHEN (bb + 1) * 120 < bt.total THEN 1 - (bb + 1) * 120::DOUBLE / bt.total::DOUBLE ELSE 1.0::DOUBLE / ((bb + 1) * (bb + 1)) END AS likely FROM bn JOIN bt USING (pop) LEFT JOIN wt USING (pop)),
+        cycle AS (SELECT entry, f.pop, people, likely * (CASE f.bb WHEN 0 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END) * people AS part FROM f JOIN bl ON bl.pop = f.pop AND bl.bb = f.bb),
+        walk AS (SELECT entry, pop, people, (CASE WHEN (wb + 1) * 30 < total THEN 1 - (wb + 1) * 30::DOUBLE / total::DOUBLE ELSE 1.0::DOUBLE / ((wb + 1) * (wb + 1)) END) * (CASE wb WHEN 0 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END) * people AS part FROM f JOIN wt USING (pop) WHERE cost < 60),
+        sc AS (SELECT (SELECT sum(people) FROM (SELECT DISTINCT pop, people FROM walk)) * (71::DOUBLE / 124) AS gw, (SELECT sum(people) FROM (SELECT DISTINCT pop, people FROM cycle)) * (13::DOUBLE / 124) AS gc,
+            (SELECT sum(part) FROM walk) AS rw, (SELECT sum(part) FROM cycle) AS rc, (SELECT sum(vec_id % 7 + 1)::DOUBLE FROM points) AS whole),
+        own AS (SELECT vec_id AS entry, coalesce((SELECT sum(part) FROM walk WHERE entry = vec_id), 0) * gw / rw + coalesce((SELECT sum(part) FROM cycle WHERE entry = vec_id), 0) * gc / rc AS own FROM points, sc WHERE vec_id % 25 = 0),
+        m AS (SELECT gw + gc AS mapped, whole * (84::DOUBLE / 124) - gw - gc AS unmapped, 40::DOUBLE / 124 AS car, whole FROM sc),
+        e AS (SELECT (entry / 25)::BIGINT AS pos, own + own / mapped * (1 - car) * unmapped AS population FROM own, m),
+        c AS (SELECT floor(car * whole + car * unmapped) AS cars FROM m)
+        SELECT pos, round(population, 6) AS population FROM e UNION ALL
+        SELECT n_nationkey + (SELECT count(*) FROM e), round(cars * (n_nationkey % 4)::DOUBLE / (SELECT sum(n_nationkey % 4) FROM nation)::DOUBLE, 6) FROM nation, c""",
+    "graph_of_lines": """WITH v AS (SELECT l_orderkey AS fid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, (l_partkey % 97)::DOUBLE AS x, (l_suppkey % 89)::DOUBLE AS y FROM lineitem),
+        l AS (SELECT fid, arg_min(x, pos) AS x0, arg_min(y, pos) AS y0, arg_max(x, pos) AS x1, arg_max(y, pos) AS y1 FROM v GROUP BY fid),
+        e AS (SELECT x0 AS x, y0 AS y, 2 * fid AS seen FROM l UNION ALL SELECT x1, y1, 2 * fid + 1 FROM l),
+        n AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) - 1 AS node FROM e GROUP BY x, y),
+        d AS (SELECT s.node AS s, t.node AS t, fid FROM l JOIN n s ON s.x = x0 AND s.y = y0 JOIN n t ON t.x = x1 AND t.y = y1),
+        b AS (SELECT s AS source, t AS target, fid, 2 * fid AS place FROM d UNION ALL SELECT t, s, fid, 2 * fid + 1 FROM d)
+        SELECT row_number() OVER (ORDER BY source, target, place) - 1 AS arc_id, source, target, (fid % 50 + 1)::INT AS cost, (fid % 3)::INT AS weight, fid FROM b""",
+    "entry_classes": f"""{_WITH}, c AS (SELECT vec_id AS node, (vec_id % 3 = 0)::INT AS flag FROM points)
+        SELECT node, CASE WHEN flag = 0 AND EXISTS (SELECT 1 FROM arcs WHERE source = node AND target % 3 = 0) THEN 2 ELSE flag END::INT AS flag FROM c""",
+    "poi_categories": """WITH t AS (SELECT o_orderkey % 2000 AS osm_id, o_custkey % 6 AS k FROM orders), r AS (SELECT osm_id, max(CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END) AS category FROM t WHERE k < 5 GROUP BY osm_id),
+        s AS (SELECT unnest([s_suppkey + 3000, s_suppkey + 3001]) AS node_id, category FROM r JOIN supplier ON s_suppkey = osm_id UNION ALL SELECT osm_id, category FROM r WHERE osm_id NOT IN (SELECT s_suppkey FROM supplier))
+        SELECT node_id, max(category)::INT AS category FROM s GROUP BY node_id""",
+    "way_edges": """WITH v AS (SELECT l_orderkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p, l_suppkey % 89 AS n FROM lineitem),
+        e AS (SELECT w, p - 1 AS pos, n AS a, lead(n) OVER (PARTITION BY w ORDER BY p) AS b FROM v),
+        s AS (SELECT s_suppkey AS k, radians((s_suppkey % 80)::DOUBLE) AS lat, radians((s_suppkey % 70)::DOUBLE) AS lon FROM supplier),
+        m AS (SELECT w, pos, a, b, 2 * 6371000.785 * asin(sqrt(sin((t.lat-f.lat)/2)*sin((t.lat-f.lat)/2) + cos(f.lat)*cos(t.lat)*sin((t.lon-f.lon)/2)*sin((t.lon-f.lon)/2))) AS m FROM e JOIN s f ON f.k = a JOIN s t ON t.k = b)
+        SELECT w AS way_id, pos::INT AS pos, a AS source, b AS target, round(m, 2) AS metres, round(m / (50.0::DOUBLE / 3.6::DOUBLE), 2) AS seconds FROM m
+        UNION ALL SELECT w, pos::INT, b, a, round(m, 2), round(m / (50.0::DOUBLE / 3.6::DOUBLE), 2) FROM m""",
+    "box_raster": f"""WITH {_HEAT}, k AS (SELECT 50.0::DOUBLE / 47.0::DOUBLE AS f), g AS (SELECT f, radians(f) / (2 * asin(cos(radians(60.25::DOUBLE)) * sin(radians(1.0::DOUBLE) / 2))) AS h FROM k),
+        b AS (SELECT f, h, (floor(10.25::DOUBLE / f) - 0.5::DOUBLE) * f AS a0, (floor(20.75::DOUBLE / h) - 0.5::DOUBLE) * h AS o0, 60.25::DOUBLE + 0.5::DOUBLE * f AS a1, 120.75::DOUBLE + 0.5::DOUBLE * h AS o1 FROM g),
+        c AS (SELECT floor((lat + 0.5::DOUBLE * f - a0) / f) AS la, floor((lon + 0.5::DOUBLE * h - o0) / h) AS lo, a0, o0, f, (o1 - o0) / ceil((o1 - o0) / h) AS width, heat FROM heat, b WHERE lat >= a0 AND lat <= a1 AND lon >= o0 AND lon < o1)
+        SELECT round(a0 + la * f, 6) AS lat, round(o0 + lo * width, 6) AS lon, sum(heat) AS heat FROM c GROUP BY la, lo, a0, o0, f, width HAVING sum(heat) > 0""",
+    "middle_heat": f"WITH {_HEAT}, r AS (SELECT dataset, heat, row_number() OVER (PARTITION BY dataset ORDER BY lat, lon, heat) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS n FROM heat) SELECT dataset, heat AS max FROM r WHERE r = n // 2",
+    "kept_components": f"{_REC}, {_BOTH} SELECT node, component, count(*) OVER (PARTITION BY component) >= 100 AS kept FROM comp",
+    "cheap_nodes": f"{_WITH} SELECT node FROM (SELECT source AS node, cost FROM arcs UNION ALL SELECT target, cost FROM arcs) GROUP BY node HAVING max(cost) <= 15",
+    "population_arcs": f"""WITH {SQL['points']}, {SQL['road']}, r AS (SELECT a.vec_id AS id, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.vec_id) AS k
+        FROM points a, points b WHERE b.vec_id % 3 = 0) SELECT source::BIGINT AS source, target::BIGINT AS target, cost FROM arcs UNION ALL SELECT node_id, 100000 + id, 0 FROM r WHERE k = 1""",
+    "graph_file": f"""{_WITH}, k AS (SELECT *, row_number() OVER (ORDER BY source, target) - 1 AS arc_id FROM arcs)
+        SELECT 0 AS part, 0::BIGINT AS at, (SELECT count(*) FROM points)::VARCHAR AS line UNION ALL SELECT 0, 1, (SELECT count(*) FROM arcs)::VARCHAR
+        UNION ALL SELECT 1, vec_id, vec_id::VARCHAR FROM points UNION ALL SELECT 2, arc_id, concat_ws(' ', source, target, cost, arc_id) FROM k""",
 }

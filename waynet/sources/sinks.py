@@ -49,7 +49,38 @@ def write_by_level(areas: DataFrame, path: str, level: str = "admin_level") -> N
     areas.write.partitionBy(level).parquet(path)
 
 
-def target_points(arcs: DataFrame, kinds: int) -> DataFrame:
-    """Each target node once, by its first arc (target, lat, lon, type, pos), as JSON with count = kinds - type."""
-    first = arcs.groupBy("target").agg(F.min_by(F.struct("lat", "lon", (F.lit(kinds) - F.col("type")).alias("count")), "pos").alias("p"))
+def target_points(arcs: DataFrame, kinds: int, most: int | None = None) -> DataFrame:
+    """Each target node once, by its first arc (target, lat, lon, type, pos), as JSON with count = kinds - type; the first `most` by pos, if given."""
+    first = arcs.groupBy("target").agg(F.min_by(F.struct("lat", "lon", (F.lit(kinds) - F.col("type")).alias("count")), "pos").alias("p"), F.min("pos").alias("pos"))
+    first = first if most is None else first.orderBy("pos").limit(most)
     return first.select("target", F.to_json("p").alias("json"))
+
+
+def graph_lines(nodes: DataFrame, arcs: DataFrame, node_columns: list[str], arc_columns: list[str]) -> DataFrame:
+    """part, at and line of a graph file: the numbers of nodes and arcs, the nodes by node, the arcs by source and pos with their number."""
+    counts = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(arcs.agg(F.count(F.lit(1)).alias("m")))  # one row
+    head = counts.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n").cast("string").alias("line")), F.struct(F.lit(1).cast("long").alias("at"), F.col("m").cast("string").alias("line")))).alias("h")).select(F.lit(0).alias("part"), "h.*")
+    body = nodes.select(F.lit(1).alias("part"), F.col("node").cast("long").alias("at"), F.concat_ws(" ", *node_columns).alias("line"))
+    tail = arc_lines(arcs, arc_columns).select(F.lit(2).alias("part"), F.col("arc_id").alias("at"), "line")
+    return head.unionByName(body).unionByName(tail)
+
+
+def xyrf(entries: DataFrame, road: DataFrame, forest: DataFrame) -> DataFrame:
+    """pos, x, y, r, f of entries (pos, x, y) with the nearest road node (id, node_id) and forest node; parking lots have no forest node and get -1."""
+    r, f = (d.select(F.col("id").alias("pos"), F.col("node_id").alias(n)) for d, n in ((road, "r"), (forest, "f")))
+    return entries.select("pos", "x", "y").join(r, "pos").join(f, "pos", "left").select("pos", "x", "y", "r", F.coalesce("f", F.lit(-1)).alias("f"))
+
+
+def poi_lines(pois: DataFrame) -> DataFrame:
+    """index and line (index, osm_id, category) of points of interest, to be written by index."""
+    return pois.select("index", F.concat_ws(" ", "index", "osm_id", "category").alias("line"))
+
+
+def polygon_lines(polygons: DataFrame) -> DataFrame:
+    """poly_id and the ring as one line of JSON."""
+    return polygons.select("poly_id", F.to_json("ring").alias("line"))
+
+
+def dense_ids(rows: DataFrame, key: str, shift: int) -> DataFrame:
+    """key and new_id: the distinct keys numbered densely from `shift` in their order."""
+    return running_total(rows.select(key).distinct(), [key], F.lit(1), "new_id").select(key, (F.col("new_id") + shift).alias("new_id"))

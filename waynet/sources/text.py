@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waynet.functions.geo import check_preferences
+from waynet.plans.iterate import running_total
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """pos and value of every line, in file order; the running place is summed over partitions."""
@@ -43,9 +46,52 @@ def graph_from_string(spark: SparkSession, text: str) -> DataFrame:
     return arcs.select("source", F.regexp_extract("a", r"\((\d+),", 1).cast("int").alias("target"), F.regexp_extract("a", r",(\d+)", 1).cast("int").alias("cost"))
 
 
+def _tags(column: str) -> Column:
+    none = F.array().cast("array<struct<_k:string,_v:string>>")
+    return F.map_from_entries(F.transform(F.coalesce(column, none), lambda t: F.struct(t["_k"], t["_v"])))
+
+
 def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (node_id, lat, lon) and ways (way_id, nds, tags) of an OSM XML file."""
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double").load(path)
     ways = spark.read.format("xml").option("rowTag", "way").schema("_id long, nd array<struct<_ref:long>>, tag array<struct<_k:string,_v:string>>").load(path)
-    tags = F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"], t["_v"])))
-    return nodes.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon")), ways.select(F.col("_id").alias("way_id"), F.transform("nd", lambda n: n["_ref"]).alias("nds"), tags.alias("tags"))
+    return read_osm_nodes(spark, path).drop("tags"), ways.select(F.col("_id").alias("way_id"), F.transform("nd", lambda n: n["_ref"]).alias("nds"), _tags("tag").alias("tags"))
+
+
+def read_osm_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """node_id, lat, lon and tags."""
+    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double, tag array<struct<_k:string,_v:string>>").load(path)
+    return nodes.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), _tags("tag").alias("tags"))
+
+
+def read_osm_relations(spark: SparkSession, path: str) -> DataFrame:
+    """relation_id, members array of (type, ref, role), and tags."""
+    schema = "_id long, member array<struct<_type:string,_ref:long,_role:string>>, tag array<struct<_k:string,_v:string>>"
+    raw = spark.read.format("xml").option("rowTag", "relation").schema(schema).load(path)
+    members = F.transform(F.coalesce("member", F.array().cast("array<struct<_type:string,_ref:long,_role:string>>")), lambda m: F.struct(m["_type"].alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role")))
+    return raw.select(F.col("_id").alias("relation_id"), members.alias("members"), _tags("tag").alias("tags"))
+
+
+def read_heat_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, lat, lon, flag), the lines of four fields, and edges (edge, source, target), those of three; both numbered from 0 in file order."""
+    split = lines(spark, path).select("pos", fields(F.col("value")).alias("f"))
+    get = lambda i, kind: F.get("f", F.lit(i)).cast("double").cast(kind)
+    nodes = running_total(split.where(F.size("f") == 4), ["pos"], F.lit(1), "node")
+    edges = running_total(split.where(F.size("f") == 3), ["pos"], F.lit(1), "edge")
+    return nodes.select("node", get(0, "double").alias("lat"), get(1, "double").alias("lon"), get(3, "int").alias("flag")), edges.select("edge", get(0, "long").alias("source"), get(1, "long").alias("target"))
+
+
+def read_preferences(spark: SparkSession, path: str) -> list[tuple[float, float]]:
+    """The (bound in minutes, share) pairs of a preference file, checked; a handful of rows."""
+    rows = read_columns(spark, path, ["bound", "share"]).orderBy("pos").collect()
+    prefs = [(r["bound"], r["share"]) for r in rows]
+    check_preferences(prefs)
+    return prefs
+
+
+def graph_to_string(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """One row, text: the graph string that graph_from_string() reads; for small graphs, as in tests."""
+    own = arcs.groupBy(F.col("source").alias("node")).agg(F.sort_array(F.collect_list(F.struct("target", "cost"))).alias("a"))
+    pair = lambda x: F.concat(F.lit("("), x["target"].cast("string"), F.lit(","), x["cost"].cast("string"), F.lit(")"))
+    groups = nodes.select("node").join(own, "node", "left").select("node", F.concat(F.lit("{"), F.array_join(F.transform(F.coalesce("a", F.array().cast("array<struct<target:bigint,cost:bigint>>")), pair), ","), F.lit("}")).alias("g"), F.coalesce(F.size("a"), F.lit(0)).alias("n"))
+    whole = groups.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("arcs"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "g"))), lambda x: x["g"]), ",").alias("g"))
+    return whole.select(F.format_string("[%d,%d,%s]", "nodes", "arcs", "g").alias("text"))
