@@ -103,8 +103,67 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_CHAT_SQL = rf"""
+    WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '{TRAP}' UNION ALL SELECT -1, 1, 'assistant', '{TRAP}'),
+        t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, len(regexp_extract_all(text, '\S+')) + 3 AS tokens,
+            length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS chars FROM c),
+        g AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY i))::BIGINT AS ends, (first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system')::INT AS n_system,
+            greatest({chat.BUDGET - chat.HISTORY} - CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system' THEN first_value(tokens) OVER (PARTITION BY conv_id ORDER BY i) ELSE 0 END, 1) AS room FROM t),
+        s AS (SELECT DISTINCT conv_id, 0::BIGINT AS start FROM g UNION ALL
+            SELECT s.conv_id, min(g.i) FROM s JOIN g ON g.conv_id = s.conv_id JOIN g b ON b.conv_id = s.conv_id AND b.i = s.start
+            WHERE g.i > s.start AND g.i > g.n_system AND g.ends - (b.ends - b.tokens) > g.room GROUP BY s.conv_id, s.start),
+        w AS (SELECT conv_id, start, coalesce(lead(start) OVER (PARTITION BY conv_id ORDER BY start), 1000000000000) AS stop FROM s),
+        f AS (SELECT w.conv_id, sum(g.chars)::BIGINT AS formatted_chars FROM w JOIN g ON g.conv_id = w.conv_id LEFT JOIN g p ON p.conv_id = w.conv_id AND p.i = w.start - 1
+            WHERE g.i >= start AND g.i < stop OR g.i < start AND (g.i < g.n_system OR p.ends - (g.ends - g.tokens) <= {chat.HISTORY}) GROUP BY w.conv_id)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        any_value(formatted_chars) AS formatted_chars FROM g JOIN f USING (conv_id) GROUP BY conv_id
+"""
+
+
+def _first(a: str, b: str) -> str:
+    """SQL of the first place, from 0, where two lists differ; null if nowhere."""
+    return f"list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS DISTINCT FROM {b}[i]), true) - 1"
+
+
+def _last(a: str, b: str) -> str:
+    return _first(f"list_reverse({a})", f"list_reverse({b})")
+
+
+_TREE_SQL = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx, length(t) // 2 AS h FROM d),
+        k AS (SELECT doc_id, t, nx, left(t, length(t) - h) || left(nx, h) AS ed FROM n),
+        v AS (SELECT doc_id, unnest([1, 2, 3]) AS kind, unnest([t, ed, nx]) AS x FROM k),
+        tree AS (SELECT *, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '\s*\S+(?:\s+\S+){{0,{fingerprint.BLOCK - 1}}}|\s+'), lambda b: sha256(b)))) AS tr FROM v),
+        par AS (SELECT *, list_transform(tr, lambda s: list_transform(s, lambda p: sha256(coalesce(array_to_string(p, ''), '')))) AS pa FROM tree),
+        sec AS (SELECT *, list_transform(pa, lambda s: sha256(array_to_string(s, ''))) AS se FROM par),
+        blocks AS (SELECT doc_id, kind, g, count(*) AS c FROM (SELECT doc_id, kind, unnest(flatten(flatten(tr))) AS g FROM tree) GROUP BY ALL),
+        words AS (SELECT doc_id, kind, unnest(w) AS g, generate_subscripts(w, 1) AS c FROM (SELECT doc_id, kind, regexp_extract_all(x, '\S+') AS w FROM v)),
+        sizes AS (SELECT doc_id, kind, coalesce((SELECT sum(c) FROM blocks b WHERE b.doc_id = v.doc_id AND b.kind = v.kind), 0) AS nb, len(regexp_extract_all(x, '\S+')) AS nw FROM v),
+        bm AS (SELECT a.doc_id, b.kind, sum(least(a.c, b.c)) AS m FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.g = b.g AND a.kind = 1 AND b.kind > 1 GROUP BY ALL),
+        wm AS (SELECT a.doc_id, b.kind, count(*) AS m FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.g = b.g AND a.c = b.c AND a.kind = 1 AND b.kind > 1 GROUP BY ALL),
+        near AS (SELECT s.doc_id, o.kind, greatest(CASE WHEN s.nb + o.nb = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(bm.m, 0)::DOUBLE / (s.nb + o.nb)::DOUBLE END, CASE WHEN s.nw + o.nw = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(wm.m, 0)::DOUBLE / (s.nw + o.nw)::DOUBLE END) AS likeness
+            FROM sizes s JOIN sizes o ON s.doc_id = o.doc_id AND s.kind = 1 AND o.kind > 1 LEFT JOIN bm ON bm.doc_id = s.doc_id AND bm.kind = o.kind LEFT JOIN wm ON wm.doc_id = s.doc_id AND wm.kind = o.kind),
+        pair AS (SELECT a.doc_id, a.x, b.x AS ex, a.se AS a, b.se AS b, a.pa AS ap, b.pa AS bp, sha256(array_to_string(a.se, '')) AS fingerprint, sha256(array_to_string(b.se, '')) AS edited_fingerprint FROM sec a JOIN sec b ON a.doc_id = b.doc_id AND a.kind = 1 AND b.kind = 2),
+        e1 AS (SELECT *, {_first('a', 'b')} AS f, {_last('a', 'b')} AS l FROM pair),
+        e2 AS (SELECT *, least(l, least(len(a), len(b)) - f) AS kept FROM e1),
+        e3 AS (SELECT *, flatten(ap[f + 1:len(a) - kept]) AS c, flatten(bp[f + 1:len(b) - kept]) AS d FROM e2),
+        e4 AS (SELECT *, {_first('c', 'd')} AS pf, {_last('c', 'd')} AS pl FROM e3),
+        e5 AS (SELECT *, least(pl, least(len(c), len(d)) - pf) AS pk FROM e4)
+    SELECT e5.doc_id, length(x) AS n_chars, sha256(ex) AS edited_sha256, fingerprint, edited_fingerprint,
+        CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE ELSE n2.likeness END AS near_edited, n3.likeness AS near_next,
+        CASE WHEN f IS NOT NULL THEN '{{"sections":{{"first":' || f || ',"removed":' || (len(a) - f - kept) || ',"added":' || (len(b) - f - kept) || '}}' ||
+            CASE WHEN pf IS NULL THEN '' ELSE ',"paragraphs":{{"first":' || pf || ',"removed":' || (len(c) - pf - pk) || ',"added":' || (len(d) - pf - pk) || '}}' END || '}}' END AS edit
+    FROM e5 JOIN near n2 ON n2.doc_id = e5.doc_id AND n2.kind = 2 JOIN near n3 ON n3.doc_id = e5.doc_id AND n3.kind = 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_chat": _CHAT_SQL,
+        "op10_fingerprint": _TREE_SQL,
         "op5_jaccard": r"""
             WITH RECURSIVE w AS (
                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
