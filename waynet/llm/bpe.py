@@ -16,7 +16,7 @@ import base64
 import json
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waynet.llm.common import whole_text
+from waynet.llm.common import materialize, whole_text
 
 #: Characters of text in a block.
 BLOCK_CHARS = 2 << 20
@@ -37,7 +37,7 @@ COMMON_PARTS = 24
 #: Places between the bytes of a word of up to BITS bytes fit a signed 64-bit number; those of longer words lie in runs.
 BITS, RUN = 60, 512
 #: Buckets of the literal rank map.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 
 _BLOCK = pa.schema(
     [
@@ -65,11 +65,11 @@ def _place(piece: bytes, size: int) -> int:
     return xxhash.xxh64_intdigest(piece.decode("latin-1").encode(), 42) % size
 
 
-def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, Column]:
-    """The ranks as a literal array of small maps, and the length of the longest piece with the first three bytes of a place.
-
-    Spark searches a map from its start, so one map of all ranks would be slow.
-    """
+@lru_cache(2)
+def _tables(vocabulary: str) -> tuple[str, str]:
+    """The ranks of a checked vocabulary in small maps, and the length of the longest piece with the first three bytes of a place, in JSON."""
+    ranks = load_ranks(vocabulary)
+    check_order(ranks)
     buckets: list[dict[str, int] | None] = [None] * BUCKETS
     bounds = [2] * BUCKETS
     for piece, rank in ranks.items():
@@ -78,7 +78,13 @@ def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, Column]:
         if len(piece) > 2:
             at = _place(piece[:3], BUCKETS)
             bounds[at] = max(bounds[at], len(piece))
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,bigint>>"), F.from_json(F.lit(json.dumps(bounds)), "array<int>")
+    return json.dumps(buckets, separators=(",", ":"), ensure_ascii=False), json.dumps(bounds, separators=(",", ":"))
+
+
+def rank_literal(vocabulary: str) -> tuple[Column, Column]:
+    """The ranks of a vocabulary as a literal array of small maps (Spark searches a map from its start), and the bounds of lengths."""
+    buckets, bounds = _tables(vocabulary)
+    return F.from_json(F.lit(buckets), "array<map<string,bigint>>"), F.from_json(F.lit(bounds), "array<int>")
 
 
 def check_order(ranks: dict[bytes, int]) -> None:
@@ -310,9 +316,7 @@ def _common_words(texts: DataFrame, pattern: str) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, as the tiktoken library encodes without special tokens."""
-    ranks = load_ranks(vocabulary)
-    check_order(ranks)
-    buckets, bounds = rank_literal(ranks)
+    buckets, bounds = rank_literal(vocabulary)
 
     def fold(blocks: DataFrame) -> DataFrame:
         # The literals stand in the plan once; all words of a block see them through variables.
@@ -320,7 +324,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     dealt = _common_words(texts, pattern).groupBy(F.pmod(F.xxhash64("word"), F.lit(COMMON_PARTS)).alias("part")).agg(F.collect_list(F.encode("word", "UTF-8")).alias("words"))
-    once = fold(dealt).select(F.explode(F.arrays_zip("words", "ids")).alias("z")).select(F.decode("z.words", "UTF-8").alias("word"), F.col("z.ids").cast("array<int>").alias("ids"))
+    # Written first, so that no plan with an exchange carries the literals, which adaptive execution would describe again and again.
+    once = fold(materialize(dealt, "bpe-common")).select(F.explode(F.arrays_zip("words", "ids")).alias("z")).select(F.decode("z.words", "UTF-8").alias("word"), F.col("z.ids").cast("array<int>").alias("ids"))
     once = once.toArrow().combine_chunks()  # MOST_COMMON rows at most
     words, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (once["word"], once["ids"]))
     shared = docs.sparkSession.sparkContext.broadcast(WordIds(words, ids))
