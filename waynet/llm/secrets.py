@@ -3,8 +3,8 @@
 Tokens are runs without white space, tagged begin, inside or outside of a secret. A tag's
 score sums weights of the token's shape, its neighbours' shapes and words, and features of
 the whole text. The field is trained by maximum likelihood on windows of a bounded sample:
-base matches are labels, and disguised() copies of them, in which keyword, joint, prefix or alphabet
-are such as no base pattern knows, teach it what else secrets look like. Viterbi decoding leaves out no text: a token whose scores
+base matches are labels, and disguised() copies of their surroundings, with a keyword, joint, alphabet and length such
+as no base pattern knows, teach it what else secrets look like. Viterbi decoding leaves out no text: a token whose scores
 put it outside whatever its neighbours are splits the chain exactly, so only the runs
 between such tokens have to be walked.
 
@@ -28,7 +28,9 @@ from waynet.llm.common import bounded_sample, slices, whole_text
 
 #: Bounds of the fit: texts with and without a base match, windows, and the tokens of a window.
 TEXTS_PER_CLASS, MOST_WINDOWS, WINDOW = 500, 5000, 24
-STEPS = 120
+#: Disguised copies of a base match, at most in all, and the code points on each side that they keep.
+COPIES, MOST_COPIES, AROUND = 100, 2000, 160
+STEPS = 160
 
 #: Fixed values of the contract: kind, pattern, group and least length.
 BASE = (
@@ -115,6 +117,7 @@ class Tokens:
         mixed = np.minimum(3, turns // 4)
         self.shape = (((length * 2 + (lower > 0)) * 2 + (upper > 0)) * 2 + (digit > 0)) * 2 + (mark > 0)
         self.shape = self.shape * 4 + mixed
+        self.length, self.kinds = length, self.shape % 64
         keyed, key_id = np.zeros(n, bool), np.zeros(n, bool)
         if n and len(self.keyword_at):
             keyed[owner(self.keyword_at)] = True
@@ -143,11 +146,11 @@ class Tokens:
         per_text = np.bincount(self.text, minlength=count)
         with_key = np.bincount(self.text, self.word >= 8, count) > 0
         file = with_key * 4 + np.minimum(3, (20 * np.bincount(self.text, self.digits >= 2, count)) // np.maximum(1, per_text))
-        self.codes = [self.shape, shifted(self.shape, 1, SHAPES), shifted(self.shape, -1, SHAPES), self.word, shifted(self.word, 1, 16), shifted(self.word, 2, 16), shifted(self.word, -1, 16), self.digits, file[self.text].astype(np.int64)]
+        self.codes = [self.shape, shifted(self.shape, 1, SHAPES), shifted(self.shape, -1, SHAPES), self.word, shifted(self.word, 1, 16), shifted(self.word, 2, 16), shifted(self.word, -1, 16), self.digits, file[self.text].astype(np.int64), self.length, self.kinds]
 
 
 SHAPES = 8 * 16 * 4
-SIZES = [SHAPES, SHAPES + 1, SHAPES + 1, 16, 17, 17, 17, 8, 8]
+SIZES = [SHAPES, SHAPES + 1, SHAPES + 1, 16, 17, 17, 17, 8, 8, 8, 64]
 
 
 class SecretField:
@@ -234,35 +237,31 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, before: int | None = None, af
     return np.array(path[::-1], np.int8)
 
 
-def disguised(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
-    """The text with its secrets altered so that base patterns miss them, and where they are."""
-    out, spans, at = [], [], 0
-    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+def disguised(text: str, start: int, end: int, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
+    """The surroundings of a secret with another in its place, such as base patterns miss, and where that is."""
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    for start, kind, end in base_spans(text):
-        if start < at:
-            continue
-        own = text[start:end]
-        if kind == "assign":
-            value = BASE[0][1].match(own)[2]
-            value = "".join(draw(digits if c in digits else upper if c in upper else lower, 1) if c.isalnum() else c for c in value)
-            own = str(rng.choice(OTHER_WORDS)) + str(rng.choice(JOINTS)) + value
-        elif kind == "access":
-            own = draw(upper, 4).replace("AKIA", "AKIB") + own[4:]
-        else:
-            own = own.upper() if rng.random() < 0.5 else draw(upper + lower + digits, len(own))
-        out += [text[at:start], own]
-        place = sum(map(len, out))
-        spans.append((place - len(own), place))
-        at = end
-    return "".join([*out, text[at:]]), spans
+    alphabet = (lower + upper + digits, upper + digits, lower + digits, "0123456789ABCDEF", lower + upper + digits + "_-")[rng.integers(5)]
+    value = "".join(rng.choice(list(alphabet), int(rng.integers(12, 45))))
+    if rng.random() < 0.2:
+        value = "".join(rng.choice(list(lower), int(rng.integers(2, 5)))) + str(rng.choice(["_", "-"])) + value
+    if rng.random() < 0.3:
+        value = f'"{value}"'
+    lead = str(rng.choice(OTHER_WORDS)) + str(rng.choice(JOINTS)) if rng.random() < 0.7 else ""
+    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    if before and not before[-1].isspace():
+        before += " "
+    if after and not after[0].isspace():
+        after = " " + after
+    return before + lead + value + after, [(len(before) + len(lead), len(before) + len(lead) + len(value))]
 
 
 def _labelled_windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Feature codes, tags and which tokens are real, of windows of the texts and of their disguised copies."""
     rng = np.random.default_rng(3)
     told = [(t, [(a, b) for a, _, b in base_spans(t)]) for t in texts]
-    told += [disguised(t, rng) for t, spans in told if spans]
+    places = [(t, a, b) for t, spans in told for a, b in spans]
+    copies = min(COPIES, -(-MOST_COPIES // max(1, len(places))))
+    told += [disguised(t, a, b, rng) for t, a, b in places for _ in range(copies)][:MOST_COPIES]
     raw = [t.encode() for t, _ in told]
     offsets = np.cumsum([0, *map(len, raw)])
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -277,7 +276,7 @@ def _labelled_windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, n
             tags[first : last + 1] = np.where(tags[first : last + 1] == O, I, tags[first : last + 1])
             tags[first] = B
     hot = np.flatnonzero(tags == B)
-    starts = np.concatenate((hot - rng.integers(3, WINDOW - 6, len(hot)), rng.integers(0, max(1, len(tags)), len(hot) + 800)))
+    starts = np.concatenate((hot - rng.integers(3, WINDOW - 6, len(hot)), rng.integers(0, max(1, len(tags)), len(hot) + 1500)))
     starts = np.clip(rng.permutation(starts)[:MOST_WINDOWS], 0, max(0, len(tags) - WINDOW))
     at = starts[:, None] + np.arange(WINDOW)
     real = at < len(tags)
