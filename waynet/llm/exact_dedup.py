@@ -7,6 +7,9 @@ document's content is, and a count. Rows that hit an existing digest are then co
 with the retained document's full bytes; should they differ, they are grouped by their text instead, so a
 digest's collisions don't merge documents.
 
+A state folder given by the caller outlives the call: later documents are compared with all that arrived before, whose
+bytes are read by the retained locator, the file that held them. Without one the state is of this call alone.
+
 Digests that hold more than their part of all rows are joined by a broadcast of a bounded size, and
 full bytes are compared in salted runs of SALT_ROWS rows, each beside the retained document.
 
@@ -16,8 +19,11 @@ them stays; rows of one id with different texts are different documents. An empt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from waynet.llm.common import is_hot, join_split, materialize, scratch, whole_text
@@ -27,7 +33,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SALT_ROWS = 1000
 #: Digests of copies are broadcast up to this many (about 30 MB), so texts without a copy aren't shuffled; beyond, by a shuffle.
 BROADCAST_GROUPS = 1 << 18
-#: Set while the stream runs, and put back afterwards. The memory of all stores of an executor is bounded together.
+#: Settings of the stream's own session. The memory of all stores of an executor is bounded together.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -41,50 +47,64 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def stream_state(arrivals: DataFrame, files_per_batch: int = 1000) -> DataFrame:
-    """digest, keep_id, keep_seq, keep_file and n of every digest of a written table of arrivals, read from the stream's state."""
-    spark = arrivals.sparkSession
-    where = scratch(spark, "dedup-state")
-    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
-    for k, v in STATE_SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        path = arrivals.inputFiles()[0].rpartition("/")[0]
-        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-        keeper = F.max(F.struct("doc_id", "seq", "file")).alias("keeper")
-        state = stream.groupBy("digest").agg(keeper, F.count(F.lit(1)).alias("n"))
-        query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", where).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def stream_state(arrivals: str, schema: StructType, where: str, spark: SparkSession, files_per_batch: int = 1000) -> DataFrame:
+    """digest, keep_id, keep_seq, keep_file, keep_call and n of every digest of a folder of arrivals, from the stream's state at `where`.
+
+    Files that the state has seen aren't read again.
+    """
+    own = spark.newSession()
+    for k, v in {**STATE_SETTINGS, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
+    keeper = F.max(F.struct("doc_id", "seq", "call", "file")).alias("keeper")
+    state = stream.groupBy("digest").agg(keeper, F.count(F.lit(1)).alias("n"))
+    state.writeStream.format("noop").outputMode("update").option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
     kept = spark.read.format("statestore").load(where)
     keeper, n = (F.col("value")[f.name] for f in kept.schema["value"].dataType.fields[:2])
-    return kept.select(F.col("key.digest").alias("digest"), keeper["doc_id"].alias("keep_id"), keeper["seq"].alias("keep_seq"), keeper["file"].alias("keep_file"), n.alias("n"))
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, digest. Of equal texts the row of the largest id stays."""
-    spark = docs.sparkSession
+    return kept.select(F.col("key.digest").alias("digest"), keeper["doc_id"].alias("keep_id"), keeper["seq"].alias("keep_seq"), keeper["call"].alias("keep_call"), keeper["file"].alias("keep_file"), n.alias("n"))
+
+
+def _earlier_texts(copied: DataFrame, call: str, id_col: str, text_col: str, digest) -> DataFrame | None:
+    """digest and text of the retained documents of earlier calls, read from the files that their locators name."""
+    earlier = copied.where(F.col("keep_call") != call)
+    files = [r[0] for r in earlier.select("keep_file").distinct().collect()]  # files of earlier inputs, not documents
+    if not files:
+        return None
+    if "" in files:
+        raise ValueError("documents that aren't read from files have no locator to compare later ones with")
+    found = copied.sparkSession.read.parquet(*files).select(F.col(id_col).alias("keep_id"), whole_text(text_col).alias("text"))
+    found = found.withColumn("digest", digest(F.col("text"))).join(earlier.select("digest", "keep_id"), ["digest", "keep_id"], "left_semi")
+    return found.select("digest", "text").dropDuplicates(["digest"])
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, digest. Of equal texts the row of the largest id stays, also among those that a kept state has seen."""
+    spark, call = docs.sparkSession, uuid.uuid4().hex
+    folder = state or scratch(spark, "dedup-state")
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.input_file_name().alias("file"))
-    keyed = rows.select("doc_id", digest(F.col("text")).alias("digest"), "file")
-    arrivals = materialize(keyed.withColumn("seq", F.monotonically_increasing_id()), "dedup-arrivals")
-    if not arrivals.inputFiles():
+    keyed = rows.select("doc_id", digest(F.col("text")).alias("digest"), "file").withColumns({"seq": F.monotonically_increasing_id(), "call": F.lit(call)})
+    keyed.write.mode("append").parquet(f"{folder}/arrivals")
+    arrivals = spark.read.schema(keyed.schema).parquet(f"{folder}/arrivals").where(F.col("call") == call)
+    if arrivals.isEmpty():
         return arrivals.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest").limit(0)
-    state = materialize(stream_state(arrivals), "dedup-groups")
-    hot = state.where(is_hot(F.col("n"), arrivals.count()))
-    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("seq") == F.col("keep_seq"))
-    found = join_split(arrivals, state, hot, ["digest"]).select("digest", "doc_id", "keep_id", "n", is_keeper.alias("is_keeper"))
+    groups = materialize(stream_state(f"{folder}/arrivals", keyed.schema, f"{folder}/checkpoint", spark), "dedup-groups")
+    hot = groups.where(is_hot(F.col("n"), arrivals.count()))
+    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("seq") == F.col("keep_seq")) & (F.col("keep_call") == call)
+    found = join_split(arrivals, groups.drop("keep_file"), hot, ["digest"]).select("digest", "doc_id", "keep_id", "n", is_keeper.alias("is_keeper"))
     found = materialize(found, "dedup-found")
 
     # Full bytes on hits: the texts of digests seen more than once, against the retained document's.
-    copied = materialize(state.where("n > 1").select("digest", "keep_id", "n"), "dedup-copied")
+    copied = materialize(groups.where("n > 1").select("digest", "keep_id", "keep_call", "keep_file", "n"), "dedup-copied")
+    sought = copied.select("digest", "keep_id", "n", (F.col("keep_call") == call).alias("own"))
     hits = rows.withColumn("digest", digest(F.col("text")))
-    hits = hits.join(F.broadcast(copied), "digest") if copied.count() <= BROADCAST_GROUPS else join_split(hits, copied, hot, ["digest"])
+    hits = hits.join(F.broadcast(sought), "digest") if copied.count() <= BROADCAST_GROUPS else join_split(hits, sought, hot, ["digest"])
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     salt = F.pmod(F.monotonically_increasing_id(), salts).cast("int")
-    hits = materialize(hits.select("digest", "doc_id", "text", salt.alias("salt"), salts.alias("salts"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("retained")), "dedup-hits")
+    hits = materialize(hits.select("digest", "doc_id", "text", salt.alias("salt"), salts.alias("salts"), (F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("retained")), "dedup-hits")
     retained = hits.where("retained").groupBy("digest", "salts").agg(F.max("text").alias("bytes"))
+    earlier = _earlier_texts(copied, call, id_col, text_col, digest) if state else None
+    if earlier is not None:
+        retained = retained.unionByName(earlier.join(hits.select("digest", "salts").distinct(), "digest").select("digest", "salts", F.col("text").alias("bytes")))
     retained = retained.select("digest", "bytes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     unlike = hits.join(retained, ["digest", "salt"]).where(F.col("text") != F.col("bytes")).select("digest", "doc_id", "text")
     unlike = materialize(unlike, "dedup-unlike")
