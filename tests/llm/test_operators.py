@@ -45,6 +45,23 @@ OPERATORS = {
 }
 
 
+def test_chat_edges(spark):
+    """Null roles, texts and ids, ties, repeated rows, an unbounded turn and clashing columns."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "first"), (1, 2, None, None), (1, 2, "assistant", "b"), (None, 0, "assistant", "c"), (2, 0, "assistant", "word " * 40_000)]
+    turns = spark.createDataFrame([(*r, 1, 1) for r in rows], "conv_id long, turn long, role string, text string, window int, tokens int")
+    out = {r["conv_id"]: r for r in chat.read_back(chat.format_windows(turns, 50, 10)).collect()}
+    assert [tuple(t) for t in out[1]["turns"]] == [("system", "first"), ("user", "a"), ("user", "a"), ("", ""), ("assistant", "b")]
+    assert out[1]["loss_text"] == "b" and out[None]["loss_text"] == "c" and out[2]["loss_text"] == "word " * 40_000
+
+
+def test_edited_branches_name_sections_and_paragraphs(spark):
+    old, new = "a\n\nb one\nb two\n\nc", "a\n\nnew\n\nb one\nb 2\n\nc"
+    for a, b, expected in ((old, old, None), (old, new, ((1, 1, 2), (0, 2, 3))), (old, old.replace("two", "2"), ((1, 1, 1), (1, 1, 1)))):
+        rows = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.edited_branches(fingerprint.tree(F.col("a")), fingerprint.tree(F.col("b"))).alias("e"))
+        e = rows.first()["e"]
+        assert (e and (tuple(e["sections"]), tuple(e["paragraphs"]))) == expected
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_edges_give_a_row_each(spark, name):
     rows = edge_texts()
@@ -76,6 +93,30 @@ def test_exact_dedup_holds_with_colliding_digests(spark):
     assert sorted(r[0] for r in exact_dedup.deduplicated(table(spark, rows + rows[-7:])).select("doc_id").collect()) == list(range(53, 60))
 
 
+def test_kept_state_knows_earlier_calls(spark, tmp_path):
+    """Later documents are compared with all that came before, by the bytes in the files that the state names."""
+    first, second = [(i, "t%d" % (i % 4)) for i in range(8)], [(20, "t0"), (3, "t1"), (21, "new"), (22, "new")]
+    paths = []
+    for k, rows in enumerate((first, second)):
+        paths.append(f"file://{tmp_path}/{k}")
+        table(spark, rows).write.parquet(paths[-1])
+    for digest in (exact_dedup.sha256, lambda t: F.lit("same")):
+        state = f"file://{tmp_path}/state-{'sha' if digest is exact_dedup.sha256 else 'same'}"
+        exact_dedup.exact_groups(spark.read.parquet(paths[0]), digest=digest, state=state).count()
+        out = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(spark.read.parquet(paths[1]), digest=digest, state=state).collect()}
+        if digest is exact_dedup.sha256:
+            assert out == {20: (20, True), 3: (5, False), 21: (22, False), 22: (22, True)}
+        else:  # one digest for all: the retained document is 22, and other texts are grouped among themselves
+            assert out[22] == (22, True) and out[21] == (22, False)
+
+
+def test_boundary_follows_sizes_and_lists():
+    small, large = {s: 100 for s in range(1, 12)}, {s: 100 for s in range(300, 320)}
+    assert jaccard.choose_boundary({}, 5) == 0
+    assert jaccard.choose_boundary(small, 0.0) < jaccard.choose_boundary(small, 60.0)
+    assert jaccard.choose_boundary(large, 60.0) == 0
+
+
 def components_by_force(rows):
     sets = {}
     for i, t in rows:
@@ -127,6 +168,42 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_windows(turns.limit(0))).count() == 0
 
 
+def test_targets_are_shared_again_beyond_three_times(spark):
+    """Against sharing what is cut off round by round."""
+    sizes = {"a": 5, "b": 100, "c": 1000, "d": 2, "e": 4000, None: 7}
+    names = sorted((k for k in sizes if k is not None)) + [None]
+    weights = {k: i % 3 + 1 for i, k in enumerate(names)}
+    target, left, free = dict.fromkeys(names, 0.0), float(sum(sizes.values())), set(names)
+    while left > 1e-9 and free:
+        whole, spare = sum(weights[k] for k in free), 0.0
+        for k in sorted(free, key=str):
+            target[k] += left * weights[k] / whole
+            if target[k] > 3 * sizes[k]:
+                spare += target[k] - 3 * sizes[k]
+                target[k] = 3.0 * sizes[k]
+        left, free = spare, {k for k in free if target[k] < 3 * sizes[k]}
+    out = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in out} == pytest.approx(target)
+
+
+def test_draw_goes_by_keys_and_rows_are_told_apart(spark):
+    """Within a source, documents are taken in the order of their exponential keys; repeated rows are taken each for itself."""
+    rows = [(i, "word other thing " * (1 + i % 5)) for i in range(80)] + [(7, "word other thing " * 3)] * 4 + [(None, "a b c d")] * 3
+    docs = table(spark, [(i, t) for i, t in rows]).withColumn("__row", F.lit(1)).withColumn("_mix0", F.lit(2))
+    unit = (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keys = {(r["doc_id"], r["size"]): r["key"] for r in docs.select("doc_id", mixing.n_words("text").alias("size"), (-F.log(unit) / mixing.quality_weight("text")).alias("key")).collect()}
+    sources = collections.defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        sources[r["source"]].append((keys[r["doc_id"], r["size"]], r["taken"] - r["epochs"] * r["size"], r["size"]))
+    for own in sources.values():
+        parts = [(part, size) for _, part, size in sorted(own)]
+        full = [part == size for part, size in parts]
+        assert full == sorted(full, reverse=True) and sum(0 < part < size for part, size in parts) <= 1
+    back = mixing.mixed(docs)
+    assert back.columns == docs.columns
+    assert back.select(mixing.n_words("text").alias("n")).agg(F.sum("n")).first()[0] == mixing.mix(docs).agg(F.sum("taken")).first()[0]
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "word " * (1 + i % 9)) for i in range(200)]
     out = mixing.mix(table(spark, rows)).toPandas()
@@ -159,6 +236,37 @@ def test_secrets(spark):
     assert secrets.base_spans("Password: 12345678 AKIA0123456789AB") == [(0, "assign", 18), (19, "access", 35)]
 
 
+def scan_by_force(text):
+    """Base matches by plain patterns in ASCII, kind by kind."""
+    import regex
+
+    word, found = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])", []
+    for kind, pattern, least in ((0, word + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), (1, "(AKIA[A-Z0-9]+)", 16), (2, "([0-9a-f]+)", 32)):
+        found += [(m.start(), kind, m.end()) for m in regex.finditer(pattern, text) if len(m[1]) >= least]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secrets_of_random_neighbours_equal_plain_patterns(spark):
+    rng = np.random.default_rng(12)
+    bits = ["password", "Token", "api_key", "\u017fecret", "to\u212aen", "=", ": ", "'", " ", "abcdefgh1", "AKIA", "0123456789ABCDEF", "deadbeef" * 4, "ab12", "\u00fc", "\n", "x"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 12)))) for _ in range(400)]
+    for r in secrets.scan(table(spark, list(enumerate(texts))).coalesce(1), secrets.SecretField()).collect():
+        assert r["base_sha256"] == sha(scan_by_force(texts[r["doc_id"]])), texts[r["doc_id"]]
+
+
+def test_field_finds_secrets_that_no_base_pattern_knows(spark):
+    """Planted credentials without a base match are found, and plain prose is left alone."""
+    rng = np.random.default_rng(7)
+    value = lambda: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"), 20))
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = secrets.fit(prose)
+    told = [(i, f"the new credential is {value()} and it ends today") if i % 2 else (i, f"log in with pwd = {value()} or call us") for i in range(60)]
+    clean = [(100 + i, "we met at the old station and talked about the weather for a long while, then took bus 42 home") for i in range(30)]
+    assert all(not scan_by_force(t) for _, t in told + clean)
+    out = {r["doc_id"]: r["n_added"] for r in secrets.scan(table(spark, told + clean), field).collect()}
+    assert sum(out[i] > 0 for i, _ in told) >= 48 and not any(out[i] for i, _ in clean)
+
+
 def test_secrets_do_not_depend_on_neighbours(spark):
     """Runs, keywords and turns end where a text does, also an empty one between."""
     texts = ["0123456789abcdef" * 2] * 2 + ["", "deadbeef" * 8, "my pass", "word=abcdefgh1", "xAK", "IA0123456789ABCDEF", "a1b2c3d4A", "-x"]
