@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waynet.llm.common import materialize, whole_text
+from waynet.llm.common import materialize, released, whole_text
 
 #: Characters of text in a block.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 #: Words that a task remembers from earlier blocks (some 200 bytes each); then it forgets all.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Documents of the sample that tells common words, and the most of them.
 SAMPLE_ROWS, MOST_COMMON = 16_000, 1 << 18
 #: Parts that the common words are folded in.
@@ -310,7 +310,7 @@ def _common_words(texts: DataFrame, pattern: str) -> DataFrame:
 
     share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
     unit = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    counts = texts.where(unit < share).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.where(unit < share).mapInArrow(released(counted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(MOST_COMMON).select("word")
 
 
@@ -329,7 +329,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     once = once.toArrow().combine_chunks()  # MOST_COMMON rows at most
     words, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (once["word"], once["ids"]))
     shared = docs.sparkSession.sparkContext.broadcast(WordIds(words, ids))
-    return fold(texts.mapInArrow(_pack(pattern, shared), _BLOCK_DDL)).mapInArrow(_unpack(shared), "doc_id bigint, ids array<int>")
+    return fold(texts.mapInArrow(released(_pack(pattern, shared)), _BLOCK_DDL)).mapInArrow(released(_unpack(shared)), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -366,4 +366,4 @@ def _with_pieces(encoded: DataFrame, vocabulary: str, ddl: str, made) -> DataFra
                 columns = [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), *(pa.array([x[k] for x in out], pa.string()) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(rows, f"doc_id bigint, {'ids array<int>' if whole else 'n_tokens bigint'}, {ddl}")
+    return encoded.mapInArrow(released(rows), f"doc_id bigint, {'ids array<int>' if whole else 'n_tokens bigint'}, {ddl}")

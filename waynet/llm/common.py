@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,6 +86,26 @@ def bounded_sample(labelled: DataFrame, label: str, id_col: str, per_class: int,
     return labelled.where(keep)
 
 
+def released(rows):
+    """The function over a partition's batches, after which the worker gives back the memory that it freed.
+
+    Workers are kept for later tasks, and many of them share an executor.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library; it then keeps what it freed
+                pass
+
+    return made
+
+
 def byte_views(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of at most slice_bytes, one row at least. No nulls."""
     if isinstance(column, pa.ChunkedArray):

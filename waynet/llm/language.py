@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.llm.common import bounded_sample, slices, whole_text
+from waynet.llm.common import bounded_sample, released, slices, whole_text
 
 #: Bytes of an n-gram; four make one unsigned 32-bit key.
 N = 4
@@ -98,7 +98,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = bounded_sample(rows, lang_col, id_col, ROWS_PER_LANGUAGE, MOST_LANGUAGES)
     rows = rows.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
-    counts = rows.mapInArrow(_gram_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(_gram_counts), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= GRAMS_PER_LANGUAGE).select("lang", "gram").toPandas()
     languages = sorted(best["lang"].unique())
@@ -122,4 +122,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             best, score = np.where(has, best, len(names) - 1), np.where(has, score, 0.0)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(released(scored), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

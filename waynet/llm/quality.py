@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waynet.llm.common import bounded_sample, slices, whole_text
+from waynet.llm.common import bounded_sample, released, slices, whole_text
 
 HALF, WIDTH, STRIDE, FILTERS, HIDDEN, LAGS = 32, 6, 2, 12, 12, 32
 #: Bounds of the fit: labelled rows of each class, and epochs.
@@ -153,4 +153,4 @@ def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: s
         for part, data, offsets in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.score(data, offsets))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(released(scored), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

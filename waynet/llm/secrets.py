@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waynet.llm.common import bounded_sample, slices, whole_text
+from waynet.llm.common import bounded_sample, released, slices, whole_text
 
 #: Bounds of the fit: texts with and without a base match, windows, and the tokens of a window.
 TEXTS_PER_CLASS, MOST_WINDOWS, WINDOW = 500, 5000, 24
@@ -343,4 +343,4 @@ def scan(docs: DataFrame, field: SecretField, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"])
 
     ddl = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint"
-    return rows.mapInArrow(scanned, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {ddl}")
+    return rows.mapInArrow(released(scanned), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {ddl}")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waynet.llm.common import bounded_sample, whole_text
+from waynet.llm.common import bounded_sample, released, whole_text
 
 #: Bound of the fit: labelled rows of each class. It bounds the terms too.
 ROWS_PER_CLASS = 6000
@@ -248,7 +248,7 @@ def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([[float(v) for v in f] for f in found], pa.list_(pa.float64()))], names=["label", "f"])
 
     # Equal rows are counted, so what reaches the driver is bounded by the sample and mostly far less.
-    seen = sample.select("label", F.lower("text").alias("text")).mapInArrow(rows_of, "label int, f array<double>").groupBy("label", "f").count().collect()
+    seen = sample.select("label", F.lower("text").alias("text")).mapInArrow(released(rows_of), "label int, f array<double>").groupBy("label", "f").count().collect()
     weights, bias = PRIOR.copy(), -3.0
     if seen:
         seen.sort(key=lambda r: (r["label"], r["f"]))
@@ -278,4 +278,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text").to_pylist(), memo))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(released(scored), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
