@@ -8,10 +8,13 @@ from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to spark.checkpoint.dir; a temporary folder stands in only where that is unset."""
+    """df, computed and written to spark.checkpoint.dir; a temporary folder stands in only where that is unset, in local sessions."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not str(context.master).startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
