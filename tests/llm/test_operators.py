@@ -189,7 +189,7 @@ def test_targets_are_shared_again_beyond_three_times(spark):
 def test_draw_goes_by_keys_and_rows_are_told_apart(spark):
     """Within a source, documents are taken in the order of their exponential keys; repeated rows are taken each for itself."""
     rows = [(i, "word other thing " * (1 + i % 5)) for i in range(80)] + [(7, "word other thing " * 3)] * 4 + [(None, "a b c d")] * 3
-    docs = table(spark, [(i, t) for i, t in rows]).withColumn("__row", F.lit(1)).withColumn("_mix0", F.lit(2))
+    docs = table(spark, [(i, t) for i, t in rows]).withColumn("__row", F.lit(1)).withColumn("_own0", F.lit(2))
     unit = (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keys = {(r["doc_id"], r["size"]): r["key"] for r in docs.select("doc_id", mixing.n_words("text").alias("size"), (-F.log(unit) / mixing.quality_weight("text")).alias("key")).collect()}
     sources = collections.defaultdict(list)

@@ -48,6 +48,14 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def new_names(taken: list[str], n: int) -> list[str]:
+    """Column names that docs doesn't have."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix + "own") for c in taken):
+        prefix += "_"
+    return [f"{prefix}own{k}" for k in range(n)]
+
+
 def is_hot(size: Column, total: int) -> Column:
     """Whether a key of that many rows is hot. Fewer than HOT_PARTS keys of a table can be."""
     return (size > 1) & (size * HOT_PARTS > total)

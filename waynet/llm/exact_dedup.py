@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from waynet.llm.common import is_hot, join_split, materialize, scratch, whole_text
+from waynet.llm.common import is_hot, join_split, materialize, new_names, scratch, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a digest that one retained text is compared with in one place.
@@ -127,7 +127,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns; of repeated rows one."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__digest", sha256(whole_text(text_col)))
-    found = marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__digest"]), "left_semi")
-    return found.dropDuplicates([id_col, "__digest"]).select(*docs.columns)
+    own, mark = new_names(docs.columns, 2)
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own), F.col("digest").alias("digest"))
+    marked = docs.withColumn(mark, sha256(whole_text(text_col)))
+    found = marked.join(kept.withColumnRenamed("digest", "_" + mark), marked[id_col].eqNullSafe(F.col(own)) & (F.col(mark) == F.col("_" + mark)), "left_semi")
+    return found.dropDuplicates([id_col, mark]).select(*docs.columns)

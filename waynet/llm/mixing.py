@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.llm.common import materialize
+from waynet.llm.common import materialize, new_names
 
 RANGE_ROWS = 2048
 MOST_EPOCHS = 3
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Every row is numbered first, so repeated rows and rows without an id are told apart; what is taken comes back by number.
     """
-    row, words, taken, copy = _new_names(docs.columns, 4)
+    row, words, taken, copy = new_names(docs.columns, 4)
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     chosen = mix(numbered, id_col, text_col, source_col, row_col=row).where("taken > 0").select(F.col("row").alias(row), F.col("taken").alias(taken))
     rows = numbered.join(chosen, row).withColumn(words, n_words(text_col))
@@ -112,11 +112,3 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
-
-
-def _new_names(taken: list[str], n: int) -> list[str]:
-    """Column names that docs doesn't have."""
-    prefix = "_"
-    while any(c.lower().startswith(prefix + "mix") for c in taken):
-        prefix += "_"
-    return [f"{prefix}mix{k}" for k in range(n)]
