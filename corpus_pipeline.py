@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages: language ID, exact dedup, near dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which its predecessor kept;
-all but the last return the columns of docs.
+all but the last return the columns of docs. An empty table gives an empty result in each, and columns may have any name.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waynet.llm import bpe, exact_dedup, jaccard, language, mixing
-from waynet.llm.common import crc_fold, scratch
+from waynet.llm.common import crc_fold, new_names, scratch
 from waynet.llm.queries import VOCABULARY
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs whose id is among ids, null too; docs may have columns of any name."""
+    (own,) = new_names(docs.columns, 1)
+    return docs.join(ids.select(F.col("doc_id").alias(own)).distinct(), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,22 +28,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id."""
+    """Of documents with equal texts the one with the largest doc_id; of repeated rows one. A null text counts as empty."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest doc_id. A null doc_id links with nothing and stays."""
+    """Of documents that links connect the one with the smallest doc_id; rows of one id are one. A null doc_id links with nothing and stays."""
     return _kept(docs, jaccard.jaccard_components(docs).where("doc_id <=> component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's border is cut there."""
+    """Documents as often as the mix takes them; the one at a source's border is cut there. Rows without words go."""
     return mixing.mixed(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens and ids of every row; none for a null or empty text."""
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
