@@ -348,6 +348,8 @@ def test_held_out_accuracy(spark):
     for query, label, least in ((queries.op1_quality, "quality", 0.9), (queries.op3_toxicity, "toxic", 0.9)):
         found = query(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
         assert found.where(F.col(label) == F.col("predicted")).count() >= least * found.count()
+        both, told, true = (found.where(c).count() for c in (f"predicted = 1 AND {label} = 1", "predicted = 1", f"{label} = 1"))
+        assert both >= 0.85 * told and both >= 0.75 * true
 
 
 def test_bpe_refuses_ranks_out_of_order():
