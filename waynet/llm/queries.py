@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waynet.llm import bpe, chat, exact_dedup, fingerprint, jaccard, language, mixing, quality, secrets, toxicity
+from waynet.llm import bpe, chat, exact_dedup, fingerprint, importance, jaccard, language, mixing, phrases, quality, secrets, topk, toxicity
 from waynet.llm.common import bounded_sample, crc_fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -98,8 +98,22 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edit(_documents(spark, sf_dir))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.sparse_rows(_table(spark, sf_dir, "embeddings"), 256)
+    return topk.top_k(rows, F.col("id") % 50 == 0, 5)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_secrets, op3_toxicity, op4_chat, op5_jaccard, op6_language, op7_mixing, op8_bpe, op9_exact_dedup, op10_fingerprint)
+    found = (op1_quality, op2_secrets, op3_toxicity, op4_chat, op5_jaccard, op6_language, op7_mixing, op8_bpe, op9_exact_dedup, op10_fingerprint, op11_topk, op12_importance, op13_phrases)
     return {f.__name__: f for f in found}
 
 
@@ -160,8 +174,34 @@ _TREE_SQL = rf"""
 """
 
 
+_PHRASE_SQL = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS MATERIALIZED (SELECT row_number() OVER () AS id, lang, piece FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        w AS (SELECT id, lang, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+        h AS MATERIALIZED (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+        g AS (SELECT lang, 1 AS k, x AS phrase FROM h UNION ALL SELECT lang, 2, x || ' ' || y FROM h WHERE y IS NOT NULL UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM h WHERE z IS NOT NULL),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS c FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND c >= 10),
+        cuts AS (SELECT c.*, j.j, l.c AS l, r.c AS r, (1000000 * a * a) // (l.c * r.c) AS score FROM c JOIN (VALUES (1), (2)) AS j(j) ON j.j < c.k
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:j.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[j.j + 1:], ' ')),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        inner_ones AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3),
+        kept AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * longer >= 50 * a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+    SELECT ranked.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_topk": """
+            WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.w, c.w)::BIGINT AS score FROM (SELECT DISTINCT * FROM v WHERE id % 50 = 0) q JOIN v c ON c.id IS DISTINCT FROM q.id),
+                r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+        """,
+        "op13_phrases": _PHRASE_SQL,
         "op4_chat": _CHAT_SQL,
         "op10_fingerprint": _TREE_SQL,
         "op5_jaccard": r"""
