@@ -1,86 +1,12 @@
 """Graphs as tables of arcs (source, target, cost, weight): building, searching, contracting."""
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waynet.operators.search import shortest_paths as shortest_paths
 from waynet.plans.iterate import cut, running_total
 
-#: Node ids of a cell, and starting rows of a cell that one group settles.
-CELL, GROUP_ROWS = 4096, 256
-
-
-def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFrame | None = None, forbidden: DataFrame | None = None, cell: int = CELL) -> DataFrame:
-    """search_id, node, cost, parent of all nodes within the limit (inclusive) of each search's seeds.
-
-    Nodes lie in cells of `cell` ids. A round settles every cell from the nodes that were improved from outside, and
-    sends what leaves it to the cells next to it, so rounds count the borders that a way crosses and not its arcs. Of
-    equal costs the parent that was settled first stays. `ignore` (search_id, node) names nodes that a search may not
-    enter, `forbidden` (search_id, source, target) arcs that it may not use.
-    """
-    of = lambda node: F.floor(F.col(node) / cell).cast("long")
-    hops = cut(arcs.groupBy("source", "target").agg(F.min("cost").alias("arc_cost")).select(of("source").alias("cell"), *(F.col(c).cast("long") for c in ("source", "target", "arc_cost"))))
-    start = seeds.select("search_id", F.col("node").cast("long")).distinct()
-    start = start.select("*", F.lit(0).cast("long").alias("cost"), F.lit(-1).cast("long").alias("parent_cost"), F.col("node").alias("parent"), F.lit(True).alias("fresh"))
-    rules = start.select("search_id").distinct()
-    for name, bars, value in (("ignored", ignore, "node"), ("barred", forbidden, F.concat_ws(">", *(F.col(c).cast("long").cast("string") for c in ("source", "target"))))):
-        kind = "long" if name == "ignored" else "string"
-        own = None if bars is None else bars.groupBy("search_id").agg(F.collect_set(F.col(value).cast(kind) if isinstance(value, str) else value).alias(name))
-        rules = rules.withColumn(name, F.lit(None).cast(f"array<{kind}>")) if own is None else rules.join(own, "search_id", "left")
-    ruled = ignore is not None or forbidden is not None
-    rules = cut(rules) if ruled else None
-    kind = start.schema["search_id"].dataType.simpleString()
-    dist = cut(start)
-    while True:
-        fresh = dist.where("fresh").withColumn("cell", of("node")).drop("fresh")
-        fresh = fresh.join(rules, "search_id") if ruled else fresh.withColumns({"ignored": F.lit(None).cast("array<long>"), "barred": F.lit(None).cast("array<string>")})
-        parts = fresh.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("parts"))
-        dealt = fresh.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("search_id"), F.col("parts")))
-        cells = dealt.select(F.col("cell").alias("of_cell"), F.col("part").alias("of_part")).distinct()
-        around = hops.join(cells, F.col("cell") == F.col("of_cell")).select("of_cell", "of_part", "source", "target", "arc_cost")
-        reach = dealt.drop("parts").groupBy("cell", "part").cogroup(around.groupBy("of_cell", "of_part")).applyInPandas(_settler(limit, cell), f"search_id {kind}, node long, cost long, parent_cost long, parent long")
-        both = dist.select("search_id", "node", "cost", "parent_cost", "parent", F.col("cost").alias("had")).unionByName(reach.withColumn("had", F.lit(None).cast("long")))
-        best = both.groupBy("search_id", "node").agg(F.min(F.struct("cost", "parent_cost", "parent")).alias("b"), F.min("had").alias("had"))
-        best = best.select("search_id", "node", "b.*", "had")
-        improved = F.col("had").isNull() | (F.col("cost") < F.col("had"))
-        dist = cut(best.select("search_id", "node", "cost", "parent_cost", "parent", (improved & (of("parent") != of("node"))).alias("fresh")))
-        if dist.where("fresh").isEmpty():
-            return dist.select("search_id", "node", "cost", "parent")
-
-
-def _settler(limit: int, cell: int):
-    """Settles a cell: Dijkstra's search from its starting rows, for each search; nodes outside are reached but not passed."""
-
-    def settle(rows: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int]]] = {}
-        for s, t, c in zip(arcs["source"].tolist(), arcs["target"].tolist(), arcs["arc_cost"].tolist()):
-            near.setdefault(s, []).append((t, c))
-        out = []
-        for search, own in rows.groupby("search_id", sort=False):
-            ignored, barred = own["ignored"].iloc[0], own["barred"].iloc[0]
-            ignored, barred = set() if ignored is None else set(ignored), set() if barred is None else set(barred)
-            inside = own["cell"].iloc[0]
-            todo = list(zip(own["cost"].tolist(), own["parent_cost"].tolist(), own["parent"].tolist(), own["node"].tolist()))
-            heapq.heapify(todo)
-            done = set()
-            while todo:
-                cost, before, parent, node = heapq.heappop(todo)
-                if node in done:
-                    continue
-                done.add(node)
-                out.append((search, node, cost, before, parent))
-                if node // cell != inside:
-                    continue
-                for target, more in near.get(node, ()):
-                    if target not in done and cost + more <= limit and target not in ignored and f"{node}>{target}" not in barred:
-                        heapq.heappush(todo, (cost + more, cost, node, target))
-        return pd.DataFrame(out, columns=["search_id", "node", "cost", "parent_cost", "parent"])
-
-    return settle
-
 
 def connected_components(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """node and component, its least node; labels spread along arcs and jump to their own label each round."""

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions.geo import bucket, check_preferences, share_of, suffix_prefs
-from waynet.operators.graph import contract_chains, shortest_paths
+from waynet.operators.graph import contract_chains
+from waynet.operators.search import CELL, shortest_paths
 from waynet.plans.iterate import cut, running_total
 from waynet.sources.sinks import expand_results
 
@@ -30,7 +31,7 @@ def node_weights(arcs: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.max("weight").alias("weight"))
 
 
-def flooding(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float]], max_cost: int) -> DataFrame:
+def flooding(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float]], max_cost: int, cell: int = CELL, cells: DataFrame | None = None) -> DataFrame:
     """source, target, cost, weight, value: users spread from entries (node, population), weighed by node weight, time and share.
 
     Of repeated entries the one with the largest population counts.
@@ -38,7 +39,7 @@ def flooding(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float
     check_preferences(prefs)
     entries = entries.groupBy("node").agg(F.max("population").alias("population"))
     seeds = entries.select(F.col("node").alias("search_id"), "node")
-    reached = shortest_paths(arcs, seeds, int(max_cost) // 2).join(node_weights(arcs), "node")
+    reached = shortest_paths(arcs, seeds, int(max_cost) // 2, cell=cell, cells=cells).join(node_weights(arcs), "node")
     cost = F.greatest(F.col("cost"), F.lit(1))
     share = F.coalesce(share_of(2 * cost, suffix_prefs(prefs)), F.lit(0.0))
     contrib = reached.select(F.col("search_id").alias("entry"), F.col("node").alias("element"), (F.col("weight") * share / (cost + 60)).alias("value")).where("value <> 0")
@@ -104,7 +105,7 @@ def _mode(paths: DataFrame, population: DataFrame, bounds: list[int], suffix: li
     return kept.join(counts, ["pop", "b"]).join(population, "pop").select("entry", "pop", (F.col("likely") * share * F.col("population")).alias("part"))
 
 
-def popularity(arcs: DataFrame, entries: DataFrame, population: DataFrame, lots: DataFrame | None, minutes: list[tuple[float, float]], walking: float = SHARE_WALKING, cycling: float = SHARE_CYCLING) -> DataFrame:
+def popularity(arcs: DataFrame, entries: DataFrame, population: DataFrame, lots: DataFrame | None, minutes: list[tuple[float, float]], walking: float = SHARE_WALKING, cycling: float = SHARE_CYCLING, cell: int = CELL, cells: DataFrame | None = None) -> DataFrame:
     """pos and population of entries (pos, node), then of parking lots (pos, rank), whose places follow the entries'.
 
     population is (pop, node, population), minutes the preferences (bound in minutes of walking, share). Cyclists' bounds
@@ -116,7 +117,7 @@ def popularity(arcs: DataFrame, entries: DataFrame, population: DataFrame, lots:
     bounds, driving = [int(60 * m) for m, _ in minutes], 1 - walking - cycling
     far = [BIKE_FACTOR * b for b in bounds]
     suffix = [s for _, s in suffix_prefs(minutes)]
-    found = shortest_paths(arcs, entries.select(F.col("pos").alias("search_id"), "node"), far[-1])
+    found = shortest_paths(arcs, entries.select(F.col("pos").alias("search_id"), "node"), far[-1], cell=cell, cells=cells)
     paths = cut(found.join(population.select("pop", "node"), "node").select(F.col("search_id").alias("entry"), "pop", "cost"))
     people = population.select("pop", "population")
     afoot = paths.where(F.col("cost") <= bounds[-1]).select("pop").distinct()

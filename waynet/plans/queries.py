@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions import geo, speeds
-from waynet.operators import graph, models, osm, raster, spatial
+from waynet.operators import graph, models, osm, raster, search, spatial
 from waynet.sources import sinks
-from waynet.sources.derived import SQL, points, road_arcs, table
+from waynet.sources.derived import SQL, city_arcs, city_nodes, points, road_arcs, table
 
 PREFS = [(60.0, 0.5), (150.0, 0.3), (300.0, 0.2)]
 LIMIT = 150
+#: Nodes of a cell in these queries, so that their searches cross many borders.
+CELL = 32
 _WITH = f"WITH {SQL['points']}, {SQL['road']}"
 _REC = f"WITH RECURSIVE {SQL['points']}, {SQL['road']}"
 _DIST = f"""w AS (SELECT vec_id AS search_id, vec_id AS node, 0 AS cost FROM points WHERE vec_id % 25 = 0
@@ -46,24 +48,38 @@ _HEAT = "heat AS (SELECT event_type AS dataset, user_id % 90 + 0.25::DOUBLE AS l
 
 
 def flooding(spark, d):
-    out = models.flooding(road_arcs(spark, d), _entries(spark, d), PREFS, 2 * LIMIT)
+    out = models.flooding(road_arcs(spark, d), _entries(spark, d), PREFS, 2 * LIMIT, cell=CELL)
     return out.select("source", "target", F.round("value", 6).alias("value"))
 
 
 def sssp(spark, d):
     seeds = points(spark, d).where("vec_id % 25 = 0").select(F.col("vec_id").alias("search_id"), F.col("vec_id").alias("node"))
-    return graph.shortest_paths(road_arcs(spark, d), seeds, LIMIT).select("search_id", "node", "cost")
+    return graph.shortest_paths(road_arcs(spark, d), seeds, LIMIT, cell=CELL).select("search_id", "node", "cost")
+
+
+def city_paths(spark, d):
+    cells = search.place_cells(city_nodes(spark, d).select("node", "x", "y"), CELL)
+    seeds = city_nodes(spark, d).where("k % 97 = 0").select(F.col("k").alias("search_id"), "node")
+    return graph.shortest_paths(city_arcs(spark, d), seeds, LIMIT, cells=cells)
+
+
+def city_flooding(spark, d):
+    nodes = city_nodes(spark, d)
+    cells = search.place_cells(nodes.select("node", "x", "y"), CELL)
+    homes = nodes.where("k % 97 = 0").select("node", (F.col("k") % 50 + 1.0).alias("population"))
+    out = models.flooding(city_arcs(spark, d), homes, PREFS, 2 * LIMIT, cells=cells)
+    return out.select("source", "target", F.round("value", 6).alias("value"))
 
 
 def entry_distances(spark, d):
     e = _entries(spark, d)
-    dist = graph.shortest_paths(road_arcs(spark, d), e.select(F.col("node").alias("search_id"), "node"), 4 * LIMIT)
+    dist = graph.shortest_paths(road_arcs(spark, d), e.select(F.col("node").alias("search_id"), "node"), 4 * LIMIT, cell=CELL)
     return dist.join(e.select("node"), "node", "left_semi").where("search_id <= node").select(F.col("search_id").alias("a"), F.col("node").alias("b"), "cost")
 
 
 def distance_to_border(spark, d):
     seeds = points(spark, d).where("vec_id % 25 = 0").select(F.lit(0).alias("search_id"), F.col("vec_id").alias("node"))
-    return graph.shortest_paths(road_arcs(spark, d), seeds, LIMIT).select("node", "cost")
+    return graph.shortest_paths(road_arcs(spark, d), seeds, LIMIT, cell=CELL).select("node", "cost")
 
 
 def components(spark, d):
@@ -151,7 +167,7 @@ def preference_lookup(spark, d):
 
 def entry_popularity(spark, d):
     seeds = _entries(spark, d).select(F.col("node").alias("search_id"), "node")
-    found = graph.shortest_paths(road_arcs(spark, d), seeds, int(PREFS[-1][0]))
+    found = graph.shortest_paths(road_arcs(spark, d), seeds, int(PREFS[-1][0]), cell=CELL)
     dist = found.select(F.col("search_id").alias("entry"), F.col("node").alias("pop"), F.col("cost"))
     people = points(spark, d).select(F.col("vec_id").alias("pop"), (F.col("vec_id") % 7 + 1.0).alias("population"))
     return models.entry_popularity(dist, people, PREFS, 0.5).withColumn("popularity", F.round("popularity", 6))
@@ -270,7 +286,7 @@ def popularity(spark, d):
     entries = e.select((F.col("node") / 25).cast("long").alias("pos"), "node")
     people = points(spark, d).select(F.col("vec_id").alias("pop"), F.col("vec_id").alias("node"), (F.col("vec_id") % 7 + 1.0).alias("population"))
     lots = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_nationkey") % 4).cast("double").alias("rank"))
-    return models.popularity(road_arcs(spark, d), entries, people, lots, MINUTES).withColumn("population", F.round("population", 6))
+    return models.popularity(road_arcs(spark, d), entries, people, lots, MINUTES, cell=CELL).withColumn("population", F.round("population", 6))
 
 
 def edge_attractiveness(spark, d):
@@ -343,7 +359,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (city_paths, city_flooding, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -362,7 +378,19 @@ _EDGES = """edges(poly_id, ax, ay, bx, "by") AS (SELECT a::BIGINT, b::DOUBLE, c:
 _CROSSES = '(ay > y) <> ("by" > y) AND x < (bx - ax) * (y - ay) / ("by" - ay) + ax'
 _IN_ZONES = f"{_EDGES}, hit AS (SELECT vec_id AS id, poly_id FROM points JOIN edges ON {_CROSSES} GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
 
+_CITY = f"""WITH RECURSIVE {SQL['city']}, w AS (SELECT k AS search_id, node, 0 AS cost FROM cn WHERE k % 97 = 0
+        UNION SELECT w.search_id, a.target, w.cost + a.cost FROM w JOIN city a ON a.source = w.node WHERE w.cost + a.cost <= {LIMIT}),
+    dist AS MATERIALIZED (SELECT search_id, node, min(cost) AS cost FROM w GROUP BY ALL)"""
+
 ORACLES = {
+    "city_paths": f"""{_CITY}, b AS (SELECT d.search_id, d.node, d.cost, p.node AS parent, row_number() OVER (PARTITION BY d.search_id, d.node ORDER BY p.cost, p.node) AS r
+            FROM dist d JOIN city a ON a.target = d.node JOIN dist p ON p.search_id = d.search_id AND p.node = a.source AND p.cost + a.cost = d.cost WHERE d.cost > 0)
+        SELECT search_id, node, cost::BIGINT AS cost, parent FROM b WHERE r = 1 UNION ALL SELECT search_id, node, 0, node FROM dist WHERE cost = 0""",
+    "city_flooding": f"""{_CITY}, nw AS (SELECT node, max(weight) AS weight FROM (SELECT source AS node, weight FROM city UNION ALL SELECT target, weight FROM city) GROUP BY node),
+        c AS (SELECT search_id, dist.node, weight * ({_SUFFIX.format('2 * greatest(cost, 1)')}) / (greatest(cost, 1) + 60.0) AS v FROM dist JOIN nw ON nw.node = dist.node),
+        n AS (SELECT search_id, node, v / max(v) OVER (PARTITION BY search_id) AS v FROM c WHERE v <> 0),
+        t AS (SELECT node, sum(v * (search_id % 50 + 1.0::DOUBLE)) AS v FROM n GROUP BY node)
+        SELECT source, target, round(coalesce(s.v, 0) + coalesce(u.v, 0), 6) AS value FROM city LEFT JOIN t s ON s.node = source LEFT JOIN t u ON u.node = target""",
     "flooding": f"""{_REC}, {_DIST}, nw AS (SELECT node, max(weight) AS weight FROM (SELECT source AS node, weight FROM arcs UNION ALL SELECT target, weight FROM arcs) GROUP BY node),
         c AS (SELECT search_id, dist.node, weight * ({_SUFFIX.format('2 * greatest(cost, 1)')}) / (greatest(cost, 1) + 60.0) AS v FROM dist JOIN nw ON nw.node = dist.node),
         n AS (SELECT search_id, node, v / max(v) OVER (PARTITION BY search_id) AS v FROM c WHERE v <> 0),
