@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions.geo import bucket, check_preferences, share_of, suffix_prefs
+from waynet.operators.around import reach_of_entries, ways_around
 from waynet.operators.graph import contract_chains
 from waynet.operators.search import CELL, shortest_paths
 from waynet.plans.iterate import cut, running_total
@@ -49,25 +50,28 @@ def flooding(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float
     return arcs.join(s, "source").join(t, "target").select("source", "target", "cost", "weight", (F.col("source_value") + F.col("target_value")).alias("value"))
 
 
-def via_edge(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float]], max_cost: int) -> DataFrame:
-    """source, target, value: users who walk from entry to entry over an arc, compared with the direct way. One search for each arc and side."""
+def via_edge(arcs: DataFrame, entries: DataFrame, prefs: list[tuple[float, float]], max_cost: int, cell: int = CELL, cells: DataFrame | None = None) -> DataFrame:
+    """source, target, value: users who walk from entry to entry over an arc, compared with the direct way. One search for each entry."""
     check_preferences(prefs)
     weighted = arcs.where("weight > 0").groupBy("source", "target").agg(F.min("cost").alias("cost"), F.max("weight").alias("weight"))
-    key = F.concat_ws("-", "source", "target")
-    keyed = weighted.withColumn("search_id", key)
+    keyed = cut(weighted.withColumn("search_id", F.concat_ws("-", "source", "target")))
     homes = entries.select("node", "population")
-    sides = {}
-    for side, start, other in (("b", "source", "target"), ("f", "target", "source")):
-        found = shortest_paths(arcs, keyed.select("search_id", F.col(start).alias("node")), max_cost, keyed.select("search_id", F.col(other).alias("node")))
-        sides[side] = found.join(homes.select("node"), "node", "left_semi").select("search_id", F.col("node").alias(f"fep_{side}"), F.col("cost").alias(f"cost_{side}"))
-    direct = shortest_paths(arcs, homes.select(F.col("node").alias("search_id"), "node"), max_cost).select(F.col("search_id").alias("fep_b"), F.col("node").alias("fep_f"), F.col("cost").alias("direct"))
-    met = keyed.join(sides["b"], "search_id").join(sides["f"], "search_id").withColumn("round", F.col("cost_b") + F.col("cost") + F.col("cost_f")).where(F.col("round") <= max_cost)
+    reach = reach_of_entries(arcs, entries, int(max_cost), cell, cells)
+    around = cut(ways_around(arcs, _both_ways(keyed), reach, int(max_cost), "node"))
+    sides = [around.select(F.col("x").alias(a), F.col("y").alias(b), F.col("entry").alias(f"fep_{side}"), F.col("cost").alias(f"cost_{side}")) for side, a, b in (("b", "source", "target"), ("f", "target", "source"))]
+    direct = reach.join(homes.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("fep_b"), F.col("entry").alias("fep_f"), F.col("cost").alias("direct"))
+    met = keyed.join(sides[0], ["source", "target"]).join(sides[1], ["source", "target"]).withColumn("round", F.col("cost_b") + F.col("cost") + F.col("cost_f")).where(F.col("round") <= max_cost)
     met = met.join(direct, ["fep_b", "fep_f"], "left")
     share = F.coalesce(share_of(F.col("round"), suffix_prefs(prefs)), F.lit(0.0))
     gain = F.when(F.col("fep_b") == F.col("fep_f"), share * 60 / (F.col("cost_f") + 60)).otherwise(share * (F.col("direct") + 60) / (F.col("round") + 60))
     contrib = met.withColumn("value", F.col("weight") * gain).where("value > 0").groupBy(F.col("fep_b").alias("entry"), F.col("search_id").alias("element")).agg(F.sum("value").alias("value"))
     total = distribute(normalize_contributions(contrib), homes.withColumnRenamed("node", "entry"), keyed.select(F.col("search_id").alias("element")))
-    return weighted.join(total, key == F.col("element")).select("source", "target", F.col("total").alias("value"))
+    return keyed.join(total, F.col("search_id") == F.col("element")).select("source", "target", F.col("total").alias("value"))
+
+
+def _both_ways(arcs: DataFrame) -> DataFrame:
+    """x, y: the ends of all arcs, in either order."""
+    return arcs.select(F.col("source").alias("x"), F.col("target").alias("y")).unionByName(arcs.select(F.col("target").alias("x"), F.col("source").alias("y"))).distinct()
 
 
 def entry_popularity(paths: DataFrame, population: DataFrame, prefs: list[tuple[float, float]], share: float, strict: bool = True) -> DataFrame:
@@ -208,21 +212,17 @@ def split_evenly(reach: DataFrame, points: DataFrame, total: float) -> DataFrame
     return part.groupBy("entry").agg(F.sum(F.lit(total) / F.col("points") / F.col("n")).alias("population"))
 
 
-def even_arc_weights(arcs: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
+def even_arc_weights(arcs: DataFrame, entries: DataFrame, limit: int, cell: int = CELL, cells: DataFrame | None = None) -> DataFrame:
     """source, target, value: each entry's population split evenly over its feasible trips (exit, arc).
 
     A trip is feasible if the ways from the arc's ends to entry and exit, which may not use the arc, and the arc
-    itself cost at most the limit. entries are (node, population); arcs without a trip have no row.
+    itself cost at most the limit. entries are (node, population); arcs without a trip have no row. One search for each entry.
     """
     one = arcs.groupBy("source", "target").agg(F.min("cost").alias("cost"))
-    keyed = one.withColumn("search_id", F.concat_ws("-", "source", "target"))
-    barred = keyed.select("search_id", "source", "target").unionByName(keyed.select("search_id", F.col("target").alias("source"), F.col("source").alias("target")))
-    sides = []
-    for end, name in (("source", "entry"), ("target", "exit")):
-        found = shortest_paths(arcs, keyed.select("search_id", F.col(end).alias("node")), limit, forbidden=barred)
-        sides.append(found.join(entries.select("node"), "node", "left_semi").select("search_id", F.col("node").alias(name), F.col("cost").alias(f"{name}_cost")))
-    trips = keyed.join(sides[0], "search_id").join(sides[1], "search_id").where(F.col("entry_cost") + F.col("cost") + F.col("exit_cost") <= limit)
-    counts = trips.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    around = cut(ways_around(arcs, _both_ways(one), reach_of_entries(arcs, entries, limit, cell, cells), limit, "arc"))
+    sides = [around.select(F.col("x").alias(a), F.col("y").alias(b), F.col("entry").alias(name), F.col("cost").alias(f"{name}_cost")) for name, a, b in (("entry", "source", "target"), ("exit", "target", "source"))]
+    trips = one.join(sides[0], ["source", "target"]).join(sides[1], ["source", "target"]).where(F.col("entry_cost") + F.col("cost") + F.col("exit_cost") <= limit)
+    per_arc = cut(trips.groupBy("entry", "source", "target").agg(F.count(F.lit(1)).alias("k")))
+    counts = per_arc.groupBy("entry").agg(F.sum("k").alias("n"))
     parts = counts.join(entries.withColumnRenamed("node", "entry"), "entry").select("entry", (F.col("population") / F.col("n")).alias("part"))
-    per_arc = trips.groupBy("entry", "source", "target").agg(F.count(F.lit(1)).alias("k")).join(parts, "entry")
-    return per_arc.groupBy("source", "target").agg(F.sum(F.col("k") * F.col("part")).alias("value"))
+    return per_arc.join(parts, "entry").groupBy("source", "target").agg(F.sum(F.col("k") * F.col("part")).alias("value"))

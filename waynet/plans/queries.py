@@ -96,7 +96,7 @@ def largest_component(spark, d):
 
 
 def via_edge(spark, d):
-    return models.via_edge(road_arcs(spark, d), _entries(spark, d), PREFS, 2 * LIMIT).select("source", "target", F.round("value", 6).alias("value"))
+    return models.via_edge(road_arcs(spark, d), _entries(spark, d), PREFS, 2 * LIMIT, CELL).select("source", "target", F.round("value", 6).alias("value"))
 
 
 def contraction(spark, d):
@@ -243,7 +243,7 @@ def even_split(spark, d):
 
 
 def even_arc_weights(spark, d):
-    return models.even_arc_weights(road_arcs(spark, d), _entries(spark, d), 2 * LIMIT).withColumn("value", F.round("value", 6))
+    return models.even_arc_weights(road_arcs(spark, d), _entries(spark, d), 2 * LIMIT, CELL).withColumn("value", F.round("value", 6))
 
 
 def expanded_results(spark, d):
