@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions import geo, speeds
+from waynet.operators import contraction as contracting
 from waynet.operators import graph, models, osm, raster, search, spatial
 from waynet.sources import sinks
 from waynet.sources.derived import SQL, city_arcs, city_nodes, points, road_arcs, table
@@ -71,6 +72,33 @@ def city_flooding(spark, d):
     return out.select("source", "target", F.round("value", 6).alias("value"))
 
 
+def _streets(spark, d):
+    """Crossings with coordinates in degrees."""
+    return city_nodes(spark, d).select("node", (49 + F.col("y") * 1e-4).alias("lat"), (7 + F.col("x") * 1e-4).alias("lon"))
+
+
+def city_contraction(spark, d):
+    keep = city_nodes(spark, d).where("k % 97 = 0")
+    return contracting.contract_cheap(city_arcs(spark, d), 25, keep)[0].select("source", "target", "cost", "parts")
+
+
+def city_undo(spark, d):
+    keep = city_nodes(spark, d).where("k % 97 = 0")
+    small, shortcuts = contracting.contract_cheap(city_arcs(spark, d), 25, keep)
+    return contracting.undo(small, shortcuts, "cost")
+
+
+def city_clusters(spark, d):
+    arcs = city_arcs(spark, d)
+    label = graph.cut(contracting.clusters(_streets(spark, d), arcs))
+    border = contracting.border_nodes(label, arcs).withColumn("border", F.lit(True))
+    return label.join(border, "node", "left").select("node", "cluster", F.coalesce("border", F.lit(False)).alias("border"))
+
+
+def cluster_contraction(spark, d):
+    return contracting.contract_clusters(_streets(spark, d), city_arcs(spark, d))[0].select("source", "target", "cost")
+
+
 def entry_distances(spark, d):
     e = _entries(spark, d)
     dist = graph.shortest_paths(road_arcs(spark, d), e.select(F.col("node").alias("search_id"), "node"), 4 * LIMIT, cell=CELL)
@@ -359,7 +387,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (city_paths, city_flooding, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -386,6 +414,12 @@ ORACLES = {
     "city_paths": f"""{_CITY}, b AS (SELECT d.search_id, d.node, d.cost, p.node AS parent, row_number() OVER (PARTITION BY d.search_id, d.node ORDER BY p.cost, p.node) AS r
             FROM dist d JOIN city a ON a.target = d.node JOIN dist p ON p.search_id = d.search_id AND p.node = a.source AND p.cost + a.cost = d.cost WHERE d.cost > 0)
         SELECT search_id, node, cost::BIGINT AS cost, parent FROM b WHERE r = 1 UNION ALL SELECT search_id, node, 0, node FROM dist WHERE cost = 0""",
+    "city_contraction": f"""WITH RECURSIVE {SQL['city']}, cheap AS (SELECT node FROM (SELECT source AS node, cost FROM city UNION ALL SELECT target, cost FROM city) GROUP BY node HAVING max(cost) <= 25),
+            chosen AS (SELECT node FROM cheap WHERE node NOT IN (SELECT node FROM cn WHERE k % 97 = 0)),
+            w AS (SELECT source, target AS node, cost, 1 AS parts FROM city WHERE source NOT IN (SELECT node FROM chosen)
+                UNION SELECT w.source, a.target, w.cost + a.cost, parts + 1 FROM w JOIN chosen c ON c.node = w.node JOIN city a ON a.source = w.node WHERE w.cost + a.cost <= 400)
+        SELECT source, node AS target, min(cost) AS cost, min(parts ORDER BY cost)::BIGINT AS parts FROM (SELECT source, node, cost, min(parts) AS parts FROM w WHERE source <> node AND node NOT IN (SELECT node FROM chosen) GROUP BY ALL
+            QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY cost) = 1) GROUP BY source, node""",
     "city_flooding": f"""{_CITY}, nw AS (SELECT node, max(weight) AS weight FROM (SELECT source AS node, weight FROM city UNION ALL SELECT target, weight FROM city) GROUP BY node),
         c AS (SELECT search_id, dist.node, weight * ({_SUFFIX.format('2 * greatest(cost, 1)')}) / (greatest(cost, 1) + 60.0) AS v FROM dist JOIN nw ON nw.node = dist.node),
         n AS (SELECT search_id, node, v / max(v) OVER (PARTITION BY search_id) AS v FROM c WHERE v <> 0),
