@@ -58,10 +58,11 @@ def leaves(sections: Column, text: Column) -> Column:
 
     def counted(own):
         places = F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)))
-        starts = F.filter(places, lambda i: (F.size(own) > 0) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
+        return _bind(F.filter(places, lambda i: (F.size(own) > 0) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1)))), lambda starts: numbered(own, starts))
+
+    def numbered(own, starts):
         ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(own))
-        runs = F.transform(starts, lambda i, k: F.transform(F.sequence(F.lit(1), ends(k) - i), lambda c: F.xxhash64(F.get(own, i), c)))
-        return F.flatten(runs)
+        return F.flatten(F.transform(starts, lambda i, k: F.transform(F.sequence(F.lit(1), ends(k) - i), lambda c: F.xxhash64(F.get(own, i), c))))
 
     words = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda w, i: F.xxhash64(w, i))
     return F.struct(_bind(ordered, counted).alias("blocks"), words.alias("words"))
