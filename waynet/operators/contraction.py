@@ -50,7 +50,7 @@ def contract_nodes(arcs: DataFrame, chosen: DataFrame, most_rounds: int = 200) -
         shortcuts = shortcuts.unionByName(best.where("new = 1").select("id", "first", "second", "first_parts"))
         own = best.select("id", "source", "target", "cost", "parts")
         left = cut(left.join(gone, "node", "left_anti"))
-    return own, shortcuts
+    return own, cut(shortcuts)
 
 
 def _apart(arcs: DataFrame, left: DataFrame, made: int) -> DataFrame:
@@ -58,7 +58,7 @@ def _apart(arcs: DataFrame, left: DataFrame, made: int) -> DataFrame:
     ends = arcs.select(F.col("source").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(arcs.select(F.col("target").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
     degree = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
     rank = F.struct(F.coalesce(F.col("out") * F.col("into"), F.lit(0)).alias("ways"), F.xxhash64("node", F.lit(made)).alias("hash"), F.col("node"))
-    ranked = cut(left.join(degree, "node", "left").select("node", rank.alias("rank")))
+    ranked = left.join(degree, "node", "left").select("node", rank.alias("rank"))
     s, t = ranked.select(F.col("node").alias("source"), F.col("rank").alias("own")), ranked.select(F.col("node").alias("target"), F.col("rank").alias("other"))
     beside = arcs.select("source", "target").join(s, "source").join(t, "target")
     beaten = beside.select(F.when(F.col("own") < F.col("other"), F.col("target")).otherwise(F.col("source")).alias("node")).distinct()
