@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from waynet.functions import geo, speeds
 from waynet.operators import contraction as contracting
-from waynet.operators import graph, models, osm, raster, search, spatial
+from waynet.operators import graph, models, osm, raster, search, spatial, walks
 from waynet.sources import sinks
 from waynet.sources.derived import SQL, city_arcs, city_nodes, points, road_arcs, table
 
@@ -79,7 +79,7 @@ def _streets(spark, d):
 
 def city_contraction(spark, d):
     keep = city_nodes(spark, d).where("k % 97 = 0")
-    return contracting.contract_cheap(city_arcs(spark, d), 25, keep)[0].select("source", "target", "cost", "parts")
+    return contracting.contract_cheap(city_arcs(spark, d), 25, keep)[0].select("source", "target", F.col("cost").cast("int").alias("cost"))
 
 
 def city_undo(spark, d):
@@ -99,6 +99,20 @@ def cluster_contraction(spark, d):
     return contracting.contract_clusters(_streets(spark, d), city_arcs(spark, d))[0].select("source", "target", "cost")
 
 
+def pruned_walkways(spark, d):
+    arcs, entries = road_arcs(spark, d), _entries(spark, d).select("node")
+    targets = _nodes(spark, d).where("node % 5 = 0")
+    found = walks.walkways(arcs, entries, targets, LIMIT, 2, distance_to_border(spark, d), allowed=F.col("weight") > 0)
+    return found.select(F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "cost")
+
+
+def walkway_bins(spark, d):
+    arcs, entries = road_arcs(spark, d), _entries(spark, d).select("node")
+    targets = _nodes(spark, d).where("node % 5 = 0")
+    found = walks.walkways(arcs, entries, targets, 60, 3, once=False)
+    return walks.length_bins(found.select(F.element_at("path", 1).alias("start"), "cost"))
+
+
 def entry_distances(spark, d):
     e = _entries(spark, d)
     dist = graph.shortest_paths(road_arcs(spark, d), e.select(F.col("node").alias("search_id"), "node"), 4 * LIMIT, cell=CELL)
@@ -387,7 +401,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -416,10 +430,13 @@ ORACLES = {
         SELECT search_id, node, cost::BIGINT AS cost, parent FROM b WHERE r = 1 UNION ALL SELECT search_id, node, 0, node FROM dist WHERE cost = 0""",
     "city_contraction": f"""WITH RECURSIVE {SQL['city']}, cheap AS (SELECT node FROM (SELECT source AS node, cost FROM city UNION ALL SELECT target, cost FROM city) GROUP BY node HAVING max(cost) <= 25),
             chosen AS (SELECT node FROM cheap WHERE node NOT IN (SELECT node FROM cn WHERE k % 97 = 0)),
-            w AS (SELECT source, target AS node, cost, 1 AS parts FROM city WHERE source NOT IN (SELECT node FROM chosen)
-                UNION SELECT w.source, a.target, w.cost + a.cost, parts + 1 FROM w JOIN chosen c ON c.node = w.node JOIN city a ON a.source = w.node WHERE w.cost + a.cost <= 400)
-        SELECT source, node AS target, min(cost) AS cost, min(parts ORDER BY cost)::BIGINT AS parts FROM (SELECT source, node, cost, min(parts) AS parts FROM w WHERE source <> node AND node NOT IN (SELECT node FROM chosen) GROUP BY ALL
-            QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY cost) = 1) GROUP BY source, node""",
+            w AS (SELECT source, target AS node, cost FROM city WHERE source NOT IN (SELECT node FROM chosen)
+                UNION SELECT w.source, a.target, w.cost + a.cost FROM w JOIN chosen c ON c.node = w.node JOIN city a ON a.source = w.node WHERE w.cost + a.cost <= 400)
+        SELECT source, node AS target, min(cost) AS cost FROM w WHERE source <> node AND node NOT IN (SELECT node FROM chosen) GROUP BY source, node""",
+    "walkway_bins": f"""{_REC}, w AS (SELECT vec_id AS start, [vec_id] AS path, 0::BIGINT AS cost FROM points WHERE vec_id % 25 = 0
+            UNION ALL SELECT start, list_append(path, a.target), w.cost + a.cost FROM w JOIN (SELECT source, target, min(cost) AS cost FROM arcs GROUP BY ALL) a ON a.source = path[-1] WHERE w.cost < 60 AND NOT list_contains(path[-3:], a.target)),
+            k AS (SELECT start, cost FROM w WHERE len(path) > 1 AND path[-1] % 5 = 0), r AS (SELECT start, min(cost) AS low, max(cost) AS high FROM k GROUP BY start HAVING count(*) >= 2)
+        SELECT k.start, CASE WHEN high > low THEN floor((high - cost) * 49 / (high - low))::INT ELSE 0 END AS bin, count(*) AS n FROM k JOIN r ON r.start = k.start GROUP BY ALL""",
     "city_flooding": f"""{_CITY}, nw AS (SELECT node, max(weight) AS weight FROM (SELECT source AS node, weight FROM city UNION ALL SELECT target, weight FROM city) GROUP BY node),
         c AS (SELECT search_id, dist.node, weight * ({_SUFFIX.format('2 * greatest(cost, 1)')}) / (greatest(cost, 1) + 60.0) AS v FROM dist JOIN nw ON nw.node = dist.node),
         n AS (SELECT search_id, node, v / max(v) OVER (PARTITION BY search_id) AS v FROM c WHERE v <> 0),
