@@ -181,8 +181,8 @@ def test_attractiveness_is_the_same_with_and_without_contraction_of_values_at_en
 def test_nearest_ends_without_nodes_and_without_coordinates(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 1e6, 1e6)], "id long, x double, y double")
     nodes = spark.createDataFrame([(7, 3.0, 4.0)], "node_id long, x double, y double")
-    assert {r["id"]: r["node_id"] for r in spatial.nearest(points, nodes, 0.5).collect()} == {1: 7, 2: None, 3: None, 4: 7}
-    assert {r["node_id"] for r in spatial.nearest(points, nodes.limit(0), 0.5).collect()} == {None}
+    assert {r["id"]: r["node_id"] for r in spatial.nearest(points, nodes).collect()} == {1: 7, 2: None, 3: None, 4: 7}
+    assert {r["node_id"] for r in spatial.nearest(points, nodes.limit(0)).collect()} == {None}
 
 
 def test_a_polygon_without_inner_points_keeps_its_people(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions.geo import inside_ring
-from waynet.plans.iterate import cut
+from waynet.operators.quadtree import nearest_nodes
 
 
 def _cells(points: DataFrame, size: float, ring: int) -> DataFrame:
@@ -16,35 +16,22 @@ def _cells(points: DataFrame, size: float, ring: int) -> DataFrame:
 
 
 def within_radius(points: DataFrame, nodes: DataFrame, radius: float, most: int | None = None) -> DataFrame:
-    """id, node_id, d2, rank: nodes within the radius (inclusive) of each point, the nearest first, ties by node_id; the first `most` of them."""
+    """id, node_id, d2, rank: nodes within the radius (inclusive) of each point, the nearest first, ties by node_id; the first `most` of them.
+
+    The first few come down a quadtree; without `most` all pairs within the radius meet in cells of that size.
+    """
+    if most is not None:
+        return nearest_nodes(points.select("id", "x", "y"), nodes.select("node_id", "x", "y"), most, radius).select("id", "node_id", "d2", "rank")
     near = _cells(points, radius, 1).join(_cells(nodes.select("node_id", F.col("x"), F.col("y")), radius, 0).withColumnsRenamed({"x": "nx", "y": "ny"}), ["cx", "cy"])
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
     found = near.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "node_id")))
-    return (ranked if most is None else ranked.where(F.col("rank") <= most)).select("id", "node_id", "d2", "rank")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "node_id"))).select("id", "node_id", "d2", "rank")
 
 
-def nearest(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
-    """id, node_id, d2 of the nearest node of every point; both null for a point without coordinates, or without any node.
-
-    The radius doubles for points that found none, up to the extent of points and nodes; beyond it everything is near.
-    """
-    valid = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    real = cut(nodes.where(valid("x") & valid("y")))
-    left = cut(points.where(valid("x") & valid("y")))
-    box = real.select("x", "y").unionByName(left.select("x", "y")).agg(*(f(c) for c in ("x", "y") for f in (F.min, F.max))).first()
-    none = points.where(~valid("x") | ~valid("y") | F.lit(real.isEmpty())).select("id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2"))
-    if real.isEmpty() or left.isEmpty():
-        return none
-    extent, found = max(1e-9, ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5), none
-    while not left.isEmpty():
-        hit = cut(within_radius(left, real, radius, 1).select("id", "node_id", "d2"))
-        found = found.unionByName(hit)
-        if radius > 2 * extent:
-            break
-        left = cut(left.join(hit, "id", "left_anti"))
-        radius *= 2
-    return found
+def nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, node_id, d2 of the nearest node of every point; both null for a point without coordinates, or without any node."""
+    found = nearest_nodes(points.select("id", "x", "y"), nodes.select("node_id", "x", "y")).select("id", "node_id", "d2")
+    return points.select("id").join(found, "id", "left").select("id", "node_id", "d2")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

@@ -174,7 +174,7 @@ def segments(spark, d):
 def nearest_nodes(spark, d):
     p = points(spark, d)
     nodes = p.where("vec_id % 3 = 0").select(F.col("vec_id").alias("node_id"), "x", "y")
-    return spatial.nearest(p.select(F.col("vec_id").alias("id"), "x", "y"), nodes, 0.05).select("id", "node_id")
+    return spatial.nearest(p.select(F.col("vec_id").alias("id"), "x", "y"), nodes).select("id", "node_id")
 
 
 def nearest_three_within(spark, d):
