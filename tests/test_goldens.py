@@ -255,3 +255,20 @@ def test_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "areas").glob("admin_level=*")} == {"admin_level=4", "admin_level=6"}
     nodes = spark.range(3).withColumnRenamed("id", "node")
     assert text.graph_to_string(nodes, text.graph_from_string(spark, X5)).first()[0] == "[3,4,{(1,3)},{(0,3),(2,3)},{(1,3)}]"
+
+
+def test_sums_are_observed_on_the_way(spark):
+    people = spark.createDataFrame([(1, 60.0, 10.0), (2, 20.0, 9.0)], "entry long, walking double, cycling double")
+    frame, seen = models.observed(people, "shares", walking="walking", cycling="cycling")
+    assert frame.where("entry = 1").count() == 1
+    assert seen.get == {"rows": 2, "walking": 80.0, "cycling": 19.0}
+    assert models.observed_gaps(seen, {"walking": 0.8, "cycling": 0.1}, 100.0) == {"walking": False, "cycling": True}
+
+
+def test_polygons_of_shuffled_and_turned_ways(spark):
+    """A ring of three ways in any order, one of them turned, and a second ring, are two polygons."""
+    ways = spark.createDataFrame([(1, [1, 2, 3]), (2, [5, 4, 3]), (3, [5, 6, 1]), (4, [20, 21, 22, 20]), (9, [])], "way_id long, nds array<long>")
+    members = spark.createDataFrame([(7, 0, 1), (7, 1, 4), (7, 2, 3), (7, 3, 2), (7, 4, 99)], "relation_id long, pos int, way_id long")
+    rings = [r["nds"] for r in spatial.assembled_polygons(members, ways).orderBy("polygon").collect()]
+    closed = [sorted(set(n)) for n in rings]
+    assert sorted(closed) == [[1, 2, 3, 4, 5, 6], [20, 21, 22]] and all(n[0] == n[-1] for n in rings)

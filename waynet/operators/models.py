@@ -1,6 +1,6 @@
 """Popularity of entry points and attractiveness of path segments."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -153,6 +153,20 @@ def quota_gaps(shares: dict[str, float], counted: dict[str, float], total: float
     return {k: abs(total * s - counted[k]) > abs(most * total * s) for k, s in shares.items()}
 
 
+def observed(df: DataFrame, name: str, **sums: str) -> tuple[DataFrame, Observation]:
+    """df, and the sums of columns (and the number of rows, as `rows`) that pass through it, known once an action on it has run.
+
+    Nothing is computed for them alone, so they serve to check a model's totals against the quotas.
+    """
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(k) for k, c in sums.items())), seen
+
+
+def observed_gaps(seen: Observation, shares: dict[str, float], total: float, most: float = 0.01) -> dict[str, bool]:
+    """quota_gaps of what was observed."""
+    return quota_gaps(shares, {k: seen.get[k] for k in shares}, total, most)
+
+
 APPROACHES = {0: "flooding", 1: "via_edge"}
 
 

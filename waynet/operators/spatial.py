@@ -137,11 +137,19 @@ def order_ways(members: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
-    """relation_id, polygon (from 0) and nds: the nodes of a relation's ways (relation_id, pos, way_id) in order.
+    """relation_id, polygon (from 0) and nds: the nodes of a relation's ways (relation_id, pos, way_id) in the given order.
 
     A way that is missing or doesn't start where the last one ended starts a new polygon; those of up to two nodes go.
     """
-    known = members.join(ways.where(F.size("nds") > 0), "way_id", "left")
+    return _polygons(members.join(ways.where(F.size("nds") > 0), "way_id", "left"))
+
+
+def assembled_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
+    """relation_polygons of ways that are first put in the order and direction in which their ends meet."""
+    return _polygons(order_ways(members, ways))
+
+
+def _polygons(known: DataFrame) -> DataFrame:
     w = Window.partitionBy("relation_id").orderBy("pos")
     ends = known.withColumns({"before": F.lag(F.element_at("nds", -1)).over(w), "first": F.get("nds", F.lit(0))}).where("nds IS NOT NULL")
     starts = F.when(F.col("first") == F.col("before"), 0).otherwise(1)

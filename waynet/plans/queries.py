@@ -30,9 +30,14 @@ def _nodes(spark, d):
     return points(spark, d).select(F.col("vec_id").alias("node"))
 
 
-def _zones(spark):
-    rows = [(1, 900.0, [(-0.2, -0.2), (0.0, -0.2), (0.0, 0.1), (-0.2, 0.1)]), (2, 500.0, [(0.0, 0.0), (0.25, 0.0), (0.1, 0.3)])]
-    return spark.createDataFrame(rows, "poly_id long, inhabitants double, ring array<struct<x:double,y:double>>")
+def _zones(spark, d):
+    """A zone for each supplier, of four corners."""
+    k = F.col("s_suppkey")
+    x, y, w, h = ((k * 37 % 80) / F.lit(100.0) - 0.4, (k * 53 % 80) / F.lit(100.0) - 0.4, (k % 7) / F.lit(100.0) + 0.05, (k % 5) / F.lit(100.0) + 0.05)
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    own = table(spark, d, "supplier").select(k.alias("poly_id"), (k % 50 + 100).cast("double").alias("inhabitants"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    return own.select("poly_id", "inhabitants", F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h / 2)).alias("ring"))
 
 
 def _lines(spark, d):
@@ -184,11 +189,11 @@ def nearest_three_within(spark, d):
 
 
 def points_in_zones(spark, d):
-    return spatial.points_in_polygons(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark), 0.1)
+    return spatial.points_in_polygons(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark, d), 0.1)
 
 
 def population_grid(spark, d):
-    return spatial.population_grid(_zones(spark), 0.03).select("poly_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "population")))
+    return spatial.population_grid(_zones(spark, d), 0.03).select("poly_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "population")))
 
 
 def hulls(spark, d):
@@ -380,7 +385,7 @@ def middle_heat(spark, d):
 
 
 def zone_of_point(spark, d):
-    return spatial.last_polygon(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark), 0.1)
+    return spatial.last_polygon(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark, d), 0.1)
 
 
 def kept_components(spark, d):
@@ -414,9 +419,10 @@ def _distances(limit: int, seeds: str = "vec_id % 25 = 0") -> str:
 
 
 #: Edges of the zones.
-_EDGES = """edges(poly_id, ax, ay, bx, "by") AS (SELECT a::BIGINT, b::DOUBLE, c::DOUBLE, d::DOUBLE, e::DOUBLE FROM (VALUES
-    (1, -0.2, -0.2, 0.0, -0.2), (1, 0.0, -0.2, 0.0, 0.1), (1, 0.0, 0.1, -0.2, 0.1), (1, -0.2, 0.1, -0.2, -0.2),
-    (2, 0.0, 0.0, 0.25, 0.0), (2, 0.25, 0.0, 0.1, 0.3), (2, 0.1, 0.3, 0.0, 0.0)) v(a, b, c, d, e))"""
+_EDGES = """zone AS (SELECT s_suppkey AS poly_id, (s_suppkey % 50 + 100)::DOUBLE AS inhabitants, (s_suppkey * 37 % 80) / 100.0::DOUBLE - 0.4::DOUBLE AS x, (s_suppkey * 53 % 80) / 100.0::DOUBLE - 0.4::DOUBLE AS y,
+        (s_suppkey % 7) / 100.0::DOUBLE + 0.05::DOUBLE AS w, (s_suppkey % 5) / 100.0::DOUBLE + 0.05::DOUBLE AS h FROM supplier),
+    edges(poly_id, ax, ay, bx, "by") AS (SELECT poly_id, x, y, x + w, y FROM zone UNION ALL SELECT poly_id, x + w, y, x + w, y + h FROM zone
+        UNION ALL SELECT poly_id, x + w, y + h, x, y + h / 2 FROM zone UNION ALL SELECT poly_id, x, y + h / 2, x, y FROM zone)"""
 _CROSSES = '(ay > y) <> ("by" > y) AND x < (bx - ax) * (y - ay) / ("by" - ay) + ax'
 _IN_ZONES = f"{_EDGES}, hit AS (SELECT vec_id AS id, poly_id FROM points JOIN edges ON {_CROSSES} GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
 
@@ -507,8 +513,9 @@ ORACLES = {
     "population_grid": f"""WITH {_EDGES}, box AS (SELECT poly_id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY poly_id),
         g AS (SELECT poly_id, x0 + i * 0.03::DOUBLE AS x, y0 + j * 0.03::DOUBLE AS y FROM box, range(1, 100) a(i), range(1, 100) b(j)
             WHERE i <= ceil((x1 - x0) / 0.03::DOUBLE) - 1 AND j <= ceil((y1 - y0) / 0.03::DOUBLE) - 1),
-        k AS (SELECT g.poly_id, x, y FROM g JOIN edges e ON e.poly_id = g.poly_id AND {_CROSSES} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
-        SELECT poly_id, round(x, 6) AS x, round(y, 6) AS y, round((CASE poly_id WHEN 1 THEN 900 ELSE 500 END)::DOUBLE / count(*) OVER (PARTITION BY poly_id), 6) AS population FROM k""",
+        k AS (SELECT g.poly_id, x, y FROM g JOIN edges e ON e.poly_id = g.poly_id AND {_CROSSES} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+        every AS (SELECT poly_id, x, y FROM k UNION ALL SELECT poly_id, x0, y0 FROM box WHERE poly_id NOT IN (SELECT poly_id FROM k))
+        SELECT every.poly_id, round(every.x, 6) AS x, round(every.y, 6) AS y, round(inhabitants / count(*) OVER (PARTITION BY every.poly_id), 6) AS population FROM every JOIN zone ON zone.poly_id = every.poly_id""",
     "heat_answer": f"""WITH {_HEAT}, e AS (SELECT DISTINCT * FROM heat WHERE lat BETWEEN 10.25 AND 20.25 AND lon BETWEEN 20.75 AND 40.75)
         SELECT dataset, count(*) AS n, max(heat) AS max, string_agg(format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat), ';' ORDER BY lat, lon, format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat)) AS points FROM e GROUP BY dataset""",
     "entry_popularity": f"""{_REC}, {_distances(300)}, n AS (SELECT search_id AS entry, node AS pop, cost, CASE WHEN cost <= 60 THEN 0 WHEN cost <= 150 THEN 1 ELSE 2 END AS b, CASE WHEN cost <= 60 THEN 60 WHEN cost <= 150 THEN 150 ELSE 300 END AS bound FROM dist),
