@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waynet.functions import geo
+from waynet.functions import geo, speeds
 from waynet.operators import graph, models, osm, raster, spatial
 from waynet.sources import sinks, text
 
@@ -272,3 +272,28 @@ def test_polygons_of_shuffled_and_turned_ways(spark):
     rings = [r["nds"] for r in spatial.assembled_polygons(members, ways).orderBy("polygon").collect()]
     closed = [sorted(set(n)) for n in rings]
     assert sorted(closed) == [[1, 2, 3, 4, 5, 6], [20, 21, 22]] and all(n[0] == n[-1] for n in rings)
+
+
+def test_translated_ids_are_written_and_read_again(spark, tmp_path):
+    nodes = spark.createDataFrame([(-9, 1.5, 2.5, {"a": "b"}), (30, 3.0, 4.0, {}), (7, 5.0, 6.0, {})], "node_id long, lat double, lon double, tags map<string,string>")
+    ways = spark.createDataFrame([(5, [30, -9, 7, 30], {"Objektname": "Wald", "x": "y"}), (2, [7], {"highway": "path"})], "way_id long, nds array<long>, tags map<string,string>")
+    moved = sinks.translate_ids(nodes, ways, 100)
+    sinks.write_osm(*moved, str(tmp_path / "osm"))
+    back_nodes, back_ways = text.read_osm_nodes(spark, f"{tmp_path}/osm/nodes"), text.read_osm(spark, f"{tmp_path}/osm/*")[1]
+    assert {(r["node_id"], r["lat"], r["lon"], *r["tags"].items()) for r in back_nodes.collect()} == {(100, 1.5, 2.5, ("a", "b")), (101, 5.0, 6.0), (102, 3.0, 4.0)}
+    assert {r["way_id"]: (r["nds"], r["tags"]) for r in back_ways.collect()} == {101: ([102, 100, 101, 102], {"x": "y", "landuse": "forest"}), 100: ([101], {"highway": "path"})}
+    with pytest.raises(Exception, match="no node 30"):
+        sinks.translate_ids(nodes.where("node_id < 30"), ways, 0)[1].collect()
+
+
+def test_speeds_by_tags(spark):
+    rows = spark.createDataFrame([(1, {"highway": "path"}), (2, {"highway": "moon"}), (3, {"KLASSE": "87004"}), (4, {"KLASSE": "x"}), (5, {}), (6, {"highway": "steps", "KLASSE": "90001"})], "k int, tags map<string,string>")
+    assert {r["k"]: r["s"] for r in rows.select("k", speeds.tag_speed(F.col("tags")).alias("s")).collect()} == {1: 5, 2: None, 3: 25, 4: None, 5: None, 6: 3}
+
+
+def test_walkers_leave_out_large_roads(spark):
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0, 164001), (1, 1, 3.0, 4.0, 164001), (2, 0, 0.0, 0.0, 90005), (2, 1, 0.0, 36.0, 90005)], "fid long, pos int, x double, y double, klasse int")
+    cost = lambda most, **named: {r["fid"]: round(r["cost"], 6) for r in graph.road_segments(v, most, **named).collect()}
+    assert cost(speeds.WALKING_SPEED, way_class="klasse") == {2: 25.92}
+    assert cost(36, way_class="klasse") == {1: 0.5, 2: 3.6}
+    assert cost(36) == {1: 3.6, 2: 25.92}

@@ -60,3 +60,18 @@ def is_road(way_class: Column, ranges: list[tuple[int, int]]) -> Column:
     for first, last in ranges:
         found = found | way_class.between(first, last)
     return found
+
+
+#: km/h of walkers, and the class of ways that name none (a pedestrian area).
+WALKING_SPEED, PEDESTRIAN_AREA = 5, 87003
+
+
+def tag_speed(tags: Column, profile: str = "osm") -> Column:
+    """km/h by a way's tags: by its highway, else by its official class (KLASSE); null if it is no way for the profile."""
+    by_kind = _lookup(PROFILES[profile], F.try_element_at(tags, F.lit("highway")))
+    return F.coalesce(by_kind, _lookup(CLASS_SPEEDS, F.try_element_at(tags, F.lit("KLASSE")).try_cast("int")))
+
+
+def is_walked(way_class: Column, most: float) -> Column:
+    """Whether a way is used at that speed: walkers leave out large roads."""
+    return ~(F.lit(most == WALKING_SPEED) & is_road(way_class, LARGE_ROADS))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waynet.functions import speeds
 from waynet.operators.search import shortest_paths as shortest_paths
 from waynet.plans.iterate import cut, running_total
 
@@ -28,6 +29,11 @@ def largest_component(label: DataFrame) -> DataFrame:
     return label.join(best, "component").select("node")
 
 
+def least_arcs(arcs: DataFrame) -> DataFrame:
+    """source, target, cost: of parallel arcs the cheapest."""
+    return arcs.groupBy("source", "target").agg(F.min("cost").alias("cost"))
+
+
 def restrict(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The induced subgraph, its nodes renumbered densely from 0 in order."""
     ids = running_total(nodes.select("node"), ["node"], F.lit(1), "id")
@@ -50,6 +56,19 @@ def polylines_to_segments(vertices: DataFrame) -> DataFrame:
     return out.select("fid", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), "length")
 
 
+def road_segments(vertices: DataFrame, most: float, way_class: str | None = None, weight: str | None = None) -> DataFrame:
+    """fid, ends, length, cost in seconds and weight of roads (fid, pos, x, y in metres, and columns of class and weight), up to a speed in km/h.
+
+    Class and weight are those of the last vertex; without a class all are pedestrian areas, without a weight it is -1.
+    Walkers (speeds.WALKING_SPEED) leave out large roads.
+    """
+    last = lambda c, default: F.lit(default) if c is None else F.max_by(c, "pos")
+    told = vertices.groupBy("fid").agg(last(way_class, speeds.PEDESTRIAN_AREA).alias("way_class"), last(weight, -1).alias("weight"))
+    used = polylines_to_segments(vertices).join(told, "fid").where(speeds.is_walked(F.col("way_class"), most))
+    cost = F.col("length") / (speeds.class_speed(F.col("way_class"), F.lit(most)) / 3.6)
+    return used.select("fid", "x0", "y0", "x1", "y1", "length", cost.alias("cost"), "weight")
+
+
 def counter_arcs(arcs: DataFrame) -> DataFrame:
     """Each arc a->b with the arc of the same rank of b->a; an error where they aren't as many."""
     ranked = arcs.withColumn("rank", F.row_number().over(Window.partitionBy("source", "target").orderBy("cost", "weight")))

@@ -161,7 +161,7 @@ def offsets(spark, d):
 
 def least_arcs(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (1000000 + F.col("l_partkey")).alias("target"), F.floor("l_quantity").cast("int").alias("cost"))
-    return rows.groupBy("source", "target").agg(F.min("cost").alias("cost"))
+    return graph.least_arcs(rows)
 
 
 def counter_arcs(spark, d):
@@ -374,6 +374,24 @@ def way_edges(spark, d):
     return graph.way_arcs(ways, nodes, F.lit(50.0)).select("way_id", "pos", "source", "target", F.round("metres", 2).alias("metres"), F.round("seconds", 2).alias("seconds"))
 
 
+def road_costs(spark, d):
+    """Roads of walkers, who leave out the large ones."""
+    classes = list(speeds.CLASS_SPEEDS)
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    of = F.element_at(F.array(*map(F.lit, classes)), (1 + F.col("l_orderkey") % len(classes)).cast("int"))
+    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fid"), pos.alias("pos"), (F.col("l_partkey") % 97).cast("double").alias("x"), (F.col("l_suppkey") % 89).cast("double").alias("y"), of.alias("klasse"), F.col("l_linenumber").alias("wert"))
+    out = graph.road_segments(v, speeds.WALKING_SPEED, "klasse", "wert")
+    return out.select("fid", "x0", "y0", "x1", "y1", F.round("cost", 5).alias("cost"), "weight")
+
+
+def translated_ids(spark, d):
+    l = _lines(spark, d).groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pos", "y"))).alias("v"))
+    ways = l.select(F.col("fid").alias("way_id"), F.transform("v", lambda x: (7 * x["y"] + 5).cast("long")).alias("nds"), F.create_map(F.lit("Objektname"), F.when(F.col("fid") % 2 == 0, "Wald").otherwise("Weg")).alias("tags"))
+    nodes = ways.select(F.explode("nds").alias("node_id")).distinct()
+    moved = sinks.translate_ids(nodes, ways, 1000)[1]
+    return moved.select("way_id", F.array_join(F.col("nds").cast("array<string>"), "-").alias("nds"), F.to_json("tags").alias("tags"))
+
+
 def box_raster(spark, d):
     out = raster.rasterize_box(_heat(spark, d), 10.25, 20.75, 60.25, 120.75, 48)
     return out.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "heat")
@@ -406,7 +424,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -462,6 +480,14 @@ ORACLES = {
     "counter_arcs": f"""{_WITH}, k AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY cost, weight) AS rank FROM arcs)
         SELECT a.source, a.target, a.rank::INT AS rank, a.cost, b.cost AS back_cost FROM k a JOIN k b ON a.source = b.target AND a.target = b.source AND a.rank = b.rank""",
     "node_weights": f"{_WITH} SELECT node, max(weight) AS weight FROM (SELECT source AS node, weight FROM arcs UNION ALL SELECT target, weight FROM arcs) GROUP BY node",
+    "road_costs": f"""WITH s(i, class, speed) AS (VALUES {", ".join(str((i, *x)) for i, x in enumerate(speeds.CLASS_SPEEDS.items()))}),
+        v AS (SELECT l_orderkey AS fid, l_linenumber AS wert, row_number() OVER w AS pos, (l_partkey % 97)::DOUBLE AS x, (l_suppkey % 89)::DOUBLE AS y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+        t AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM v WINDOW w AS (PARTITION BY fid ORDER BY pos)),
+        g AS (SELECT fid, arg_min(x, pos) AS x0, arg_min(y, pos) AS y0, arg_max(x, pos) AS x1, arg_max(y, pos) AS y1, coalesce(sum(step), 0) AS length, arg_max(wert, pos) AS weight FROM t GROUP BY fid)
+        SELECT fid, x0, y0, x1, y1, round(length / (least(speed, 5) / 3.6::DOUBLE), 5) AS cost, weight FROM g JOIN s ON s.i = fid % {len(speeds.CLASS_SPEEDS)} WHERE class NOT BETWEEN 164001 AND 164011""",
+    "translated_ids": """WITH v AS (SELECT l_orderkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_suppkey % 89 AS n FROM lineitem),
+        r AS (SELECT w, pos, 999 + dense_rank() OVER (ORDER BY n) AS id FROM v), k AS (SELECT w, string_agg(id::VARCHAR, '-' ORDER BY pos) AS nds FROM r GROUP BY w)
+        SELECT row_number() OVER (ORDER BY w) - 1 + 1000 AS way_id, nds, CASE WHEN w % 2 = 0 THEN '{"landuse":"forest"}' ELSE '{"Objektname":"Weg"}' END AS tags FROM k""",
     "segments": """WITH v AS (SELECT l_orderkey AS fid, row_number() OVER w AS pos, (l_partkey % 97)::DOUBLE AS x, (l_suppkey % 89)::DOUBLE AS y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
         s AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM v WINDOW w AS (PARTITION BY fid ORDER BY pos))
         SELECT fid, arg_min(x, pos) AS x0, arg_min(y, pos) AS y0, arg_max(x, pos) AS x1, arg_max(y, pos) AS y1, round(coalesce(sum(step), 0), 6) AS length FROM s GROUP BY fid""",

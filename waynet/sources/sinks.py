@@ -84,3 +84,29 @@ def polygon_lines(polygons: DataFrame) -> DataFrame:
 def dense_ids(rows: DataFrame, key: str, shift: int) -> DataFrame:
     """key and new_id: the distinct keys numbered densely from `shift` in their order."""
     return running_total(rows.select(key).distinct(), [key], F.lit(1), "new_id").select(key, (F.col("new_id") + shift).alias("new_id"))
+
+
+def translate_ids(nodes: DataFrame, ways: DataFrame, shift: int) -> tuple[DataFrame, DataFrame]:
+    """nodes (node_id, ...) and ways (way_id, nds, tags) with ids numbered densely from shift, each kind in the order of its ids.
+
+    Refs follow in their order; one to a node that isn't there is an error. A way of the object name `Wald` becomes a forest.
+    """
+    node_ids, way_ids = dense_ids(nodes, "node_id", shift), dense_ids(ways, "way_id", shift)
+    refs = ways.select("way_id", F.posexplode("nds").alias("at", "node_id")).join(node_ids, "node_id", "left")
+    found = F.when(F.col("new_id").isNull(), F.raise_error(F.concat(F.lit("no node "), F.col("node_id").cast("string"))).cast("long")).otherwise(F.col("new_id"))
+    told = refs.withColumn("found", found).groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("at", "found"))).alias("refs"))
+    wood = F.coalesce(F.try_element_at("tags", F.lit("Objektname")) == "Wald", F.lit(False))
+    as_forest = F.map_concat(F.map_filter("tags", lambda k, v: ~k.isin("Objektname", "landuse")), F.create_map(F.lit("landuse"), F.lit("forest")))
+    new_ways = ways.join(way_ids, "way_id").join(told, "way_id", "left").select(
+        F.col("new_id").alias("way_id"), F.coalesce(F.transform("refs", lambda r: r["found"]), F.array().cast("array<bigint>")).alias("nds"), F.when(wood, as_forest).otherwise(F.col("tags")).alias("tags")
+    )
+    return nodes.join(node_ids, "node_id").drop("node_id").withColumnRenamed("new_id", "node_id").select(*nodes.columns), new_ways
+
+
+def write_osm(nodes: DataFrame, ways: DataFrame, path: str) -> None:
+    """nodes (node_id, lat, lon, tags) and ways (way_id, nds, tags) as OSM XML in path/nodes and path/ways, for read_osm of path/*."""
+    tags = F.transform(F.map_entries("tags"), lambda t: F.struct(t["key"].alias("_k"), t["value"].alias("_v")))
+    points = nodes.select(F.col("node_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tags.alias("tag"))
+    lines = ways.select(F.col("way_id").alias("_id"), F.transform("nds", lambda n: F.struct(n.alias("_ref"), F.lit(None).cast("string").alias("_VALUE"))).alias("nd"), tags.alias("tag"))
+    for rows, kind in ((points, "node"), (lines, "way")):
+        rows.write.format("xml").option("rootTag", "osm").option("rowTag", kind).save(f"{path}/{kind}s")
