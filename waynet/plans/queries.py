@@ -193,7 +193,7 @@ def points_in_zones(spark, d):
 
 
 def population_grid(spark, d):
-    return spatial.population_grid(_zones(spark, d), 0.03).select("poly_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "population")))
+    return spatial.population_grid(_zones(spark, d), 0.03).select("poly_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "population")))
 
 
 def hulls(spark, d):
@@ -541,7 +541,7 @@ ORACLES = {
             WHERE i <= ceil((x1 - x0) / 0.03::DOUBLE) - 1 AND j <= ceil((y1 - y0) / 0.03::DOUBLE) - 1),
         k AS (SELECT g.poly_id, x, y FROM g JOIN edges e ON e.poly_id = g.poly_id AND {_CROSSES} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
         every AS (SELECT poly_id, x, y FROM k UNION ALL SELECT poly_id, x0, y0 FROM box WHERE poly_id NOT IN (SELECT poly_id FROM k))
-        SELECT every.poly_id, round(every.x, 6) AS x, round(every.y, 6) AS y, round(inhabitants / count(*) OVER (PARTITION BY every.poly_id), 6) AS population FROM every JOIN zone ON zone.poly_id = every.poly_id""",
+        SELECT every.poly_id, round(every.x, 6) + 0.0::DOUBLE AS x, round(every.y, 6) + 0.0::DOUBLE AS y, round(inhabitants / count(*) OVER (PARTITION BY every.poly_id), 6) AS population FROM every JOIN zone ON zone.poly_id = every.poly_id""",
     "heat_answer": f"""WITH {_HEAT}, e AS (SELECT DISTINCT * FROM heat WHERE lat BETWEEN 10.25 AND 20.25 AND lon BETWEEN 20.75 AND 40.75)
         SELECT dataset, count(*) AS n, max(heat) AS max, string_agg(format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat), ';' ORDER BY lat, lon, format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat)) AS points FROM e GROUP BY dataset""",
     "entry_popularity": f"""{_REC}, {_distances(300)}, n AS (SELECT search_id AS entry, node AS pop, cost, CASE WHEN cost <= 60 THEN 0 WHEN cost <= 150 THEN 1 ELSE 2 END AS b, CASE WHEN cost <= 60 THEN 60 WHEN cost <= 150 THEN 150 ELSE 300 END AS bound FROM dist),
