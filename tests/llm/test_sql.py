@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
     out = queries.queries()[name](spark, SF)
     columns = sorted(out.columns)
     con = duckdb.connect()
-    for table in ("documents", "conversations", "embeddings"):
+    for table in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     own = sorted((tuple(r) for r in out.select(*columns).collect()), key=repr)

@@ -193,8 +193,30 @@ _PHRASE_SQL = r"""
 """
 
 
+#: crc32 by its bits: every byte of a feature is taken in and then shifted eight times.
+_DRAW_SQL = r"""
+    WITH d AS MATERIALIZED (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+        w AS (SELECT side, r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT side, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d)),
+        p AS MATERIALIZED (SELECT side, r, x, lead(x) OVER (PARTITION BY side, r ORDER BY i) AS y FROM w),
+        f AS MATERIALIZED (SELECT side, r, feature, count(*) AS c FROM (SELECT side, r, x AS feature FROM p UNION ALL SELECT side, r, x || ' ' || y FROM p WHERE y IS NOT NULL) GROUP BY ALL),
+        h AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)),
+        b AS (SELECT feature, flatten(list_transform(range(1, length(h), 2), lambda i: [(instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1, -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM h),
+        k AS MATERIALIZED (SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, steps), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 10000 AS bucket FROM b),
+        s AS (SELECT bucket, (coalesce(sum(c) FILTER (WHERE side = 0), 0))::DOUBLE AS s, (coalesce(sum(c) FILTER (WHERE side = 1), 0))::DOUBLE AS t FROM f JOIN k ON k.feature = f.feature GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000)))) AS gain FROM s),
+        n AS (SELECT r, count(*) AS n_words FROM p WHERE side = 0 GROUP BY r),
+        m AS (SELECT r, sum(c)::BIGINT AS n_features, floor(sum(c * gain) / sum(c))::BIGINT AS weight FROM f JOIN k ON k.feature = f.feature JOIN g ON g.bucket = k.bucket WHERE side = 0 GROUP BY r),
+        u AS (SELECT d.r, doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN m ON m.r = d.r WHERE side = 0),
+        v AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: instr('0123456789abcdef', substr(h, i, 1)) - 1)), lambda a, e: a * 16 + e) AS z FROM u),
+        q AS (SELECT *, weight + floor(-1000 * ln(-ln((z::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM v),
+        o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM q)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (SELECT 25 * count(*) // 100 FROM q WHERE n_words >= 20) THEN place END AS rank FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_importance": _DRAW_SQL,
         "op11_topk": """
             WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
                 s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.w, c.w)::BIGINT AS score FROM (SELECT DISTINCT * FROM v WHERE id % 50 = 0) q JOIN v c ON c.id IS DISTINCT FROM q.id),
