@@ -448,7 +448,29 @@ _CITY = f"""WITH RECURSIVE {SQL['city']}, w AS (SELECT k AS search_id, node, 0 A
         UNION SELECT w.search_id, a.target, w.cost + a.cost FROM w JOIN city a ON a.source = w.node WHERE w.cost + a.cost <= {LIMIT}),
     dist AS MATERIALIZED (SELECT search_id, node, min(cost) AS cost FROM w GROUP BY ALL)"""
 
+def _away(barred: str) -> str:
+    """SQL of the least costs from x to the entries, for the ends of all arcs, x first, on ways that aren't barred."""
+    return f"""one AS (SELECT source, target, min(cost)::INT AS cost, max(weight) AS weight FROM arcs GROUP BY ALL),
+    a AS (SELECT source AS x, target AS y, source AS node, 0::INT AS cost FROM one
+        UNION SELECT a.x, a.y, o.target, (a.cost + o.cost)::INT FROM a JOIN one o ON o.source = a.node WHERE a.cost + o.cost <= {2 * LIMIT} AND {barred}),
+    away AS MATERIALIZED (SELECT x, y, node, min(cost) AS cost FROM a WHERE node % 25 = 0 GROUP BY ALL)"""
+
+
 ORACLES = {
+    "via_edge": f"""{_REC}, {_away('o.target <> a.y')},
+    w AS (SELECT vec_id AS search_id, vec_id AS node, 0 AS cost FROM points WHERE vec_id % 25 = 0
+        UNION SELECT w.search_id, o.target, w.cost + o.cost FROM w JOIN one o ON o.source = w.node WHERE w.cost + o.cost <= {2 * LIMIT}),
+    direct AS (SELECT search_id, node, min(cost) AS cost FROM w WHERE node % 25 = 0 GROUP BY ALL),
+    met AS (SELECT o.source, o.target, o.weight, b.node AS b, f.node AS f, f.cost AS cost_f, b.cost + o.cost + f.cost AS way FROM one o JOIN away b ON b.x = o.source AND b.y = o.target JOIN away f ON f.x = o.target AND f.y = o.source
+        WHERE o.weight > 0 AND b.cost + o.cost + f.cost <= {2 * LIMIT}),
+    v AS (SELECT source, target, b, sum(met.weight * ({_SUFFIX.format('way')})::DOUBLE * CASE WHEN b = f THEN 60 / (cost_f + 60)::DOUBLE ELSE (direct.cost + 60) / (way + 60)::DOUBLE END) AS v FROM met LEFT JOIN direct ON search_id = b AND node = f GROUP BY ALL),
+    n AS (SELECT source, target, b, v / max(v) OVER (PARTITION BY b) AS v FROM v WHERE v > 0),
+    t AS (SELECT source, target, sum(v * (b + 100.0::DOUBLE)) AS v FROM n GROUP BY ALL)
+    SELECT one.source, one.target, round(coalesce(t.v, 0), 6) AS value FROM one LEFT JOIN t ON t.source = one.source AND t.target = one.target WHERE one.weight > 0""",
+    "even_arc_weights": f"""{_REC}, {_away('NOT (a.node = a.x AND o.target = a.y) AND NOT (a.node = a.y AND o.target = a.x)')},
+    trips AS (SELECT o.source, o.target, b.node AS entry, count(*) AS k FROM one o JOIN away b ON b.x = o.source AND b.y = o.target JOIN away f ON f.x = o.target AND f.y = o.source WHERE b.cost + o.cost + f.cost <= {2 * LIMIT} GROUP BY ALL),
+    n AS (SELECT entry, sum(k) AS n FROM trips GROUP BY entry)
+    SELECT source, target, round(sum(k * ((trips.entry + 100.0::DOUBLE) / n.n::DOUBLE)), 6) AS value FROM trips JOIN n ON n.entry = trips.entry GROUP BY source, target""",
     "city_paths": f"""{_CITY}, b AS (SELECT d.search_id, d.node, d.cost, p.node AS parent, row_number() OVER (PARTITION BY d.search_id, d.node ORDER BY p.cost, p.node) AS r
             FROM dist d JOIN city a ON a.target = d.node JOIN dist p ON p.search_id = d.search_id AND p.node = a.source AND p.cost + a.cost = d.cost WHERE d.cost > 0)
         SELECT search_id, node, cost::BIGINT AS cost, parent FROM b WHERE r = 1 UNION ALL SELECT search_id, node, 0, node FROM dist WHERE cost = 0""",
