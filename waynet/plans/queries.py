@@ -479,6 +479,9 @@ ORACLES = {
             w AS (SELECT source, target AS node, cost FROM city WHERE source NOT IN (SELECT node FROM chosen)
                 UNION SELECT w.source, a.target, w.cost + a.cost FROM w JOIN chosen c ON c.node = w.node JOIN city a ON a.source = w.node WHERE w.cost + a.cost <= 400)
         SELECT source, node AS target, min(cost) AS cost FROM w WHERE source <> node AND node NOT IN (SELECT node FROM chosen) GROUP BY source, node""",
+    "walkways": f"""{_REC}, w AS (SELECT [vec_id] AS path, 0::BIGINT AS cost FROM points WHERE vec_id % 25 = 0
+            UNION ALL SELECT list_append(path, a.target), w.cost + a.cost FROM w JOIN arcs a ON a.source = path[-1] WHERE w.cost < 100 AND NOT list_contains(path[-3:], a.target))
+        SELECT array_to_string(path, '-') AS path, cost FROM w WHERE len(path) > 1 AND path[-1] % 5 = 0""",
     "walkway_bins": f"""{_REC}, w AS (SELECT vec_id AS start, [vec_id] AS path, 0::BIGINT AS cost FROM points WHERE vec_id % 25 = 0
             UNION ALL SELECT start, list_append(path, a.target), w.cost + a.cost FROM w JOIN (SELECT source, target, min(cost) AS cost FROM arcs GROUP BY ALL) a ON a.source = path[-1] WHERE w.cost < 60 AND NOT list_contains(path[-3:], a.target)),
             k AS (SELECT start, cost FROM w WHERE len(path) > 1 AND path[-1] % 5 = 0), r AS (SELECT start, min(cost) AS low, max(cost) AS high FROM k GROUP BY start HAVING count(*) >= 2)
