@@ -308,7 +308,7 @@ def test_automaton_equals_edit_distance():
         assert automaton.edits(word) == (min(found) if found else -1)
 
 
-def test_shortened_heads_lose_no_hit():
+def test_pieces_lose_no_hit():
     rng = np.random.default_rng(5)
     draw = lambda n: "".join(rng.choice(list("abc"), n))
     terms = [draw(int(n)) for n in rng.integers(1, 17, 60)] + ["bcab*", "ccacb*"]
@@ -336,8 +336,8 @@ def test_rare_and_short_terms_enter_the_lexicon(spark):
 
 
 def test_quotation_counts_apart_from_abuse():
-    automaton = toxicity.TermAutomaton(["idiot"])
-    assert toxicity.features("you idiot", automaton, {})[0] and not toxicity.features('he wrote "idiot" there', automaton, {})[0]
+    sifted = toxicity.Sifted(toxicity.TermAutomaton(["idiot"]))
+    assert toxicity.features("you idiot", sifted)[0] and not toxicity.features('he wrote "idiot" there', sifted)[0]
 
 
 def test_held_out_accuracy(spark):

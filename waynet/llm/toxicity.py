@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,35 +46,43 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 or term[-1] == "*" else 1 if len(term) < 10 else 2
 
 
-#: Letters from the start of a word and a term whose shortened forms are compared before the automaton runs.
-HEAD = 10
+class Pieces:
+    """Pieces of the terms that allow edits: each term in one piece more than its edits, so that a word within them has one unchanged.
 
+    The first stands at the word's start, the last at its end, and one between, where only it is unchanged, at most as
+    many letters off its place as there are edits left for one side.
+    """
 
-def _shortened(word: str, edits: int) -> set[str]:
-    """The word's head without that many letters or fewer.
+    def __init__(self, terms: set[str]):
+        places: dict[tuple[int, int | None], set[str]] = {}
+        for term in terms:
+            if edits := allowed_edits(term):
+                cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
+                places.setdefault((0, cuts[1]), set()).add(term[: cuts[1]])
+                places.setdefault((cuts[-2] - len(term), None), set()).add(term[cuts[-2] :])
+                for k in range(1, edits):
+                    for off in range(1 - edits, edits):
+                        places.setdefault((cuts[k] + off, cuts[k + 1] + off), set()).add(term[cuts[k] : cuts[k + 1]])
+        self.places = sorted(places.items(), key=lambda p: (p[0][1] is None, p[0]))
 
-    Words within so many edits have one in common: leaving out each letter that the least edits leave out, put in or change
-    makes both equal, and what stands in one's head but not in the other's is left out within the same number.
-    """
-    head = word[:HEAD]
-    return {"".join(c) for n in range(max(0, len(head) - edits), len(head) + 1) for c in combinations(head, n)}
+    def may_hold(self, word: str) -> bool:
+        for (start, end), pieces in self.places:
+            if word[start:end] in pieces:
+                return True
+        return False
 
 
 class TermAutomaton:
     """The trie of the terms, run with Levenshtein automata: a state is a set of (trie node, edits so far).
 
-    It runs only over words that share a shortened head with a term, as all do that it could accept with an edit.
+    It runs only over words that have an unchanged piece of a term, as all do that it could accept with an edit.
     """
 
     def __init__(self, terms: list[str]):
         self.exact = {t for t in terms if t[-1] != "*"}
         self.begun = {t[:-1] for t in terms if t[-1] == "*"}
         self.begun_letters = sorted({len(t) for t in self.begun})
-        self.heads: dict[int, set[str]] = {}
-        for term in self.exact:
-            if edits := allowed_edits(term):
-                self.heads.setdefault(edits, set()).update(_shortened(term, edits))
-        self.least = {e: min(len(t) - e for t in self.exact if allowed_edits(t) == e) for e in self.heads}
+        self.pieces = Pieces(self.exact)
         self.next: list[dict[str, int]] = [{}]
         self.ends, self.most = [-1], [-1]
         self.stems: set[int] = set()
@@ -136,9 +143,7 @@ class TermAutomaton:
         """The least number of edits from the word to a term that allows so many, or -1."""
         if word in self.exact or any(word[:n] in self.begun for n in self.begun_letters):
             return 0
-        if all(len(word) < self.least[e] or heads.isdisjoint(_shortened(word, e)) for e, heads in self.heads.items()):
-            return -1
-        return self.walk(word)
+        return self.walk(word) if self.pieces.may_hold(word) else -1
 
     def walk(self, word: str) -> int:
         """The same by the automaton alone."""
@@ -170,25 +175,53 @@ def _is_quoted(text: str, start: int, end: int) -> bool:
     return near or (opened % 2 == 1 and any(q in after for q in '"“”»«'))
 
 
-def features(text: str, automaton: TermAutomaton, memo: dict[str, int]) -> list[float] | None:
+class Sifted:
+    """The words that were asked for, and the edits of those that a term accepts."""
+
+    def __init__(self, automaton: TermAutomaton):
+        self.automaton = automaton
+        self.known: set[str] = set()
+        self.hits: dict[str, int] = {}
+
+    def among(self, words: set[str]) -> set[str]:
+        """Those of the words that a term accepts; their edits are in hits."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.hits.clear()
+        new = words - self.known
+        for word in new:
+            if (edits := self.automaton.edits(word)) >= 0:
+                self.hits[word] = edits
+        self.known |= new
+        return words & self.hits.keys()
+
+
+def _starts(text: str, words: list[str]) -> Iterator[int]:
+    """Where these words of the text, all of their kinds and in order, stand as whole words."""
+    inner = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    end = 0
+    for word in words:
+        start = text.find(word, end)
+        while inner(start - 1) or inner(start + len(word)):
+            start = text.find(word, start + 1)
+        end = start + len(word)
+        yield start
+
+
+def features(text: str, sifted: Sifted) -> list[float] | None:
     """FEATURES of a text, or None without a hit."""
     words = _WORD.findall(text)
-    hits = []
-    for i, word in enumerate(words):
-        edits = memo.get(word)
-        if edits is None:
-            edits = memo[word] = automaton.edits(word)
-        if edits >= 0:
-            hits.append(i)
+    found = sifted.among(set(words))
+    hits = [i for i, word in enumerate(words) if word in found] if found else []
     if not hits:
         return None
-    spans = [m.span() for m in _WORD.finditer(text)]
+    starts = _starts(text, [words[i] for i in hits])
     exact = misspelled = quoted = addressed = 0.0
-    for i in hits:
+    for i, start in zip(hits, starts):
         context = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-        if _is_quoted(text, *spans[i]) or any(w in REPORTS for w in context[:WINDOW]):
+        if _is_quoted(text, start, start + len(words[i])) or any(w in REPORTS for w in context[:WINDOW]):
             quoted += 1
-        elif memo[words[i]]:
+        elif sifted.hits[words[i]]:
             misspelled += 1
         else:
             exact += 1
@@ -200,12 +233,10 @@ class ToxicityModel:
     def __init__(self, automaton: TermAutomaton, weights: np.ndarray, bias: float):
         self.automaton, self.weights, self.bias = automaton, weights, bias
 
-    def scores(self, texts: list[str], memo: dict[str, int]) -> list[float]:
+    def scores(self, texts: list[str], sifted: Sifted) -> list[float]:
         out = []
         for text in texts:
-            if len(memo) > REMEMBERED:
-                memo.clear()
-            found = features(text, self.automaton, memo)
+            found = features(text, sifted)
             out.append(1 / (1 + np.exp(-(self.bias + (0.0 if found is None else float(np.dot(found, self.weights)))))))
         return out
 
@@ -242,9 +273,9 @@ def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: s
     shared = labelled.sparkSession.sparkContext.broadcast(automaton)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        sifted = Sifted(shared.value)
         for batch in batches:
-            found = [features(t, shared.value, memo) or [0.0] * len(FEATURES) for t in batch.column("text").to_pylist()]
+            found = [features(t, sifted) or [0.0] * len(FEATURES) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([[float(v) for v in f] for f in found], pa.list_(pa.float64()))], names=["label", "f"])
 
     # Equal rows are counted, so what reaches the driver is bounded by the sample and mostly far less.
@@ -273,9 +304,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        sifted = Sifted(shared.value.automaton)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text").to_pylist(), memo))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text").to_pylist(), sifted))], names=["doc_id", "score"])
 
     return rows.mapInArrow(released(scored), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
