@@ -1,12 +1,17 @@
-"""Spatial joins by grid cells: nearest node, top X within a radius, points in polygons, grids of points, hulls."""
+"""Spatial joins: nearest node, top X within a radius, points in polygons, grids of points, hulls."""
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.functions.geo import inside_ring
 from waynet.operators.quadtree import nearest_nodes
+from waynet.operators.tiles import in_tile, on_tiles, points_in_tiles, polygon_tiles
+from waynet.plans.iterate import cut
+
+
+#: Steps of a grid that a tile of its polygons is wide.
+TILE_STEPS = 4
 
 
 def _cells(points: DataFrame, size: float, ring: int) -> DataFrame:
@@ -35,11 +40,8 @@ def nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """id, poly_id of points inside polygons (poly_id, ring array of x, y); candidates meet in the cells of the polygons' boxes."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
-    boxed = polygons.withColumn("cx", F.explode(span(xs))).withColumn("cy", F.explode(span(ys)))
-    return _cells(points, size, 0).join(boxed, ["cx", "cy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "poly_id")
+    """id, poly_id of points (id, x, y) inside polygons (poly_id, ring array of x, y), by tiles of that size; see `tiles`."""
+    return points_in_tiles(points, cut(polygon_tiles(polygons, size)), size)
 
 
 def last_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -55,8 +57,9 @@ def population_grid(polygons: DataFrame, step: float | None = None, resolution:
     """
     if (step is None) == (resolution is None):
         raise ValueError("either step or resolution")
+    size = TILE_STEPS * (step or 1.0)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = polygons.select("poly_id", "inhabitants", "ring", *(f(v).alias(n) for n, f, v in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))))
+    boxed = polygons.select("poly_id", "inhabitants", *(f(v).alias(n) for n, f, v in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))))
     for axis in ("x", "y"):
         extent = F.col(f"{axis}1") - F.col(f"{axis}0")
         own = F.lit(step) if resolution is None else extent / (resolution + 1)
@@ -64,11 +67,13 @@ def population_grid(polygons: DataFrame, step: float | None = None, resolution:
         boxed = boxed.withColumn(f"s{axis}", own).withColumn(f"n{axis}", F.greatest(count, F.lit(0)))
     span = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda k: k > 0)
     grid = boxed.withColumn("i", F.explode(span("nx"))).withColumn("j", F.explode(span("ny")))
-    grid = grid.select("poly_id", "ring", (F.col("x0") + F.col("i") * F.col("sx")).alias("x"), (F.col("y0") + F.col("j") * F.col("sy")).alias("y"))
-    grid = grid.where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("ring")
+    grid = grid.select("poly_id", (F.col("x0") + F.col("i") * F.col("sx")).alias("x"), (F.col("y0") + F.col("j") * F.col("sy")).alias("y"))
+    own = cut(polygon_tiles(polygons, size))
+    placed = on_tiles(grid.join(own.select("poly_id", "level").distinct(), "poly_id"), size, F.col("level"))
+    grid = placed.join(own, ["poly_id", "level", "cx", "cy"]).where(in_tile(F.col("x"), F.col("y"))).select("poly_id", "x", "y")
     if without is not None:
         named = grid.withColumn("id", F.struct("poly_id", "x", "y"))
-        inside = points_in_polygons(named.select("id", "x", "y"), without, step or 1.0)
+        inside = points_in_polygons(named.select("id", "x", "y"), without, size)
         grid = named.join(inside.select("id").distinct(), "id", "left_anti").drop("id")
     empty = boxed.join(grid.select("poly_id").distinct(), "poly_id", "left_anti").select("poly_id", F.col("x0").alias("x"), F.col("y0").alias("y"))
     grid = grid.select("poly_id", "x", "y").unionByName(empty)

@@ -192,6 +192,20 @@ def points_in_zones(spark, d):
     return spatial.points_in_polygons(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark, d), 0.1)
 
 
+def _districts(spark, d):
+    """Eight districts around the middle, with a corner for every eighth part as far out as its size says."""
+    k = F.col("p_partkey") - 1
+    sizes = table(spark, d, "part").groupBy((k % 8).alias("poly_id")).agg(F.sort_array(F.collect_list(F.struct(F.floor(k / 8).alias("k"), F.col("p_size").alias("size")))).alias("sizes"))
+    turn = lambda i: 2 * F.pi() * i / F.size("sizes")
+    reach = lambda s: 0.15 + s["size"] / F.lit(250.0)
+    x, y = (F.col("poly_id") % 3 - 1) * F.lit(0.15), (F.floor(F.col("poly_id") / 3) - 1) * F.lit(0.15)
+    return sizes.select("poly_id", F.transform("sizes", lambda s, i: F.struct((x + reach(s) * F.cos(turn(i))).alias("x"), (y + reach(s) * F.sin(turn(i))).alias("y"))).alias("ring"))
+
+
+def points_in_districts(spark, d):
+    return spatial.points_in_polygons(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _districts(spark, d), 0.02)
+
+
 def population_grid(spark, d):
     return spatial.population_grid(_zones(spark, d), 0.03).select("poly_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "population")))
 
@@ -424,7 +438,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -560,6 +574,10 @@ ORACLES = {
         ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM comp JOIN best USING (component))
         SELECT s.id AS source, t.id AS target, cost, weight FROM arcs JOIN ids s ON s.node = source JOIN ids t ON t.node = target""",
     "points_in_zones": f"WITH {SQL['points']}, {_IN_ZONES} SELECT id, poly_id FROM hit",
+    "points_in_districts": f"""WITH {SQL['points']}, corner AS (SELECT (p_partkey - 1) % 8 AS poly_id, (p_partkey - 1) // 8 AS k, 0.15::DOUBLE + p_size / 250.0::DOUBLE AS reach, count(*) OVER (PARTITION BY (p_partkey - 1) % 8) AS n FROM part),
+        placed AS (SELECT poly_id, k, n, (poly_id % 3 - 1) * 0.15::DOUBLE + reach * cos(2 * pi() * k / n) AS x, (poly_id // 3 - 1) * 0.15::DOUBLE + reach * sin(2 * pi() * k / n) AS y FROM corner),
+        edges(poly_id, ax, ay, bx, "by") AS (SELECT a.poly_id, a.x, a.y, b.x, b.y FROM placed a JOIN placed b ON b.poly_id = a.poly_id AND b.k = (a.k + 1) % a.n)
+        SELECT vec_id AS id, poly_id FROM points JOIN edges ON {_CROSSES} GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
     "zone_of_point": f"WITH {SQL['points']}, {_IN_ZONES} SELECT id, max(poly_id) AS poly_id FROM hit GROUP BY id",
     "population_grid": f"""WITH {_EDGES}, box AS (SELECT poly_id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY poly_id),
         g AS (SELECT poly_id, x0 + i * 0.03::DOUBLE AS x, y0 + j * 0.03::DOUBLE AS y FROM box, range(1, 100) a(i), range(1, 100) b(j)
