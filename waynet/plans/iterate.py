@@ -1,23 +1,35 @@
 """Cutting the lineage of iterations through the checkpoint folder that all executors share."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to spark.checkpoint.dir; a temporary folder stands in only where that is unset, in local sessions."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder stands in only where that is unset, in local sessions."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not str(context.master).startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written to the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """df and the sum of value over all rows before, in that order; no task orders more than its range of rows.
 

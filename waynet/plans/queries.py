@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 from waynet.functions import geo, speeds
 from waynet.operators import contraction as contracting
 from waynet.operators import graph, models, osm, raster, search, spatial, walks
-from waynet.sources import sinks
-from waynet.sources.derived import SQL, city_arcs, city_nodes, points, road_arcs, table
+from waynet.plans import extract
+from waynet.plans.iterate import new_folder
+from waynet.sources import scan, sinks
+from waynet.sources.derived import COLUMNS, SQL, city_arcs, city_nodes, points, road_arcs, table
 
 PREFS = [(60.0, 0.5), (150.0, 0.3), (300.0, 0.2)]
 LIMIT = 150
@@ -192,6 +194,44 @@ def points_in_zones(spark, d):
     return spatial.points_in_polygons(points(spark, d).select(F.col("vec_id").alias("id"), "x", "y"), _zones(spark, d), 0.1)
 
 
+def _streets(spark, d):
+    """A way for each street of the city, from a crossing to the one beside it or below it."""
+    n = city_nodes(spark, d)
+    ends = F.array(F.struct((2 * F.col("k")).alias("way_id"), F.when(F.col("k") % COLUMNS != COLUMNS - 1, F.col("k") + 1).alias("other")), F.struct((2 * F.col("k") + 1).alias("way_id"), (F.col("k") + COLUMNS).alias("other")))
+    ways = n.select("node", "size", F.explode(ends).alias("e")).select("node", "size", "e.*").join(n.select(F.col("k").alias("other"), F.col("node").alias("b")), "other")
+    kind = F.when(F.col("size") % 3 == 0, "track").when(F.col("size") % 3 == 1, "residential").otherwise("corridor")
+    return ways.select("way_id", F.array("node", "b").alias("nds"), F.create_map(F.lit("highway"), kind).alias("tags"))
+
+
+def map_extract(spark, d):
+    """The city as a map with forests of five streets by three, whose rings come in two ways, the second turned round."""
+    n = city_nodes(spark, d)
+    bench = F.when(F.col("size") == 1, F.create_map(F.lit("amenity"), F.lit("bench"))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = n.select(F.col("node").alias("node_id"), (F.col("y") / 8).alias("lat"), (F.col("x") / 8).alias("lon"), bench.alias("tags"))
+    corner = lambda by, name: n.select((F.col("k") - by).alias("k"), F.col("node").alias(name))
+    woods = n.where("x % 10 = 2 AND y % 4 = 0").select("k", F.col("node").alias("c0"))
+    for by, name in ((5, "c1"), (3 * COLUMNS + 5, "c2"), (3 * COLUMNS, "c3")):
+        woods = woods.join(corner(by, name), "k")
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.array("c0", "c1", "c2").alias("nds")), F.struct(F.lit(1).alias("half"), F.array("c0", "c3", "c2").alias("nds")))
+    way_id = lambda half: -2 * F.col("k") - 1 - half
+    borders = woods.select("k", F.explode(halves).alias("h")).select(way_id(F.col("h.half")).alias("way_id"), "h.nds", F.create_map().cast("map<string,string>").alias("tags"))
+    member = lambda half: F.struct(F.lit("way").alias("type"), way_id(half).alias("ref"), F.lit("outer").alias("role"))
+    relations = woods.select(F.col("k").alias("relation_id"), F.array(member(0), member(1)).alias("members"), F.create_map(F.lit("natural"), F.lit("wood")).alias("tags"))
+    found = extract.extract_map(nodes, _streets(spark, d).unionByName(borders), relations, size=0.5)
+    return found.nodes.join(found.pois.select("node", "category"), "node", "left").select("node", "node_id", "flag", "category")
+
+
+def scanned_roads(spark, d):
+    """The city written as OSM XML, read by bytes, with the whole-second costs of cars."""
+    nodes = city_nodes(spark, d).select(F.col("node").alias("node_id"), (F.col("y") / 1000 + F.col("size") / 100000).alias("lat"), (F.col("x") / 1000).alias("lon"), F.create_map().cast("map<string,string>").alias("tags"))
+    path = new_folder(spark, "scanned")
+    sinks.write_osm(nodes, _streets(spark, d), path)
+    found, ways = scan.scan_osm(spark, f"{path}/*")
+    arcs = scan.whole_second_arcs(found, ways, "car")
+    a, b = (found.select(F.col("node").alias(c), F.col("node_id").alias(f"{c}_id")) for c in ("source", "target"))
+    return arcs.join(a, "source").join(b, "target").select("source_id", "target_id", "cost")
+
+
 def _districts(spark, d):
     """Eight districts around the middle, with a corner for every eighth part as far out as its size says."""
     k = F.col("p_partkey") - 1
@@ -438,7 +478,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -574,6 +614,17 @@ ORACLES = {
         ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM comp JOIN best USING (component))
         SELECT s.id AS source, t.id AS target, cost, weight FROM arcs JOIN ids s ON s.node = source JOIN ids t ON t.node = target""",
     "points_in_zones": f"WITH {SQL['points']}, {_IN_ZONES} SELECT id, poly_id FROM hit",
+    "map_extract": f"""WITH {SQL['city']}, street AS (SELECT a, b FROM ce JOIN cn ON cn.node = ce.a WHERE p_size % 3 <> 2),
+        wood AS (SELECT x, y FROM cn WHERE x % 10 = 2 AND y % 4 = 0 AND k + 155 < (SELECT count(*) FROM cn)),
+        used AS (SELECT a AS node FROM street UNION SELECT b FROM street UNION SELECT node FROM cn WHERE p_size = 1),
+        own AS (SELECT cn.node, p_size, EXISTS (SELECT 1 FROM wood w WHERE cn.x >= w.x AND cn.x < w.x + 5 AND cn.y >= w.y AND cn.y < w.y + 3) AS inside FROM cn JOIN used USING (node)),
+        arc AS (SELECT a AS s, b AS t FROM street UNION ALL SELECT b, a FROM street)
+        SELECT CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS node, node AS node_id, CASE WHEN inside THEN 1
+            WHEN node IN (SELECT s FROM arc JOIN own o ON o.node = t WHERE o.inside) THEN 2 ELSE 0 END AS flag, CASE WHEN p_size = 1 THEN 2 END AS category FROM own""",
+    "scanned_roads": f"""WITH {SQL['city']}, placed AS (SELECT node, p_size, radians((y / 1000.0::DOUBLE + p_size / 100000.0::DOUBLE)::FLOAT::DOUBLE) AS lat, radians((x / 1000.0::DOUBLE)::FLOAT::DOUBLE) AS lon FROM cn),
+        step AS (SELECT a.node AS a, b.node AS b, CAST(ceil(floor(2 * 6371000.785 * asin(sqrt(sin((b.lat - a.lat) / 2) * sin((b.lat - a.lat) / 2) + cos(a.lat) * cos(b.lat) * sin((b.lon - a.lon) / 2) * sin((b.lon - a.lon) / 2)))) * 3.6::DOUBLE / 30) AS BIGINT) AS cost
+            FROM ce JOIN placed a ON a.node = ce.a JOIN placed b ON b.node = ce.b WHERE a.p_size % 3 = 1)
+        SELECT a AS source_id, b AS target_id, cost FROM step UNION ALL SELECT b, a, cost FROM step""",
     "points_in_districts": f"""WITH {SQL['points']}, corner AS (SELECT (p_partkey - 1) % 8 AS poly_id, (p_partkey - 1) // 8 AS k, 0.15::DOUBLE + p_size / 250.0::DOUBLE AS reach, count(*) OVER (PARTITION BY (p_partkey - 1) % 8) AS n FROM part),
         placed AS (SELECT poly_id, k, n, (poly_id % 3 - 1) * 0.15::DOUBLE + reach * cos(2 * pi() * k / n) AS x, (poly_id // 3 - 1) * 0.15::DOUBLE + reach * sin(2 * pi() * k / n) AS y FROM corner),
         edges(poly_id, ax, ay, bx, "by") AS (SELECT a.poly_id, a.x, a.y, b.x, b.y FROM placed a JOIN placed b ON b.poly_id = a.poly_id AND b.k = (a.k + 1) % a.n)
