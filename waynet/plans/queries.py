@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from waynet.functions import geo, speeds
 from waynet.operators import contraction as contracting
-from waynet.operators import graph, models, osm, raster, search, spatial, walks
+from waynet.operators import graph, heat_tiles, models, osm, raster, search, spatial, walks
 from waynet.plans import extract
 from waynet.plans.iterate import new_folder
 from waynet.sources import scan, sinks
@@ -52,6 +52,22 @@ def _heat(spark, d):
     return e.select(F.col("event_type").alias("dataset"), (F.col("user_id") % 90 + 0.25).alias("lat"), (F.col("event_id") % 170 + 0.75).alias("lon"), F.floor(F.col("value")).cast("double").alias("heat"))
 
 
+def _levels_sql(levels):
+    """Tables r12, r11 and so on of the raster at each level, each made of the one before."""
+    metres = lambda a, b, c, e: f"2 * 6371000.785 * asin(sqrt(sin((radians({c})-radians({a}))/2)*sin((radians({c})-radians({a}))/2) + cos(radians({a}))*cos(radians({c}))*sin((radians({e})-radians({b}))/2)*sin((radians({e})-radians({b}))/2)))"
+    parts, before = ["b AS (SELECT dataset, min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM heat GROUP BY dataset)"], "heat"
+    for zoom, south, _, north, _, rows in levels:
+        step = f"'{(north - south) / (rows - 1)!r}'::DOUBLE"
+        parts.append(f"f{zoom} AS (SELECT *, CASE WHEN ceil((n - s + {step}) / {step}) > 1 THEN (n - s) / (ceil((n - s + {step}) / {step}) - 1) ELSE {step} END AS f FROM b)")
+        parts.append(f"h{zoom} AS (SELECT *, ({metres('n', '0.0::DOUBLE', '(n - f)', '0.0::DOUBLE')}) / ({metres('n', '0.0::DOUBLE', 'n', '1.0::DOUBLE')}) AS h FROM f{zoom})")
+        parts.append(f"e{zoom} AS (SELECT dataset, f, h, (floor(s / f) - 0.5::DOUBLE) * f AS a0, (floor(w / h) - 0.5::DOUBLE) * h AS o0, n + 0.5::DOUBLE * f AS a1, e + 0.5::DOUBLE * h AS o1 FROM h{zoom})")
+        parts.append(f"""c{zoom} AS (SELECT dataset, floor((lat + 0.5::DOUBLE * f - a0) / f) AS la, floor((lon + 0.5::DOUBLE * h - o0) / h) AS lo, a0, o0, e{zoom}.f AS f, (o1 - o0) / ceil((o1 - o0) / h) AS width, heat
+            FROM (SELECT dataset, lat, lon, heat FROM {before}) p JOIN e{zoom} USING (dataset) WHERE lat >= a0 AND lat <= a1 AND lon >= o0 AND lon < o1)""")
+        parts.append(f"r{zoom} AS (SELECT dataset, a0 + la * f AS lat, o0 + lo * width AS lon, sum(heat) AS heat, f AS step FROM c{zoom} GROUP BY dataset, la, lo, a0, o0, f, width HAVING sum(heat) > 0)")
+        before = f"r{zoom}"
+    return ", ".join(parts)
+
+
 _HEAT = "heat AS (SELECT event_type AS dataset, user_id % 90 + 0.25::DOUBLE AS lat, event_id % 170 + 0.75::DOUBLE AS lon, floor(value)::DOUBLE AS heat FROM events)"
 
 
@@ -451,6 +467,22 @@ def box_raster(spark, d):
     return out.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "heat")
 
 
+#: What a map shows at each zoom: zoom, south, west, north, east, raster rows.
+ZOOMS = [(12, 0.0, 0.0, 50.0, 60.0, 48), (11, 0.0, 0.0, 60.0, 80.0, 24), (10, 0.0, 0.0, 80.0, 160.0, 12)]
+
+
+def heat_levels(spark, d):
+    out = heat_tiles.zoom_rasters(_heat(spark, d), ZOOMS)
+    return out.select("dataset", "zoom", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "heat")
+
+
+def heat_pages(spark, d):
+    """A map's request for the first dataset at a zoom beyond the finest, answered from stored tiles of all datasets."""
+    path, first = new_folder(spark, "heat-tiles"), _heat(spark, d).agg(F.min("dataset")).first()[0]
+    heat_tiles.save_tiles(heat_tiles.zoom_rasters(_heat(spark, d), ZOOMS), path)
+    return heat_tiles.pages(heat_tiles.request(spark, path, first, 14, (10.1, 20.1, 60.1, 150.1)))
+
+
 def middle_heat(spark, d):
     e = _heat(spark, d)
     return raster.middle_heat(e, ["lat", "lon", "heat"])
@@ -478,7 +510,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, heat_levels, heat_pages, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -680,6 +712,10 @@ ORACLES = {
         b AS (SELECT f, h, (floor(10.25::DOUBLE / f) - 0.5::DOUBLE) * f AS a0, (floor(20.75::DOUBLE / h) - 0.5::DOUBLE) * h AS o0, 60.25::DOUBLE + 0.5::DOUBLE * f AS a1, 120.75::DOUBLE + 0.5::DOUBLE * h AS o1 FROM g),
         c AS (SELECT floor((lat + 0.5::DOUBLE * f - a0) / f) AS la, floor((lon + 0.5::DOUBLE * h - o0) / h) AS lo, a0, o0, f, (o1 - o0) / ceil((o1 - o0) / h) AS width, heat FROM heat, b WHERE lat >= a0 AND lat <= a1 AND lon >= o0 AND lon < o1)
         SELECT round(a0 + la * f, 6) AS lat, round(o0 + lo * width, 6) AS lon, sum(heat) AS heat FROM c GROUP BY la, lo, a0, o0, f, width HAVING sum(heat) > 0""",
+    "heat_levels": f"WITH {_HEAT}, {_levels_sql(ZOOMS)} " + " UNION ALL ".join(f"SELECT dataset, {z[0]} AS zoom, round(lat, 6) AS lat, round(lon, 6) AS lon, heat FROM r{z[0]}" for z in ZOOMS),
+    "heat_pages": f"""WITH {_HEAT}, {_levels_sql(ZOOMS[:1])}, p AS (SELECT dataset, 12 AS zoom, floor(lat / (step * 256))::BIGINT AS ty, floor(lon / (step * 256))::BIGINT AS tx, lat, lon, format('{{:.7f}},{{:.7f}},{{:.1f}}', lat, lon, heat) AS t
+        FROM r12 WHERE dataset = (SELECT min(dataset) FROM heat) AND lat BETWEEN 10.1 AND 60.1 AND lon BETWEEN 20.1 AND 150.1)
+        SELECT dataset, zoom, ty, tx, count(*) AS n, string_agg(t, ';' ORDER BY lat, lon, t) AS points FROM p GROUP BY dataset, zoom, ty, tx""",
     "middle_heat": f"WITH {_HEAT}, r AS (SELECT dataset, heat, row_number() OVER (PARTITION BY dataset ORDER BY lat, lon, heat) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS n FROM heat) SELECT dataset, heat AS max FROM r WHERE r = n // 2",
     "kept_components": f"{_REC}, {_BOTH} SELECT node, component, count(*) OVER (PARTITION BY component) >= 100 AS kept FROM comp",
     "cheap_nodes": f"{_WITH} SELECT node FROM (SELECT source AS node, cost FROM arcs UNION ALL SELECT target, cost FROM arcs) GROUP BY node HAVING max(cost) <= 15",
