@@ -12,6 +12,8 @@ from waynet.plans.iterate import cut
 
 #: Steps of a grid that a tile of its polygons is wide.
 TILE_STEPS = 4
+#: Ways of a relation that are put in order in one group; the ends of more ways are ranked.
+GROUP_WAYS = 4096
 
 
 def _cells(points: DataFrame, size: float, ring: int) -> DataFrame:
@@ -107,38 +109,94 @@ def order_ways(members: DataFrame, ways: DataFrame) -> DataFrame:
     """relation_id, pos and nds of the ways of relations (relation_id, pos, way_id), in the order and direction in which their ends meet.
 
     A way follows that begins or, turned round, ends where the last one ended; of several the first by pos. Where none does the
-    next by pos starts anew, and missing ways leave a row with null nds at the end. Ways of one relation are worked together.
+    next by pos starts anew, and missing ways leave a row with null nds at the end. A pos names one member of its relation.
     """
+    joined = _members(members, ways)
+    missing = joined.where("nds IS NULL OR size(nds) = 0").select("relation_id", F.lit(None).cast("long").alias("start"), "pos", F.lit(None).cast("array<long>").alias("nds"))
+    rows = _chains(joined).select("relation_id", "start", F.col("rank").alias("pos"), "nds").unionByName(missing)
+    at = F.row_number().over(Window.partitionBy("relation_id").orderBy(F.col("start").asc_nulls_last(), "pos")) - 1
+    return rows.select("relation_id", at.cast("long").alias("pos"), "nds")
 
+
+def _members(members: DataFrame, ways: DataFrame) -> DataFrame:
+    return cut(members.join(ways.select("way_id", "nds"), "way_id", "left").select("relation_id", F.col("pos").cast("long").alias("pos"), "nds"))
+
+
+def _chains(joined: DataFrame) -> DataFrame:
+    """relation_id, start, rank, nds: each way in its chain, named by the pos of the chain's first way; turned where need be.
+
+    Relations of up to GROUP_WAYS ways are worked a group each. In larger ones the ways' ends are ranked, see `_ranked`, and
+    only ways at forks, and open lines whose first way by pos lies within, are left to a group.
+    """
+    known = joined.where("size(nds) > 0")
+    large = cut(known.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > GROUP_WAYS) & F.col("relation_id").isNotNull()))
+    most = large.agg(F.max("n")).first()[0]
+    if most is None:
+        return _grouped(known)
+    ranked, rest = _ranked(known.join(large, "relation_id", "left_semi"), most)
+    return ranked.unionByName(_grouped(known.join(large, "relation_id", "left_anti").unionByName(rest)))
+
+
+def _grouped(known: DataFrame) -> DataFrame:
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("pos")
-        left = [list(n) for n in own["nds"] if n is not None and len(n)]
-        missing = sum(n is None or not len(n) for n in own["nds"])
+        left, places = [list(n) for n in own["nds"]], list(own["pos"])
         by_end: dict[int, list[int]] = {}
         for k, nds in enumerate(left):
             for end in {nds[0], nds[-1]}:
                 by_end.setdefault(end, []).append(k)
-        used, out, at = set(), [], None
+        used, out = set(), []
         for first in range(len(left)):
-            follows = [k for k in by_end.get(at, ()) if k not in used]
-            while follows:
-                nds = left[follows[0]]
+            if first in used:
+                continue
+            used.add(first)
+            nds = left[first]
+            if any(k not in used for k in by_end[nds[0]]) and not any(k not in used for k in by_end[nds[-1]]):
+                nds = nds[::-1]
+            rank = 0
+            out.append((places[first], rank, nds))
+            while follows := [k for k in by_end[nds[-1]] if k not in used]:
                 used.add(follows[0])
-                out.append(nds if nds[0] == at else nds[::-1])
-                at = out[-1][-1]
-                follows = [k for k in by_end.get(at, ()) if k not in used]
-            if first not in used:
-                used.add(first)
-                nds = left[first]
-                turned = any(k not in used for k in by_end[nds[0]]) and not any(k not in used for k in by_end[nds[-1]])
-                out.append(nds[::-1] if turned else nds)
-                at = out[-1][-1]
-        out += [None] * missing
-        return pd.DataFrame({"relation_id": pdf["relation_id"].iloc[0], "pos": range(len(out)), "nds": out})
-
-    kind = members.schema["relation_id"].dataType.simpleString()
-    joined = members.join(ways.select("way_id", "nds"), "way_id", "left").select("relation_id", "pos", "nds")
-    return joined.groupBy("relation_id").applyInPandas(chain, f"relation_id {kind}, pos long, nds array<long>")
+                own_nds, rank = left[follows[0]], rank + 1
+                nds = own_nds if own_nds[0] == nds[-1] else own_nds[::-1]
+                out.append((places[first], rank, nds))
+        return pd.DataFrame({"relation_id": pdf["relation_id"].iloc[0], "start": [o[0] for o in out], "rank": [o[1] for o in out], "nds": [o[2] for o in out]})
+
+    kind = known.schema["relation_id"].dataType.simpleString()
+    return known.groupBy("relation_id").applyInPandas(chain, f"relation_id {kind}, start long, rank long, nds array<long>")
+
+
+def _ranked(known: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Chains of the rings, and of the open lines that begin with their first way by pos; the ways that are in neither.
+
+    Each way is an item in both directions. Where just two ways meet, an item is followed by the other way's. By doubling its
+    reach, an item learns the end of its line and the least pos on the way there, in as many rounds as `most` has bits.
+    Items whose reach never ends go round.
+    """
+    both = F.array(*(F.struct(F.lit(d).alias("dir"), F.element_at("nds", i).alias("enters"), F.element_at("nds", -i).alias("leaves")) for d, i in ((0, 1), (1, -1))))
+    items = known.select("relation_id", "pos", F.explode(both).alias("i")).select("relation_id", "pos", "i.*")
+    end = F.struct("pos", "dir")
+    nodes = items.groupBy("relation_id", F.col("enters").alias("leaves")).agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("a"), F.max(end).alias("b"))
+    linked = (F.col("n") == 2) & (F.col("a.pos") != F.col("b.pos"))
+    other = F.when(F.col("a.pos") == F.col("pos"), F.col("b")).otherwise(F.col("a"))
+    least = lambda where, steps: F.struct(F.col(f"{where}.pos").alias("pos"), F.col(f"{where}.dir").alias("dir"), (F.col(f"{where}.steps") + steps).alias("steps"))
+    state = items.join(nodes, ["relation_id", "leaves"]).select("relation_id", "pos", "dir", F.when(linked, other).otherwise(end).alias("to"), linked.cast("long").alias("steps"), (F.col("n") > 2).alias("fork"), F.struct("pos", "dir", F.lit(0).cast("long").alias("steps")).alias("best"))
+    rounds = most.bit_length()
+    for _ in range(rounds):
+        far = state.select("relation_id", F.struct("pos", "dir").alias("to"), F.col("to").alias("far_to"), F.col("steps").alias("far_steps"), F.col("fork").alias("far_fork"), F.col("best").alias("far"))
+        met = state.join(far, ["relation_id", "to"])
+        best = F.least(least("best", F.lit(0)), least("far", F.col("steps")))
+        state = cut(met.select("relation_id", "pos", "dir", F.col("far_to").alias("to"), (F.col("steps") + F.col("far_steps")).alias("steps"), (F.col("fork") | F.col("far_fork")).alias("fork"), best.alias("best")))
+    turned = state.select("relation_id", "pos", (1 - F.col("dir")).alias("dir"), F.col("to.pos").alias("start"), F.col("steps").alias("back"), F.col("fork").alias("fork_behind"), F.col("best.pos").alias("least_behind"))
+    seen = state.join(turned, ["relation_id", "pos", "dir"])
+    round_trip = F.lit(2**rounds)
+    ring = (F.col("steps") == round_trip) & (F.col("best.dir") == 0)
+    line = (F.col("steps") < round_trip) & ~F.col("fork") & ~F.col("fork_behind") & (F.least("best.pos", "least_behind") == F.col("start")) & ((F.col("steps") + F.col("back") > 0) | (F.col("dir") == 0))
+    rank = F.when(~ring, F.col("back")).when(F.col("best.steps") == 0, -round_trip).otherwise(-F.col("best.steps"))
+    chosen = cut(seen.where(ring | line).select("relation_id", "pos", "dir", F.when(ring, F.col("best.pos")).otherwise(F.col("start")).alias("start"), rank.alias("rank")))
+    nds = F.when(F.col("dir") == 1, F.reverse("nds")).otherwise(F.col("nds"))
+    ranked = known.join(chosen, ["relation_id", "pos"]).select("relation_id", "start", "rank", nds.alias("nds"))
+    return ranked, known.join(chosen, ["relation_id", "pos"], "left_anti")
 
 
 def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
@@ -150,8 +208,8 @@ def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def assembled_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
-    """relation_polygons of ways that are first put in the order and direction in which their ends meet."""
-    return _polygons(order_ways(members, ways))
+    """relation_polygons of ways that are first put in the order and direction in which their ends meet: each chain is one."""
+    return _numbered(_chains(_members(members, ways)), "start", "rank")
 
 
 def _polygons(known: DataFrame) -> DataFrame:
@@ -159,7 +217,11 @@ def _polygons(known: DataFrame) -> DataFrame:
     ends = known.withColumns({"before": F.lag(F.element_at("nds", -1)).over(w), "first": F.get("nds", F.lit(0))}).where("nds IS NOT NULL")
     starts = F.when(F.col("first") == F.col("before"), 0).otherwise(1)
     parts = ends.withColumn("part", F.sum(starts).over(w))
-    rings = parts.groupBy("relation_id", "part").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "nds"))), lambda p: p["nds"])).alias("nds"))
-    rings = rings.where(F.size("nds") > 2)
+    return _numbered(parts, "part", "pos")
+
+
+def _numbered(parts: DataFrame, part: str, pos: str) -> DataFrame:
+    nds = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(pos, "nds"))), lambda p: p["nds"]))
+    rings = parts.groupBy("relation_id", F.col(part).alias("part")).agg(nds.alias("nds")).where(F.size("nds") > 2)
     number = F.row_number().over(Window.partitionBy("relation_id").orderBy("part")) - 1
     return rings.select("relation_id", number.alias("polygon"), "nds")

@@ -395,6 +395,18 @@ def relation_polygons(spark, d):
     return spatial.relation_polygons(members, ways).withColumn("nds", F.array_join(F.col("nds").cast("array<string>"), "-"))
 
 
+def shuffled_rings(spark, d):
+    """Rings of 5000 ways, a way for each order, whose members come in an order of their own and every third way turned."""
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    follows = F.when((k % 5000 == 4999) | (k == F.lit(last)), k - k % 5000).otherwise(k + 1)
+    ways = orders.select(k.alias("way_id"), F.when(k % 3 == 0, F.array(follows, -k - 1, k)).otherwise(F.array(k, -k - 1, follows)).alias("nds"))
+    members = orders.select(F.floor(k / 5000).alias("relation_id"), (k * 48271 % 2147483647).alias("pos"), k.alias("way_id"))
+    text = F.md5(F.array_join(F.col("nds").cast("array<string>"), "-").cast("binary"))
+    return spatial.assembled_polygons(members, ways).select("relation_id", "polygon", F.size("nds").alias("n"), F.get("nds", F.lit(0)).alias("first"), text.alias("nodes_md5"))
+
+
 MINUTES = [(0.5, 0.5), (1.0, 0.3)]
 
 
@@ -510,7 +522,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, heat_levels, heat_pages, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons)}
+QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, heat_levels, heat_pages, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons, shuffled_rings)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -636,6 +648,11 @@ ORACLES = {
     "last_feature": "SELECT l_suppkey AS source, l_partkey % 50 AS target, max(l_orderkey) AS fid FROM lineitem GROUP BY 1, 2",
     "feature_weights": "SELECT c_custkey AS fid, c_name, round(sum(o_totalprice), 2) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
     "arc_lines": f"{_WITH}, k AS (SELECT *, row_number() OVER (ORDER BY source, target) - 1 AS arc_id FROM arcs) SELECT arc_id, concat_ws(' ', source, target, cost, arc_id) AS line FROM k",
+    "shuffled_rings": """WITH w AS (SELECT o_orderkey AS k, o_orderkey // 5000 AS r, o_orderkey % 5000 AS i, o_orderkey * 48271 % 2147483647 AS pos FROM orders),
+        s AS (SELECT r, arg_min(i, pos) AS i0, count(*) AS m, arg_min(k % 3 = 0, pos) AS turned FROM w GROUP BY r),
+        t AS (SELECT w.r, i0, m, turned, CASE WHEN turned THEN (i0 - i + m) % m ELSE (i - i0 + m) % m END AS rank, k, r * 5000 + (i + 1) % m AS k1 FROM w JOIN s USING (r)),
+        n AS (SELECT r, rank, CASE WHEN turned THEN concat(k1, '-', -k - 1, '-', k) ELSE concat(k, '-', -k - 1, '-', k1) END AS part, CASE WHEN turned THEN k1 ELSE k END AS head FROM t)
+        SELECT r AS relation_id, 0 AS polygon, (3 * count(*))::INT AS n, arg_min(head, rank) AS first, md5(string_agg(part, '-' ORDER BY rank)) AS nodes_md5 FROM n GROUP BY r""",
     "relation_polygons": """WITH m AS (SELECT l_orderkey AS r, l_suppkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
         k AS (SELECT *, CASE WHEN w % 10 <> 0 THEN w % 3 END AS last FROM m), b AS (SELECT *, lag(last) OVER (PARTITION BY r ORDER BY pos) AS before FROM k),
         p AS (SELECT *, sum(CASE WHEN w % 2 = before THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS part FROM b WHERE w % 10 <> 0),
