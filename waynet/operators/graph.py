@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waynet.functions import speeds
+from waynet.functions.geo import euclidean
 from waynet.operators.search import shortest_paths as shortest_paths
 from waynet.plans.iterate import cut, running_total
 
@@ -77,6 +78,59 @@ def counter_arcs(arcs: DataFrame) -> DataFrame:
     return ranked.join(back, ["source", "target", "rank"], "left").select("source", "target", "rank", "cost", F.when(F.col("back_cost").isNull(), missing).otherwise(F.col("back_cost")).alias("back_cost"))
 
 
+def _runs(rows: DataFrame, *kept: str) -> DataFrame:
+    """rows (pos, fid, x, y and more) with `at`, their place by pos, `run`, their run of equal fids, and fid, x, y and what is kept of the row `before`; `new` is 1 for a run's first."""
+    placed = running_total(rows, ["pos"], F.lit(1), "at")
+    before = placed.select((F.col("at") + 1).alias("at"), F.struct("fid", "x", "y", *kept).alias("before"))
+    change = placed.join(before, "at", "left").withColumn("new", (~F.col("fid").eqNullSafe(F.col("before.fid")) | (F.col("at") == 0)).cast("long"))
+    return running_total(change, ["pos"], F.col("new"), "earlier").withColumn("run", F.col("earlier") + F.col("new"))
+
+
+def _met_points(lines: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points a and b of lines as nodes (a, node), numbered from 0 by first appearance, a line's a before its b; (a, source) and (b, target) of these."""
+    ends = lines.select("a", (2 * F.col(order)).alias("seen")).unionByName(lines.select(F.col("b").alias("a"), (2 * F.col(order) + 1).alias("seen")))
+    nodes = cut(running_total(ends.groupBy("a").agg(F.min("seen").alias("seen")), ["seen"], F.lit(1), "node"))
+    s, t = (nodes.select(F.col("a").alias(c), F.col("node").alias(n)) for c, n in (("a", "source"), ("b", "target")))
+    return nodes, s, t
+
+
+def _step() -> Column:
+    """The distance from the row before in its run."""
+    return F.when(F.col("new") == 0, euclidean(F.col("x"), F.col("y"), F.col("before.x"), F.col("before.y")))
+
+
+def vertex_graph(rows: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, x, y) and arcs (source, target, fid, way_class, cost in seconds) of polylines (pos, fid, x, y in metres, way_class).
+
+    Each pair of rows by pos with equal fids gives both arcs, once for each fid, class and length; a class unknown to
+    `speeds.CLASS_SPEEDS` is an error, `most` the highest speed in km/h. Points with equal coordinates are one node,
+    numbered from 0 by first appearance; a row without a neighbour of its fid gives none. `least_arcs` leaves one arc between two nodes.
+    """
+    runs = _runs(rows.select("pos", "fid", "x", "y", "way_class"), "way_class")
+    pairs = cut(runs.where("new = 0").select("at", "fid", "before.way_class", F.struct("before.x", "before.y").alias("a"), F.struct("x", "y").alias("b"), _step().alias("metres")))
+    nodes, s, t = _met_points(pairs, "at")
+    there = pairs.join(s, "a").join(t, "b").select("source", "target", "fid", "way_class", "metres")
+    both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "fid", "way_class", "metres")).distinct()
+    cost = F.col("metres") / (speeds.class_speed(F.col("way_class"), F.lit(most)) / 3.6)
+    return nodes.select("node", "a.x", "a.y"), both.select("source", "target", "fid", "way_class", cost.alias("cost"))
+
+
+def feature_graph(rows: DataFrame, most: float, way_class: str | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, x, y) and arcs (source, target, fid, cost in seconds, weight) of polylines (pos, fid, x, y in metres, and columns of class and weight).
+
+    A run of equal fids by pos is a line from its first to its last point, with the class and weight of its last row, as in
+    `road_segments`; walkers leave out rows of large roads, so runs beside these may meet. Every line gives both arcs.
+    """
+    named = rows.select("pos", "fid", "x", "y", (F.lit(speeds.PEDESTRIAN_AREA) if way_class is None else F.col(way_class)).alias("way_class"), (F.lit(-1) if weight is None else F.col(weight)).alias("weight"))
+    runs = _runs(named.where(F.col("way_class").isNull() | speeds.is_walked(F.col("way_class"), most)))
+    point, last = F.struct("x", "y"), lambda c: F.max_by(c, "at").alias(c)
+    lines = cut(runs.groupBy("run").agg(F.min_by(point, "at").alias("a"), F.max_by(point, "at").alias("b"), F.coalesce(F.sum(_step()), F.lit(0.0)).alias("metres"), last("fid"), last("way_class"), last("weight")))
+    nodes, s, t = _met_points(lines, "run")
+    cost = F.col("metres") / (speeds.class_speed(F.col("way_class"), F.lit(most)) / 3.6)
+    there = lines.join(s, "a").join(t, "b").select("source", "target", "fid", cost.alias("cost"), "weight")
+    return nodes.select("node", "a.x", "a.y"), there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "fid", "cost", "weight"))
+
+
 def polylines_to_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (node, x, y) and arcs (arc_id, source, target, cost, weight, fid) of polylines (pos, fid, x, y, cost, weight).
 
@@ -85,15 +139,10 @@ def polylines_to_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     last row. Arcs are numbered from 0 by source, then by the order of the lines.
     """
     float32 = [F.col(c).cast("float").alias(c) for c in ("x", "y")]
-    last_fid = running_total(rows.select("pos", "fid", *float32, "cost", "weight"), ["pos"], F.lit(1), "at")
-    before = last_fid.select((F.col("at") + 1).alias("at"), F.col("fid").alias("fid_before"))
-    change = last_fid.join(before, "at", "left").withColumn("new", (~F.col("fid").eqNullSafe(F.col("fid_before")) | (F.col("at") == 0)).cast("long"))
-    runs = running_total(change, ["pos"], F.col("new"), "earlier").withColumn("run", F.col("earlier") + F.col("new"))
+    runs = _runs(rows.select("pos", "fid", *float32, "cost", "weight"))
     point = F.struct("x", "y")
     lines = cut(runs.groupBy("run").agg(F.first("fid").alias("fid"), F.min_by(point, "pos").alias("a"), F.max_by(point, "pos").alias("b"), F.max_by("cost", "pos").alias("cost"), F.max_by("weight", "pos").alias("weight")))
-    ends = lines.select("a", (2 * F.col("run")).alias("seen")).unionByName(lines.select(F.col("b").alias("a"), (2 * F.col("run") + 1).alias("seen")))
-    nodes = running_total(ends.groupBy("a").agg(F.min("seen").alias("seen")), ["seen"], F.lit(1), "node")
-    s, t = (nodes.select(F.col("a").alias(c), F.col("node").alias(n)) for c, n in (("a", "source"), ("b", "target")))
+    nodes, s, t = _met_points(lines, "run")
     there = lines.join(s, "a").join(t, "b").select("source", "target", F.col("cost").cast("int").alias("cost"), F.col("weight").cast("int").alias("weight"), "fid", (2 * F.col("run")).alias("place"))
     both = there.unionByName(there.select(F.col("target").alias("source"), F.col("source").alias("target"), "cost", "weight", "fid", (F.col("place") + 1).alias("place")))
     arcs = running_total(both, ["source", "target", "place"], F.lit(1), "arc_id").select("arc_id", "source", "target", "cost", "weight", "fid")

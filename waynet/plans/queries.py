@@ -68,6 +68,9 @@ def _levels_sql(levels):
     return ", ".join(parts)
 
 
+_ROAD_ROWS = f"""s(i, class, speed) AS (VALUES {", ".join(str((i, *x)) for i, x in enumerate(speeds.CLASS_SPEEDS.items()))}),
+        r AS (SELECT l_orderkey AS fid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p, (l_partkey % 97)::DOUBLE AS x, (l_suppkey % 89)::DOUBLE AS y FROM lineitem),
+        v AS (SELECT fid * 1000 + p AS pos, p, fid, x, y, class, speed FROM r JOIN s ON s.i = fid % {len(speeds.CLASS_SPEEDS)})"""
 _HEAT = "heat AS (SELECT event_type AS dataset, user_id % 90 + 0.25::DOUBLE AS lat, event_id % 170 + 0.75::DOUBLE AS lon, floor(value)::DOUBLE AS heat FROM events)"
 
 
@@ -466,6 +469,22 @@ def road_costs(spark, d):
     return out.select("fid", "x0", "y0", "x1", "y1", F.round("cost", 5).alias("cost"), "weight")
 
 
+def _road_rows(spark, d):
+    """Vertices of all roads in one order, with an official class each."""
+    classes = list(speeds.CLASS_SPEEDS)
+    of = F.element_at(F.array(*map(F.lit, classes)), (1 + F.col("fid") % len(classes)).cast("int"))
+    return _lines(spark, d).select((F.col("fid") * 1000 + F.col("pos")).alias("pos"), "fid", "x", "y", of.alias("way_class"), (F.col("pos") % 5).alias("wert"))
+
+
+def vertex_graph(spark, d):
+    return graph.vertex_graph(_road_rows(spark, d), 50)[1].withColumn("cost", F.round("cost", 5))
+
+
+def feature_graph(spark, d):
+    """Roads of walkers: one with a large class is left out."""
+    return graph.feature_graph(_road_rows(spark, d), speeds.WALKING_SPEED, "way_class", "wert")[1].withColumn("cost", F.round("cost", 5))
+
+
 def translated_ids(spark, d):
     l = _lines(spark, d).groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pos", "y"))).alias("v"))
     ways = l.select(F.col("fid").alias("way_id"), F.transform("v", lambda x: (7 * x["y"] + 5).cast("long")).alias("nds"), F.create_map(F.lit("Objektname"), F.when(F.col("fid") % 2 == 0, "Wald").otherwise("Weg")).alias("tags"))
@@ -522,7 +541,7 @@ def graph_file(spark, d):
     return sinks.graph_lines(nodes, road_arcs(spark, d).withColumn("pos", F.col("target")), ["node"], ["source", "target", "cost"])
 
 
-QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, heat_levels, heat_pages, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons, shuffled_rings)}
+QUERIES = {f.__name__: f for f in (road_costs, translated_ids, pruned_walkways, walkway_bins, city_paths, city_flooding, city_contraction, city_undo, city_clusters, cluster_contraction, popularity, edge_attractiveness, graph_of_lines, entry_classes, poi_categories, way_edges, box_raster, heat_levels, heat_pages, middle_heat, zone_of_point, kept_components, cheap_nodes, population_arcs, graph_file, flooding, sssp, entry_distances, distance_to_border, components, component_sizes, largest_component, via_edge, contraction, walkways, offsets, least_arcs, counter_arcs, node_weights, segments, nearest_nodes, nearest_three_within, points_in_zones, points_in_districts, map_extract, scanned_roads, population_grid, hulls, distances, preference_lookup, entry_popularity, parking_population, normalized, node_heat, heat_raster, heat_pyramid, heat_extract, heat_bounds, heat_median, heat_answer, way_speeds, class_speeds, merged_popularity, even_split, even_arc_weights, expanded_results, last_feature, feature_weights, arc_lines, relation_polygons, shuffled_rings, vertex_graph, feature_graph)}
 
 _BOTH = "bb AS (SELECT source, target FROM arcs), r AS (SELECT vec_id AS node, vec_id AS reached FROM points UNION SELECT r.node, bb.target FROM r JOIN bb ON bb.source = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
@@ -608,6 +627,18 @@ ORACLES = {
         t AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM v WINDOW w AS (PARTITION BY fid ORDER BY pos)),
         g AS (SELECT fid, arg_min(x, pos) AS x0, arg_min(y, pos) AS y0, arg_max(x, pos) AS x1, arg_max(y, pos) AS y1, coalesce(sum(step), 0) AS length, arg_max(wert, pos) AS weight FROM t GROUP BY fid)
         SELECT fid, x0, y0, x1, y1, round(length / (least(speed, 5) / 3.6::DOUBLE), 5) AS cost, weight FROM g JOIN s ON s.i = fid % {len(speeds.CLASS_SPEEDS)} WHERE class NOT BETWEEN 164001 AND 164011""",
+    "vertex_graph": f"""WITH {_ROAD_ROWS}, p AS (SELECT pos, fid, class AS way_class, speed, lag(x) OVER w AS x0, lag(y) OVER w AS y0, x AS x1, y AS y1 FROM v WINDOW w AS (PARTITION BY fid ORDER BY pos)),
+        l AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS metres FROM p WHERE x0 IS NOT NULL),
+        e AS (SELECT x0 AS x, y0 AS y, 2 * pos AS seen FROM l UNION ALL SELECT x1, y1, 2 * pos + 1 FROM l),
+        n AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) - 1 AS node FROM e GROUP BY x, y),
+        t AS (SELECT s.node AS source, t.node AS target, fid, way_class, metres / (least(speed, 50) / 3.6::DOUBLE) AS cost FROM l JOIN n s ON s.x = x0 AND s.y = y0 JOIN n t ON t.x = x1 AND t.y = y1)
+        SELECT source, target, fid, way_class, round(cost, 5) AS cost FROM (SELECT * FROM t UNION SELECT target, source, fid, way_class, cost FROM t)""",
+    "feature_graph": f"""WITH {_ROAD_ROWS}, w AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM v WHERE class NOT BETWEEN 164001 AND 164011 WINDOW w AS (PARTITION BY fid ORDER BY pos)),
+        l AS (SELECT fid, arg_min(x, pos) AS x0, arg_min(y, pos) AS y0, arg_max(x, pos) AS x1, arg_max(y, pos) AS y1, coalesce(sum(step), 0) / (any_value(least(speed, 5)) / 3.6::DOUBLE) AS cost, arg_max(p % 5, pos) AS weight FROM w GROUP BY fid),
+        e AS (SELECT x0 AS x, y0 AS y, 2 * fid AS seen FROM l UNION ALL SELECT x1, y1, 2 * fid + 1 FROM l),
+        n AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) - 1 AS node FROM e GROUP BY x, y),
+        t AS (SELECT s.node AS source, t.node AS target, fid, round(cost, 5) AS cost, weight FROM l JOIN n s ON s.x = x0 AND s.y = y0 JOIN n t ON t.x = x1 AND t.y = y1)
+        SELECT * FROM t UNION ALL SELECT target, source, fid, cost, weight FROM t""",
     "translated_ids": """WITH v AS (SELECT l_orderkey AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_suppkey % 89 AS n FROM lineitem),
         r AS (SELECT w, pos, 999 + dense_rank() OVER (ORDER BY n) AS id FROM v), k AS (SELECT w, string_agg(id::VARCHAR, '-' ORDER BY pos) AS nds FROM r GROUP BY w)
         SELECT row_number() OVER (ORDER BY w) - 1 + 1000 AS way_id, nds, CASE WHEN w % 2 = 0 THEN '{"landuse":"forest"}' ELSE '{"Objektname":"Weg"}' END AS tags FROM k""",
