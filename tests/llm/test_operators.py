@@ -322,6 +322,8 @@ def test_shortened_heads_lose_no_hit():
                 word[k : k + int(rng.integers(0, 2))] = draw(int(rng.integers(0, 2)))
             words.append("".join(word))
     assert [automaton.edits(w) for w in words] == [automaton.walk(w) for w in words]
+    told = dict(automaton.accepted(words))
+    assert told == {w: e for w in words if (e := automaton.walk(w)) >= 0}
 
 
 def test_rare_and_short_terms_enter_the_lexicon(spark):

@@ -14,7 +14,7 @@ the text are not read. A long text is one list of words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +33,8 @@ STEM_TEXTS, STEM_SHARE, STEM_LETTERS = 8, 0.98, (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 6
 STATES, REMEMBERED = 100_000, 300_000
+#: Letters of texts whose words are sifted at once; a longer text is sifted alone.
+SIFTED = 1_000_000
 
 #: Words that report speech, and words that address a reader, in English, German, French and Spanish.
 REPORTS = {"called", "calling", "calls", "quote", "quoted", "said", "saying", "says", "term", "word", "wrote", "genannt", "sagt", "sagte", "wort", "appelle", "disait", "dit", "mot", "dice", "dijo", "palabra"}
@@ -61,6 +63,25 @@ def _shortened(word: str, edits: int) -> set[str]:
     return {"".join(c) for n in range(max(0, len(head) - edits), len(head) + 1) for c in combinations(head, n)}
 
 
+#: Odd multipliers of the letters' places in hashes of shortened heads, the bits of a hash that mark it, and words hashed at a time.
+_TIMES = np.cumprod(np.full(HEAD, 11400714819323198485, np.uint64))
+MARK_BITS, HASHED = 24, 16_384
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """The letters of the words' heads, zeros after the last."""
+    return np.array(words, f"U{HEAD}").view(np.uint32).reshape(len(words), HEAD).astype(np.uint64)
+
+
+def _slots(codes: np.ndarray, length: int, edits: int) -> np.ndarray:
+    """A row for each head of that length: the marks of what _shortened would give."""
+    kept = [c for n in range(max(0, length - edits), length + 1) for c in combinations(range(length), n)]
+    weights = np.zeros((length, len(kept)), np.uint64)
+    for k, c in enumerate(kept):
+        weights[list(c), k] = _TIMES[: len(c)]
+    return (codes[:, :length] @ weights) >> np.uint64(64 - MARK_BITS)
+
+
 class TermAutomaton:
     """The trie of the terms, run with Levenshtein automata: a state is a set of (trie node, edits so far).
 
@@ -93,8 +114,41 @@ class TermAutomaton:
             self.ends[node] = max(edits, self.ends[node])
             if term[-1] == "*":
                 self.stems.add(node)
+        self._mark()
         self._forget()
 
+    def _mark(self) -> None:
+        """Marks for the terms' shortened heads, so that most words are told by numpy to be near none."""
+        self.marks = {}
+        for edits, heads in self.heads.items():
+            self.marks[edits] = np.zeros(1 << MARK_BITS, bool)
+            self.marks[edits][(_codes(sorted(heads)) @ _TIMES) >> np.uint64(64 - MARK_BITS)] = True
+
+    def near(self, words: list[str]) -> Iterator[str]:
+        """The words whose shortened heads are marked: all that share one with a term, and few others."""
+        if not words:
+            return
+        codes, sizes = _codes(words), np.array([len(w) for w in words])
+        lengths, marked = np.minimum(sizes, HEAD), np.zeros(len(words), bool)
+        for edits, marks in self.marks.items():
+            for length in np.unique(lengths):
+                own = np.flatnonzero((lengths == length) & (sizes >= self.least[edits]) & ~marked)
+                for block in (own[k : k + HASHED] for k in range(0, len(own), HASHED)):
+                    marked[block] = marks[_slots(codes[block], int(length), edits)].any(axis=1)
+        yield from (words[k] for k in np.flatnonzero(marked))
+
+    def accepted(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """The words with edits() of 0 and more, and these."""
+        others = []
+        for word in words:
+            if word in self.exact or any(word[:n] in self.begun for n in self.begun_letters):
+                yield word, 0
+            else:
+                others.append(word)
+        for word in self.near(others):
+            if (edits := self.edits(word)) >= 0:
+                yield word, edits
+
     def _forget(self) -> None:
         self.steps: dict[tuple[int, str], int] = {}
         self.states = [self._closed({(0, 0)}) if self.most[0] >= 0 else frozenset()]
@@ -155,10 +209,11 @@ class TermAutomaton:
         return self.accepts[number]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("steps", "states", "numbers", "accepts", "whole")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("steps", "states", "numbers", "accepts", "whole", "marks")}
 
     def __setstate__(self, kept):
         self.__dict__.update(kept)
+        self._mark()
         self._forget()
 
 
@@ -184,9 +239,7 @@ class Sifted:
             self.known.clear()
             self.hits.clear()
         new = words - self.known
-        for word in new:
-            if (edits := self.automaton.edits(word)) >= 0:
-                self.hits[word] = edits
+        self.hits.update(self.automaton.accepted(new))
         self.known |= new
         return words & self.hits.keys()
 
@@ -205,8 +258,23 @@ def _starts(text: str, words: list[str]) -> Iterator[int]:
 
 def features(text: str, sifted: Sifted) -> list[float] | None:
     """FEATURES of a text, or None without a hit."""
-    words = _WORD.findall(text)
-    found = sifted.among(set(words))
+    return next(all_features([text], sifted))
+
+
+def all_features(texts: list[str], sifted: Sifted) -> Iterator[list[float] | None]:
+    """FEATURES of each text, or None without a hit. The words of several texts are sifted at once."""
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= SIFTED:
+            size, last = size + len(texts[last]), last + 1
+        words = [_WORD.findall(text) for text in texts[first:last]]
+        found = sifted.among(set().union(*words))
+        yield from (_features(text, own, found, sifted.hits) for text, own in zip(texts[first:last], words))
+        first = last
+
+
+def _features(text: str, words: list[str], found: set[str], edits: dict[str, int]) -> list[float] | None:
     hits = [i for i, word in enumerate(words) if word in found] if found else []
     if not hits:
         return None
@@ -216,7 +284,7 @@ def features(text: str, sifted: Sifted) -> list[float] | None:
         context = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
         if _is_quoted(text, start, start + len(words[i])) or any(w in REPORTS for w in context[:WINDOW]):
             quoted += 1
-        elif sifted.hits[words[i]]:
+        elif edits[words[i]]:
             misspelled += 1
         else:
             exact += 1
@@ -230,8 +298,7 @@ class ToxicityModel:
 
     def scores(self, texts: list[str], sifted: Sifted) -> list[float]:
         out = []
-        for text in texts:
-            found = features(text, sifted)
+        for found in all_features(texts, sifted):
             out.append(1 / (1 + np.exp(-(self.bias + (0.0 if found is None else float(np.dot(found, self.weights)))))))
         return out
 
@@ -270,7 +337,7 @@ def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: s
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sifted = Sifted(shared.value)
         for batch in batches:
-            found = [features(t, sifted) or [0.0] * len(FEATURES) for t in batch.column("text").to_pylist()]
+            found = [own or [0.0] * len(FEATURES) for own in all_features(batch.column("text").to_pylist(), sifted)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([[float(v) for v in f] for f in found], pa.list_(pa.float64()))], names=["label", "f"])
 
     # Equal rows are counted, so what reaches the driver is bounded by the sample and mostly far less.
