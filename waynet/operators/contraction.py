@@ -17,6 +17,8 @@ from waynet.plans.iterate import cut
 _ID = "struct<round:int,source:bigint,target:bigint>"
 #: Fixed values, in metres: arcs shorter than this merge clusters whose centroids are closer than that.
 INTRA_CLUSTER, INTER_CLUSTER = 15.0, 50.0
+#: Nodes of the components that one group merges.
+PACK_NODES = 4096
 
 
 def _arc_id(made: Column) -> Column:
@@ -101,16 +103,19 @@ def clusters(nodes: DataFrame, arcs: DataFrame, intra: float = INTRA_CLUSTER, in
     """node and cluster, its least node, of nodes (node, lat, lon): clusters merge along arcs cheaper than intra, in order of cost, source and target.
 
     They merge if their centroids, each the mean of its nodes, are closer than inter metres when the arc's turn comes. Arcs count once,
-    from the lesser node. Clusters of different components of cheap arcs never meet, so each component is worked for itself, whole.
+    from the lesser node. Clusters of different components of cheap arcs never meet, so each component is worked whole, with others
+    in a pack of some PACK_NODES nodes.
     """
     cheap = cut(arcs.where((F.col("cost") < intra) & (F.col("source") < F.col("target"))).groupBy(*(F.col(c).cast("long").alias(c) for c in ("source", "target"))).agg(F.min("cost").alias("cost")))
     cheap = cheap.select("source", "target", F.col("cost").cast("double").alias("cost"))
     places = nodes.select(F.col("node").cast("long").alias("node"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     touched = cheap.select(F.col("source").alias("node")).unionByName(cheap.select(F.col("target").alias("node"))).distinct()
     label = connected_components(touched, cheap)
-    at = label.join(places, "node").select(F.col("component"), "node", "lat", "lon")
-    along = cheap.join(label.withColumnRenamed("node", "source"), "source").select(F.col("component").alias("of"), "source", "target", "cost")
-    merged = at.groupBy("component").cogroup(along.groupBy("of")).applyInPandas(_agglomerate(inter), "node long, cluster long")
+    packs = label.count() // PACK_NODES + 1
+    packed = label.select("node", F.pmod(F.xxhash64("component"), F.lit(packs)).alias("pack"))
+    at = packed.join(places, "node").select("pack", "node", "lat", "lon")
+    along = cheap.join(packed.withColumnRenamed("node", "source"), "source").select(F.col("pack").alias("of"), "source", "target", "cost")
+    merged = at.groupBy("pack").cogroup(along.groupBy("of")).applyInPandas(_agglomerate(inter), "node long, cluster long")
     return places.select("node").join(merged, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 

@@ -98,7 +98,7 @@ def city_flooding(spark, d):
     return out.select("source", "target", F.round("value", 6).alias("value"))
 
 
-def _streets(spark, d):
+def _crossings(spark, d):
     """Crossings with coordinates in degrees."""
     return city_nodes(spark, d).select("node", (49 + F.col("y") * 1e-4).alias("lat"), (7 + F.col("x") * 1e-4).alias("lon"))
 
@@ -116,13 +116,13 @@ def city_undo(spark, d):
 
 def city_clusters(spark, d):
     arcs = city_arcs(spark, d)
-    label = graph.cut(contracting.clusters(_streets(spark, d), arcs))
+    label = graph.cut(contracting.clusters(_crossings(spark, d), arcs))
     border = contracting.border_nodes(label, arcs).withColumn("border", F.lit(True))
     return label.join(border, "node", "left").select("node", "cluster", F.coalesce("border", F.lit(False)).alias("border"))
 
 
 def cluster_contraction(spark, d):
-    return contracting.contract_clusters(_streets(spark, d), city_arcs(spark, d))[0].select("source", "target", "cost")
+    return contracting.contract_clusters(_crossings(spark, d), city_arcs(spark, d))[0].select("source", "target", "cost")
 
 
 def pruned_walkways(spark, d):
