@@ -54,6 +54,14 @@ def test_rings_glades_areas_and_points(spark, tmp_path):
     assert got.arcs.count() == 4
 
 
+def test_a_node_with_the_id_of_a_way_keeps_its_category(spark, tmp_path):
+    """Node 60, a bench off the roads, and way 60, the road; an artwork that is a way marks its nodes as before."""
+    artwork = '<way id="70"><nd ref="1"/><nd ref="2"/><nd ref="3"/><tag k="tourism" v="artwork"/></way>'
+    got = _read(spark, tmp_path, RINGS.replace('"30"', '"60"').replace("<relation", artwork + "<relation", 1))
+    found = {r["node_id"]: r["category"] for r in got.pois.collect()}
+    assert set(found) == {1, 2, 3, 60} and found[60] == 2
+
+
 def test_entries_and_parking_meet_both_graphs(spark):
     at = lambda rows, key: spark.createDataFrame(rows, f"{key} long, x double, y double")
     entries, parking = at([(5, 0.0, 0.0), (3, 4.0, 0.0)], "id"), at([(1, 9.0, 9.0)], "id")

@@ -59,8 +59,10 @@ def extract_map(nodes: DataFrame, ways: DataFrame, relations: DataFrame, max_spe
     roads = ways.where(way_type_id(kind).isNotNull())
     speed = F.least(way_speed(kind), F.lit(max_speed))
     steps = cut(graph.way_arcs(roads, nodes, F.when(speed > 0, speed)))
-    tagged = nodes.select(F.col("node_id").alias("osm_id"), F.explode("tags")).unionByName(ways.select(F.col("way_id").alias("osm_id"), F.explode("tags")))
-    rated = osm.poi_categories(tagged, ways)
+    # Nodes and ways are numbered apart, so a node may have a way's id.
+    own = osm.poi_categories(nodes.select(F.col("node_id").alias("osm_id"), F.explode("tags")), ways.limit(0))
+    along = osm.poi_categories(ways.select(F.col("way_id").alias("osm_id"), F.explode("tags")), ways)
+    rated = own.unionByName(along).groupBy("node_id").agg(F.max("category").alias("category"))
     on_roads = osm.highway_nodes(nodes.select("node_id", "lat", "lon"), steps)
     kept = cut(osm.node_indices(osm.with_missing(on_roads, nodes.select("node_id", "lat", "lon"), rated), "node_id"))
     typed = steps.join(roads.select("way_id", way_type_id(kind).alias("type")), "way_id")
