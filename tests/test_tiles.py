@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,6 +43,16 @@ def test_large_polygons_have_few_tiles_and_short_pieces(spark):
     assert got["n"] <= (tiles.SIDE + 2) ** 2 and got["inside"] > got["n"] / 2 and got["level"] == 13 and got["most"] < 800
 
 
+def test_rings_of_an_expression_take_time_by_their_corners(spark):
+    """A ring of 6000 corners that the plan makes by an expression of an array; made anew for every corner it takes minutes."""
+    turn = lambda i: 2 * F.pi() * i / F.size("sizes")
+    ring = F.transform("sizes", lambda s, i: F.struct(((1 + s / 1e6) * F.cos(turn(i))).alias("x"), ((1 + s / 1e6) * F.sin(turn(i))).alias("y")))
+    sizes = spark.range(6000).groupBy((F.col("id") % 1).alias("poly_id")).agg(F.sort_array(F.collect_list("id")).alias("sizes"))
+    began = time.time()
+    assert tiles.polygon_tiles(sizes.select("poly_id", ring.alias("ring")), 0.1).count() > 300
+    assert time.time() - began < 30
+
+
 def test_grid_without_forest_points(spark):
     square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
     towns = spark.createDataFrame([(1, square(0.0, 1.0)), (2, square(5.0, 5.1))], POLYGONS).withColumn("inhabitants", F.lit(90.0))

@@ -26,10 +26,12 @@ def polygon_tiles(polygons: DataFrame, size: float) -> DataFrame:
     Tiles of a level are size * 2 ** level wide. `passed` counts the edges right of a touched tile that cross its whole row, `edges` are the
     others that a ray from it may meet. A ring may repeat its first corner; one without an area has no inside, a null or empty one no tiles.
     """
-    at = lambda i: F.get("ring", i % F.size("ring"))
-    edge = lambda p, i: F.struct(p["x"].cast("double").alias("ax"), p["y"].cast("double").alias("ay"), at(i + 1)["x"].cast("double").alias("bx"), at(i + 1)["y"].cast("double").alias("by"))
+    # The next corners are a second array: a lambda that looks into the ring may have the ring made anew for every corner.
+    corners = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    following = F.concat(F.slice(corners, F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice(corners, F.lit(1), F.lit(1)))
+    edges = F.zip_with(corners, following, lambda p, n: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), n["x"].alias("bx"), n["y"].alias("by")))
     box = [f(F.col(f"ring.{c}").cast("array<double>")).alias(f"{c}{k}") for c in ("x", "y") for k, f in enumerate((F.array_min, F.array_max))]
-    whole = polygons.select("poly_id", F.transform("ring", edge).alias("ring"), *box)
+    whole = polygons.select("poly_id", edges.alias("ring"), *box)
     level = F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / (size * SIDE)))).cast("int")
     whole = whole.withColumn("level", level).withColumn("wide", width(size, F.col("level")))
     pad = F.col("wide") * MARGIN
