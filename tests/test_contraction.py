@@ -89,6 +89,25 @@ def test_nothing_chosen_and_everything_chosen(spark):
         contraction.contract_nodes(arcs, spark.range(30).withColumnRenamed("id", "node"), 1)
 
 
+def test_rounds_read_only_arcs_of_nodes_that_are_left(spark, monkeypatch):
+    """A line of 40 nodes of which two go, one beside an arc that costs as much as the way through it."""
+    read, plain = [], contraction._apart
+
+    def apart(arcs, left, made):
+        read.append(arcs.count())
+        return plain(arcs, left, made)
+
+    monkeypatch.setattr(contraction, "_apart", apart)
+    edges = [(a, b, 1) for k in range(39) for a, b in ((k, k + 1), (k + 1, k))] + [(9, 11, 2)]
+    arcs = spark.createDataFrame(edges, "source long, target long, cost long")
+    small, shortcuts = contraction.contract_nodes(arcs, spark.createDataFrame([(10,), (11,)], "node long"))
+    assert {(r["source"], r["target"]): r["cost"] for r in small.collect()} == eliminated(edges, [10, 11])
+    assert read and max(read) <= 7
+    known = {r["id"] for r in shortcuts.collect()}
+    assert {r["id"] for r in small.collect() if r["id"]["round"]} <= known
+    assert {p for r in shortcuts.collect() for p in (r["first"], r["second"]) if p["round"]} <= known
+
+
 def sequential(nodes, edges, intra, inter):
     def metres(a, b):
         p, q = math.radians(a[0]), math.radians(b[0])

@@ -33,9 +33,13 @@ def contract_nodes(arcs: DataFrame, chosen: DataFrame, most_rounds: int = 200) -
     its id. More than most_rounds rounds are an error.
     """
     least = arcs.where("source <> target").groupBy(*(F.col(c).cast("long").alias(c) for c in ("source", "target"))).agg(F.min("cost").alias("cost"))
-    own = cut(least.select(_arc_id(F.lit(0)).alias("id"), "source", "target", "cost", F.lit(1).cast("long").alias("parts")))
+    nothing = F.lit(None).cast(_ID)
+    given = least.select("source", "target", "cost", F.lit(0).alias("new"), F.lit(1).cast("long").alias("parts"), nothing.alias("first"), nothing.alias("second"), _arc_id(F.lit(0)).alias("id"), F.lit(0).cast("long").alias("first_parts"))
     left = cut(chosen.select(F.col("node").cast("long").alias("node")).distinct())
-    shortcuts, made = own.limit(0).select("id", F.col("id").alias("first"), F.col("id").alias("second"), F.col("parts").alias("first_parts")), 0
+    every, made = cut(_beside(given, left)), 0
+    # Arcs between nodes that stay take no part in the rounds; parallel ones meet at the end, where the older of equal costs stays.
+    own, fixed = every.where("live"), every.where("NOT live")
+    shortcuts = every.limit(0).select("id", "first", "second", "first_parts")
     while not left.isEmpty():
         made += 1
         if made > most_rounds:
@@ -45,14 +49,23 @@ def contract_nodes(arcs: DataFrame, chosen: DataFrame, most_rounds: int = 200) -
         into = gone.select(F.col("node").alias("target")).join(own, "target").select(F.col("target").alias("via"), F.col("source").alias("a"), F.col("id").alias("first"), F.col("cost").alias("cost_a"), F.col("parts").alias("parts_a"))
         ways = into.join(out, "via").where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("cost_a") + F.col("cost_b")).alias("cost"), "first", "second", F.col("parts_a").alias("first_parts"), (F.col("parts_a") + F.col("parts_b")).alias("parts"))
         stays = own.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti")
-        nothing = F.lit(None).cast(_ID)
         every = stays.select("source", "target", "cost", F.lit(0).alias("new"), "parts", "id", nothing.alias("first"), nothing.alias("second"), F.lit(0).cast("long").alias("first_parts"))
         every = every.unionByName(ways.withColumns({"new": F.lit(1), "id": _arc_id(F.lit(made))}))
-        best = cut(every.groupBy("source", "target").agg(F.min(F.struct("cost", "new", "parts", "first", "second", "id", "first_parts")).alias("b")).select("source", "target", "b.*"))
-        shortcuts = shortcuts.unionByName(best.where("new = 1").select("id", "first", "second", "first_parts"))
-        own = best.select("id", "source", "target", "cost", "parts")
+        best = every.groupBy("source", "target").agg(F.min(F.struct("cost", "new", "parts", "first", "second", "id", "first_parts")).alias("b")).select("source", "target", "b.*")
         left = cut(left.join(gone, "node", "left_anti"))
-    return own, cut(shortcuts)
+        every = cut(_beside(best, left))
+        shortcuts = shortcuts.unionByName(every.where("live AND new = 1").select("id", "first", "second", "first_parts"))
+        own, fixed = every.where("live"), fixed.unionByName(every.where("NOT live"))
+    shown = F.struct("cost", F.col("id.round").alias("round"), "parts", "first", "second", "id", "first_parts", "new")
+    done = cut(fixed.groupBy("source", "target").agg(F.min(shown).alias("b")).select("source", "target", "b.*"))
+    shortcuts = shortcuts.unionByName(done.where("new = 1").select("id", "first", "second", "first_parts"))
+    return done.select("id", "source", "target", "cost", "parts"), cut(shortcuts)
+
+
+def _beside(arcs: DataFrame, left: DataFrame) -> DataFrame:
+    """arcs and whether they are live, with an end among the nodes of left."""
+    s, t = (left.select(F.col("node").alias(c), F.lit(True).alias(f"of_{c}")) for c in ("source", "target"))
+    return arcs.join(s, "source", "left").join(t, "target", "left").withColumn("live", F.coalesce("of_source", "of_target", F.lit(False))).drop("of_source", "of_target")
 
 
 def _apart(arcs: DataFrame, left: DataFrame, made: int) -> DataFrame:
