@@ -53,6 +53,23 @@ def test_rings_of_an_expression_take_time_by_their_corners(spark):
     assert time.time() - began < 30
 
 
+def test_equal_rings_are_tested_once(spark, monkeypatch):
+    """300 polygons of two rings: tiles are made for two, rows for all."""
+    cut_up, plain = [], spatial.polygon_tiles
+
+    def counted(polygons, size):
+        cut_up.append(polygons.count())
+        return plain(polygons, size)
+
+    monkeypatch.setattr(spatial, "polygon_tiles", counted)
+    rings = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]]
+    polygons = spark.createDataFrame([(k, rings[k % 2]) for k in range(300)], POLYGONS)
+    points = spark.createDataFrame([(7, 0.5, 0.25), (8, 3.0, 1.0)], "id long, x double, y double")
+    found = sorted(tuple(r) for r in spatial.points_in_polygons(points, polygons, 0.5).collect())
+    assert found == [(7, k) for k in range(300)] + [(8, k) for k in range(1, 300, 2)]
+    assert cut_up == [2]
+
+
 def test_grid_without_forest_points(spark):
     square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
     towns = spark.createDataFrame([(1, square(0.0, 1.0)), (2, square(5.0, 5.1))], POLYGONS).withColumn("inhabitants", F.lit(90.0))

@@ -42,8 +42,13 @@ def nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """id, poly_id of points (id, x, y) inside polygons (poly_id, ring array of x, y), by tiles of that size; see `tiles`."""
-    return points_in_tiles(points, cut(polygon_tiles(polygons, size)), size)
+    """id, poly_id of points (id, x, y) inside polygons (poly_id, ring array of x, y), by tiles of that size; see `tiles`.
+
+    Points are tested once against all polygons of equal rings, which get one set of tiles.
+    """
+    shapes = cut(polygons.groupBy("ring").agg(F.collect_list(F.struct("poly_id")).alias("own")).withColumn("shape", F.monotonically_increasing_id()))
+    found = points_in_tiles(points, cut(polygon_tiles(shapes.select(F.col("shape").alias("poly_id"), "ring"), size)), size)
+    return found.withColumnRenamed("poly_id", "shape").join(shapes.select("shape", F.explode("own").alias("own")), "shape").select("id", "own.poly_id")
 
 
 def last_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
