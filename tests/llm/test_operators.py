@@ -326,6 +326,20 @@ def test_shortened_heads_lose_no_hit():
     assert told == {w: e for w in words if (e := automaton.walk(w)) >= 0}
 
 
+def test_words_run_along_paths_of_few_terms_only():
+    """Of thousands of terms a misspelled word is compared with those near it; no state of the whole trie is built, but for paths beyond a number's bits."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    terms = sorted({draw(int(n)) for n in rng.integers(5, 15, 3000)})
+    words = [t[:k] + draw(2) + t[k + 2 :] for t in terms[::7] for k in (1, len(t) - 2)]
+    automaton = toxicity.TermAutomaton(terms)
+    told = dict(automaton.accepted(words))
+    assert len(automaton.states) == 1 and not automaton.steps
+    assert told == {w: e for w in words if (e := automaton.walk(w)) >= 0} and 0 < len(told) < len(set(words))
+    long = draw(70)
+    assert dict(toxicity.TermAutomaton([long, "abcdefghi"]).accepted([long[:50] + long[52:], long[3:], "abcdfghi"])) == {long[:50] + long[52:]: 2, "abcdfghi": 1}
+
+
 def test_rare_and_short_terms_enter_the_lexicon(spark):
     """300 terms in three toxic texts each, beside 250 commoner ones that begin alike; and a term of three letters."""
     common = [f"c{chr(97 + k // 26)}{chr(97 + k % 26)}mon{k}" for k in range(250)]

@@ -1,8 +1,8 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with scores of context windows.
 
-The lexicon holds words, and stems of words, that come nearly only with toxic labels. A word of
-a text runs through the product of the trie and the Levenshtein automata of its terms, built
-state by state as words ask for it, so misspelled terms are found in one pass. A stem (written
+The lexicon holds words, and stems of words, that come nearly only with toxic labels. The words of
+several texts run at once along those paths of the trie whose terms share a shortened head with them, by the
+terms' Levenshtein automata, so misspelled terms are found however many terms there are. A stem (written
 with a star) takes any ending and no edit. The words and quotes around a hit
 tell quotation from abuse; a logistic model weighs the counts.
 
@@ -66,26 +66,56 @@ def _shortened(word: str, edits: int) -> set[str]:
 #: Odd multipliers of the letters' places in hashes of shortened heads, the bits of a hash that mark it, and words hashed at a time.
 _TIMES = np.cumprod(np.full(HEAD, 11400714819323198485, np.uint64))
 MARK_BITS, HASHED = 24, 16_384
+#: Words and terms put side by side at a time, but for one shortened head's.
+PAIRS = 1 << 20
+#: Letters of a path whose states fit the bits of a number, and what stands for more edits than a term allows.
+STEPS, FAR = 62, 9
+
+
+def _letters(words: list[str] | np.ndarray, most: int) -> np.ndarray:
+    """A row for each word: its first letters, zeros after the last."""
+    return np.array(words, f"U{most}").view(np.uint32).reshape(len(words), most)
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """The letters of the words' heads, zeros after the last."""
-    return np.array(words, f"U{HEAD}").view(np.uint32).reshape(len(words), HEAD).astype(np.uint64)
+    return _letters(words, HEAD).astype(np.uint64)
 
 
-def _slots(codes: np.ndarray, length: int, edits: int) -> np.ndarray:
-    """A row for each head of that length: the marks of what _shortened would give."""
+def _hashes(codes: np.ndarray, length: int, edits: int) -> np.ndarray:
+    """A row for each head of that length: the hashes of what _shortened would give."""
     kept = [c for n in range(max(0, length - edits), length + 1) for c in combinations(range(length), n)]
     weights = np.zeros((length, len(kept)), np.uint64)
     for k, c in enumerate(kept):
         weights[list(c), k] = _TIMES[: len(c)]
-    return (codes[:, :length] @ weights) >> np.uint64(64 - MARK_BITS)
+    return codes[:, :length] @ weights
+
+
+def _accept(words: np.ndarray, sizes: np.ndarray, paths: np.ndarray, depths: np.ndarray, edits: int) -> np.ndarray:
+    """The least edits of each word (a row of letters) to the trie's path beside it (a row of letters, STEPS at most), FAR if these are more than so many.
+
+    The Levenshtein automata of all paths take a letter of their words at a time. A state is a bit: bit i of reached[e] says that the
+    path's first i letters are passed with e edits.
+    """
+    one, bits = np.uint64(1), np.uint64(2) << np.arange(paths.shape[1], dtype=np.uint64)
+    reached = [np.full(len(words), (2 << e) - 1, np.uint64) for e in range(edits + 1)]
+    for k in range(int(sizes.max(initial=0))):
+        here, going = (paths == words[:, k : k + 1]) @ bits, k < sizes
+        before = reached
+        reached = [(before[0] << one) & here]
+        for e in range(1, edits + 1):  # a letter met, a letter too many, another letter, a letter left out
+            reached.append(((before[e] << one) & here) | before[e - 1] | (before[e - 1] << one) | (reached[e - 1] << one))
+        reached = [np.where(going, now, old) for now, old in zip(reached, before)]
+    least = np.full(len(words), FAR)
+    for e in range(edits, -1, -1):
+        least[(reached[e] >> depths.astype(np.uint64)) & one == one] = e
+    return least
 
 
 class TermAutomaton:
     """The trie of the terms, run with Levenshtein automata: a state is a set of (trie node, edits so far).
 
-    It runs only over words that share a shortened head with a term, as all do that it could accept with an edit.
+    A word can be accepted with an edit only by terms that share a shortened head with it. So the words of several texts run along
+    the trie's paths to these terms alone, which costs no more where the trie has many others; walk() runs one over the whole trie.
     """
 
     def __init__(self, terms: list[str]):
@@ -118,36 +148,73 @@ class TermAutomaton:
         self._forget()
 
     def _mark(self) -> None:
-        """Marks for the terms' shortened heads, so that most words are told by numpy to be near none."""
-        self.marks = {}
-        for edits, heads in self.heads.items():
+        """The hashes of the terms' shortened heads and the terms of each, and marks that tell for most words that they have none of these."""
+        self.paths: dict[int, np.ndarray] = {}
+        self.marks, self.shared = {}, {}
+        for edits in self.heads:
+            terms = sorted(t for t in self.exact if allowed_edits(t) == edits)
+            self.paths[edits] = np.array(terms)
+            codes, sizes = _codes(terms), np.array([len(t) for t in terms])
+            hashes, owners = [], []
+            for length in np.unique(np.minimum(sizes, HEAD)):
+                own = np.flatnonzero(np.minimum(sizes, HEAD) == length)
+                found = _hashes(codes[own], int(length), edits)
+                hashes.append(found.ravel())
+                owners.append(np.repeat(own, found.shape[1]))
+            hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+            order = np.argsort(hashes, kind="stable")
+            self.shared[edits] = hashes[order], owners[order]
             self.marks[edits] = np.zeros(1 << MARK_BITS, bool)
-            self.marks[edits][(_codes(sorted(heads)) @ _TIMES) >> np.uint64(64 - MARK_BITS)] = True
-
-    def near(self, words: list[str]) -> Iterator[str]:
-        """The words whose shortened heads are marked: all that share one with a term, and few others."""
+            self.marks[edits][hashes >> np.uint64(64 - MARK_BITS)] = True
+
+    def _met(self, codes: np.ndarray, sizes: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words and of the terms of so many edits that share a shortened head with them and have about their length."""
+        lengths, marks, (hashes, owners) = np.minimum(sizes, HEAD), self.marks[edits], self.shared[edits]
+        longest = np.char.str_len(self.paths[edits])
+        for length in np.unique(lengths):
+            own = np.flatnonzero((lengths == length) & (sizes >= self.least[edits]))
+            for block in (own[k : k + HASHED] for k in range(0, len(own), HASHED)):
+                found = _hashes(codes[block], int(length), edits)
+                at, form = np.nonzero(marks[found >> np.uint64(64 - MARK_BITS)])
+                seen = found[at, form]
+                first, last = np.searchsorted(hashes, seen, "left"), np.searchsorted(hashes, seen, "right")
+                parts = np.cumsum(last - first) // PAIRS
+                for part in np.split(np.arange(len(seen)), np.flatnonzero(np.diff(parts)) + 1):
+                    begin, n = first[part], (last - first)[part]
+                    term = owners[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]
+                    word = np.repeat(block[at[part]], n)
+                    fits = np.abs(sizes[word] - longest[term]) <= edits
+                    both = np.unique(word[fits] * len(longest) + term[fits])
+                    yield both // len(longest), both % len(longest)
+
+    def near(self, words: list[str]) -> Iterator[tuple[str, int]]:
+        """The words that a term accepts with an edit, and the least edits; none of the words is a term, or begins with a stem."""
         if not words:
             return
         codes, sizes = _codes(words), np.array([len(w) for w in words])
-        lengths, marked = np.minimum(sizes, HEAD), np.zeros(len(words), bool)
-        for edits, marks in self.marks.items():
-            for length in np.unique(lengths):
-                own = np.flatnonzero((lengths == length) & (sizes >= self.least[edits]) & ~marked)
-                for block in (own[k : k + HASHED] for k in range(0, len(own), HASHED)):
-                    marked[block] = marks[_slots(codes[block], int(length), edits)].any(axis=1)
-        yield from (words[k] for k in np.flatnonzero(marked))
+        letters, least = np.array(words), np.full(len(words), FAR)
+        for edits, paths in self.paths.items():
+            depths = np.char.str_len(paths)
+            for word, term in self._met(codes, sizes, edits):
+                long = depths[term] > STEPS
+                for k in np.unique(word[long]).tolist():
+                    if (found := self.walk(words[k])) >= 0:
+                        least[k] = min(least[k], found)
+                word, term = word[~long], term[~long]
+                for w, t in ((word[k : k + HASHED], term[k : k + HASHED]) for k in range(0, len(word), HASHED)):
+                    found = _accept(_letters(letters[w], int(sizes[w].max())), sizes[w], _letters(paths[t], int(depths[t].max())), depths[t], edits)
+                    np.minimum.at(least, w, found)
+        yield from ((words[k], int(least[k])) for k in np.flatnonzero(least < FAR))
 
     def accepted(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
         """The words with edits() of 0 and more, and these."""
-        others = []
+        others, letters = [], self.begun_letters
         for word in words:
-            if word in self.exact or any(word[:n] in self.begun for n in self.begun_letters):
+            if word in self.exact or not self.begun.isdisjoint([word[:n] for n in letters]):
                 yield word, 0
             else:
                 others.append(word)
-        for word in self.near(others):
-            if (edits := self.edits(word)) >= 0:
-                yield word, edits
+        yield from self.near(others)
 
     def _forget(self) -> None:
         self.steps: dict[tuple[int, str], int] = {}
@@ -209,7 +276,7 @@ class TermAutomaton:
         return self.accepts[number]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("steps", "states", "numbers", "accepts", "whole", "marks")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("steps", "states", "numbers", "accepts", "whole", "marks", "shared", "paths")}
 
     def __setstate__(self, kept):
         self.__dict__.update(kept)
@@ -282,13 +349,13 @@ def _features(text: str, words: list[str], found: set[str], edits: dict[str, int
     exact = misspelled = quoted = addressed = 0.0
     for i, start in zip(hits, starts):
         context = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-        if _is_quoted(text, start, start + len(words[i])) or any(w in REPORTS for w in context[:WINDOW]):
+        if _is_quoted(text, start, start + len(words[i])) or not REPORTS.isdisjoint(context[:WINDOW]):
             quoted += 1
         elif edits[words[i]]:
             misspelled += 1
         else:
             exact += 1
-        addressed += any(w in ADDRESSES for w in context)
+        addressed += not ADDRESSES.isdisjoint(context)
     return [exact > 0, np.log1p(exact), misspelled > 0, np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed)]
 
 
