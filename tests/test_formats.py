@@ -50,6 +50,22 @@ def test_running_total(spark):
     assert len(out) == 1000 and all(r["before"] == r["k"] * (r["k"] - 1) // 2 for r in out)
 
 
+def test_running_total_orders_rows_once(spark):
+    """Rows are dealt out once, by range; what follows neither deals them again nor holds a range in a window. The row before may lie in an earlier range."""
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("k"), F.struct((F.col("id") * 7 % 3000).alias("own")).alias("was")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small ranges become one
+    try:
+        out = running_total(rows, ["k"], F.lit(1), "at", "was")
+        found = sorted((r["k"], r["at"], r["was"] and r["was"]["own"]) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found == [(k, k, k - 1 if k else None) for k in range(3000)]
+    wide = plan[plan.index("MapInArrow") : plan.index("BroadcastExchange")]
+    assert "Window" not in wide and "Exchange" not in wide
+    assert running_total(rows.limit(0), ["k"], F.lit(1), "at", "was").count() == 0
+
+
 def test_unknown_class_is_an_error(spark):
     with pytest.raises(Exception, match="unknown way class 5"):
         spark.range(5, 6).select(speeds.class_speed(F.col("id").cast("int"), F.lit(30))).collect()

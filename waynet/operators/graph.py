@@ -80,9 +80,8 @@ def counter_arcs(arcs: DataFrame) -> DataFrame:
 
 def _runs(rows: DataFrame, *kept: str) -> DataFrame:
     """rows (pos, fid, x, y and more) with `at`, their place by pos, `run`, their run of equal fids, and fid, x, y and what is kept of the row `before`; `new` is 1 for a run's first."""
-    placed = running_total(rows, ["pos"], F.lit(1), "at")
-    before = placed.select((F.col("at") + 1).alias("at"), F.struct("fid", "x", "y", *kept).alias("before"))
-    change = placed.join(before, "at", "left").withColumn("new", (~F.col("fid").eqNullSafe(F.col("before.fid")) | (F.col("at") == 0)).cast("long"))
+    placed = running_total(rows.withColumn("before", F.struct("fid", "x", "y", *kept)), ["pos"], F.lit(1), "at", "before")
+    change = placed.withColumn("new", (~F.col("fid").eqNullSafe(F.col("before.fid")) | (F.col("at") == 0)).cast("long"))
     return running_total(change, ["pos"], F.col("new"), "earlier").withColumn("run", F.col("earlier") + F.col("new"))
 
 
