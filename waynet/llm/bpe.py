@@ -1,6 +1,6 @@
 """Byte-level BPE: ranked merges folded over the distinct words of documents.
 
-Spark's higher-order functions fold the merges over the bytes of a word against a literal rank map. The words that are
+Spark's higher-order functions fold the merges over the bytes of a word against a broadcast rank map. The words that are
 common in a bounded sample of documents are folded once, and their ids broadcast; which words these are is about cost
 alone. Everything else runs in one stage without a shuffle: a block is a run of documents, or a part of a long one, of
 bounded size; its distinct words that the task hasn't folded yet are folded, and the ids go back to the documents.
@@ -21,7 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waynet.llm.common import materialize, released, whole_text
@@ -36,7 +36,7 @@ SAMPLE_ROWS, MOST_COMMON = 16_000, 1 << 18
 COMMON_PARTS = 24
 #: Places between the bytes of a word of up to BITS bytes fit a signed 64-bit number; those of longer words lie in runs.
 BITS, RUN = 60, 512
-#: Buckets of the literal rank map.
+#: Buckets of the rank map.
 BUCKETS = 1 << 16
 
 _BLOCK = pa.schema(
@@ -81,10 +81,13 @@ def _tables(vocabulary: str) -> tuple[str, str]:
     return json.dumps(buckets, separators=(",", ":"), ensure_ascii=False), json.dumps(bounds, separators=(",", ":"))
 
 
-def rank_literal(vocabulary: str) -> tuple[Column, Column]:
-    """The ranks of a vocabulary as a literal array of small maps (Spark searches a map from its start), and the bounds of lengths."""
-    buckets, bounds = _tables(vocabulary)
-    return F.from_json(F.lit(buckets), "array<map<string,bigint>>"), F.from_json(F.lit(bounds), "array<int>")
+def rank_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """The ranks of a vocabulary as a written row to broadcast: an array of small maps (Spark searches a map from its start), and the bounds of lengths.
+
+    As literals they would stand in every plan and its descriptions, which the driver keeps.
+    """
+    text = spark.createDataFrame([_tables(vocabulary)], "buckets string, bounds string")
+    return materialize(text.select(F.from_json("buckets", "array<map<string,bigint>>").alias("_buckets"), F.from_json("bounds", "array<int>").alias("_bounds")), "bpe-ranks")
 
 
 def check_order(ranks: dict[bytes, int]) -> None:
@@ -316,15 +319,15 @@ def _common_words(texts: DataFrame, pattern: str) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, as the tiktoken library encodes without special tokens."""
-    buckets, bounds = rank_literal(vocabulary)
+    ranks = F.broadcast(rank_table(docs.sparkSession, vocabulary))
 
     def fold(blocks: DataFrame) -> DataFrame:
-        # The literals stand in the plan once; all words of a block see them through variables.
-        return blocks.withColumn("ids", _bind(buckets, lambda b: _bind(bounds, lambda m: F.transform("words", lambda w: fold_merges(w, b, m)))))
+        # All words of a block see the ranks through variables.
+        ids = _bind(F.col("_buckets"), lambda b: _bind(F.col("_bounds"), lambda m: F.transform("words", lambda w: fold_merges(w, b, m))))
+        return blocks.crossJoin(ranks).withColumn("ids", ids).drop("_buckets", "_bounds")
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     dealt = _common_words(texts, pattern).groupBy(F.pmod(F.xxhash64("word"), F.lit(COMMON_PARTS)).alias("part")).agg(F.collect_list(F.encode("word", "UTF-8")).alias("words"))
-    # Written first, so that no plan with an exchange carries the literals, which adaptive execution would describe again and again.
     once = fold(materialize(dealt, "bpe-common")).select(F.explode(F.arrays_zip("words", "ids")).alias("z")).select(F.decode("z.words", "UTF-8").alias("word"), F.col("z.ids").cast("array<int>").alias("ids"))
     once = once.toArrow().combine_chunks()  # MOST_COMMON rows at most
     words, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (once["word"], once["ids"]))
