@@ -1,5 +1,6 @@
 """Spatial joins: nearest node, top X within a radius, points in polygons, grids of points, hulls."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from waynet.plans.iterate import cut
 
 #: Steps of a grid that a tile of its polygons is wide.
 TILE_STEPS = 4
-#: Ways of a relation that are put in order in one group; the ends of more ways are ranked.
-GROUP_WAYS = 4096
+#: Ways of a relation that are put in order in one group; the ends of more ways are ranked, those of up to RANK_WAYS ways in one group, without their nodes.
+GROUP_WAYS, RANK_WAYS = 4096, 1 << 17
 
 
 def _cells(points: DataFrame, size: float, ring: int) -> DataFrame:
@@ -131,15 +132,23 @@ def _chains(joined: DataFrame) -> DataFrame:
     """relation_id, start, rank, nds: each way in its chain, named by the pos of the chain's first way; turned where need be.
 
     Relations of up to GROUP_WAYS ways are worked a group each. In larger ones the ways' ends are ranked, see `_ranked`, and
-    only ways at forks, and open lines whose first way by pos lies within, are left to a group.
+    only ways at forks, and open lines whose first way by pos lies within, are left to a group. The ends of up to RANK_WAYS ways
+    are ranked in a group, which holds three numbers a way; those of more ways in rounds over all of them.
     """
     known = joined.where("size(nds) > 0")
-    large = cut(known.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > GROUP_WAYS) & F.col("relation_id").isNotNull()))
-    most = large.agg(F.max("n")).first()[0]
-    if most is None:
-        return _grouped(known)
-    ranked, rest = _ranked(known.join(large, "relation_id", "left_semi"), most)
-    return ranked.unionByName(_grouped(known.join(large, "relation_id", "left_anti").unionByName(rest)))
+    ends = [F.element_at("nds", i).isNull() for i in (1, -1)]
+    large = known.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n"), F.max(ends[0] | ends[1]).alias("unknown")).where((F.col("n") > GROUP_WAYS) & F.col("relation_id").isNotNull())
+    large = cut(large.withColumn("by_group", (F.col("n") <= RANK_WAYS) & ~F.col("unknown")))
+    most = {r["by_group"]: r["n"] for r in large.groupBy("by_group").agg(F.max("n").alias("n")).collect()}
+    small, done = known.join(large, "relation_id", "left_anti"), []
+    for by_group, n in most.items():
+        own = known.join(large.where(F.col("by_group") == by_group), "relation_id", "left_semi")
+        ranked, rest = _ordered(own, _chosen_in_groups(own)) if by_group else _ranked(own, n)
+        small, done = small.unionByName(rest), [*done, ranked]
+    out = _grouped(small)
+    for ranked in done:
+        out = out.unionByName(ranked)
+    return out
 
 
 def _grouped(known: DataFrame) -> DataFrame:
@@ -199,9 +208,52 @@ def _ranked(known: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     line = (F.col("steps") < round_trip) & ~F.col("fork") & ~F.col("fork_behind") & (F.least("best.pos", "least_behind") == F.col("start")) & ((F.col("steps") + F.col("back") > 0) | (F.col("dir") == 0))
     rank = F.when(~ring, F.col("back")).when(F.col("best.steps") == 0, -round_trip).otherwise(-F.col("best.steps"))
     chosen = cut(seen.where(ring | line).select("relation_id", "pos", "dir", F.when(ring, F.col("best.pos")).otherwise(F.col("start")).alias("start"), rank.alias("rank")))
+    return _ordered(known, chosen)
+
+
+def _ordered(known: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chosen ways (relation_id, pos, dir, start, rank) in their direction, and the others."""
+    both = cut(known.join(chosen, ["relation_id", "pos"], "left"))
     nds = F.when(F.col("dir") == 1, F.reverse("nds")).otherwise(F.col("nds"))
-    ranked = known.join(chosen, ["relation_id", "pos"]).select("relation_id", "start", "rank", nds.alias("nds"))
-    return ranked, known.join(chosen, ["relation_id", "pos"], "left_anti")
+    return both.where("dir IS NOT NULL").select("relation_id", "start", "rank", nds.alias("nds")), both.where("dir IS NULL").select("relation_id", "pos", "nds")
+
+
+def _chosen_in_groups(known: DataFrame) -> DataFrame:
+    """The ways that `_ranked` chooses, with their ranks, by the same doubling over a relation's ends in one group."""
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("pos")
+        pos, n = own["pos"].to_numpy(), len(own)
+        # Item 2 * way + dir, so items are in the order of pos and dir; an item's other direction differs in the last bit.
+        enters = own[["first", "last"]].to_numpy().reshape(-1)
+        item = np.arange(2 * n)
+        order = np.argsort(enters, kind="stable")
+        _, first, node, count = np.unique(enters[order], return_index=True, return_inverse=True, return_counts=True)
+        at = np.empty(2 * n, np.int64)
+        at[order] = node
+        leaves = at[item ^ 1]
+        a, b, met = order[first][leaves], order[first + count - 1][leaves], count[leaves]
+        linked = (met == 2) & (a // 2 != b // 2)
+        to = np.where(linked, np.where(a // 2 == item // 2, b, a), item)
+        steps, fork, best, ahead = linked.astype(np.int64), met > 2, item, np.zeros(2 * n, np.int64)
+        rounds = n.bit_length()
+        for _ in range(rounds):
+            far, after = best[to], steps + ahead[to]
+            nearer = (far < best) | ((far == best) & (after < ahead))
+            best, ahead = np.where(nearer, far, best), np.where(nearer, after, ahead)
+            fork, steps, to = fork | fork[to], steps + steps[to], to[to]
+        round_trip, back, start = 1 << rounds, steps[item ^ 1], to[item ^ 1]
+        ring = (steps == round_trip) & (best % 2 == 0)
+        least = np.minimum(best, best[item ^ 1]) // 2
+        line = (steps < round_trip) & ~fork & ~fork[item ^ 1] & (least == start // 2) & ((steps + back > 0) | (item % 2 == 0))
+        rank = np.where(~ring, back, np.where(ahead == 0, -round_trip, -ahead))
+        kept = np.flatnonzero(ring | line)
+        begins = np.where(ring, best, start) // 2
+        return pd.DataFrame({"relation_id": pdf["relation_id"].iloc[0], "pos": pos[kept // 2], "dir": kept % 2, "start": pos[begins[kept]], "rank": rank[kept]})
+
+    kind = known.schema["relation_id"].dataType.simpleString()
+    ends = known.select("relation_id", "pos", F.element_at("nds", 1).alias("first"), F.element_at("nds", -1).alias("last"))
+    return ends.groupBy("relation_id").applyInPandas(chosen, f"relation_id {kind}, pos long, dir int, start long, rank long")
 
 
 def relation_polygons(members: DataFrame, ways: DataFrame) -> DataFrame:
