@@ -36,6 +36,8 @@ SAMPLE_ROWS, MOST_COMMON = 16_000, 1 << 18
 COMMON_PARTS = 24
 #: Places between the bytes of a word of up to BITS bytes fit a signed 64-bit number; those of longer words lie in runs.
 BITS, RUN = 60, 512
+#: Ids that are decoded at once.
+DECODED_IDS = 1 << 20
 #: Buckets of the rank map.
 BUCKETS = 1 << 16
 
@@ -59,10 +61,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _place(piece: bytes, size: int) -> int:
-    """Of a piece in a table of that many places: xxhash64, as Spark's, of the piece's text with a character for each byte."""
+    """Of a piece in a table of that many places: xxhash64, as Spark's."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(piece.decode("latin-1").encode(), 42) % size
+    return xxhash.xxh64_intdigest(piece, 42) % size
 
 
 @lru_cache(2)
@@ -87,7 +89,8 @@ def rank_table(spark: SparkSession, vocabulary: str) -> DataFrame:
     As literals they would stand in every plan and its descriptions, which the driver keeps.
     """
     text = spark.createDataFrame([_tables(vocabulary)], "buckets string, bounds string")
-    return materialize(text.select(F.from_json("buckets", "array<map<string,bigint>>").alias("_buckets"), F.from_json("bounds", "array<int>").alias("_bounds")), "bpe-ranks")
+    of_bytes = F.transform(F.from_json("buckets", "array<map<string,bigint>>"), lambda m: F.transform_keys(m, lambda piece, _: F.encode(piece, "ISO-8859-1")))
+    return materialize(text.select(of_bytes.alias("_buckets"), F.from_json("bounds", "array<int>").alias("_bounds")), "bpe-ranks")
 
 
 def check_order(ranks: dict[bytes, int]) -> None:
@@ -124,17 +127,14 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
     def shifted(by):
         return F.call_function("shiftleft", one, by)
 
-    def folded(text, n):  # a character for each byte
+    def folded(n):
         def part(start, length):
-            return F.substring(text, start, length)
-
-        def far_part(start, length):  # in long texts a character is sought from the start, a byte isn't
-            return F.decode(F.substring(word, start, length), "ISO-8859-1")
+            return F.substring(word, start, length)
 
         def rank(piece):
             return F.element_at(buckets[F.xxhash64(piece).bitwiseAND(BUCKETS - 1)], piece)
 
-        def ranked(part, bits, end_of):
+        def ranked(bits, end_of):
             """Starts and ends by rank. A stretch is one number until it is sorted: rank, start and length."""
 
             def stretches_from(i):
@@ -152,7 +152,7 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
             return F.when(due, places - within + c["start"]).otherwise(places)
 
         def short():
-            places = F.aggregate(ranked(part, 6, shifted), shifted(n + 2) - 2, merge_bits)
+            places = F.aggregate(ranked(6, shifted), shifted(n + 2) - 2, merge_bits)
             kept = _bind(places, lambda p: F.filter(F.sequence(F.lit(1), n + 1), lambda b: F.getbit(p, b) == 1))
             return _bind(kept, lambda k: F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda a, b: rank(part(a, b - a))))
 
@@ -174,13 +174,13 @@ def fold_merges(word: Column, buckets: Column, bounds: Column) -> Column:
 
         def long():
             each = F.transform(F.sequence(F.lit(0), run_of(n)), lambda r: F.transform(F.sequence(r * RUN, F.least(r * RUN + RUN - 1, n)), lambda place: place + 1))
-            nexts = F.flatten(F.aggregate(ranked(far_part, 38, lambda i: i), each, merge_runs))
+            nexts = F.flatten(F.aggregate(ranked(38, lambda i: i), each, merge_runs))
             kept = F.filter(F.transform(nexts, lambda e, i: F.when((e > 0) & (i > 0) & (i <= n), F.struct(i.alias("start"), e.alias("end")))), lambda x: x.isNotNull())
-            return F.transform(kept, lambda x: rank(far_part(x["start"], x["end"] - x["start"])))
+            return F.transform(kept, lambda x: rank(part(x["start"], x["end"] - x["start"])))
 
-        return _bind(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n <= BITS, short()).otherwise(long()))
+        return _bind(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(n <= BITS, short()).otherwise(long()))
 
-    return F.when(F.octet_length(word) > 0, _bind(F.decode(word, "ISO-8859-1"), lambda text: _bind(F.octet_length(word), lambda n: folded(text, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(word) > 0, _bind(F.octet_length(word), folded)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -208,28 +208,33 @@ def _parts(pattern: str, text: str) -> Iterator[list[str]]:
         yield part
 
 
+class WordCodes(dict):
+    """Codes of words; a word that is asked for first gets the next code and is listed as new."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__(words)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word.encode())
+        return self.setdefault(word, len(self))
+
+
 def _pack(pattern: str, shared):
     """Documents to blocks: the words that are new to the task, and every document's pieces as codes of common words and of the task's own."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = shared.value.codes, {}
+        common = shared.value.codes
+        known = WordCodes(common)
         ids, counts, pieces, size = [], [], [], 0
 
         def block(more):
-            forget = len(known) > REMEMBERED
+            nonlocal known
+            forget = len(known) - len(common) > REMEMBERED
             if forget:
-                known.clear()
-            coded = pa.array(pieces, pa.string()).dictionary_encode()
-            before, new = len(common) + len(known), []
-            code = np.empty(len(coded.dictionary), np.int32)
-            for k, word in enumerate(coded.dictionary.to_pylist()):
-                own = common.get(word)
-                if own is None:
-                    own = len(common) + known.setdefault(word, len(known))
-                    if own >= before + len(new):
-                        new.append(word.encode())
-                code[k] = own
-            codes = code[coded.indices.to_numpy()]
+                known = WordCodes(common)
+            codes = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
+            new, known.new = known.new, []
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((ids, counts, codes, new, forget, more), _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
@@ -351,18 +356,31 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return _with_pieces(encoded, vocabulary, "ids_sha256 string, decoded_sha256 string", both)
 
 
+def _decoded(values: np.ndarray, ends: np.ndarray, pieces: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Every row's ids and the concatenation of their pieces, DECODED_IDS at once or one row."""
+    first = 0
+    while first < len(ends) - 1:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODED_IDS, side="right")) - 1)
+        taken = pieces.take(pa.array(values[ends[first] : ends[last]]))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[ends[first : last + 1] - ends[first]] if len(taken) else np.zeros(last - first + 1, np.int64)
+        data = memoryview(data or b"")
+        for a, b, x, y in zip(ends[first:last], ends[first + 1 : last + 1], at, at[1:]):
+            yield values[a:b], bytes(data[x:y])
+        first = last
+
+
 def _with_pieces(encoded: DataFrame, vocabulary: str, ddl: str, made) -> DataFrame:
     pieces = {rank: piece for piece, rank in load_ranks(vocabulary).items()}
-    shared = encoded.sparkSession.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast(pa.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], pa.large_binary()))
     whole = ddl.startswith("bytes")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
         for batch in batches:
             ids = batch.column("ids")
             values, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(np.concatenate(([0], ends)))
-            out = [made(own := values[a:b], b"".join(map(piece, own.tolist()))) for a, b in zip(ends[:-1], ends[1:])]
+            out = [made(*x) for x in _decoded(values, ends, shared.value)]
             if whole:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "bytes"])
             else:
