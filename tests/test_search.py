@@ -87,3 +87,31 @@ def test_nodes_without_places_repeated_places_and_strangers(spark):
 
 def place_count(spark):
     return search.place_cells(spark.createDataFrame([], "node long, x double, y double"), 4).count()
+
+
+def test_regions_are_settled_without_an_overlay_that_is_larger_than_the_graph(city, monkeypatch):
+    _, arcs, cells, seeds = city
+    expected = plain(arcs, seeds, LIMIT)
+    net = search.network(arcs, cells, SIZE, LIMIT)
+    assert found(search.search(net, seeds, LIMIT)) == expected
+    assert "over" not in vars(net)
+    monkeypatch.setattr(search.Network, "pays", True)
+    net = search.network(arcs, cells, SIZE, LIMIT)
+    assert found(search.search(net, seeds, LIMIT)) == expected
+    assert vars(net)["over"].count() > net.arcs.count()
+
+
+def test_the_overlay_is_made_where_cells_have_few_borders(spark):
+    rows = [(k, k + 1, 2) for k in range(399)] + [(k + 1, k, 3) for k in range(399)]
+    arcs = spark.createDataFrame(rows, "source long, target long, cost int")
+    seeds = spark.createDataFrame([(k, k) for k in (0, 57, 200, 399)], "search_id long, node long")
+    net = search.network(arcs, None, 8, 350)
+    assert found(search.search(net, seeds, 350)) == plain(arcs, seeds, 350)
+    assert "over" in vars(net)
+
+
+def test_cells_of_a_long_strip_are_as_compact_as_those_of_a_square(spark):
+    """8 columns of 4096 rows: cells of 16 nodes are 4 by 4, not parts of a column."""
+    nodes = spark.range(1 << 15).select(F.col("id").alias("node"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"))
+    spans = nodes.join(search.place_cells(nodes, 16), "node").groupBy("cell").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    assert max(spans.agg(F.percentile("w", F.lit(0.9)), F.percentile("h", F.lit(0.9))).first()) <= 7

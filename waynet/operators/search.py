@@ -4,10 +4,15 @@ Nodes lie in cells, and every REGION cells with numbers in a row in a region. A
 an arc into another cell; the overlay has, for every node where ways enter, the least cost to every node where they
 enter the next cell. A search settles its own cell, then walks the overlay region by region, and at the end settles the
 cells it entered, each once. So only borders travel between rounds, and rounds count borders of regions, not arcs.
+
+An overlay pays where cells have few borders. Where it would have more arcs than the graph, as with small cells on a grid,
+a search settles regions by the arcs themselves: in as many rounds, without the overlay and a pass over the entered cells.
 """
 
 import heapq
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,9 +32,25 @@ class Network:
     """Arcs (group, source, target, cost, target_cell, via, more) by cell, the same between borders by region, and how nodes find their cell."""
 
     arcs: DataFrame
-    over: DataFrame
     cells: DataFrame | None
     size: int
+    limit: int | None = None
+
+    @cached_property
+    def over(self) -> DataFrame:
+        enters = self.arcs.where("group <> target_cell").select(F.col("target_cell").alias("group"), F.col("target").alias("node")).distinct()
+        ddl = "cell long, source long, target long, cost long, target_cell long, via long, more long"
+        crossed = self.arcs.groupBy("group").cogroup(enters.groupBy("group")).applyInPandas(_crossings(self.limit), ddl)
+        return cut(crossed.withColumn("group", F.floor(F.col("cell") / REGION).cast("long")).drop("cell"))
+
+    @cached_property
+    def pays(self) -> bool:
+        """Whether an overlay, of all ways from where a cell is entered to where it is left, has no more arcs than the graph."""
+        across = self.arcs.where("group <> target_cell")
+        enters = across.select(F.col("target_cell").alias("group"), "target").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("enters"))
+        exits = across.select("group", "target").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("exits"))
+        most = enters.join(exits, "group").agg(F.coalesce(F.sum(F.col("enters") * F.col("exits")), F.lit(0))).first()[0]
+        return most <= self.arcs.count()
 
     def placed(self, df: DataFrame, node: str, cell: str) -> DataFrame:
         return with_cell(df, node, cell, self.cells, self.size)
@@ -57,14 +78,22 @@ def curve_place(x: Column, y: Column, box: tuple[float, float, float, float]) ->
     return _spread(axis(x, box[0], box[2])).bitwiseOR(F.shiftleft(_spread(axis(y, box[1], box[3])), 1))
 
 
+def _near_square(*sides: float) -> list[float]:
+    """The sides of a box, the shorter one doubled until it is over half of the longer, so that the box keeps its place on the curve."""
+    most = max(sides)
+    doubled = lambda v: v * 2.0 ** math.floor(math.log2(min(most / v, 2.0**CURVE_BITS)))
+    return [doubled(v) if v > 0 and math.isfinite(most) else v for v in sides]
+
+
 def place_cells(nodes: DataFrame, size: int = CELL) -> DataFrame:
     """node and cell of nodes (node, x, y): runs of `size` nodes along the Z curve, so cells are compact and none is larger.
 
     Nodes of one place follow each other by id; those without coordinates come first.
     """
     xy = nodes.select(F.col("node").cast("long").alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropDuplicates(["node"])
-    box = xy.agg(*(F.coalesce(f(c), F.lit(0.0)) for f in (F.min, F.max) for c in ("x", "y"))).first()
-    along = xy.select("node", curve_place(F.col("x"), F.col("y"), tuple(box)).alias("along"))
+    west, south, east, north = xy.agg(*(F.coalesce(f(c), F.lit(0.0)) for f in (F.min, F.max) for c in ("x", "y"))).first()
+    width, height = _near_square(east - west, north - south)  # or cells of a long strip would be long strips
+    along = xy.select("node", curve_place(F.col("x"), F.col("y"), (west, south, west + width, south + height)).alias("along"))
     return running_total(along, ["along", "node"], F.lit(1), "place").select("node", F.floor(F.col("place") / size).cast("long").alias("cell"))
 
 
@@ -75,13 +104,8 @@ def _by_cell(arcs: DataFrame, cells: DataFrame | None, size: int) -> DataFrame:
 
 
 def network(arcs: DataFrame, cells: DataFrame | None = None, size: int = CELL, limit: int | None = None) -> Network:
-    """Arcs (source, target, cost) by cell with the overlay of their borders, for searches up to the limit."""
-    own = _by_cell(arcs, cells, size)
-    enters = own.where("group <> target_cell").select(F.col("target_cell").alias("group"), F.col("target").alias("node")).distinct()
-    ddl = "cell long, source long, target long, cost long, target_cell long, via long, more long"
-    crossed = own.groupBy("group").cogroup(enters.groupBy("group")).applyInPandas(_crossings(limit), ddl)
-    over = crossed.withColumn("group", F.floor(F.col("cell") / REGION).cast("long")).drop("cell")
-    return Network(own, cut(over), cells, size)
+    """Arcs (source, target, cost) by cell; the overlay of their borders, for searches up to the limit, is made when it is first used."""
+    return Network(_by_cell(arcs, cells, size), cells, size, limit)
 
 
 def _crossings(limit: int | None):
@@ -189,6 +213,9 @@ def search(net: Network, seeds: DataFrame, limit: int) -> DataFrame:
     Of equal costs the parent that was settled first stays, of those the least.
     """
     start = cut(_starts(net, seeds))
+    if not net.pays:
+        by_region = net.arcs.withColumn("group", F.floor(F.col("group") / REGION).cast("long"))
+        return _rounds(start, by_region, limit, REGION)[0].select("search_id", "node", "cost", "parent")
     left = _settled(start, net.arcs, limit, 1, "across").groupBy("search_id", "node").agg(F.min(F.struct("cost", "parent_cost", "parent", "cell")).alias("b"))
     left = cut(left.select("search_id", "node", "b.*"))
     entered = start
@@ -225,4 +252,4 @@ def shortest_paths(arcs: DataFrame, seeds: DataFrame, limit: int, ignore: DataFr
     """
     if ignore is None and forbidden is None:
         return search(network(arcs, cells, cell, limit), seeds, limit)
-    return search_with_bars(Network(own := _by_cell(arcs, cells, cell), own, cells, cell), seeds, limit, ignore, forbidden)
+    return search_with_bars(Network(_by_cell(arcs, cells, cell), cells, cell), seeds, limit, ignore, forbidden)
