@@ -10,12 +10,13 @@ is found in inverted lists of the sets' prefixes: in an order common to all sets
 n - ceil(n * t) + 1 shingles of both must meet. The boundary is the size at which keys to enumerate and places to
 scan together cost least, by the sizes of the sets and the lengths of the lists that a bounded sample shows.
 
-The order puts shingles that are common in a bounded sample of documents last; it is about cost
-alone, and any order gives every link. Short lists give candidate pairs, which
+The order puts shingles that are common in a sample of documents last; it is about cost
+alone, and any order gives every link. The sample is a fixed part of the table, so that the count from which a shingle is
+common, and with it the length of the other lists, doesn't grow with the table. Short lists give candidate pairs, which
 an exact bound on the prefixes thins out before full sets are compared. Long lists are worked
 in blocks: a first pass compares within blocks, a second one whatever is outside a list's main
-component with all of the list. Only links that join components leave a block, so no
-group's pairs are written out.
+component with all of the list, once for all lists of one main component where that is less work. Only links that join
+components leave a block, so no group's pairs are written out.
 
 A null text, and one without words, has an empty set and links with nothing. Rows of one id are
 one node. Equal texts need no comparison. Sets that more than their part of all rows share are
@@ -37,15 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waynet.llm.common import discard, is_hot, join_split, materialize, released, slices, whole_text
+from waynet.llm.common import discard, is_hot, join_split, materialize, released, settings, slices, whole_text
 
 WORDS, THRESHOLD = 4, 85
-#: Rows of the sample that tells common shingles, the count from which one is common, and the most of them.
-SAMPLE_ROWS, COMMON_FROM, MOST_COMMON = 20_000, 3, 1 << 19
+#: Least rows of the sample that tells common shingles and one in how many rows it has at least, the count from which one is common, and the most of them.
+SAMPLE_ROWS, SAMPLE_PART, COMMON_FROM, MOST_COMMON = 20_000, 8, 3, 1 << 19
+#: Texts of the sample whose shingles one group counts, and shingles that a task holds before it passes them on.
+COUNTED_ROWS, HELD = 1000, 1 << 20
 #: Rows of a list up to which its pairs are candidates, and rows of a block of longer ones.
 SHORT_LIST, BLOCK_ROWS = 128, 128
 #: Ids of documents to compare are broadcast up to this many (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Rows that pass to Python at once; texts may be long.
+ROWS_AT_ONCE = 1000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,34 +153,64 @@ def choose_boundary(sizes: dict[int, int], met: float, threshold: int = THRESHOL
     return min(range(most + 1), key=cost)
 
 
+def _mark(h: np.ndarray) -> np.ndarray:
+    """What of a shingle's hash tells whether it is common."""
+    return (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
 def _common(rows: DataFrame) -> tuple[np.ndarray, dict[int, int], float]:
-    """Of a sample: sorted hashes of shingles that COMMON_FROM texts or more hold, sets by size, and sets that a shingle meets in a list of the whole table."""
-    share = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+    """Of a sample: sorted marks of shingles that COMMON_FROM texts or more hold, sets by size, and sets that a shingle meets in a list of the whole table.
+
+    Shingles are counted by ranges of their hashes, as arrays.
+    """
+    total = rows.count()
+    share = min(1.0, max(SAMPLE_ROWS, total / SAMPLE_PART) / max(1, total))
+    parts = max(32, int(share * total) // COUNTED_ROWS)
     unit = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+    def dealt(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(sets)
+        key, n = np.unique((h.view(np.uint64) % np.uint64(parts) << np.uint64(32)) | _mark(h), return_counts=True)
+        at = np.searchsorted(key, np.arange(1, parts, dtype=np.uint64) << np.uint64(32))
+        size, m = np.unique([len(x) for x in sets], return_counts=True)
+        value, n = [np.split(key.astype(np.uint32), at) + [size.astype(np.uint32)], np.split(n.astype(np.uint32), at) + [m.astype(np.uint32)]]
+        return pa.RecordBatch.from_arrays([pa.array([*range(parts), -1], pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (value, n))], names=["part", "value", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held = Shingler(), []
         for _, data, offsets in slices(batches, "text"):
-            # Those seen twice by a task as it goes are told at once; partial counts meet in the shuffle.
-            sets = shingler.sets(data, offsets)
-            for kind, values in (("h", np.concatenate(sets)), ("size", np.array([len(x) for x in sets], np.int64))):
-                h, n = np.unique(values, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(h), pa.string()), pa.array(h), pa.array(n.astype(np.int64))], names=["kind", "h", "n"])
+            held += shingler.sets(data, offsets)
+            if sum(map(len, held)) >= HELD:
+                yield dealt(held)
+                held = []
+        if held:
+            yield dealt(held)
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        value, n = (np.concatenate([np.frombuffer(x, np.uint32) for x in pdf[c]]) for c in ("value", "n"))
+        h, at = np.unique(value, return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(h)).astype(np.int64)
+        if pdf["part"].iloc[0] < 0:
+            return pd.DataFrame({"kind": "size", "h": h.astype(np.int64), "n": n})
+        often = n >= COMMON_FROM
+        rest = pd.DataFrame({"kind": ["met", "rare"], "h": 0, "n": [int((n * (n - 1))[~often].sum()), int(n[~often].sum())]})
+        return pd.concat([pd.DataFrame({"kind": "h", "h": h[often].astype(np.int64), "n": n[often]}), rest])
 
     # Equal texts are one node of the graph, so they count once.
-    counts = rows.where(unit < share).select("text").distinct().mapInArrow(released(hashes), "kind string, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "jaccard-sample")
-    found = counts.where((F.col("kind") == "h") & (F.col("n") >= COMMON_FROM)).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toPandas()
-    sizes = {r["h"]: r["n"] for r in counts.where("kind = 'size' AND h > 0").collect()}  # SAMPLE_ROWS sizes at most
-    short = counts.where((F.col("kind") == "h") & (F.col("n") < COMMON_FROM)).agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0]
-    return np.sort(found["h"].to_numpy(dtype=np.int64)), sizes, min(float(SHORT_LIST), (short or 0.0) / share)
+    sample = rows.where(unit < share).select("text").distinct().mapInArrow(released(counted), "part int, value binary, n binary")
+    counts = materialize(sample.groupBy("part").applyInPandas(totals, "kind string, h bigint, n bigint"), "jaccard-sample")
+    found = counts.where("kind = 'h'").orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toPandas()
+    sizes = {r["h"]: r["n"] for r in counts.where("kind = 'size' AND h > 0").collect()}  # as many as sets of the sample have sizes
+    short, rare = counts.select(F.sum(F.when(F.col("kind") == "met", F.col("n"))), F.sum(F.when(F.col("kind") == "rare", F.col("n")))).first()
+    discard(rows.sparkSession, counts)
+    return np.unique(found["h"].to_numpy(dtype=np.uint32)), sizes, min(float(SHORT_LIST), (short or 0) / max(1, rare or 0) / share)
 
 
 def _is_common(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     if not len(common):
         return np.zeros(len(own), bool)
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    return common[at] == own
+    mark = _mark(own)
+    return common[np.minimum(np.searchsorted(common, mark), len(common) - 1)] == mark
 
 
 def _set_rows(rows: DataFrame, common, boundary: int) -> DataFrame:
@@ -225,10 +260,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = low.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = materialize(small, "edges")
+        discard(edges.sparkSession, now)
         state = small.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        now = small
         if tuple(state) == seen:
             break
-        seen, now = tuple(state), small
+        seen = tuple(state)
     label = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
 
@@ -288,11 +325,18 @@ def _full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ids = materialize(wanted.select(F.col("id").alias("doc_id")).distinct(), "jaccard-ids")
     chosen = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return materialize(chosen.mapInArrow(released(made), "id bigint, set array<bigint>"), "jaccard-sets")
+    sets = materialize(chosen.mapInArrow(released(made), "id bigint, set array<bigint>"), "jaccard-sets")
+    discard(rows.sparkSession, ids)
+    return sets
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_AT_ONCE)}):
+        return _joined(docs, id_col, text_col)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     common, sizes, met = _common(rows)
     boundary = choose_boundary(sizes, met)
@@ -350,6 +394,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = both.select("a", "b", "set_a", "set_b").mapInArrow(released(verified), "a bigint, b bigint").unionByName(light)
     links = materialize(links, "jaccard-links")
+    discard(docs.sparkSession, own, pairs)
 
     # Long lists, first pass: within blocks that a hash deals out, twice with different blocks.
     if not long_rows.isEmpty():
@@ -360,18 +405,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = _compare(blocks[0].unionByName(blocks[1]).withColumn("wanted", F.lit(True)).drop("m"), ["key", "block"])
         links = materialize(links.unionByName(found), "jaccard-links")
         # Second pass: rows outside the list's main component against all rows of the list, block by block.
-        label = _labels(links, long_rows)
-        parts = label.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        main = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        label = label.join(main, "key").withColumn("odd", F.col("component") != F.col("main"))
-        odd_size = label.where("odd").groupBy("key").agg(F.count(F.lit(1)).alias("n_odd"))
-        label = label.join(odd_size, "key").join(sets, "id")
+        label = _gathered(_labels(links, long_rows)).join(sets, "id")
         odd_blocks, all_blocks = F.ceil(F.col("n_odd") / BLOCK_ROWS).cast("int"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
         place = lambda seed, blocks: F.pmod(F.xxhash64(F.lit(seed), "id"), blocks).cast("int")
         wanted = label.where("odd").select("key", "id", "set", "component", place(3, odd_blocks).alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("wanted"))
         against = label.select("key", "id", "set", "component", F.explode(F.sequence(F.lit(0), odd_blocks - 1)).alias("i"), place(4, all_blocks).alias("j"), F.lit(False).alias("wanted"))
         found = _compare(wanted.unionByName(against), ["key", "i", "j"])
         links = materialize(links.unionByName(found), "jaccard-links")
+    discard(docs.sparkSession, sets, rare, common)
 
     label = components(links).select("node", "component")
     out = join_split(member.where(F.col("node").isNotNull()), label, nodes.where("hot AND node IS NOT NULL"), ["node"], "left")
@@ -383,3 +424,21 @@ def _labels(links: DataFrame, long_rows: DataFrame) -> DataFrame:
     """key, id, m and component of the rows of long lists."""
     label = components(links)
     return long_rows.join(label, long_rows["id"] == label["node"], "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
+
+
+def _gathered(label: DataFrame) -> DataFrame:
+    """key, id, component, odd, m and n_odd (rows, and odd ones, of the key) of the lists (key, id, m, component) with rows outside their main component.
+
+    Lists of one main component, as those of one text's many near copies, are one list where comparing all their rows once is less than each list by itself.
+    """
+    parts = label.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.max("c").alias("most")).where("parts > 1")
+    label = materialize(label.join(main, "key").select("key", "id", "component", "main", (F.col("component") != F.col("main")).alias("odd"), ((F.col("rows") - F.col("most")) * F.col("rows")).alias("cost"), (F.col("rows") - F.col("most")).alias("n_odd"), F.col("rows").alias("m")), "jaccard-odd")
+    once = label.groupBy("main", "id").agg(F.max("odd").alias("odd")).groupBy("main").agg(F.count(F.lit(1)).alias("all_m"), F.count_if("odd").alias("all_odd"))
+    apart = label.select("main", "key", "cost").distinct().groupBy("main").agg(F.sum("cost").alias("apart"))
+    united = once.join(apart, "main").where("all_m * all_odd < apart")
+    each = label.join(united, "main", "left")
+    single = each.where("all_m IS NULL").select(F.lit(False).alias("united"), "key", "id", "component", "odd", "m", "n_odd")
+    several = each.where("all_m IS NOT NULL").select(F.lit(True).alias("united"), F.col("main").alias("key"), "id", "component", "odd", F.col("all_m").alias("m"), F.col("all_odd").alias("n_odd")).dropDuplicates(["key", "id"])
+    both = single.unionByName(several)
+    return both.withColumn("key", F.struct("united", "key"))
