@@ -77,3 +77,19 @@ def test_grid_without_forest_points(spark):
     got = {(r["poly_id"], round(r["x"], 3), round(r["y"], 3)): r["population"] for r in spatial.population_grid(towns, 0.25, without=forest).collect()}
     corners = [(x, y) for x in (0.25, 0.5, 0.75) for y in (0.25, 0.5, 0.75) if x > 0.6 or y > 0.6]
     assert got == {(2, 5.0, 5.0): 90.0} | {(1, x, y): 18.0 for x, y in corners}
+
+
+def test_tiles_hold_only_what_touches_them_and_are_not_broadcast(spark):
+    """A zigzag of 6000 corners between two radii, on tiles' lines too: each edge is in the few tiles that it touches, and points are as by ray casting."""
+    rng = random.Random(11)
+    reach = [0.15 + rng.randrange(50) / 250 for _ in range(6000)]
+    ring = [(r * math.cos(t), r * math.sin(t)) for k, r in enumerate(reach) for t in [2 * math.pi * k / 6000]]
+    square = [(k % 2 * 0.04, k / 40) for k in range(9)] + [(-0.2, 0.2), (-0.2, 0.0)]
+    polygons = spark.createDataFrame([(1, ring), (2, square)], POLYGONS)
+    made = tiles.polygon_tiles(polygons, 0.02).cache()
+    assert made.where("poly_id = 1").agg(F.sum(F.size("edges"))).first()[0] < 5 * len(ring)
+    points = [(k, rng.uniform(-0.4, 0.4), rng.uniform(-0.4, 0.4)) for k in range(400)] + [(1000 + k, *rng.choice(ring)) for k in range(60)] + [(2000 + k, k % 11 / 50 - 0.1, k // 11 / 40) for k in range(99)]
+    found = tiles.points_in_tiles(spark.createDataFrame(points, "id long, x double, y double"), made, 0.02)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, p) for i, x, y in points for p, own in ((1, ring), (2, square)) if _inside(x, y, own))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

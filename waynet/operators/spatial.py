@@ -78,7 +78,7 @@ def population_grid(polygons: DataFrame, step: float | None = None, resolution:
     grid = grid.select("poly_id", (F.col("x0") + F.col("i") * F.col("sx")).alias("x"), (F.col("y0") + F.col("j") * F.col("sy")).alias("y"))
     own = cut(polygon_tiles(polygons, size))
     placed = on_tiles(grid.join(own.select("poly_id", "level").distinct(), "poly_id"), size, F.col("level"))
-    grid = placed.join(own, ["poly_id", "level", "cx", "cy"]).where(in_tile(F.col("x"), F.col("y"))).select("poly_id", "x", "y")
+    grid = placed.join(own.hint("merge"), ["poly_id", "level", "cx", "cy"]).where(in_tile(F.col("x"), F.col("y"))).select("poly_id", "x", "y")
     if without is not None:
         named = grid.withColumn("id", F.struct("poly_id", "x", "y"))
         inside = points_in_polygons(named.select("id", "x", "y"), without, size)
