@@ -168,3 +168,30 @@ def test_clusters_of_the_city_query(spark):
     out = QUERIES["city_clusters"](spark, sf).collect()
     assert {r["node"]: (r["cluster"], r["border"]) for r in out} == {n: (c, n in border) for n, c in expected.items()}
     assert len(set(expected.values())) < len(expected)
+
+
+@pytest.mark.parametrize("pack", [4096, 4, 1])
+def test_clusters_are_contracted_in_groups(spark, monkeypatch, pack):
+    """A grid of close nodes in several clusters: least ways and what they stand for, without rounds over tables unless a cluster is too large for a group."""
+    rng = random.Random(7)
+    spot = {k: (49 + k // 8 * 1e-4, 7 + k % 8 * 1e-4) for k in range(64)}
+    edges = [(a, b, rng.randint(1, 9) if a // 32 == b // 32 else 40) for k in range(64) for n in (k + 1 if k % 8 < 7 else None, k + 8 if k < 56 else None) if n for a, b in ((k, n), (n, k))]
+    points = spark.createDataFrame([(k, *p) for k, p in spot.items()], "node long, lat double, lon double")
+    arcs = spark.createDataFrame(edges, "source long, target long, cost int")
+    label = {r["node"]: r["cluster"] for r in contraction.clusters(points, arcs).collect()}
+    inner = [n for n in label if all(label[b] == label[n] for a, b, _ in edges if a == n)]
+    tables, plain = [], contraction._apart
+    monkeypatch.setattr(contraction, "_apart", lambda *x: tables.append(1) or plain(*x))
+    monkeypatch.setattr(contraction, "clusters", lambda *x: spark.createDataFrame(sorted(label.items()), "node long, cluster long"))
+    monkeypatch.setattr(contraction, "PACK_NODES", pack)
+    small, shortcuts = contraction.contract_clusters(points, arcs)
+    rows = small.collect()
+    assert {(r["source"], r["target"]): r["cost"] for r in rows} == eliminated(edges, inner) and len(rows) == len(eliminated(edges, inner))
+    assert len(inner) > 8 and bool(tables) == (pack == 1 or any(sum(label[n] == c for n in inner) > pack for c in set(label.values())))
+    whole, ways = least(edges), collections.defaultdict(list)
+    for r in contraction.represented_arcs(small, shortcuts).collect():
+        ways[r["id"]["source"], r["id"]["target"]].append((r["place"], r["source"], r["target"]))
+    for r in rows:
+        way = sorted(ways[r["source"], r["target"]])
+        assert [p for p, _, _ in way] == list(range(r["parts"])) and sum(whole[a, b] for _, a, b in way) == r["cost"]
+        assert way[0][1] == r["source"] and way[-1][2] == r["target"] and all(a[2] == b[1] for a, b in zip(way, way[1:]))

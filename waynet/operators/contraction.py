@@ -3,7 +3,8 @@
 An arc between two nodes that stay stands for the least way between them that passes contracted nodes only, so distances
 between the nodes that stay don't change, whatever the order. Nodes go in rounds: in each, those that come before all chosen
 nodes beside them, by the number of shortcuts they need and a hash, which leaves no two neighbours in a round. A shortcut
-names its two parts, which are older, so it is a tree as deep as there were rounds.
+names its two parts, which are older, so it is a tree as deep as there were rounds. Nodes inside of clusters only have arcs to nodes of
+their own cluster, so the rounds of each cluster go in a group, many clusters in one; only clusters of very many such nodes take rounds over tables.
 """
 
 import pandas as pd
@@ -176,5 +177,68 @@ def border_nodes(label: DataFrame, arcs: DataFrame) -> DataFrame:
 def contract_clusters(nodes: DataFrame, arcs: DataFrame, keep: DataFrame | None = None, intra: float = INTRA_CLUSTER, inter: float = INTER_CLUSTER) -> tuple[DataFrame, DataFrame]:
     """contract_nodes for the nodes inside of clusters, so only border nodes stay, and those to keep (node)."""
     label = cut(clusters(nodes, arcs, intra, inter))
-    inner = label.select("node").join(border_nodes(label, arcs), "node", "left_anti")
-    return contract_nodes(arcs, inner if keep is None else inner.join(keep.select("node"), "node", "left_anti"))
+    inner = label.join(border_nodes(label, arcs), "node", "left_anti")
+    inner = cut(inner if keep is None else inner.join(keep.select("node"), "node", "left_anti"))
+    large = inner.groupBy("cluster").count().where(F.col("count") > PACK_NODES).select("cluster")
+    contracted, shortcuts = contract_nodes(arcs, inner.join(large, "cluster", "left_semi").select("node"))
+    return _contract_within(contracted, shortcuts, inner.join(large, "cluster", "left_anti"))
+
+
+def _contract_within(contracted: DataFrame, shortcuts: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """contract_nodes, continued, for nodes (node, cluster) without arcs to nodes of another cluster, some PACK_NODES of them in a group."""
+    packed = inner.select("node", F.pmod(F.xxhash64("cluster"), F.lit(inner.count() // PACK_NODES + 1)).alias("pack"))
+    s, t = (packed.select(F.col("node").alias(c), F.col("pack").alias(f"of_{c}")) for c in ("source", "target"))
+    beside = cut(contracted.join(s, "source", "left").join(t, "target", "left").withColumn("pack", F.coalesce("of_source", "of_target")))
+    flat = beside.where("pack IS NOT NULL").select("pack", "source", "target", "cost", "parts", F.col("id.round").alias("round"), F.col("of_source").isNotNull().alias("from_inner"), F.col("of_target").isNotNull().alias("to_inner"))
+    parts = ", ".join(f"{p}_{c}" for p in ("first", "second") for c in ("round int", "source long", "target long"))
+    made = cut(flat.groupBy("pack").applyInPandas(_eliminate, f"source long, target long, cost {flat.schema['cost'].dataType.simpleString()}, parts long, round int, {parts}, first_parts long, stays boolean"))
+    old, new = beside.where("pack IS NULL").select("id", "source", "target", "cost", "parts"), made.where("stays").select(_arc_id(F.col("round")).alias("id"), "source", "target", "cost", "parts")
+    shown = F.struct("cost", F.col("id.round").alias("round"), "parts", "id")
+    done = old.unionByName(new).groupBy("source", "target").agg(F.min(shown).alias("b")).select("b.id", "source", "target", "b.cost", "b.parts")
+    part = lambda p: F.struct(*(F.col(f"{p}_{c}").alias(c) for c in ("round", "source", "target"))).alias(p)
+    own = made.where("first_round IS NOT NULL").select(_arc_id(F.col("round")).alias("id"), part("first"), part("second"), "first_parts").distinct()
+    return cut(done), shortcuts.unionByName(own)
+
+
+def _eliminate(arcs: pd.DataFrame) -> pd.DataFrame:
+    """The arcs that stay, and every shortcut made, of a pack's arcs; rounds as those of contract_nodes."""
+    known: dict[tuple[int, int], tuple] = {}  # (cost, parts, id, first, second, first_parts)
+    into: dict[int, set[int]] = {}
+    out: dict[int, set[int]] = {}
+    left: set[int] = set()
+    columns = ("source", "target", "cost", "parts", "round", "from_inner", "to_inner")
+    for a, b, cost, parts, made, from_inner, to_inner in zip(*(arcs[c].tolist() for c in columns)):
+        known[a, b] = (cost, parts, (made, a, b), None, None, 0)
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+        left.update(n for n, inside in ((a, from_inner), (b, to_inner)) if inside)
+    made, gone = max((x[2][0] for x in known.values()), default=0), []
+    while left:
+        made += 1
+        rank = {n: (len(into.get(n, ())) * len(out.get(n, ())), (n * 0x9E3779B97F4A7C15 + made * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) * 0x94D049BB133111EB >> 32 & (1 << 32) - 1, n) for n in left}
+        apart = [n for n in left if all(rank[n] < rank[m] for m in (into.get(n, set()) | out.get(n, set())) & left)]
+        fresh: set[tuple[int, int]] = set()
+        for n in apart:
+            ahead, behind = into.pop(n, set()), out.pop(n, set())
+            for a in ahead:
+                first = known[a, n]
+                for b in behind - {a}:
+                    second = known[n, b]
+                    cost, earlier = first[0] + second[0], known.get((a, b))
+                    if earlier is None or cost < earlier[0]:
+                        known[a, b] = (cost, first[1] + second[1], (made, a, b), first[2], second[2], first[1])
+                        out[a].add(b)
+                        into[b].add(a)
+                        fresh.add((a, b))
+            for a in ahead:
+                out[a].discard(n)
+                del known[a, n]
+            for b in behind:
+                into[b].discard(n)
+                del known[n, b]
+        gone += [(k, known[k]) for k in fresh]
+        left.difference_update(apart)
+    rows = [(*k, x[0], x[1], x[2][0], *(x[3] or (None,) * 3), *(x[4] or (None,) * 3), x[5], stays) for stays, own in ((True, known.items()), (False, gone)) for k, x in own]
+    names = ["source", "target", "cost", "parts", "round", *(f"{p}_{c}" for p in ("first", "second") for c in ("round", "source", "target")), "first_parts", "stays"]
+    found = pd.DataFrame(rows, columns=names, dtype=object)
+    return found
